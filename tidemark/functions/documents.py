@@ -43,8 +43,15 @@ def outside_strings(text: Column) -> Column:
 
 
 def has_auth_key(text: Column) -> Column:
+    """True if any key is one that may not be stored.
+
+    Keys are only taken apart where the letters of a forbidden one occur in the text
+    at all, or where an escape could hide them.
+    """
     keys = F.transform(all_keys(text), plain_key)
-    return F.arrays_overlap(keys, F.array(*[F.lit(k) for k in AUTH_KEYS]))
+    found = F.arrays_overlap(keys, F.array(*[F.lit(k) for k in AUTH_KEYS]))
+    possible = plain_key(text).rlike("|".join(AUTH_KEYS)) | text.contains("\\")
+    return F.when(possible, found).otherwise(F.when(text.isNotNull(), F.lit(False)))
 
 
 def is_object(text: Column) -> Column:
@@ -75,8 +82,8 @@ def is_sensitive(key: Column) -> Column:
     return plain.rlike("|".join(SENSITIVE_PARTS))
 
 
-def variant_type(value: str) -> Column:
-    kind = F.expr(f"schema_of_variant({value})")
+def variant_type(value: str | Column) -> Column:
+    kind = F.schema_of_variant(F.col(value) if isinstance(value, str) else value)
     return (
         F.when(kind == "VOID", "null")
         .when(kind == "BOOLEAN", "boolean")
@@ -87,6 +94,9 @@ def variant_type(value: str) -> Column:
     )
 
 
+_NODE = "struct<path:string,key:string,node:variant>"
+
+
 def walk(
     documents: DataFrame,
     value: str,
@@ -96,33 +106,30 @@ def walk(
 ) -> DataFrame:
     """One row per node of the JSON trees in ``value`` (a VARIANT column).
 
-    Adds ``path``, ``key`` (null for list items), ``node`` and ``depth``. Sensitive
-    keys and all below them are left out. With ``plain_paths`` keys are reduced to
-    letters and digits and ``[]`` is a path step of its own; otherwise keys stay as
-    written and ``[]`` is glued to its list. ``list_items`` bounds how many items of
-    a list are visited (its first ones).
+    Adds ``path``, ``key`` (null for list items) and ``node``. Sensitive keys and all
+    below them are left out. With ``plain_paths`` keys are reduced to letters and
+    digits and ``[]`` is a path step of its own; otherwise keys stay as written and
+    ``[]`` is glued to its list. ``list_items`` bounds how many items of a list are
+    visited (its first ones).
+
+    The tree is unfolded level by level inside the row, one array per level, and
+    exploded once.
     """
-    node_type = "struct<path:string,key:string,node:variant,depth:int>"
-    rows = documents.withColumn(
-        "_at",
-        F.struct(
-            F.lit("").alias("path"),
-            F.lit(None).cast("string").alias("key"),
-            F.col(value).alias("node"),
-            F.lit(0).alias("depth"),
-        ).cast(node_type),
+    root = F.struct(
+        F.lit("").alias("path"), F.lit(None).cast("string").alias("key"), F.col(value).alias("node")
     )
+    rows = documents.withColumn("_l0", F.array(root).cast(f"array<{_NODE}>"))
     for depth in range(max_depth + 1):
-        rows = rows.withColumn("_at", F.explode(_self_and_children(depth, list_items, plain_paths)))
-    return rows.select("*", "_at.*").drop("_at").where(F.col("depth") > 0)
+        below = F.transform(f"_l{depth}", lambda e: _children(e, list_items, plain_paths))
+        rows = rows.withColumn(f"_l{depth + 1}", F.flatten(below))
+    levels = [f"_l{depth}" for depth in range(max_depth + 2)]
+    nodes = rows.withColumn("_n", F.explode(F.concat(*levels[1:]))).drop(*levels)
+    return nodes.select("*", "_n.*").drop("_n")
 
 
-def _self_and_children(depth: int, list_items: int | None, plain_paths: bool) -> Column:
-    path = F.col("_at.path")
-    kind = F.expr("schema_of_variant(_at.node)")
-    members = F.map_entries(F.expr("try_variant_get(_at.node, '$', 'map<string,variant>')"))
-    members = F.filter(members, lambda e: ~is_sensitive(e["key"]))
-    step = "." if plain_paths else None
+def _children(parent: Column, list_items: int | None, plain_paths: bool) -> Column:
+    path, node = parent["path"], parent["node"]
+    kind = F.schema_of_variant(node)
 
     def member(entry: Column) -> Column:
         name = entry["key"]
@@ -130,29 +137,24 @@ def _self_and_children(depth: int, list_items: int | None, plain_paths: bool) ->
             plain = plain_key(name)
             name = F.when(plain == "", "field").otherwise(plain)
         full = F.when(path == "", name).otherwise(F.concat(path, F.lit("."), name))
-        return F.struct(
-            full.alias("path"),
-            entry["key"].alias("key"),
-            entry["value"].alias("node"),
-            F.lit(depth + 1).alias("depth"),
-        )
-
-    items = F.expr("try_variant_get(_at.node, '$', 'array<variant>')")
-    if list_items is not None:
-        items = F.slice(items, 1, list_items)
-    inside = F.lit("[]") if step is None else F.when(path == "", "[]").otherwise(F.lit(".[]"))
+        return F.struct(full.alias("path"), entry["key"].alias("key"), entry["value"].alias("node"))
 
     def item(element: Column) -> Column:
+        step = F.when(path == "", "[]").otherwise(F.lit(".[]")) if plain_paths else F.lit("[]")
         return F.struct(
-            F.concat(path, inside).alias("path"),
+            F.concat(path, step).alias("path"),
             F.lit(None).cast("string").alias("key"),
             element.alias("node"),
-            F.lit(depth + 1).alias("depth"),
         )
 
-    children = F.when(kind.startswith("OBJECT"), F.transform(members, member)).when(
-        kind.startswith("ARRAY"), F.transform(items, item)
+    members = F.map_entries(F.try_variant_get(node, "$", "map<string,variant>"))
+    members = F.filter(members, lambda e: ~is_sensitive(e["key"]))
+    items = F.try_variant_get(node, "$", "array<variant>")
+    if list_items is not None:
+        items = F.slice(items, 1, list_items)
+    nothing = F.array().cast(f"array<{_NODE}>")
+    return (
+        F.when(kind.startswith("OBJECT"), F.transform(members, member))
+        .when(kind.startswith("ARRAY"), F.transform(items, item))
+        .otherwise(nothing)
     )
-    here = F.array(F.col("_at"))
-    below = F.coalesce(children, F.slice(here, 1, 0))
-    return F.when(F.col("_at.depth") == depth, F.concat(here, below)).otherwise(here)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import documents as J
 
@@ -119,7 +122,7 @@ def payload_digest(payloads: DataFrame, payload: str = "payload") -> DataFrame:
         doc = F.try_parse_json(payload)
         kind = F.when(doc.isNotNull(), "json").otherwise("text")
         root = F.when(
-            doc.isNotNull(), J.variant_type(f"try_parse_json({payload})")
+            doc.isNotNull(), J.variant_type(doc)
         )
     return payloads.withColumns(
         {
@@ -167,76 +170,52 @@ def _profile(length: Column, entropy: Column, printable: Column, zero: Column, h
 
 
 
-def _byte_counts(rows: DataFrame, payload: str, keys: list[str]) -> DataFrame:
-    """(key, byte, count) of whole payloads.
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def byte_histogram(payload: pd.Series) -> pd.Series:
+    """How often each of the 256 byte values occurs in each payload."""
+
+    def count(raw: bytes) -> np.ndarray:
+        return np.bincount(np.frombuffer(raw or b"", dtype=np.uint8), minlength=256)
+
+    return payload.map(count)
 
-    The counts of a payload are taken inside its row: its hex pairs are sorted, and
-    a byte's count is the distance between where it starts and the next one starts.
-    At most 256 rows per payload leave the row, however long the payload is.
-    """
-    pairs = F.array_sort(F.regexp_extract_all(F.hex(payload), F.lit("(..)"), F.lit(1)))
-    # One more entry marks the end.
-    starts = F.transform(
-        F.array_distinct("_pairs"),
-        lambda b: F.struct(b.alias("b"), F.array_position("_pairs", b).alias("at")),
-    )
-    ends = F.concat(
-        F.slice(F.transform("_starts", lambda s: s["at"]), 2, F.greatest(F.size("_starts"), F.lit(1))),
-        F.array((F.size("_pairs") + 1).cast("bigint")),
-    )
-    counted = F.zip_with(
-        "_starts",
-        ends,
-        lambda s, end: F.struct(
-            F.conv(s["b"], 16, 10).cast("int").alias("byte"), (end - s["at"]).alias("n")
-        ),
-    )
-    return (
-        rows.select(*keys, pairs.alias("_pairs"))
-        .withColumn("_starts", starts)
-        .select(*keys, F.size("_pairs").cast("bigint").alias("_length"), counted.alias("_counts"))
-    )
+
+def _histogram(rows: DataFrame, payload: str) -> Column:
+    kind = dict(rows.dtypes)[payload]
+    raw = F.col(payload) if kind == "binary" else F.encode(F.col(payload), "UTF-8")
+    return byte_histogram(raw)
 
 
 def byte_profile(rows: DataFrame, payload: str, key: str) -> DataFrame:
     """Byte profile of each payload (text counts as its UTF-8 bytes); no shuffle."""
-    counted = _byte_counts(rows, payload, [key])
-    length = F.col("_length").cast("double")
+    counted = rows.select(key, _histogram(rows, payload).alias("_h"))
+    counted = counted.withColumn("_n", F.aggregate("_h", F.lit(0).cast("bigint"), lambda a, n: a + n))
+    length = F.col("_n").cast("double")
 
-    def total(condition) -> Column:
-        kept = F.filter("_counts", condition)
-        return F.aggregate(kept, F.lit(0).cast("bigint"), lambda acc, e: acc + e["n"])
+    def part(first: int, last: int) -> Column:
+        inside = F.slice("_h", first + 1, last - first + 1)
+        return F.aggregate(inside, F.lit(0).cast("bigint"), lambda a, n: a + n)
 
-    entropy = F.aggregate(
-        "_counts",
-        F.lit(0.0),
-        lambda acc, e: acc - (e["n"] / length) * F.log2(e["n"] / length),
-    )
+    used = F.filter("_h", lambda n: n > 0)
+    entropy = F.aggregate(used, F.lit(0.0), lambda a, n: a - (n / length) * F.log2(n / length))
     return counted.select(
         key,
-        *_profile(
-            F.col("_length"),
-            entropy,
-            total(lambda e: e["byte"].between(32, 126)),
-            total(lambda e: e["byte"] == 0),
-            total(lambda e: e["byte"] >= 128),
-            F.size("_counts"),
-        ),
+        *_profile(F.col("_n"), entropy, part(32, 126), part(0, 0), part(128, 255), F.size(used)),
     )
 
 
 def byte_profile_by(rows: DataFrame, payload: str, by: Sequence[str]) -> DataFrame:
     """Byte profile of all payloads of a group together: at most 256 counts per group."""
     by = list(by)
-    counted = _byte_counts(rows, payload, by).select(*by, F.explode("_counts").alias("c"))
-    bytes_ = counted.groupBy(*by, F.col("c.byte").alias("byte")).agg(F.sum("c.n").alias("n"))
-    total = F.sum("n").over(_whole(by))
-    bytes_ = bytes_.withColumn("p", F.col("n") / total)
+    counted = rows.select(*by, F.posexplode(_histogram(rows, payload)).alias("byte", "n"))
+    counted = counted.where(F.col("n") > 0)
+    totals = counted.groupBy(*by, "byte").agg(F.sum("n").alias("n"))
+    totals = totals.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
 
     def part(condition: Column) -> Column:
         return F.sum(F.when(condition, F.col("n")).otherwise(0))
 
-    return bytes_.groupBy(*by).agg(
+    return totals.groupBy(*by).agg(
         *_profile(
             F.sum("n"),
             F.sum(-F.col("p") * F.log2("p")),
@@ -246,9 +225,3 @@ def byte_profile_by(rows: DataFrame, payload: str, by: Sequence[str]) -> DataFra
             F.count("*"),
         )
     )
-
-
-def _whole(by: list[str]):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*by)
