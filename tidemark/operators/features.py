@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.operators.temporal import sums_as_of
+from tidemark.operators.temporal import sums_as_of, window_totals
 from tidemark.plans.ordering import Layout, number, plan_layout, rolling, scan
 
 RATE_THRESHOLDS = ("1.5", "2", "5")
@@ -46,7 +46,11 @@ def _rate(threshold: str, frame: WindowSpec) -> Column:
 
 def lag_names(lags: int, thresholds: Sequence[str]) -> list[str]:
     names = [f"log_value_lag_{i}" for i in range(1, lags + 1)]
-    return [*names, "rolling_mean_log_value", *[f"rolling_rate_ge_{t}" for t in thresholds]]
+    return [*names, "rolling_mean_log_value", *[f"rolling_rate_ge_{_plain(t)}" for t in thresholds]]
+
+
+def _plain(threshold: str) -> str:
+    return threshold.replace(".", "_")
 
 
 def lag_log_features(
@@ -77,7 +81,7 @@ def lag_log_features(
 def regime_names(lags: int) -> list[str]:
     names = [f"log_value_lag_{i}" for i in range(1, lags + 1)]
     names += ["short_mean", "long_mean", "mean_shift", "short_std", "long_std"]
-    return names + [f"{w}_rate_ge_{t}" for t in RATE_THRESHOLDS for w in ("short", "long")]
+    return names + [f"{w}_rate_ge_{_plain(t)}" for t in RATE_THRESHOLDS for w in ("short", "long")]
 
 
 def regime_columns(w: WindowSpec, lags: int, short: int, long: int) -> dict[str, Column]:
@@ -207,50 +211,55 @@ def _state_measures() -> dict[str, Column]:
     return measures
 
 
-def _vector(lo: str, hi: str, sockets: Column) -> list[Column]:
-    """The 17 features of the observations in (lo, hi] from the totals at both ends."""
+def _vector(sockets: Column) -> list[Column]:
+    """The 17 features of one window from its totals."""
 
     def d(name: str) -> Column:
-        return (F.col(f"{hi}.{name}") - F.col(f"{lo}.{name}")).cast("double")
+        return F.col(name).cast("double")
 
-    def share(top: Column, bottom: Column) -> Column:
-        return top / F.greatest(bottom, F.lit(1.0))
+    def share(top: str, bottom: str) -> Column:
+        return d(top) / F.greatest(d(bottom), F.lit(1.0))
 
     def mean(short: str, scale: float) -> Column:
-        return F.when(d(f"{short}_n") > 0, d(f"{short}_sum") / scale / d(f"{short}_n")).otherwise(0.0)
+        count = d(f"{short}_n")
+        return F.when(count > 0, d(f"{short}_sum") / scale / count).otherwise(0.0)
 
     n = d("n")
-    gaps = n - 1
-    first, last = F.col(f"{lo}.next_us"), F.col(f"{hi}.last_us")
-    total_ms = (last - first).cast("double") / 1000.0
-    # The gap that leads into the window belongs to its first observation.
-    lead = (first - F.coalesce(F.col(f"{lo}.last_us"), first)).cast("decimal(38,0)")
-    squares = F.col(f"{hi}.gap2") - F.col(f"{lo}.gap2") - lead * lead
-    mean_ms = F.when(gaps > 0, total_ms / gaps).otherwise(0.0)
-    spread = squares.cast("double") / 1e6 / gaps - mean_ms * mean_ms
-    # Equal gaps leave only rounding noise.
-    noise = F.abs(spread) <= mean_ms * mean_ms * 1e-13
-    std_ms = F.when(gaps > 1, F.when(noise, 0.0).otherwise(F.sqrt(F.greatest(spread, F.lit(0.0)))))
-    features = [
+    return [
         F.log1p(n),
         F.log1p(d("received")),
         F.log1p(d("sent")),
         F.log1p(d("bytes")),
         F.log1p(d("received_bytes")),
         F.log1p(d("sent_bytes")),
-        share(d("received_binary"), d("received")),
-        share(d("sent_binary"), d("sent")),
+        share("received_binary", "received"),
+        share("sent_binary", "sent"),
         d("large") / n,
         d("small") / n,
         mean("e", 1e6),
         mean("z", 1e6),
         mean("h", 1e6),
         mean("u", 256.0),
-        F.log1p(mean_ms),
-        F.log1p(F.coalesce(std_ms, F.lit(0.0))),
+        F.log1p("gap_mean_ms"),
+        F.log1p("gap_std_ms"),
         F.log1p(sockets.cast("double")),
     ]
-    return [F.when(n > 0, f).otherwise(0.0) for f in features]
+
+
+def _gap_columns(totals: DataFrame) -> DataFrame:
+    """Mean and population deviation of the gaps inside each window, in milliseconds."""
+    gaps = F.col("n") - 1
+    total_ms = (F.col("last_seen_us") - F.col("first_seen_next_us")).cast("double") / 1000.0
+    # The gap that leads into the window belongs to its first observation.
+    lead = F.col("first_seen_next_us") - F.coalesce("before_seen_us", "first_seen_next_us")
+    lead = lead.cast("decimal(19,0)")
+    squares = (F.col("gap2") - (lead * lead).cast("decimal(38,0)")).cast("double") / 1e6
+    totals = totals.withColumn("gap_mean_ms", F.when(gaps > 0, total_ms / gaps).otherwise(0.0))
+    mean2 = F.col("gap_mean_ms") * F.col("gap_mean_ms")
+    spread = squares / gaps - mean2
+    # Equal gaps leave only rounding noise.
+    std = F.when(spread > mean2 * 1e-13, F.sqrt(spread)).otherwise(0.0)
+    return totals.withColumn("gap_std_ms", F.when(gaps > 1, std).otherwise(0.0))
 
 
 def window_state_features(
@@ -312,29 +321,36 @@ def window_state_features(
     for closing in closings:
         facts = facts.unionByName(closing, allowMissingColumns=True)
     end = C.micros(cutoff)
-    at = {"_hi": end, **{f"_lo{i}": end - w for i, w in enumerate(widths)}}
+    spans = [(end - w, end) for w in widths]
     if since is not None:
-        at["_since"] = C.micros(since)
-    read = sums_as_of(
+        spans.insert(0, (C.micros(since), end))
+    numbers = [f"sockets_{i}" for i in range(len(widths))]
+    totals = window_totals(
         facts,
         points,
-        {n: F.col(n) for n in measures},
-        at,
+        {n: F.col(n) for n in measures if n not in numbers},
+        spans,
         keys,
-        last={"last_us": F.col("seen_us")},
-        following={"next_us": F.col("seen_us")},
+        levels={n: F.col(n) for n in numbers},
+        last={"seen_us": F.col("seen_us")},
+        following={"seen_next_us": F.col("seen_us")},
         layout=layout,
     )
-    spans: list[tuple[str, Column]] = []
-    if since is not None:
-        spans.append(("_since", F.col("_hi.new_sockets") - F.col("_since.new_sockets")))
-    spans += [(f"_lo{i}", F.col(f"_hi.sockets_{i}")) for i in range(len(widths))]
-    vectors = [_vector(lo, "_hi", sockets) for lo, sockets in spans]
-    counts = [
-        (F.col("_hi.n") - F.col(f"{lo}.n")).alias(f"events_{i}") for i, (lo, _) in enumerate(spans)
-    ]
-    state = F.array(*[c for vector in vectors for c in vector])
-    return read.select("series", *keys, *counts, state.alias("state"))
+    totals = _gap_columns(totals)
+    offset = 0 if since is None else 1
+    sockets = F.col("new_sockets") if since is not None else F.lit(None).cast("bigint")
+    for i, name in enumerate(numbers):
+        sockets = F.when(F.col("span") == i + offset, F.col(name)).otherwise(sockets)
+    vector = F.when(F.col("n") > 0, F.array(*_vector(sockets))).otherwise(
+        F.array(*[F.lit(0.0)] * len(STATE_FEATURES))
+    )
+    parts = totals.select("series", *keys, "span", "n", vector.alias("v"))
+    whole = parts.groupBy("series", *keys).agg(
+        F.array_sort(F.collect_list(F.struct("span", "n", "v"))).alias("_p")
+    )
+    counts = [F.col("_p")[i]["n"].alias(f"events_{i}") for i in range(len(spans))]
+    state = F.flatten(F.transform("_p", lambda e: e["v"]))
+    return whole.select("series", *keys, *counts, state.alias("state"))
 
 
 # --- aligned samples ------------------------------------------------------------------

@@ -175,6 +175,63 @@ def sums_as_of(
     return wide.select(*by, "_key.*", *[F.col("_r")[n].alias(n) for n in at])
 
 
+def window_totals(
+    facts: DataFrame,
+    points: DataFrame,
+    measures: Mapping[str, Column],
+    spans: Sequence[tuple[Column, Column]],
+    keys: Sequence[str],
+    *,
+    by: Sequence[str] = ("series",),
+    levels: Mapping[str, Column] | None = None,
+    last: Mapping[str, Column] | None = None,
+    following: Mapping[str, Column] | None = None,
+    layout: Layout | None = None,
+) -> DataFrame:
+    """Totals of ``facts`` in (low, high] of every point and span, one row each.
+
+    A span is read at its two ends; the running totals there, with opposite signs,
+    add up to the total inside. ``levels`` are running totals as of the upper end.
+    ``last_<n>`` and ``first_<n>`` are the values of ``last`` at the upper end and of
+    ``following`` at the lower end, ``before_<n>`` the value of ``last`` at the lower.
+    """
+    by, keys = list(by), list(keys)
+    levels, last, following = dict(levels or {}), dict(last or {}), dict(following or {})
+    exprs = {**measures, **levels, **last, **following}
+    inner = {n: f"_m{i}" for i, n in enumerate(exprs)}
+    fact_rows = facts.select(
+        *by, F.col("us"), F.lit(1).alias("_side"), *[e.alias(inner[n]) for n, e in exprs.items()]
+    )
+    ends = [
+        F.struct(
+            F.lit(i).alias("span"), us.cast("bigint").alias("us"), F.lit(sign).alias("sign")
+        )
+        for i, span in enumerate(spans)
+        for us, sign in zip(span, (-1, 1))
+    ]
+    marks = points.select(*by, F.struct(*keys).alias("_key"), F.explode(F.array(*ends)).alias("_p"))
+    marks = marks.select(
+        *by, "_p.us", F.lit(2).alias("_side"), "_key", "_p.span", "_p.sign"
+    )
+    line = scan(
+        fact_rows.unionByName(marks, allowMissingColumns=True),
+        by,
+        ["us", "_side"],
+        sums={f"_t{n}": F.col(inner[n]) for n in [*measures, *levels]},
+        prev={f"_t{n}": F.col(inner[n]) for n in last},
+        next={f"_t{n}": F.col(inner[n]) for n in following},
+        layout=layout,
+    ).where(F.col("sign").isNotNull())
+    high, low = F.col("sign") == 1, F.col("sign") == -1
+    aggs = [F.sum(F.when(high, F.col(f"_t{n}")).otherwise(-F.col(f"_t{n}"))).alias(n) for n in measures]
+    aggs += [F.max(F.when(high, F.col(f"_t{n}"))).alias(n) for n in levels]
+    aggs += [F.max(F.when(high, F.col(f"_t{n}"))).alias(f"last_{n}") for n in last]
+    aggs += [F.max(F.when(low, F.col(f"_t{n}"))).alias(f"before_{n}") for n in last]
+    aggs += [F.max(F.when(low, F.col(f"_t{n}"))).alias(f"first_{n}") for n in following]
+    wide = line.select(*by, "_key.*", "span", "sign", *[f"_t{n}" for n in exprs])
+    return wide.groupBy(*by, *keys, "span").agg(*aggs)
+
+
 def trailing_window_join(
     targets: DataFrame,
     observations: DataFrame,
@@ -192,17 +249,15 @@ def trailing_window_join(
     measures = {"observations": F.lit(1).cast("bigint"), **(measures or {})}
     facts = observations.withColumn("us", C.micros("ts"))
     end = C.micros(cutoff)
-    read = sums_as_of(
+    read = window_totals(
         facts,
         targets,
         measures,
-        {"_hi": end, "_lo": end - C.to_micros(window_seconds)},
+        [(end - C.to_micros(window_seconds), end)],
         [*keys, cutoff],
         layout=layout,
     )
-    return read.select(
-        "series", *keys, cutoff, *[(F.col(f"_hi.{n}") - F.col(f"_lo.{n}")).alias(n) for n in measures]
-    )
+    return read.select("series", *keys, cutoff, *measures)
 
 
 def onset_lookup(pairs: DataFrame, onsets: DataFrame) -> DataFrame:
@@ -264,4 +319,5 @@ __all__ = [
     "plan_layout",
     "sums_as_of",
     "trailing_window_join",
+    "window_totals",
 ]

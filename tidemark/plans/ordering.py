@@ -10,8 +10,9 @@ slices that many tasks share and hand each slice what it needs of its neighbours
 * ``rolling``  frames over the last ``back`` rows. Slices are blocks of row numbers;
   each block also receives the last ``back`` rows of the block before it.
 
-``plan_layout`` decides from row counts whether slicing is needed at all: small
-series run as plain windows, with one exchange and no join.
+Whether slicing is needed is a ``Layout``. Set for a session with ``use_layout``, it
+costs nothing; otherwise small inputs are recognised by their stored size and larger
+ones are counted. Small series run as plain windows: one exchange and no join.
 """
 
 from __future__ import annotations
@@ -19,13 +20,17 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TASK_ROWS_CONF = "tidemark.task.rows"
+LAYOUT_CONF = "tidemark.layout"
 DEFAULT_TASK_ROWS = 2_000_000
 GRID_CELLS = 4096
+DEFAULT_SLICE_US = 3_600_000_000  # an hour, where nothing better is known
+# Inputs below this many stored bytes per row of a task are taken as small unseen.
+SMALL_ROW_BYTES = 32
 
 _SLICE = "_slice"
 _HOME = "_home"
@@ -33,30 +38,82 @@ _HOME = "_home"
 
 @dataclass(frozen=True)
 class Layout:
-    """How one series is cut: width of a time slice and rows of a block (None: whole)."""
+    """How one series is cut: width of a time slice, rows of a block (None: whole)."""
 
     slice_us: int | None = None
     block_rows: int | None = None
 
     @property
     def whole(self) -> bool:
-        return self.slice_us is None
+        return self.block_rows is None
 
 
 WHOLE = Layout()
 
 
+def use_layout(spark: SparkSession, layout: Layout | None) -> None:
+    """Make a layout the default of all operators of the session (None: decide anew).
+
+    Planned once on the stored tables, it spares the operators from counting the
+    rows of what they are given.
+    """
+    if layout is None:
+        spark.conf.unset(LAYOUT_CONF)
+    else:
+        spark.conf.set(LAYOUT_CONF, f"{layout.slice_us or 0},{layout.block_rows or 0}")
+
+
 def task_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(TASK_ROWS_CONF, str(DEFAULT_TASK_ROWS)))
 
 
+def declared_layout(df: DataFrame) -> Layout | None:
+    """The layout that needs no look at the data: the session's, or whole if small."""
+    text = df.sparkSession.conf.get(LAYOUT_CONF, "")
+    if text:
+        slice_us, block_rows = (int(part) or None for part in text.split(","))
+        return Layout(slice_us, block_rows)
+    stored = stored_bytes(df)
+    if stored is not None and stored <= task_rows(df) * SMALL_ROW_BYTES:
+        return WHOLE
+    return None
+
+
+def stored_bytes(df: DataFrame) -> int | None:
+    """Bytes of the tables a DataFrame reads, from their file listing; no job runs."""
+    try:
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        sizes = [leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size())]
+        return sum(int(size.toString()) for size in sizes)
+    except Exception:  # noqa: BLE001  no size estimate here: the caller counts rows
+        return None
+
+
+def _is_time(df: DataFrame, name: str) -> bool:
+    return name in ("us", "ts") or isinstance(df.schema[name].dataType, T.TimestampType)
+
+
 def _time_us(df: DataFrame, name: str) -> Column:
     if isinstance(df.schema[name].dataType, T.TimestampType):
         return F.unix_micros(F.col(name))
     return F.col(name).cast("bigint")
 
 
-def plan_layout(df: DataFrame, by: Sequence[str], time: str) -> Layout:
+def plan_layout(df: DataFrame, by: Sequence[str], order: str) -> Layout:
+    """The layout to scan ``df`` with: the declared one, else one made by counting.
+
+    Series ordered by a position or sequence number need no counts, because blocks of
+    numbers are blocks of rows.
+    """
+    declared = declared_layout(df)
+    if declared is not None:
+        return declared
+    if not _is_time(df, order):
+        return Layout(block_rows=task_rows(df))
+    return measure_layout(df, by, order)
+
+
+def measure_layout(df: DataFrame, by: Sequence[str], time: str) -> Layout:
     """Choose slices so that no slice of one series exceeds the rows of a task.
 
     Runs at most two jobs over two columns; both return a single row.
@@ -99,20 +156,26 @@ def scan(
     prev: Mapping[str, Column] | None = None,
     next: Mapping[str, Column] | None = None,
     layout: Layout | None = None,
+    slices: Column | None = None,
 ) -> DataFrame:
     """Add running values over each series, strictly before (or after) every row.
 
     ``sums``  total of the expression over all earlier rows (0 at the start);
     ``prev``  last non-null value of the expression among earlier rows;
     ``next``  first non-null value of the expression among later rows.
-    The first column of ``order`` is the time the slices are cut by.
+    Slices are cut by the first column of ``order``: spans of time, or of numbers.
+    ``slices`` replaces them by any expression that never falls along the order.
     """
     sums, prev, next = dict(sums or {}), dict(prev or {}), dict(next or {})
-    layout = layout if layout is not None else plan_layout(df, by, order[0])
+    if layout is None:
+        layout = plan_layout(df, by, order[0]) if slices is None else Layout(block_rows=1)
     keys = list(by)
     if not layout.whole:
         keys = [*by, _SLICE]
-        df = df.withColumn(_SLICE, F.floor(_time_us(df, order[0]) / F.lit(layout.slice_us)))
+        if slices is None:
+            width = layout.slice_us if _is_time(df, order[0]) else layout.block_rows
+            slices = F.floor(_time_us(df, order[0]) / F.lit(width or DEFAULT_SLICE_US))
+        df = df.withColumn(_SLICE, slices)
 
     names = [f"_in{i}" for i in range(len(sums) + len(prev) + len(next))]
     exprs = [*sums.values(), *prev.values(), *next.values()]

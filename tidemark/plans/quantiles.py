@@ -13,13 +13,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.ordering import plan_layout, scan, task_rows
+from tidemark.plans.ordering import declared_layout, scan, task_rows
+
+SLICES_PER_DOUBLING = 64
 
 
 def fits_one_task(df: DataFrame) -> bool:
     """True if the whole table has no more rows than a task may hold."""
-    limit = task_rows(df)
-    return df.limit(limit + 1).count() <= limit if limit < 10_000 else df.count() <= limit
+    declared = declared_layout(df)
+    return declared.whole if declared is not None else df.count() <= task_rows(df)
 
 
 def percentiles(
@@ -55,13 +57,12 @@ def medians(
 def _percentile(df: DataFrame, by: Sequence[str], expr: Column, q: float, name: str) -> DataFrame:
     values = df.select(*by, expr.cast("double").alias("_v")).where(F.col("_v").isNotNull())
     counts = values.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
-    # Slices of the scan are spans of value; six decimals separate close values.
-    counts = counts.withColumn("_at", F.floor(F.col("_v") * 1e6))
     keys = list(by) or ["_all"]
     if not by:
         counts = counts.withColumn("_all", F.lit(0))
-    layout = plan_layout(counts, keys, "_at")
-    ranked = scan(counts, keys, ["_at", "_v"], sums={"_below": F.col("_c")}, layout=layout)
+    # Slices are narrow relative spans of value, so no look at the data is needed.
+    slices = F.floor(F.signum("_v") * F.log2(F.abs("_v") + 1) * SLICES_PER_DOUBLING)
+    ranked = scan(counts, keys, ["_v"], sums={"_below": F.col("_c")}, slices=slices)
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     position = (F.col("_n") - 1) * F.lit(q)
     low, high = F.floor(position), F.ceil(position)
