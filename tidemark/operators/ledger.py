@@ -190,11 +190,10 @@ def performance_summary(ledger: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     audit = live_forecast_audit(ledger, by).drop(
         "comparable_candidate_rows", "raw_candidate_skill_vs_baseline_pct"
     )
-    joined = (
-        totals.join(audit, list(by), "left")
-        if by
-        else totals.join(audit, F.lit(True), "left")  # one row of totals
-    )
+    by = list(by)
+    if not by:  # one row of totals beside a line per threshold
+        totals, audit = totals.withColumn("_all", F.lit(0)), audit.withColumn("_all", F.lit(0))
+    joined = totals.join(audit, by or ["_all"], "left").drop("_all")
     status = F.when(F.col("scored_locks") > 0, "COMPLETE").otherwise("NO_SCORED_PREDICTIONS")
     return joined.withColumn("status", status)
 
