@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import columns as C
 from tidemark.operators.temporal import assign_interval
 from tidemark.plans.ordering import number
-from tidemark.plans.quantiles import fits_one_task, medians
+from tidemark.plans.quantiles import fits_one_task, median_seconds
 
 # Fragments of a path that sound like an outcome.
 OUTCOME_TERMS = [
@@ -79,7 +79,8 @@ def exact_match_leak_audit(
         F.count_if(matched & F.col("before_onset")).alias("exact_matches_before_onset"),
         C.places(F.max(lead)).alias("maximum_lead_seconds"),
     )
-    middle = medians(hits, PATH, {"m": lead}, fits_one_task(fields))
+    lead_us = C.micros("target_ts") - C.micros("earliest.ts")
+    middle = median_seconds(hits, PATH, {"m": lead_us}, fits_one_task(fields))
     counts = fields.where(F.col("number").isNotNull()).groupBy(*PATH).agg(
         F.count("*").alias("observations")
     )
@@ -96,7 +97,7 @@ def exact_match_leak_audit(
     )
     return (
         counts.join(report, PATH, "left")
-        .join(middle.select(*PATH, C.places(F.col("m")).alias("median_lead_seconds")), PATH, "left")
+        .join(middle.select(*PATH, F.col("m").alias("median_lead_seconds")), PATH, "left")
         .fillna(0, names)
         .withColumns({"outcome_like_path": outcome_like(F.col("path")), "verdict": verdict})
     )
@@ -165,11 +166,12 @@ def any_last_match_audit(
         C.places(F.min("lead")).alias("minimum_last_lead_seconds"),
     )
     distinct = seen.groupBy(*PATH).agg(F.count_distinct("number").alias("distinct_values"))
-    middle = medians(per_target, PATH, {"m": F.col("lead")}, fits_one_task(fields))
+    lead_us = C.micros("onset_ts") - C.micros("last.ts")
+    middle = median_seconds(per_target, PATH, {"m": lead_us}, fits_one_task(fields))
     severe = (F.col("rounds_observed") >= 5) & (F.col("last_match_rate") >= 0.8)
     return (
         report.join(distinct, PATH)
-        .join(middle.select(*PATH, C.places(F.col("m")).alias("median_last_lead_seconds")), PATH)
+        .join(middle.select(*PATH, F.col("m").alias("median_last_lead_seconds")), PATH)
         .withColumn("severity", F.when(severe, "DIRECT_LEAK_CANDIDATE").otherwise("REVIEW"))
     )
 
@@ -229,9 +231,10 @@ def disclosure_audit(
     target = F.col("target_matches") / F.col("observations")
     previous = F.col("previous_matches") / F.col("observations")
     leak = (F.col("target_matches") >= 3) & (target >= 0.8) & (target >= previous + 0.2)
-    middle = medians(seen, PATH, {"m": F.col("lead")}, fits_one_task(events))
+    lead_us = C.micros("onset_ts") - C.micros("ts")
+    middle = median_seconds(seen, PATH, {"m": lead_us}, fits_one_task(events))
     return report.join(
-        middle.select(*PATH, C.places(F.col("m")).alias("median_lead_seconds")), PATH
+        middle.select(*PATH, F.col("m").alias("median_lead_seconds")), PATH
     ).withColumns(
         {
             "target_match_rate": C.ratio("target_matches", "observations"),
@@ -253,8 +256,9 @@ def identifier_leads(
         F.count_distinct("target_ts").alias("rounds"),
         F.count_distinct("identifier").alias("unique_hashes"),
     )
-    middle = medians(seen, PATH, {"m": F.col("lead")}, fits_one_task(events))
-    return report.join(middle.select(*PATH, C.places(F.col("m")).alias("median_lead_seconds")), PATH)
+    lead_us = C.micros("onset_ts") - C.micros("ts")
+    middle = median_seconds(seen, PATH, {"m": lead_us}, fits_one_task(events))
+    return report.join(middle.select(*PATH, F.col("m").alias("median_lead_seconds")), PATH)
 
 
 def eligible_intervals(onsets: DataFrame, outcomes: DataFrame, margin_seconds: float) -> DataFrame:

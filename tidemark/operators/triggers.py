@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.operators.temporal import assign_interval
 from tidemark.plans.ordering import number
-from tidemark.plans.quantiles import fits_one_task, medians
+from tidemark.plans.quantiles import fits_one_task, median_seconds
 
 SPAN = ["prev_ts", "target_ts"]
 
@@ -123,13 +123,13 @@ def discover_triggers(
     best = rows.withColumn("rank", (F.row_number().over(order) - 1).cast("bigint")).where(
         F.col("rank") < max_signatures
     )
-    leads = seen.where(near).withColumn("lead", (onset - at) / 1e6)
-    middle = medians(leads, ["series", "signature"], {"m": F.col("lead")}, fits_one_task(observations))
+    leads = {"m": onset - at}
+    middle = median_seconds(seen.where(near), ["series", "signature"], leads, fits_one_task(observations))
     return best.join(middle, ["series", "signature"]).select(
         "series", "signature", "rank", "discovery_onsets", "hits", "hit_rate",
         F.col("near").alias("occurrences_near_onset"),
         F.col("background").alias("background_occurrences"),
-        "enrichment", C.places(F.col("m")).alias("median_lead_seconds"),
+        "enrichment", F.col("m").alias("median_lead_seconds"),
         F.col("minimum_lead").alias("minimum_lead_seconds"), "score",
     )
 
@@ -169,12 +169,13 @@ def trigger_coverage(triggers: DataFrame, evaluated: DataFrame) -> DataFrame:
     found = triggers.groupBy("series").agg(
         F.count("*").alias("triggers"), F.min("lead_seconds").alias("minimum_lead_seconds")
     )
-    middle = medians(
+    middle = median_seconds(
         triggers, ["series"],
-        {"lead": F.col("lead_seconds"), "age": F.col("age_seconds")}, fits_one_task(triggers),
-    ).select(
-        "series", C.places(F.col("lead")).alias("median_lead_seconds"),
-        C.places(F.col("age")).alias("median_age_seconds"),
+        {
+            "median_lead_seconds": C.micros("onset_ts") - C.micros("trigger_ts"),
+            "median_age_seconds": C.micros("trigger_ts") - C.micros("prev_ts"),
+        },
+        fits_one_task(triggers),
     )
     joined = counts.join(found, "series", "left").join(middle, "series", "left")
     return joined.withColumns(
@@ -204,16 +205,9 @@ def recent_trigger_refresh(
 def onset_gap_summary(onsets: DataFrame) -> DataFrame:
     """Median time from outcome to onset and from onset to the next outcome."""
 
-    def span(a: str, b: str) -> Column:
-        return C.seconds(C.micros(a) - C.micros(b))
-
-    rows = onsets.select(
-        "series", span("onset_ts", "prev_ts").alias("after"), span("target_ts", "onset_ts").alias("before")
-    )
-    counts = rows.groupBy("series").agg(F.count("*").alias("onsets"))
-    middle = medians(rows, ["series"], {"a": F.col("after"), "b": F.col("before")}, fits_one_task(rows))
-    return counts.join(middle, "series").select(
-        "series", "onsets",
-        C.places(F.col("a")).alias("median_outcome_to_onset"),
-        C.places(F.col("b")).alias("median_onset_to_outcome"),
-    )
+    counts = onsets.groupBy("series").agg(F.count("*").alias("onsets"))
+    spans = {
+        "median_outcome_to_onset": C.micros("onset_ts") - C.micros("prev_ts"),
+        "median_onset_to_outcome": C.micros("target_ts") - C.micros("onset_ts"),
+    }
+    return counts.join(median_seconds(onsets, ["series"], spans, fits_one_task(onsets)), "series")

@@ -54,6 +54,17 @@ def medians(
     return percentiles(df, by, {n: (e, 0.5) for n, e in wanted.items()}, small)
 
 
+def median_seconds(
+    df: DataFrame, by: Sequence[str], wanted: Mapping[str, Column], small: bool | None = None
+) -> DataFrame:
+    """Medians of durations given in whole microseconds, in seconds to 6 places.
+
+    Half microseconds are exact before they are rounded, half to even.
+    """
+    found = medians(df, by, wanted, small)
+    return found.withColumns({n: F.bround(n, 0) / F.lit(1e6) for n in wanted})
+
+
 def _percentile(df: DataFrame, by: Sequence[str], expr: Column, q: float, name: str) -> DataFrame:
     values = df.select(*by, expr.cast("double").alias("_v")).where(F.col("_v").isNotNull())
     counts = values.groupBy(*by, "_v").agg(F.count("*").alias("_c"))

@@ -177,9 +177,12 @@ counted AS (SELECT *, count(outcome) OVER a AS all_n, coalesce(sum(outcome) OVER
     count(outcome) OVER s AS same_n, coalesce(sum(outcome) OVER s, 0) AS same_hits FROM scored
   WINDOW a AS (PARTITION BY series, threshold ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
     s AS (PARTITION BY series, threshold, trigger_signature ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-cohort AS (SELECT *, CASE WHEN same_n >= 6 THEN 'same_trigger' ELSE 'global' END AS cohort_kind,
+halves AS (SELECT *, CASE WHEN same_n >= 6 THEN 'same_trigger' ELSE 'global' END AS cohort_kind,
     CASE WHEN same_n >= 6 THEN same_n ELSE all_n END AS cohort_samples,
-    CAST(round_even(CASE WHEN same_n >= 6 THEN (prior * 20 + same_hits) / (20 + same_n) ELSE (prior * 20 + all_hits) / (20 + all_n) END, 6) AS DECIMAL(18,6)) AS candidate FROM counted)"""
+    CAST(round(prior * 1000000) AS BIGINT) * 20 + CASE WHEN same_n >= 6 THEN same_hits ELSE all_hits END * 1000000 AS num,
+    20 + CASE WHEN same_n >= 6 THEN same_n ELSE all_n END AS den FROM counted),
+cohort AS (SELECT * EXCLUDE (num, den), CAST((num // den + CASE WHEN 2 * (num % den) > den OR (2 * (num % den) = den AND (num // den) % 2 = 1)
+    THEN 1 ELSE 0 END) / 1000000 AS DECIMAL(18,6)) AS candidate FROM halves)"""
 
 
 @query(

@@ -307,13 +307,13 @@ sig AS (SELECT series, signature, count(*) FILTER (tick >= nl AND tick <= nr) AS
     count(*) FILTER (tick < nl) AS background,
     count(DISTINCT target_ts) FILTER (tick >= nl AND tick <= nr) AS hits,
     min(s - tick) FILTER (tick >= nl AND tick <= nr) / 1e6 AS min_lead,
-    quantile_cont((s - tick) / 1e6, 0.5) FILTER (tick >= nl AND tick <= nr) AS med_lead
+    round_even(quantile_cont(s - tick, 0.5) FILTER (tick >= nl AND tick <= nr), 0) / 1e6 AS med_lead
     FROM seen GROUP BY ALL),
 rated AS (SELECT *, hits / d AS hr, (near / ({(lookback - minimum) / 1e6} * d) + 1e-6) /
     (CASE WHEN bg > 0 THEN background / bg ELSE 0 END + 1e-6) AS en FROM sig JOIN totals USING (series)),
 frozen AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY score DESC, hit_rate DESC, enrichment DESC, minimum_lead_seconds DESC, signature) - 1 AS rank FROM (
   SELECT series, signature, d AS discovery_onsets, hits, round_even(hr, 6) AS hit_rate, near AS occurrences_near_onset,
-    background AS background_occurrences, round_even(en, 6) AS enrichment, round_even(med_lead, 6) AS median_lead_seconds,
+    background AS background_occurrences, round_even(en, 6) AS enrichment, med_lead AS median_lead_seconds,
     round_even(min_lead, 6) AS minimum_lead_seconds, round_even(hr * ln(1 + en) * ln(1 + hits), 6) AS score
   FROM rated WHERE hits >= {hits} AND hr >= {rate} AND en >= {enrich}) QUALIFY rank < {top})"""
 
@@ -335,17 +335,10 @@ def _frozen(spark, sf_dir, found=None):
     return triggers.discover_triggers(found, _signed(spark, sf_dir), **_TRIGGER)
 
 
-def _coarse(rows, *names):
-    """Medians of microsecond times can end in half a microsecond: compare 4 places."""
-    return rows.withColumns({n: F.bround(n, 4) for n in names})
 
-
-_COARSE = "SELECT * REPLACE (round_even(median_lead_seconds, 4) AS median_lead_seconds) FROM frozen"
-
-
-@query("discover_triggers", f"WITH {_BASE_G}, {_FROZEN} {_COARSE}")
+@query("discover_triggers", f"WITH {_BASE_G}, {_FROZEN} SELECT * FROM frozen")
 def _(spark, sf_dir):
-    return _coarse(_frozen(spark, sf_dir), "median_lead_seconds")
+    return _frozen(spark, sf_dir)
 
 
 _APPLIED = f"""{_FROZEN},
@@ -380,24 +373,24 @@ def _(spark, sf_dir):
 @query(
     "trigger_coverage",
     f"""WITH {_BASE_G}, {_APPLIED} SELECT l.series, count(*) AS evaluated, count(f.trigger_ts) AS triggers,
-      min(lead_seconds) AS minimum_lead_seconds, round_even(quantile_cont(lead_seconds, 0.5), 4) AS median_lead_seconds,
-      round_even(quantile_cont(age_seconds, 0.5), 4) AS median_age_seconds, round_even(count(f.trigger_ts) / count(*), 6) AS coverage
+      min(lead_seconds) AS minimum_lead_seconds, round_even(quantile_cont(epoch_us(f.onset_ts) - epoch_us(f.trigger_ts), 0.5), 0) / 1e6 AS median_lead_seconds,
+      round_even(quantile_cont(epoch_us(f.trigger_ts) - epoch_us(f.prev_ts), 0.5), 0) / 1e6 AS median_age_seconds, round_even(count(f.trigger_ts) / count(*), 6) AS coverage
     FROM late l LEFT JOIN fired f USING (series, target_ts) GROUP BY l.series""",
 )
 def _(spark, sf_dir):
     late, rows = _fired(spark, sf_dir)
-    return _coarse(triggers.trigger_coverage(rows, late), "median_lead_seconds", "median_age_seconds")
+    return triggers.trigger_coverage(rows, late)
 
 
 @query(
     "recent_trigger_refresh",
     f"""WITH {_BASE_G}, latest AS (SELECT * FROM onsets QUALIFY row_number() OVER (PARTITION BY series ORDER BY onset_ts DESC, target_ts DESC) <= 48),
-    {_frozen_sql(6 * HOUR_US, 60_000_000, 0.80, 3, 0.02, 1.05, 16, "latest")} {_COARSE}""",
+    {_frozen_sql(6 * HOUR_US, 60_000_000, 0.80, 3, 0.02, 1.05, 16, "latest")} SELECT * FROM frozen""",
 )
 def _(spark, sf_dir):
     settings = {k: v for k, v in _TRIGGER.items()}
     rows = triggers.recent_trigger_refresh(D.onsets(spark, sf_dir, True), _signed(spark, sf_dir), **settings)
-    return _coarse(rows, "median_lead_seconds")
+    return rows
 
 
 _TRIGGER_POINTS = f"""{_BASE_G}, {_APPLIED}, points AS (
