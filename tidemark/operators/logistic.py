@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import columns as C
 from tidemark.operators.features import RATE_THRESHOLDS, lag_log_features, lag_names, prefix_counts
 from tidemark.operators.forecast import check_thresholds, frequency_forecast, with_next
-from tidemark.plans.ordering import task_rows
+from tidemark.plans.lineage import settle
+from tidemark.plans.ordering import declared_layout, task_rows
 
 
 @dataclass
@@ -154,6 +155,9 @@ def chronological_split(
 
 def _by_size(rows: DataFrame) -> tuple[DataFrame, list[str]]:
     """Rows of series that fit a task, and the names of those that do not."""
+    declared = declared_layout(rows)
+    if declared is not None and declared.whole:
+        return rows, []
     limit = task_rows(rows)
     large = rows.groupBy("series").count().where(F.col("count") > limit)
     names = [r.series for r in large.select("series").collect()]
@@ -208,6 +212,8 @@ def logistic_experiment(
         return pd.DataFrame(made, columns=[c.split()[0] for c in EXPERIMENT.split(", ")])
 
     report = small.groupBy("series").applyInPandas(kernel, EXPERIMENT)
+    if large:  # read by many fits
+        split = settle(split.where(F.col("series").isin(large)))
     extra = [
         _large_experiment(split.where(F.col("series") == s), s, k, t, grid)
         for s in large
@@ -407,6 +413,7 @@ def gated_logistic_forecast(
 
     report = small.groupBy("series").applyInPandas(kernel, DECISION)
     if large:
+        sized = settle(sized.where(F.col("series").isin(large)))  # read by many fits
         made = []
         for series in large:
             rows = sized.where(F.col("series") == series)

@@ -206,4 +206,4 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     rows = triggers.onset_gap_summary(D.onsets(spark, sf_dir))
-    return rows, "median_outcome_to_onset"
+    return rows
