@@ -22,6 +22,8 @@ def spark(tmp_path_factory):
             "spark.sql.streaming.stateStore.providerClass",
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         )
+        # Replays end with their input, also where timers are used.
+        .config("spark.sql.streaming.noDataMicroBatches.enabled", "false")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

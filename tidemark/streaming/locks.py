@@ -169,6 +169,8 @@ class _Ledger(StatefulProcessor):
 
     def beat(self, state: dict, row, timers) -> list[dict]:
         """A heartbeat: a new session or a collector that is not ready closes the lock."""
+        if not self.sessions:
+            return []
         session = row.session if row.ready else None
         now = timers.getCurrentProcessingTimeInMs()
         for timer in list(self.handle.listTimers()):
@@ -424,10 +426,11 @@ class TriggerLocks(_Ledger):
             state["cohorts"][name] = [n + 1, [h + w for h, w in zip(hits, won)]]
 
 
-def _run(stream: DataFrame, processor: StatefulProcessor) -> DataFrame:
+def _run(stream: DataFrame, processor: _Ledger) -> DataFrame:
     return stream.groupBy("series").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=LEDGER, outputMode="append",
-        timeMode="ProcessingTime",
+        # Timers watch heartbeats; without sessions a replay ends when its input does.
+        timeMode="ProcessingTime" if processor.sessions else "None",
     )
 
 
