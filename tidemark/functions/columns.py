@@ -44,9 +44,14 @@ def ratio(numerator: Column | str, denominator: Column | str, digits: int = 6) -
     return F.when(bottom > 0, F.bround(top / bottom, digits))
 
 
-def mean_of(total: Column, count: Column, digits: int = 6) -> Column:
-    """Mean from an exact decimal sum and a count, rounded half to even."""
-    return F.when(count > 0, F.bround(total / count.cast("decimal(18,0)"), digits))
+def mean_of(total: Column, count: Column, digits: int = 6, scale: int = 6) -> Column:
+    """Mean from an exact decimal sum and a count, rounded half to even.
+
+    The sum is narrowed to 30 digits, which leaves the quotient enough decimals for
+    the rounding to see whether it is a tie.
+    """
+    exact = total.cast(f"decimal(30,{scale})") / count.cast("decimal(18,0)")
+    return F.when(count > 0, F.bround(exact, digits))
 
 
 def hit(value: Column | str, threshold: Column | str) -> Column:

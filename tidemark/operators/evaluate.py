@@ -64,7 +64,7 @@ def walk_forward_frequency(
         F.count("*").alias("outcomes"),
         n.alias("predictions"),
         F.coalesce(rate, F.lit(0)).cast("bigint").alias("positives"),
-        C.mean_of(F.sum(loss), n).alias("brier_score"),
+        C.mean_of(F.sum(loss), n, scale=12).alias("brier_score"),
         C.mean_of(F.abs(total - rate), n).alias("calibration_error"),
     )
     return report.withColumn("skipped", F.col("outcomes") - F.col("predictions")).drop("outcomes")
