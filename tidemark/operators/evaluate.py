@@ -33,7 +33,8 @@ from tidemark.operators.ridge import (
     state_schema,
 )
 from tidemark.plans.ordering import Layout, number, plan_layout, scan
-from tidemark.plans.quantiles import fits_one_task, medians
+from tidemark.plans.lineage import settle
+from tidemark.plans.quantiles import fits_one_task, summarise
 
 
 def brier_loss(probability: Column, outcome: Column) -> Column:
@@ -73,32 +74,36 @@ def walk_forward_frequency(
 def walk_forward_point(outcomes: DataFrame, **config) -> DataFrame:
     """Error, coverage and comparison with the recent median of the point forecast."""
     rows = point_forecast(outcomes, **config)
-    ready = rows.where(F.col("status") == "READY")
     digits = "decimal(18,6)"
     actual = F.col("actual").cast(digits)
     error = F.abs(F.col("predicted").cast(digits) - actual)
     base = F.abs(F.col("recent_median").cast(digits) - actual)
     inside = (F.col("lower").cast(digits) <= actual) & (actual <= F.col("upper").cast(digits))
-    scored = ready.select("series", error.alias("error"), base.alias("base"), inside.alias("inside"))
-    report = scored.groupBy("series").agg(
-        F.count("*").alias("evaluated_targets"),
+    small = fits_one_task(outcomes)
+    rows = rows if small else settle(rows)  # read twice
+    done = F.col("status") == "READY"
+    scored = rows.select(
+        "series",
+        done.alias("done"),
+        F.when(done, error).alias("error"),
+        F.when(done, base).alias("base"),
+        F.coalesce(done & inside, F.lit(False)).alias("inside"),
+    )
+    n = F.count_if("done")
+    aggregates = [
+        F.count_if(~F.col("done")).alias("skipped_targets"),
+        n.alias("evaluated_targets"),
         C.places(F.avg("error")).alias("mae"),
         C.places(F.avg("base")).alias("recent_median_mae"),
-        C.ratio(F.count_if(F.col("error") <= 0.5), F.count("*")).alias("within_half_rate"),
-        C.ratio(F.count_if(F.col("error") <= 1.0), F.count("*")).alias("within_one_rate"),
-        C.ratio(F.count_if("inside"), F.count("*")).alias("interval_coverage"),
-    )
-    middle = medians(scored, ["series"], {"m": F.col("error")}, fits_one_task(outcomes))
-    skipped = rows.groupBy("series").agg(
-        F.count_if(F.col("status") != "READY").alias("skipped_targets")
-    )
-    return (
-        skipped.join(report, "series", "left")
-        .join(middle.select("series", C.places(F.col("m")).alias("median_absolute_error")), "series", "left")
-        .withColumn(
-            "status", F.when(F.col("evaluated_targets") > 0, "COMPLETE").otherwise("INSUFFICIENT_DATA")
-        )
-    )
+        C.ratio(F.count_if(F.col("error") <= 0.5), n).alias("within_half_rate"),
+        C.ratio(F.count_if(F.col("error") <= 1.0), n).alias("within_one_rate"),
+        C.ratio(F.count_if("inside"), n).alias("interval_coverage"),
+    ]
+    report = summarise(scored, ["series"], aggregates, {"m": F.col("error")}, small)
+    status = F.when(F.col("evaluated_targets") > 0, "COMPLETE").otherwise("INSUFFICIENT_DATA")
+    return report.withColumns(
+        {"median_absolute_error": C.places(F.col("m")), "status": status}
+    ).drop("m")
 
 
 # --- state samples -------------------------------------------------------------------------
@@ -187,7 +192,9 @@ def state_predictions(
 
 def walk_forward_state(samples: DataFrame, **config) -> DataFrame:
     """Do state features add to history features? Errors of the three ridge models."""
+    small = fits_one_task(samples)
     rows = state_predictions(samples, **config)
+    rows = rows if small else settle(rows)  # read twice
     digits = "decimal(18,6)"
 
     def shown(name: str) -> Column:
@@ -203,7 +210,7 @@ def walk_forward_state(samples: DataFrame, **config) -> DataFrame:
         *[F.abs(F.col(f"{k}_log") - F.col("actual_log")).alias(f"{k}_miss") for k in kinds],
     )
     n = F.count("*")
-    report = errors.groupBy("series").agg(
+    aggregates = [
         n.alias("evaluated_targets"),
         *[C.places(F.avg(f"{k}_error")).alias(f"{k}_mae") for k in kinds],
         C.places(F.avg("baseline_error")).alias("recent_median_mae"),
@@ -212,12 +219,13 @@ def walk_forward_state(samples: DataFrame, **config) -> DataFrame:
         C.ratio(F.count_if(F.col("hybrid_error") < F.col("history_error")), n).alias("hybrid_win_rate"),
         C.skill_pct(F.avg("history_error"), F.avg("hybrid_error"), "zero").alias("hybrid_improvement_pct"),
         *[C.places(F.avg(f"{k}_miss")).alias(f"{k}_log_mae") for k in kinds],
-    )
-    middle = medians(errors, ["series"], {"m": F.col("hybrid_error")}, fits_one_task(samples))
+    ]
+    report = summarise(errors, ["series"], aggregates, {"m": F.col("hybrid_error")}, small)
     aligned = samples.groupBy("series").agg(F.count("*").alias("aligned_samples"))
     return (
         aligned.join(report, "series", "left")
-        .join(middle.select("series", C.places(F.col("m")).alias("hybrid_median_error")), "series", "left")
+        .withColumn("hybrid_median_error", C.places(F.col("m")))
+        .drop("m")
         .withColumn(
             "status", F.when(F.col("evaluated_targets") > 0, "COMPLETE").otherwise("INSUFFICIENT_DATA")
         )
@@ -311,6 +319,7 @@ def prequential_adaptive_audit(
     if min_training < 20 or selection_window < 6 or blocks < 2:
         raise ValueError("min_training >= 20, selection_window >= 6 and blocks >= 2 are required.")
     rows = prequential_predictions(samples, thresholds, min_training, selection_window, factors)
+    rows = settle(rows)  # the models run once; four summaries read their choices
 
     def loss(probability: str) -> Column:
         return F.pow(F.col(probability) - F.col("actual"), 2)
@@ -408,7 +417,8 @@ def prospective_feature_audit(
     k = F.when(same, F.col("same_hits")).otherwise(F.col("all_hits"))
     trigger = (F.col("prior") * prior_strength + k) / (n + prior_strength)
     targets = targets.withColumn("trigger", C.clip(trigger, LOW, HIGH))
-    rows = chosen.join(targets, [*by, "at"]).withColumn("rank", F.col("at") - min_training)
+    rows = settle(chosen.join(targets, [*by, "at"]))  # read by four summaries
+    rows = rows.withColumn("rank", F.col("at") - min_training)
 
     def loss(probability: str) -> Column:
         return F.pow(F.col(probability) - F.col("actual"), 2)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import columns as C
 from tidemark.operators.temporal import assign_interval
 from tidemark.plans.ordering import number
-from tidemark.plans.quantiles import fits_one_task, median_seconds
+from tidemark.plans.quantiles import fits_one_task, in_seconds, summarise
 
 # Fragments of a path that sound like an outcome.
 OUTCOME_TERMS = [
@@ -69,7 +69,7 @@ def exact_match_leak_audit(
     the outcome that followed, with a verdict."""
     hits = exact_match_hits(outcomes, onsets, fields)
     lead, matched = F.col("lead_seconds"), F.col("earliest").isNotNull()
-    report = hits.groupBy(*PATH).agg(
+    aggregates = [
         F.count("*").alias("target_intervals_seen"),
         F.count_if(matched).alias("exact_match_targets"),
         F.count_if(lead >= 0.25).alias("exact_matches_ge_025s"),
@@ -78,9 +78,9 @@ def exact_match_leak_audit(
         F.count_if(lead >= 5.0).alias("exact_matches_ge_5s"),
         F.count_if(matched & F.col("before_onset")).alias("exact_matches_before_onset"),
         C.places(F.max(lead)).alias("maximum_lead_seconds"),
-    )
+    ]
     lead_us = C.micros("target_ts") - C.micros("earliest.ts")
-    middle = median_seconds(hits, PATH, {"m": lead_us}, fits_one_task(fields))
+    report = summarise(hits, PATH, aggregates, {"m": lead_us}, fits_one_task(fields))
     counts = fields.where(F.col("number").isNotNull()).groupBy(*PATH).agg(
         F.count("*").alias("observations")
     )
@@ -97,7 +97,8 @@ def exact_match_leak_audit(
     )
     return (
         counts.join(report, PATH, "left")
-        .join(middle.select(*PATH, F.col("m").alias("median_lead_seconds")), PATH, "left")
+        .withColumn("median_lead_seconds", in_seconds("m"))
+        .drop("m")
         .fillna(0, names)
         .withColumns({"outcome_like_path": outcome_like(F.col("path")), "verdict": verdict})
     )
@@ -157,21 +158,22 @@ def any_last_match_audit(
         F.max(F.struct("ts", "obs_id", "field_no", "same")).alias("last"),
     ).withColumn("lead", _lead("last.ts", "onset_ts"))
     n = F.count("*")
-    report = per_target.groupBy(*PATH).agg(
+    aggregates = [
         n.alias("rounds_observed"),
         F.count_if("any").alias("any_exact_matches"),
         F.count_if("last.same").alias("last_exact_matches"),
         C.ratio(F.count_if("any"), n).alias("any_match_rate"),
         C.ratio(F.count_if("last.same"), n).alias("last_match_rate"),
         C.places(F.min("lead")).alias("minimum_last_lead_seconds"),
-    )
+    ]
     distinct = seen.groupBy(*PATH).agg(F.count_distinct("number").alias("distinct_values"))
     lead_us = C.micros("onset_ts") - C.micros("last.ts")
-    middle = median_seconds(per_target, PATH, {"m": lead_us}, fits_one_task(fields))
+    report = summarise(per_target, PATH, aggregates, {"m": lead_us}, fits_one_task(fields))
     severe = (F.col("rounds_observed") >= 5) & (F.col("last_match_rate") >= 0.8)
     return (
         report.join(distinct, PATH)
-        .join(middle.select(*PATH, F.col("m").alias("median_last_lead_seconds")), PATH)
+        .withColumn("median_last_lead_seconds", in_seconds("m"))
+        .drop("m")
         .withColumn("severity", F.when(severe, "DIRECT_LEAK_CANDIDATE").otherwise("REVIEW"))
     )
 
@@ -220,28 +222,26 @@ def disclosure_audit(
         return F.abs(F.col("number") - F.col(name).cast("double")) <= tolerance
 
     seen = seen.withColumn("lead", _lead("ts", "onset_ts"))
-    n = F.count("*")
-    report = seen.groupBy(*PATH).agg(
-        n.alias("observations"),
+    aggregates = [
+        F.count("*").alias("observations"),
         F.count_distinct("target_ts").alias("rounds"),
         F.count_if(close("target_value")).alias("target_matches"),
         F.count_if(close("prev_value")).alias("previous_matches"),
         C.places(F.min("lead")).alias("minimum_lead_seconds"),
-    )
+    ]
     target = F.col("target_matches") / F.col("observations")
     previous = F.col("previous_matches") / F.col("observations")
     leak = (F.col("target_matches") >= 3) & (target >= 0.8) & (target >= previous + 0.2)
     lead_us = C.micros("onset_ts") - C.micros("ts")
-    middle = median_seconds(seen, PATH, {"m": lead_us}, fits_one_task(events))
-    return report.join(
-        middle.select(*PATH, F.col("m").alias("median_lead_seconds")), PATH
-    ).withColumns(
+    report = summarise(seen, PATH, aggregates, {"m": lead_us}, fits_one_task(events))
+    return report.withColumns(
         {
+            "median_lead_seconds": in_seconds("m"),
             "target_match_rate": C.ratio("target_matches", "observations"),
             "previous_match_rate": C.ratio("previous_matches", "observations"),
             "verdict": F.when(leak, "CANDIDATE_PRE_ROUND_DISCLOSURE").otherwise("NO_DIRECT_DISCLOSURE"),
         }
-    )
+    ).drop("m")
 
 
 def identifier_leads(
@@ -251,14 +251,14 @@ def identifier_leads(
     rows = _event_fields(events).where(F.col("identifier").isNotNull()).drop("number")
     seen = _before_cutoff(outcomes, onsets, rows, margin_seconds)
     seen = seen.withColumn("lead", _lead("ts", "onset_ts"))
-    report = seen.groupBy(*PATH).agg(
+    aggregates = [
         F.count("*").alias("observations"),
         F.count_distinct("target_ts").alias("rounds"),
         F.count_distinct("identifier").alias("unique_hashes"),
-    )
+    ]
     lead_us = C.micros("onset_ts") - C.micros("ts")
-    middle = median_seconds(seen, PATH, {"m": lead_us}, fits_one_task(events))
-    return report.join(middle.select(*PATH, F.col("m").alias("median_lead_seconds")), PATH)
+    report = summarise(seen, PATH, aggregates, {"m": lead_us}, fits_one_task(events))
+    return report.withColumn("median_lead_seconds", in_seconds("m")).drop("m")
 
 
 def eligible_intervals(onsets: DataFrame, outcomes: DataFrame, margin_seconds: float) -> DataFrame:

@@ -177,8 +177,14 @@ POINT_SCHEMA = (
 )
 
 
-def _quantile(values: np.ndarray, q: float) -> np.ndarray:
-    return np.quantile(values, q, axis=-1)
+def _masked_quantile(values: np.ndarray, counts: np.ndarray, q: float) -> np.ndarray:
+    """Interpolated quantile of the first ``counts`` entries of each row."""
+    slots = np.arange(values.shape[1])[None, :]
+    ordered = np.sort(np.where(slots < counts[:, None], values, np.inf), axis=1)
+    place = (counts - 1) * q
+    low, high = np.floor(place).astype(int), np.ceil(place).astype(int)
+    rows, part = np.arange(len(values)), place - low
+    return ordered[rows, low] * (1.0 - part) + ordered[rows, high] * part
 
 
 def point_forecast(
@@ -261,28 +267,30 @@ def point_forecast(
                 ],
                 axis=1,
             )
+            rows = np.arange(len(at))
+            # Lowest error first, equal errors by name.
+            ranked = np.lexsort((np.broadcast_to(order, mae.shape), mae), axis=1)[:, :3]
+            inverse = 1.0 / np.maximum(np.take_along_axis(mae, ranked, 1), 1e-6)
+            weight = inverse / inverse.sum(axis=1, keepdims=True)
+            blend = (weight * np.take_along_axis(nxt, ranked, 1)).sum(axis=1)
+            best, base = mae[rows, ranked[:, 0]], mae[:, len(alphas)]
+            radius = _masked_quantile(miss[rows, ranked[:, 0]], v, 0.80)
+            spread = np.stack([np.zeros(len(at)), -radius, radius], axis=1)
+            shown = np.clip(np.exp(blend[:, None] + spread), 1.0, 1000.0)
+            near, far, std = (x[at, c] for c in (short_at, short_at + 1, long_std_at))
+            shift = (near - far) / np.maximum(std, 1e-6)
+            gain = (base - best) / np.maximum(base, 1e-6)
             for j, i in enumerate(at):
-                ranked = sorted(range(len(labels)), key=lambda c: (mae[j, c], order[c]))[:3]
-                inverse = np.array([1.0 / max(mae[j, c], 1e-6) for c in ranked])
-                weight = inverse / inverse.sum()
-                blend = float((weight * nxt[j, ranked]).sum())
-                best = mae[j, ranked[0]]
-                radius = float(_quantile(miss[j, ranked[0], : v[j]], 0.80))
-                near, far, std = x[i, short_at], x[i, short_at + 1], x[i, long_std_at]
-                shift = (near - far) / max(std, 1e-6)
                 regime = "STABLE"
-                if abs(shift) > 0.35:
-                    regime = ("HIGHER" if shift > 0 else "LOWER") + "_RECENT_VALUES"
-                base = mae[j, len(alphas)]
-                gain = (base - best) / max(base, 1e-6)
+                if abs(shift[j]) > 0.35:
+                    regime = ("HIGHER" if shift[j] > 0 else "LOWER") + "_RECENT_VALUES"
                 result.append(
                     (
-                        i, "READY",
-                        *[round(max(1.0, min(1000.0, float(np.exp(blend + r)))), 2) for r in (0.0, -radius, radius)],
-                        "MEDIUM" if v[j] >= 8 and gain >= 0.15 else "LOW",
-                        regime, round(float(shift), 6), int(v[j]), round(float(best), 6),
-                        round(float(base), 6),
-                        {labels[c]: round(float(w), 6) for c, w in zip(ranked, weight)},
+                        i, "READY", *[round(float(p), 2) for p in shown[j]],
+                        "MEDIUM" if v[j] >= 8 and gain[j] >= 0.15 else "LOW",
+                        regime, round(float(shift[j]), 6), int(v[j]), round(float(best[j]), 6),
+                        round(float(base[j]), 6),
+                        {labels[c]: round(float(w), 6) for c, w in zip(ranked[j], weight[j])},
                     )
                 )
         fields = [

@@ -54,6 +54,27 @@ def medians(
     return percentiles(df, by, {n: (e, 0.5) for n, e in wanted.items()}, small)
 
 
+def summarise(
+    df: DataFrame,
+    by: Sequence[str],
+    aggregates: Sequence[Column],
+    wanted: Mapping[str, Column],
+    small: bool,
+) -> DataFrame:
+    """Aggregates and medians of the same groups: one pass where a task holds all rows,
+    a pass per median beside the aggregates otherwise."""
+    if small:
+        exact = [F.percentile(e.cast("double"), 0.5).alias(n) for n, e in wanted.items()]
+        return df.groupBy(*by).agg(*aggregates, *exact)
+    report = df.groupBy(*by).agg(*aggregates)
+    return report.join(medians(df, by, wanted, small), list(by), "left")
+
+
+def in_seconds(name: str) -> Column:
+    """Seconds to 6 places of a median in microseconds, ties to even."""
+    return F.bround(name, 0) / F.lit(1e6)
+
+
 def median_seconds(
     df: DataFrame, by: Sequence[str], wanted: Mapping[str, Column], small: bool | None = None
 ) -> DataFrame:
@@ -62,7 +83,7 @@ def median_seconds(
     Half microseconds are exact before they are rounded, half to even.
     """
     found = medians(df, by, wanted, small)
-    return found.withColumns({n: F.bround(n, 0) / F.lit(1e6) for n in wanted})
+    return found.withColumns({n: in_seconds(n) for n in wanted})
 
 
 def _percentile(df: DataFrame, by: Sequence[str], expr: Column, q: float, name: str) -> DataFrame:

@@ -151,8 +151,12 @@ def check_outcomes(raw: DataFrame) -> DataFrame:
     rules.append((pre & F.col("pre_observed_at").isNull(), "PRE_DATA_WITHOUT_TIME"))
     late = F.col("started_at").isNull() | (seen >= started)
     rules.append((F.col("pre_observed_at").isNotNull() & late, "PRE_NOT_BEFORE_START"))
-    codes = [F.when(F.coalesce(bad, F.lit(False)), F.lit(code)) for bad, code in rules]
-    return raw.withColumn("errors", F.array_compact(F.array(*codes)))
+    # Joined text skips nulls inside generated code; an array would be built row by row.
+    codes = F.concat_ws(",", *[F.when(bad, F.lit(code)) for bad, code in rules])
+    none = F.array().cast("array<string>")
+    checked = raw.withColumn("_codes", codes)
+    errors = F.when(F.col("_codes") == "", none).otherwise(F.split("_codes", ","))
+    return checked.withColumn("errors", errors).drop("_codes")
 
 
 def canonicalise(raw: DataFrame) -> DataFrame:
