@@ -154,3 +154,34 @@ def test_stream_of_outcomes_drops_replays(spark, tmp_path, whole):
     )
     query.awaitTermination(240)
     assert spark.read.parquet(str(tmp_path / "t")).count() == 1
+
+
+def test_the_gate_lets_a_proven_candidate_through():
+    """Without Spark: after sixteen scored locks the better candidate replaces the prior."""
+    from types import SimpleNamespace
+
+    machine = locks.TriggerLocks(("2", "5"), 5.0, False, 0.0)
+    machine.cell = SimpleNamespace(exists=lambda: False)
+    state = machine.load()
+    state["frozen"] = {"t": 1.0}
+
+    def step(i, value):
+        events = machine.advance(state, [
+            SimpleNamespace(kind="outcome", us=i * 1_000_000, id=f"o{i}", value=str(value)),
+            SimpleNamespace(
+                kind="observation", us=i * 1_000_000 + 500_000, id=f"x{i}", signature="t",
+                direction="sent", payload_format="text", payload_bytes=1,
+            ),
+        ], None)
+        return [e for e in events if e["event"] == "pre_round_snapshot_locked"][0]
+
+    for i in range(300):
+        step(i, 1)  # a long history of misses keeps the prior low
+    state["cohorts"] = {"": machine.empty()}
+    state["lock"] = None
+    first = step(300, 1)
+    assert first["probabilities"] == first["historical_probabilities"]
+    for i in range(301, 330):
+        last = step(i, 3)  # then every trigger is followed by a hit at 2
+    assert last["probabilities"]["2"] == last["candidate_probabilities"]["2"] > last["historical_probabilities"]["2"]
+    assert last["probabilities"]["5"] == last["historical_probabilities"]["5"]

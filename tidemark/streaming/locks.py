@@ -24,6 +24,7 @@ PLACES = Decimal("0.000001")
 SEQUENCE = 32
 MISSES = 8
 MIN_COHORT, STRENGTH = 6, 20
+GATE_MIN, GATE_WINDOW, GATE_SKILL = 16, 60, Decimal(5)
 
 # kind: outcome, heartbeat, observation, signatures
 MESSAGE = (
@@ -35,7 +36,8 @@ LEDGER = (
     "series string, seq bigint, event string, us bigint, lock_id string, "
     "collector_session_id string, history_count bigint, reference_id string, "
     "actual_id string, actual_value string, probabilities map<string,string>, "
-    "candidate_probabilities map<string,string>, briers map<string,string>, "
+    "candidate_probabilities map<string,string>, historical_probabilities map<string,string>, "
+    "briers map<string,string>, "
     "unpredicted bigint, trigger_signature string, trigger_score double, "
     "trigger_age_seconds double, features string, reason string"
 )
@@ -290,9 +292,13 @@ class TriggerLocks(_Ledger):
         state.setdefault("previous", None)
         state.setdefault("interval", None)
         state.setdefault("misses", 0)
-        state.setdefault("cohorts", {"": [0, [0] * len(self.limits)]})
+        state.setdefault("cohorts", {"": self.empty()})
         return state
 
+    def empty(self) -> dict:
+        """A cohort: scored locks, hits and the last losses per threshold."""
+        return {"n": 0, "hits": [0] * len(self.limits), "losses": []}
+
     def forget(self, state: dict) -> None:
         state["armed"], state["previous"], state["interval"] = None, None, None
 
@@ -385,16 +391,17 @@ class TriggerLocks(_Ledger):
         if score is None or age < self.min_age_us:
             return []
         prior = self.prior(state, 1)
-        cohort = state["cohorts"].get(row.signature, [0, []])
-        if cohort[0] < MIN_COHORT:
+        cohort = state["cohorts"].get(row.signature)
+        if cohort is None or cohort["n"] < MIN_COHORT:
             cohort = state["cohorts"][""]
         candidate = {
-            t: _quotient(Decimal(prior[t]) * STRENGTH + hits, STRENGTH + cohort[0])
-            for t, hits in zip(self.thresholds, cohort[1])
+            t: _quotient(Decimal(prior[t]) * STRENGTH + hits, STRENGTH + cohort["n"])
+            for t, hits in zip(self.thresholds, cohort["hits"])
         }
+        chosen = self.gate(cohort["losses"], prior, candidate)
         lock = {
             "id": _id("snapshot-", state["session"], previous[0], row.us, row.signature),
-            "p": prior, "trigger": row.signature,
+            "p": chosen, "prior": prior, "candidate": candidate, "trigger": row.signature,
         }
         state["lock"], state["misses"] = lock, 0
         names = [s for s, _ in interval["seen"]]
@@ -411,19 +418,39 @@ class TriggerLocks(_Ledger):
         return [
             self.event(
                 state, "pre_round_snapshot_locked", row.us, lock_id=lock["id"],
-                reference_id=previous[0], history_count=state["n"], probabilities=prior,
-                candidate_probabilities=candidate, trigger_signature=row.signature,
+                reference_id=previous[0], history_count=state["n"], probabilities=chosen,
+                historical_probabilities=prior, candidate_probabilities=candidate, trigger_signature=row.signature,
                 trigger_score=float(score), trigger_age_seconds=age / 1e6,
                 features=json.dumps(features, default=int, sort_keys=True),
             )
         ]
 
+    def gate(self, losses: list, prior: dict, candidate: dict) -> dict[str, str]:
+        """The candidate where it has beaten the prior by 5 percent on the cohort's last
+        locks, else the prior; never rising with the threshold."""
+        chosen, ceiling = {}, Decimal(1)
+        for k, t in enumerate(self.thresholds):
+            value = Decimal(prior[t])
+            if len(losses) >= GATE_MIN:
+                mine, base = (sum(Decimal(row[k][side]) for row in losses) for side in (0, 1))
+                if base > 0 and (base - mine) / base * 100 >= GATE_SKILL:
+                    value = Decimal(candidate[t])
+            ceiling = min(ceiling, value)
+            chosen[t] = str(ceiling)
+        return chosen
+
     def settle(self, state: dict, lock: dict, value: str) -> None:
         """Count a scored lock in its trigger's cohort and in the one of all."""
         won = [int(Decimal(value) >= t) for t in self.limits]
+        losses = [
+            [str((Decimal(lock[side][t]) - w) ** 2) for side in ("candidate", "prior")]
+            for t, w in zip(self.thresholds, won)
+        ]
         for name in ("", lock["trigger"]):
-            n, hits = state["cohorts"].get(name, [0, [0] * len(won)])
-            state["cohorts"][name] = [n + 1, [h + w for h, w in zip(hits, won)]]
+            cohort = state["cohorts"].setdefault(name, self.empty())
+            cohort["n"] += 1
+            cohort["hits"] = [h + w for h, w in zip(cohort["hits"], won)]
+            cohort["losses"] = [*cohort["losses"], losses][-GATE_WINDOW:]
 
 
 def _run(stream: DataFrame, processor: _Ledger) -> DataFrame:
