@@ -121,10 +121,17 @@ def check_outcomes(raw: DataFrame) -> DataFrame:
     Decimals beyond 38 digits (20 before the point, 18 after) are refused with
     DECIMAL_PRECISION, never rounded.
     """
-    value, number = F.trim(F.col("value")), _stored_value("value")
-    plain = F.expr("try_cast(trim(value) as double)")
+    # What several rules look at is computed once, in a projection of its own.
+    seen_once = {f"_{n}": _instant(n) for n in TIMES}
+    seen_once |= {f"_object_{n}": J.is_object(F.col(n)) for n in PAYLOADS}
+    seen_once |= {
+        "_number": F.coalesce(F.trim(F.col("value")).rlike(_DECIMAL), F.lit(False)),
+        "_plain": F.expr("try_cast(trim(value) as double)"),
+    }
+    facts = raw.withColumns(seen_once)
+    value, is_number, plain = F.trim(F.col("value")), F.col("_number"), F.col("_plain")
     written = F.length(F.regexp_replace(F.regexp_extract(value, r"\.(\d*)", 1), "0+$", ""))
-    ts, collected, started, seen = (_instant(n) for n in TIMES)
+    ts, collected, started, seen = (F.col(f"_{n}") for n in TIMES)
     rules: list[tuple[Column, str]] = []
     for name in KEY:
         text = F.col(name)
@@ -134,29 +141,28 @@ def check_outcomes(raw: DataFrame) -> DataFrame:
     rules.append((collected.isNull(), "COLLECTION_TS_INVALID"))
     rules.append((F.col("started_at").isNotNull() & started.isNull(), "STARTED_AT_INVALID"))
     rules.append((F.col("pre_observed_at").isNotNull() & seen.isNull(), "PRE_OBSERVED_AT_INVALID"))
-    is_number = F.coalesce(value.rlike(_DECIMAL), F.lit(False))
     rules.append((~is_number, "VALUE_INVALID"))
     rules.append((is_number & (plain < 1), "VALUE_BELOW_ONE"))
-    too_long = number.isNull() | (written > 18) | value.rlike("[eE]-(1[89]|[2-9][0-9])")
+    tiny = value.rlike("[eE]-(1[89]|[2-9][0-9])")
+    too_long = _stored_value("value").isNull() | (written > 18) | tiny
     rules.append((is_number & (plain >= 1) & too_long, "DECIMAL_PRECISION"))
     for name in PAYLOADS:
-        code = name.upper()
-        text = F.col(name)
-        rules.append((~J.is_object(text), f"{code}_NOT_OBJECT"))
-        rules.append((J.is_object(text) & F.try_parse_json(text).isNull(), f"{code}_DUPLICATE_KEY"))
+        code, text, is_object = name.upper(), F.col(name), F.col(f"_object_{name}")
+        rules.append((~is_object, f"{code}_NOT_OBJECT"))
+        rules.append((is_object & ~J.has_unique_keys(text), f"{code}_DUPLICATE_KEY"))
         rules.append((J.has_auth_key(text), f"{code}_AUTH_KEY"))
     rules.append((collected < ts, "COLLECTION_BEFORE_RESULT"))
     rules.append((started > ts, "START_AFTER_RESULT"))
-    pre = J.is_object(F.col("pre_data")) & (F.size(F.json_object_keys("pre_data")) > 0)
-    rules.append((pre & F.col("pre_observed_at").isNull(), "PRE_DATA_WITHOUT_TIME"))
+    filled = F.col("_object_pre_data") & ~F.col("pre_data").rlike(r"^\s*\{\s*\}\s*$")
+    rules.append((filled & F.col("pre_observed_at").isNull(), "PRE_DATA_WITHOUT_TIME"))
     late = F.col("started_at").isNull() | (seen >= started)
     rules.append((F.col("pre_observed_at").isNotNull() & late, "PRE_NOT_BEFORE_START"))
     # Joined text skips nulls inside generated code; an array would be built row by row.
     codes = F.concat_ws(",", *[F.when(bad, F.lit(code)) for bad, code in rules])
     none = F.array().cast("array<string>")
-    checked = raw.withColumn("_codes", codes)
+    checked = facts.withColumn("_codes", codes)
     errors = F.when(F.col("_codes") == "", none).otherwise(F.split("_codes", ","))
-    return checked.withColumn("errors", errors).drop("_codes")
+    return checked.withColumn("errors", errors).drop("_codes", *seen_once)
 
 
 def canonicalise(raw: DataFrame) -> DataFrame:
