@@ -223,9 +223,12 @@ def join_classes(docs: DataFrame, threshold: float = 0.8, trees: int = TREES, de
 
 
 def _with_texts(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
-    """The text of one row of each member; repeated rows of it are dropped where they meet."""
+    """The text of one row of each member; repeated rows of it are dropped where they meet.
+
+    Always a merge join: members are a share of the texts, so a broadcast has no bound.
+    """
     right = keyed.toDF("their_id", "their_key", "text")
-    return pairs.join(right, (F.col("text_key") == F.col("their_key")) & F.col("rep").eqNullSafe(F.col("their_id"))).select(
+    return pairs.hint("merge").join(right, (F.col("text_key") == F.col("their_key")) & F.col("rep").eqNullSafe(F.col("their_id"))).select(
         "task", "component", "text_key", "block", "blocks", "left", "right", "text"
     )
 
