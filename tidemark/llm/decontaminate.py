@@ -90,22 +90,34 @@ class Index:
         pairs = np.unique(np.concatenate(found))
         return pairs // len(group["ids"]), pairs % len(group["ids"])
 
-    def search(self, text: str) -> list[dict]:
-        """The best window of each item that reaches the threshold, by item."""
-        words = normal_words(text)
-        best: dict[int, tuple] = {}
-        if words:
-            hashes = word_hashes(words)
-            for width in self.widths:
-                shingles = gram_hashes(hashes, width)
-                known = self.known[width]
-                hit = known[np.minimum(np.searchsorted(known, shingles), len(known) - 1)] == shingles
-                if hit.any():
-                    self._search(shingles, hit, width, best)
-        return [{"item_id": i, "similarity": s, "first_word": -a, "n_words": n} for i, (s, a, n) in sorted(best.items())]
-
-    def _search(self, shingles, hit, width, best):
-        places = np.flatnonzero(hit)
+    def search(self, documents: list[str]) -> list[list[dict]]:
+        """For each text, the best window of each item that reaches the threshold, by item."""
+        words = [normal_words(d) for d in documents]
+        counts = np.array([len(w) for w in words], np.int64)
+        first = np.cumsum(counts) - counts
+        hashes = word_hashes([w for ws in words for w in ws])
+        best: list[dict[int, tuple]] = [{} for _ in documents]
+        for width in self.widths:
+            shingles = gram_hashes(hashes, width)
+            hits = self._known(shingles, width)
+            doc = np.searchsorted(first + counts, hits, side="right")
+            for i in np.unique(doc).tolist():
+                own = hits[doc == i] - first[i]
+                own = own[own + width <= counts[i]]  # not across the end of the text
+                if len(own):
+                    self._search(shingles[first[i] : first[i] + counts[i] - width + 1], own, width, best[i])
+        return [[{"item_id": i, "similarity": s, "first_word": -a, "n_words": n} for i, (s, a, n) in sorted(b.items())] for b in best]
+
+    def _known(self, shingles: np.ndarray, width: int) -> np.ndarray:
+        """Places of the shingles that some item has: by a table of 20 bits, then exactly."""
+        known = self.known[width]
+        table = np.zeros(1 << 20, bool)
+        table[(known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        maybe = np.flatnonzero(table[(shingles & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        there = np.minimum(np.searchsorted(known, shingles[maybe]), len(known) - 1)
+        return maybe[known[there] == shingles[maybe]]
+
+    def _search(self, shingles, places, width, best):
         for n, group in self.groups.items():
             m = n - width + 1  # shingles of a window
             if min(SHINGLE, n) != width or len(shingles) < m:
@@ -170,7 +182,7 @@ def add_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, t
 
         def run(batches, index=index):
             for piece in pieces(batches):
-                found = [a + index.value.search(t) for a, t in zip(piece.column(place).to_pylist(), texts(piece.column(text_at)))]
+                found = [a + b for a, b in zip(piece.column(place).to_pylist(), index.value.search(texts(piece.column(text_at))))]
                 yield pa.RecordBatch.from_arrays([*piece.columns[:place], pa.array(found, piece.schema.field(place).type)], schema=piece.schema)
 
         out = out.mapInArrow(run, out.schema)
