@@ -3,8 +3,8 @@
 A window has as many words as a benchmark item. Its features are the hashes of its five-word
 shingles, weighted by how often they occur, and its fingerprint holds the signs of their
 weighted sums over 64 bits. A shingle that no item has cannot count towards any item, and a
-window without any known shingle has similarity 0, so fingerprints are made only for windows
-that hold one. Fingerprints are cut into ``RADIUS + 1`` blocks: two that differ in at most
+window shares none with an item unless it holds one of the item's, so fingerprints are made
+only for windows with a shingle of some item of their size. Fingerprints are cut into ``RADIUS + 1`` blocks: two that differ in at most
 ``RADIUS`` bits agree in a block, so looking up every block misses none within the radius.
 Candidates are then checked by their exact weighted (multiset) Jaccard similarity.
 
@@ -17,10 +17,11 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.shared import free_name, gram_hashes, normal_words, pieces, text_of, texts, word_hashes
+from tidemark.llm.shared import WORD_BYTES, free_name, gram_hashes, normal_words, pieces, split_words, text_of, texts, word_hashes
 
 SHINGLE = 5
 BITS = 64
@@ -58,9 +59,19 @@ class Index:
                 groups.setdefault(len(words), []).append((item_id, gram_hashes(word_hashes(words), min(SHINGLE, len(words)))))
         self.groups = {n: self._group(rows) for n, rows in groups.items()}
         self.widths = sorted({min(SHINGLE, n) for n in self.groups})
-        self.known = {
-            w: np.unique(np.concatenate([s for n, g in self.groups.items() if min(SHINGLE, n) == w for s in g["shingles"]])) for w in self.widths
-        }
+        #: For each width: the shingles that some item has, a table of their last 20 bits, and
+        #: the sizes of the items that have each.
+        self.known = {}
+        for w in self.widths:
+            sizes: dict[int, set[int]] = {}
+            for n, g in self.groups.items():
+                if min(SHINGLE, n) == w:
+                    for s in np.concatenate(g["shingles"]).tolist():
+                        sizes.setdefault(s, set()).add(n)
+            known = np.array(sorted(sizes), np.uint64)
+            table = np.zeros(1 << 20, bool)
+            table[_last_bits(known)] = True
+            self.known[w] = known, table, [sorted(sizes[s]) for s in known.tolist()]
 
     def _group(self, rows):
         shingles = [s for _, s in rows]
@@ -92,39 +103,41 @@ class Index:
 
     def search(self, documents: list[str]) -> list[list[dict]]:
         """For each text, the best window of each item that reaches the threshold, by item."""
-        words = [normal_words(d) for d in documents]
-        counts = np.array([len(w) for w in words], np.int64)
+        lines = pa.array([d.lower().encode().translate(WORD_BYTES) for d in documents], pa.binary()).cast(pa.string())
+        number, distinct, counts = split_words(lines)
+        hashes = pd.util.hash_array(distinct.to_numpy(zero_copy_only=False), categorize=False)[number] if len(number) else np.zeros(0, np.uint64)
         first = np.cumsum(counts) - counts
-        hashes = word_hashes([w for ws in words for w in ws])
         best: list[dict[int, tuple]] = [{} for _ in documents]
         for width in self.widths:
             shingles = gram_hashes(hashes, width)
-            hits = self._known(shingles, width)
-            doc = np.searchsorted(first + counts, hits, side="right")
+            places, which = self._known(shingles, width)
+            doc = np.searchsorted(first + counts, places, side="right")
+            inside = places + width <= (first + counts)[doc]  # not across the end of a text
+            places, which, doc = places[inside], which[inside], doc[inside]
             for i in np.unique(doc).tolist():
-                own = hits[doc == i] - first[i]
-                own = own[own + width <= counts[i]]  # not across the end of the text
-                if len(own):
-                    self._search(shingles[first[i] : first[i] + counts[i] - width + 1], own, width, best[i])
+                own = doc == i
+                self._search(shingles[first[i] : first[i] + counts[i] - width + 1], places[own] - first[i], which[own], width, best[i])
         return [[{"item_id": i, "similarity": s, "first_word": -a, "n_words": n} for i, (s, a, n) in sorted(b.items())] for b in best]
 
-    def _known(self, shingles: np.ndarray, width: int) -> np.ndarray:
-        """Places of the shingles that some item has: by a table of 20 bits, then exactly."""
-        known = self.known[width]
-        table = np.zeros(1 << 20, bool)
-        table[(known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        maybe = np.flatnonzero(table[(shingles & np.uint64((1 << 20) - 1)).astype(np.int64)])
+    def _known(self, shingles: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the shingles that some item has, and which they are."""
+        known, table, _ = self.known[width]
+        maybe = np.flatnonzero(table[_last_bits(shingles)])
         there = np.minimum(np.searchsorted(known, shingles[maybe]), len(known) - 1)
-        return maybe[known[there] == shingles[maybe]]
-
-    def _search(self, shingles, places, width, best):
-        for n, group in self.groups.items():
+        same = known[there] == shingles[maybe]
+        return maybe[same], there[same]
+
+    def _search(self, shingles, places, which, width, best):
+        """Windows of every size that some item with a shingle found here has."""
+        by_size: dict[int, list[int]] = {}
+        for place, w in zip(places.tolist(), which.tolist()):
+            for n in self.known[width][2][w]:
+                by_size.setdefault(n, []).append(place)
+        for n, own in sorted(by_size.items()):
             m = n - width + 1  # shingles of a window
-            if min(SHINGLE, n) != width or len(shingles) < m:
-                continue
-            for lo, hi in _stretches(places, m, len(shingles)):  # first shingles of windows
+            for lo, hi in _stretches(np.array(own), m, len(shingles)):  # first shingles of windows
                 for at in range(lo, hi, 4096):
-                    self._stretch(shingles[at : min(hi, at + 4096) + m - 1], at, m, n, group, best)
+                    self._stretch(shingles[at : min(hi, at + 4096) + m - 1], at, m, n, self.groups[n], best)
 
     def _stretch(self, shingles, at, m, n, group, best):
         sums = np.zeros((len(shingles) + 1, BITS), np.int32)
@@ -141,6 +154,10 @@ class Index:
                     best[group["ids"][i]] = key
 
 
+def _last_bits(x: np.ndarray) -> np.ndarray:
+    return (x & np.uint64((1 << 20) - 1)).astype(np.int64)
+
+
 def _stretches(places: np.ndarray, m: int, total: int) -> list[tuple[int, int]]:
     """Runs of first shingles whose windows of ``m`` shingles hold one of ``places``."""
     lo, hi = np.maximum(places - m + 1, 0), np.minimum(places + 1, total - m + 1)
