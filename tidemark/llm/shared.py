@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows that are turned into Python objects at once.
@@ -129,6 +131,55 @@ def shingle_set(words: list[bytes], n: int = 5) -> np.ndarray:
     return np.unique(gram_hashes(word_hashes(words), min(n, len(words))))
 
 
+def split_words(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The words between ASCII white space of all texts in one row.
+
+    A number for each word, the words that the numbers stand for, and the texts' numbers of
+    words. Nulls are empty.
+    """
+    lists = pc.ascii_split_whitespace(pc.fill_null(column, "") if column.null_count else column)
+    words = lists.flatten()
+    some = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    before = np.concatenate([[0], np.cumsum(some)])
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    coded = words.filter(pa.array(some)).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, np.diff(np.concatenate([[0], before[ends]]))
+
+
+class IdStore:
+    """Token ids of many strings, each at a row of its own, in a few flat arrays."""
+
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+        self.ids, self.first, self.length, self.total = [np.zeros(0, np.uint32)], array("q"), array("q"), 0
+
+    def __len__(self) -> int:
+        return len(self.first)
+
+    def add(self, keys: Iterable[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.rows.update(zip(keys, range(len(self.first), len(self.first) + len(lengths))))
+        self.first.extend((self.total + np.cumsum(lengths) - lengths).tolist())
+        self.length.extend(lengths.tolist())
+        self.ids.append(ids)
+        self.total += len(ids)
+
+    def missing(self, keys: Iterable[str]) -> list[str]:
+        rows = self.rows
+        return [k for k in keys if k not in rows]
+
+    def rows_of(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these rows one after another, and where each ends."""
+        if len(self.ids) > 1:
+            self.ids = [np.concatenate(self.ids)]
+        first, n = np.frombuffer(self.first, np.int64)[rows], np.frombuffer(self.length, np.int64)[rows]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[0][np.arange(total) + np.repeat(first - ends + n, n)], ends
+
+
 def frame_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip(columns, schema)], schema=schema)
 

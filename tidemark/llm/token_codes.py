@@ -17,16 +17,17 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.shared import frame_batch, pieces, text_of, texts
+from tidemark.llm.shared import IdStore, frame_batch, pieces, split_words, text_of
 
 MAGIC = b"DAC1"
 RANK_BITS = 512
 SEGMENT_TOKENS = 1 << 18
 #: Distinct chunks of text that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 
 SEGMENTS = "shard int, segment int, start long, n_tokens long, doc_id array<bigint>, offset array<bigint>, codes binary"
 
@@ -118,7 +119,8 @@ class ChunkEncoder:
 
     For tokenizers whose tokens never cross white space and drop it, as ``word_bpe_49k``:
     its pattern has no white space, and neither composition nor lower-casing looks across.
-    A special token ends each new chunk in one call of the library and is cut out again.
+    New chunks are encoded in long lines. A chunk of letters alone ends with the one token
+    that is marked as the end of a word; behind any other stands a special token.
     """
 
     def __init__(self, path: str):
@@ -129,53 +131,77 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         special = [(i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special]
         self.mark_id, self.mark = special[0]
-        self._forget()
-
-    def _forget(self):
-        self.known, self.ids = {}, [np.zeros(0, np.uint32)]
-        self.first, self.length, self.total = [], [], 0
-
-    def _learn(self, chunks: list[bytes]):
-        clean = [c for c in chunks if self.mark.encode() not in c]
+        self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
+        suffix = self.tokenizer.model.end_of_word_suffix
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.known = IdStore()
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, chunks: list[str]) -> None:
+        letters, others = [], []
+        for c in chunks:
+            (letters if c.isalpha() else others).append(c)
+        for at in range(0, len(letters), 5000):
+            some = letters[at : at + 5000]
+            ids = self._ids("\n".join(some))
+            ends = np.flatnonzero(self.ends[ids])
+            if len(ends) == len(some) and ends[-1] == len(ids) - 1:
+                self.known.add(some, ids, np.diff(np.concatenate([[-1], ends])))
+            else:  # a letter that is no letter in lower case
+                others += some
+        clean = [c for c in others if self.mark not in c]
         for at in range(0, len(clean), 2000):
             some = clean[at : at + 2000]
-            text = "".join(f"{c.decode()} {self.mark} " for c in some)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ids = self._ids("".join(f"{c} {self.mark} " for c in some))
             ends = np.flatnonzero(ids == self.mark_id)
             if len(ends) == len(some):  # else a chunk became a mark in lower case: one by one, below
-                self._add(some, ids[ids != self.mark_id], np.diff(np.concatenate([[-1], ends])) - 1)
-        for c in chunks:
-            if c not in self.known:
-                ids = np.array(self.tokenizer.encode(c.decode(), add_special_tokens=False).ids, np.uint32)
-                self._add([c], ids, np.array([len(ids)]))
-
-    def _add(self, chunks, ids, lengths):
-        self.known.update(zip(chunks, range(len(self.first), len(self.first) + len(chunks))))
-        self.first += (self.total + np.cumsum(lengths) - lengths).tolist()
-        self.length += lengths.tolist()
-        self.ids.append(ids)
-        self.total += len(ids)
-
-    def encode(self, documents: list[str]) -> list[np.ndarray]:
-        """Token ids of each text."""
+                self.known.add(some, ids[ids != self.mark_id], np.diff(np.concatenate([[-1], ends])) - 1)
+        for c in self.known.missing(others):
+            ids = self._ids(c)
+            self.known.add([c], ids, np.array([len(ids)]))
+
+    def _bases(self, chunks: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Each chunk as a base and a stop or comma behind it, 0 if none; see the class.
+
+        A stop behind letters alone is a pre-token of its own. Where the tokenizer lowers
+        letters, ASCII ones are lowered here, but not in what may be a special token.
+        """
+        if self.lowers:
+            chunks = pc.if_else(pc.match_substring(chunks, "<"), chunks, pc.ascii_lower(chunks))
+        stop, comma = (pc.ends_with(chunks, t).to_numpy(zero_copy_only=False) for t in ".,")
+        head = pc.utf8_slice_codeunits(chunks, 0, -1)
+        cut = pc.utf8_is_alpha(head).to_numpy(zero_copy_only=False) & (stop | comma)
+        coded = pc.if_else(pa.array(cut), head, chunks).dictionary_encode()
+        return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), np.where(cut, np.where(stop, 1, 2), 0)
+
+    def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one row, ``end_id`` behind each text, and where texts end."""
         if len(self.known) > REMEMBERED:
-            self._forget()
-        split = [d.encode().split() for d in documents]
-        new = {c for words in split for c in words if c not in self.known}
-        if new:
-            self._learn(list(new))
-        self.ids = [np.concatenate(self.ids)]
-        flat, first, length = self.ids[0], np.array(self.first, np.int64), np.array(self.length, np.int64)
-        out = []
-        for words in split:
-            if not words:
-                out.append(np.zeros(0, np.uint32))
-                continue
-            row = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            n = length[row]
-            ends = np.cumsum(n)
-            out.append(flat[np.arange(ends[-1]) + np.repeat(first[row] - ends + n, n)])
-        return out
+            self.known = IdStore()
+        number, chunks, counts = split_words(column)
+        bases, of_chunk, tail = self._bases(chunks)
+        bases = bases.to_pylist()
+        self._learn(self.known.missing([*bases, *(t for t in (".", ",") if t not in bases)]))
+        end = f" {end_id}"  # no chunk has a space
+        if end not in self.known.rows:
+            self.known.add([end, " "], np.array([end_id], np.uint32), np.array([1, 0]))
+        base_row = self.known.rows_of(bases)[of_chunk]
+        tail_row = self.known.rows_of([" ", ".", ","])[tail]
+        # Two rows for each word, and two for the end behind the words of each text.
+        words = np.cumsum(counts)
+        rows = np.empty(2 * (len(number) + len(counts)), np.int64)
+        behind = words + np.arange(len(counts))
+        is_word = np.ones(len(rows) // 2, bool)
+        is_word[behind] = False
+        rows[::2][is_word], rows[1::2][is_word] = base_row[number], tail_row[number]
+        rows[::2][behind], rows[1::2][behind] = self.known.rows[end], self.known.rows[" "]
+        ids, ends = self.known.gather(rows)
+        return ids, ends[2 * behind + 1]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -216,9 +242,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
             offsets = np.concatenate([[0], np.cumsum(lengths)])
             return frame_batch(arrow, [[shard], [segment], [start], [int(offsets[-1])], [names], [offsets.tolist()], [pack(np.concatenate(held))]])
 
-        for piece in pieces(batches):
-            for name, ids in zip(piece.column(0).to_pylist(), encoder(tokenizer).encode(texts(piece.column(1)))):
-                held.append(np.append(ids, np.uint32(end_id)))
+        for piece in pieces(batches, 1024):
+            ids, ends = encoder(tokenizer).encode(piece.column(1), end_id)
+            for name, own in zip(piece.column(0).to_pylist(), np.split(ids, ends[:-1])):
+                held.append(own)
                 names.append(name)
                 size += len(held[-1])
                 if size >= segment_tokens:
