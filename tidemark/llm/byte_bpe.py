@@ -1,8 +1,8 @@
 """Byte-level BPE by merge ranks, with a hierarchical-bitmap rank queue.
 
 Each possible merge rank has a bucket of positions in a linked list of the pre-token's
-parts. Three levels of 64-bit words say which buckets hold something, so the lowest rank is
-found by three find-first-set steps. A merge does not search for entries that it makes
+parts. Two levels of bitmaps say which buckets hold something, so the lowest rank is found by
+two find-first-set steps. A merge does not search for entries that it makes
 obsolete: they are recognised and skipped when they come up. A pre-token of n bytes takes
 O(n log n) however long it is.
 """
@@ -10,73 +10,47 @@ O(n log n) however long it is.
 from __future__ import annotations
 
 import base64
-import heapq
+from array import array
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.shared import pieces, text_of, texts
+from tidemark.llm.shared import IdStore, pieces, text_of
 
 #: Distinct pre-tokens that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Longer pre-tokens are not remembered.
 REMEMBERED_CHARS = 64
 
 
-class RankQueue:
-    """Positions by rank; ``pop`` gives the leftmost position of the lowest rank."""
-
-    def __init__(self, ranks: int):
-        words = ranks // 64 + 1
-        self.low = [0] * words
-        self.mid = [0] * (words // 64 + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word = rank >> 6
-        self.low[word] |= 1 << (rank & 63)
-        self.mid[word >> 6] |= 1 << (word & 63)
-        self.top |= 1 << (word >> 6)
-
-    def pop(self) -> tuple[int, int]:
-        block = (self.top & -self.top).bit_length() - 1
-        mid = self.mid[block]
-        word = (block << 6) + (mid & -mid).bit_length() - 1
-        low = self.low[word]
-        rank = (word << 6) + (low & -low).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[word] = low & (low - 1)
-            if not self.low[word]:
-                self.mid[block] = mid & (mid - 1)
-                if not self.mid[block]:
-                    self.top &= self.top - 1
-        return rank, position
+#: Ranks under one bit of the upper bitmap.
+WORD_BITS = 256
 
 
 class Merger:
-    """Splits byte strings into the tokens of a rank table."""
+    """Splits byte strings into the tokens of a rank table.
+
+    The queue is ``low``, a bitmap word for each ``WORD_BITS`` ranks, ``top``, a bitmap of
+    the words that aren't empty, and ``buckets``, a heap of positions for each rank in the
+    queue; the leftmost of equal ranks is merged first. It is empty between calls. Its steps
+    stand in ``encode`` itself, as calls would cost more than they do.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.queue = RankQueue(max(ranks.values()) + 1)
+        self.low = [0] * (max(ranks.values()) // WORD_BITS + 1)
+        self.buckets: dict[int, list[int]] = {}
 
     def encode(self, piece: bytes) -> list[int]:
         ranks, n = self.ranks, len(piece)
         whole = ranks.get(piece)
         if whole is not None:
             return [whole]
-        queue, get = self.queue, ranks.get
+        get, low, buckets, top = ranks.get, self.low, self.buckets, 0
         after = list(range(1, n + 1))  # first byte of the next part
         before = list(range(-1, n - 1))
         pending = [-1] * n  # rank of the pair that starts here; entries of other ranks are stale
@@ -84,29 +58,47 @@ class Merger:
             rank = get(piece[i : i + 2])
             if rank is not None:
                 pending[i] = rank
-                queue.push(rank, i)
-        while queue.top:
-            rank, i = queue.pop()
+                if rank in buckets:
+                    buckets[rank].append(i)  # ascending, so still a heap
+                else:
+                    buckets[rank] = [i]
+                    low[rank >> 8] |= 1 << (rank & 255)
+                    top |= 1 << (rank >> 8)
+        while top:
+            word = (top & -top).bit_length() - 1  # find first set, twice
+            bits = low[word]
+            rank = (word << 8) + (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            i = heappop(bucket) if len(bucket) > 1 else bucket.pop()
+            if not bucket:
+                del buckets[rank]
+                low[word] = bits & (bits - 1)
+                if not low[word]:
+                    top &= top - 1
             if pending[i] != rank:
                 continue
             j = after[i]
-            end = after[j]
-            after[i] = end
+            end = after[i] = after[j]
             pending[j] = pending[i] = -1
+            starts = (i, before[i])
             if end < n:
                 before[end] = i
-                rank = get(piece[i : after[end]])
-                if rank is not None:
-                    pending[i] = rank
-                    queue.push(rank, i)
-            p = before[i]
-            if p >= 0:
-                rank = get(piece[p:end])
+            else:
+                starts = (before[i],)
+            for start in starts:
+                if start < 0:
+                    continue
+                rank = get(piece[start : after[after[start]]])
                 if rank is None:
-                    pending[p] = -1
-                elif pending[p] != rank:
-                    pending[p] = rank
-                    queue.push(rank, p)
+                    pending[start] = -1
+                elif pending[start] != rank:
+                    pending[start] = rank
+                    if rank in buckets:
+                        heappush(buckets[rank], start)
+                    else:
+                        buckets[rank] = [start]
+                        low[rank >> 8] |= 1 << (rank & 255)
+                        top |= 1 << (rank >> 8)
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : after[i]]])
@@ -121,44 +113,81 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder:
-    """Pre-tokens by pattern, each distinct short one merged once."""
+    """Encodes texts by their pieces between single spaces, each distinct one once.
+
+    A space between two characters that are not white space starts a match of the pattern,
+    and no match goes across it, so a piece with the space in front of it can be matched by
+    itself. A text with other white space around a space is matched as a whole.
+    """
 
     def __init__(self, path: str, pattern: str):
         self.merger, self.pattern = Merger(read_ranks(path)), regex.compile(pattern)
-        self._forget()
-
-    def _forget(self):
-        self.known: dict[str, int] = {}
-        self.ids, self.first, self.length, self.total = [np.zeros(0, np.int32)], [], [], 0
-
-    def _add(self, ids: list[int]) -> int:
-        self.first.append(self.total)
-        self.length.append(len(ids))
-        self.ids.append(np.array(ids, np.int32))
-        self.total += len(ids)
-        return len(self.first) - 1
-
-    def encode(self, documents: list[str]) -> list[np.ndarray]:
-        if len(self.first) > REMEMBERED:
-            self._forget()
-        split, known, long = [self.pattern.findall(d) for d in documents], self.known, {}
-        for piece in {p for pieces_ in split for p in pieces_ if p not in known}:
-            (known if len(piece) <= REMEMBERED_CHARS else long)[piece] = self._add(self.merger.encode(piece.encode()))
-        get = (lambda p: known[p] if p in known else long[p]) if long else known.__getitem__
-        self.ids = [np.concatenate(self.ids)]
-        flat, first, length = self.ids[0], np.array(self.first, np.int64), np.array(self.length, np.int64)
-        out = []
-        for words in split:
-            if not words:
-                out.append(np.zeros(0, np.int32))
-                continue
-            row = np.fromiter(map(get, words), np.int64, len(words))
-            n = length[row]
-            ends = np.cumsum(n)
-            out.append(flat[np.arange(ends[-1]) + np.repeat(first[row] - ends + n, n)])
+        self.tokens, self.units = IdStore(), IdStore()
+
+    def _learn_tokens(self, tokens: list[str]) -> None:
+        ids = [self.merger.encode(t.encode()) for t in tokens]
+        self.tokens.add(tokens, np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
+
+    def _ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each string by itself, one after another, and how many each has."""
+        if len(self.tokens) > REMEMBERED:
+            self.tokens = IdStore()
+        split = [self.pattern.findall(u) for u in units]
+        flat = [t for s in split for t in s]
+        new = list(dict.fromkeys(self.tokens.missing(flat)))
+        if new:
+            self._learn_tokens(new)
+        ids, ends = self.tokens.gather(self.tokens.rows_of(flat))
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        if any(len(t) > REMEMBERED_CHARS for t in new):
+            self.tokens = IdStore()
+        return ids, np.diff(upto)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one row, and where each text ends."""
+        column = pc.fill_null(column, "")
+        lists = pc.split_pattern(column, " ")
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        number, pieces_ = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+        odd = np.fromiter((not p or p[0].isspace() or p[-1].isspace() for p in pieces_), bool, len(pieces_))
+        doc = np.repeat(np.arange(len(counts)), counts)
+        whole = np.zeros(len(counts), bool)
+        whole[doc[odd[number]]] = True
+        # A piece of a text, the first piece of a text, or a whole text.
+        first = np.cumsum(counts) - counts
+        documents = column.to_pylist()
+        starts = [documents[i] if w else pieces_[number[first[i]]] for i, w in enumerate(whole.tolist())]
+        use = ~whole[doc]
+        use[first[counts > 0]] = False
+        used = np.unique(number[use])
+        if len(self.units) > REMEMBERED:
+            self.units = IdStore()
+        units = [" " + pieces_[i] for i in used.tolist()]
+        new = self.units.missing(units)
+        long = [u for u in new if len(u) > REMEMBERED_CHARS]
+        if new:
+            ids, n = self._ids(new)
+            self.units.add(new, ids, n)
+        row = np.zeros(len(pieces_), np.int64)
+        row[used] = self.units.rows_of(units)
+        ids, n = self._ids(starts)
+        base = len(self.units)
+        joined = IdStore()  # the store and the starts, for one gather
+        joined.ids = [*self.units.ids, ids]
+        joined.first = array("q", self.units.first)
+        joined.first.extend((self.units.total + np.cumsum(n) - n).tolist())
+        joined.length = array("q", self.units.length)
+        joined.length.extend(n.tolist())
+        order = np.where(use, row[number], -1)
+        order[first] = base + np.arange(len(counts))
+        kept = use.copy()
+        kept[first] = True
+        out, ends = joined.gather(order[kept])
         if long:
-            self._forget()
-        return out
+            self.units = IdStore()
+        return out, ends[np.cumsum(np.bincount(doc[kept], minlength=len(counts))) - 1] if len(ends) else np.zeros(0, np.int64)
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -176,17 +205,16 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
     def run(batches):
         if key not in _ENCODERS:
             _ENCODERS[key] = Encoder(*key)
-        for piece in pieces(batches):
-            ids = _ENCODERS[key].encode(texts(piece.column(1)))
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = pa.array(np.concatenate(ids), pa.int32())
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "ids"])
+        for piece in pieces(batches, 1024):
+            ids, ends = _ENCODERS[key].encode(piece.column(1))
+            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
 
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     return source.mapInArrow(run, schema)
 
 
-_TABLES: dict[str, dict[int, bytes]] = {}
+_TABLES: dict[str, pa.Array] = {}
 
 
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:
@@ -195,10 +223,16 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
 
     def run(batches):
         if ranks not in _TABLES:
-            _TABLES[ranks] = {rank: token for token, rank in read_ranks(ranks).items()}
-        get = _TABLES[ranks].__getitem__
-        for piece in pieces(batches):
-            decoded = [b"".join(map(get, ids or ())) for ids in piece.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
+            table = read_ranks(ranks)
+            tokens = [b""] * (max(table.values()) + 1)
+            for token, rank in table.items():
+                tokens[rank] = token
+            _TABLES[ranks] = pa.array(tokens, pa.binary())
+        for piece in pieces(batches, 1024):
+            lists = piece.column(1)
+            counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+            decoded = pc.binary_join(pa.ListArray.from_arrays(offsets, _TABLES[ranks].take(lists.flatten())), b"")
+            yield pa.RecordBatch.from_arrays([piece.column(0), lists, decoded], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, schema)
