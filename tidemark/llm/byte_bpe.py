@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.shared import IdStore, pieces, text_of
 
-#: Distinct pre-tokens that a worker remembers.
-REMEMBERED = 600_000
+#: Distinct pre-tokens, and pieces made of them, that a worker remembers.
+REMEMBERED = 900_000
+REMEMBERED_UNITS = 300_000
 #: Longer pre-tokens are not remembered.
 REMEMBERED_CHARS = 64
 
@@ -162,7 +163,7 @@ class Encoder:
         use = ~whole[doc]
         use[first[counts > 0]] = False
         used = np.unique(number[use])
-        if len(self.units) > REMEMBERED:
+        if len(self.units) > REMEMBERED_UNITS:
             self.units = IdStore()
         units = [" " + pieces_[i] for i in used.tolist()]
         new = self.units.missing(units)

@@ -31,7 +31,11 @@ STATISTICS = [
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct column of statistics, counted row by row in Spark expressions."""
+    """``docs`` with a struct column of statistics, counted row by row in Spark expressions.
+
+    The struct comes out of a generator of one row: else a filter on a score would be pushed
+    down with all statistics written out in each rule.
+    """
     text = text_of(text_col)
     share = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0)).cast("double")
     count = lambda pattern: F.regexp_count(text, F.lit(pattern))
@@ -60,7 +64,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         share(n_lines - F.size(F.array_distinct(p("lines"))), n_lines).alias("dup_line_share"),
         share(n, n_lines).alias("line_words"),
     )
-    return wide.withColumn(out, made).drop(parts)
+    return wide.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode_outer(F.array(made)).alias(out))
 
 
 def is_held_out(doc_id: Column) -> Column:

@@ -190,18 +190,18 @@ class ChunkEncoder:
         end = f" {end_id}"  # no chunk has a space
         if end not in self.known.rows:
             self.known.add([end, " "], np.array([end_id], np.uint32), np.array([1, 0]))
-        base_row = self.known.rows_of(bases)[of_chunk]
-        tail_row = self.known.rows_of([" ", ".", ","])[tail]
-        # Two rows for each word, and two for the end behind the words of each text.
-        words = np.cumsum(counts)
-        rows = np.empty(2 * (len(number) + len(counts)), np.int64)
-        behind = words + np.arange(len(counts))
-        is_word = np.ones(len(rows) // 2, bool)
-        is_word[behind] = False
-        rows[::2][is_word], rows[1::2][is_word] = base_row[number], tail_row[number]
-        rows[::2][behind], rows[1::2][behind] = self.known.rows[end], self.known.rows[" "]
+        # The chunks of these texts, from base and tail; the end is one more.
+        rows = np.empty(2 * len(of_chunk) + 2, np.int64)
+        rows[:-2:2], rows[1:-2:2] = self.known.rows_of(bases)[of_chunk], self.known.rows_of([" ", ".", ","])[tail]
+        rows[-2:] = self.known.rows[end], self.known.rows[" "]
         ids, ends = self.known.gather(rows)
-        return ids, ends[2 * behind + 1]
+        last = ends[1::2]
+        first = np.concatenate([[0], last[:-1]])
+        words = np.cumsum(counts)
+        number = np.insert(number.astype(np.int64), words, len(of_chunk))
+        n = (last - first)[number]
+        upto = np.cumsum(n)
+        return ids[np.arange(upto[-1]) + np.repeat(first[number] - upto + n, n)], upto[words + np.arange(len(counts))]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -305,7 +305,8 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
 
         arrow = to_arrow_schema(schema)
         for name, offsets, codes, start in _segments(batches):
-            crc = [zlib.crc32(codes.run(a, b).astype("<u4").tobytes()) for a, b in zip(offsets, offsets[1:])]
+            data = memoryview(codes.run(0, len(codes)).astype("<u4").tobytes())
+            crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(offsets, offsets[1:])]
             yield frame_batch(arrow, [name, [start + a for a in offsets[:-1]], [b - a for a, b in zip(offsets, offsets[1:])], crc])
 
     return read_segments(spark, folder).mapInArrow(digest, schema)
