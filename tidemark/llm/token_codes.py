@@ -13,7 +13,10 @@ container described above. Rows are in ascending order of document id.
 from __future__ import annotations
 
 import struct
+import sys
+import unicodedata
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +84,7 @@ class Codes:
         inside = bits[np.minimum(block[:, None] * whole + column, len(bits) - 1)]
         counts = np.bitwise_count(inside) * (column < (byte - block * whole)[:, None])
         last = bits[byte] & ((1 << (at % 8)) - 1).astype(np.uint8)
-        return ranks[block] + counts.sum(axis=1) + np.bitwise_count(last)
+        return (ranks[block] + counts.sum(axis=1) + np.bitwise_count(last)).astype(np.int64)
 
     def at(self, positions) -> np.ndarray:
         """The ids at any positions."""
@@ -137,6 +140,9 @@ class ChunkEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         if suffix:
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        # Letters that normalization turns into something with other characters.
+        changing = (c for c in map(chr, range(sys.maxunicode + 1)) if c.isalpha() and not unicodedata.normalize("NFC", c).lower().isalpha())
+        self.unstable = "[" + "".join(changing) + "]"
         self.known = IdStore()
 
     def _ids(self, text: str) -> np.ndarray:
@@ -168,14 +174,16 @@ class ChunkEncoder:
     def _bases(self, chunks: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """Each chunk as a base and a stop or comma behind it, 0 if none; see the class.
 
-        A stop behind letters alone is a pre-token of its own. Where the tokenizer lowers
-        letters, ASCII ones are lowered here, but not in what may be a special token.
+        A stop behind letters alone is a pre-token of its own, unless a letter leaves a mark
+        when it is normalized. Where the tokenizer lowers letters, chunks of ASCII alone are
+        lowered here, but not what may be a special token.
         """
         if self.lowers:
-            chunks = pc.if_else(pc.match_substring(chunks, "<"), chunks, pc.ascii_lower(chunks))
+            plain = pc.and_not(pc.string_is_ascii(chunks), pc.match_substring(chunks, "<"))
+            chunks = pc.if_else(plain, pc.ascii_lower(chunks), chunks)
         stop, comma = (pc.ends_with(chunks, t).to_numpy(zero_copy_only=False) for t in ".,")
         head = pc.utf8_slice_codeunits(chunks, 0, -1)
-        cut = pc.utf8_is_alpha(head).to_numpy(zero_copy_only=False) & (stop | comma)
+        cut = pc.and_not(pc.utf8_is_alpha(head), pc.match_substring_regex(head, self.unstable)).to_numpy(zero_copy_only=False) & (stop | comma)
         coded = pc.if_else(pa.array(cut), head, chunks).dictionary_encode()
         return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), np.where(cut, np.where(stop, 1, 2), 0)
 
@@ -186,13 +194,17 @@ class ChunkEncoder:
         number, chunks, counts = split_words(column)
         bases, of_chunk, tail = self._bases(chunks)
         bases = bases.to_pylist()
-        self._learn(self.known.missing([*bases, *(t for t in (".", ",") if t not in bases)]))
+        base_row = np.fromiter(map(self.known.rows.get, bases, repeat(-1)), np.int64, len(bases))
+        new = np.flatnonzero(base_row < 0)
+        self._learn([bases[i] for i in new.tolist()])
+        self._learn(self.known.missing([".", ","]))
+        base_row[new] = self.known.rows_of([bases[i] for i in new.tolist()])
         end = f" {end_id}"  # no chunk has a space
         if end not in self.known.rows:
             self.known.add([end, " "], np.array([end_id], np.uint32), np.array([1, 0]))
         # The chunks of these texts, from base and tail; the end is one more.
         rows = np.empty(2 * len(of_chunk) + 2, np.int64)
-        rows[:-2:2], rows[1:-2:2] = self.known.rows_of(bases)[of_chunk], self.known.rows_of([" ", ".", ","])[tail]
+        rows[:-2:2], rows[1:-2:2] = base_row[of_chunk], self.known.rows_of([" ", ".", ","])[tail]
         rows[-2:] = self.known.rows[end], self.known.rows[" "]
         ids, ends = self.known.gather(rows)
         last = ends[1::2]
@@ -242,7 +254,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
             offsets = np.concatenate([[0], np.cumsum(lengths)])
             return frame_batch(arrow, [[shard], [segment], [start], [int(offsets[-1])], [names], [offsets.tolist()], [pack(np.concatenate(held))]])
 
-        for piece in pieces(batches, 1024):
+        for piece in pieces(batches, 2048):
             ids, ends = encoder(tokenizer).encode(piece.column(1), end_id)
             for name, own in zip(piece.column(0).to_pylist(), np.split(ids, ends[:-1])):
                 held.append(own)
@@ -338,5 +350,5 @@ def tokens_at(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
         tokens = Codes(left.column("codes")[0].as_py()).at(right.column("at").to_numpy())
         return pa.table([right.column("doc_id").cast(pa.int64()), right.column("position").cast(pa.int64()), pa.array(tokens.astype(np.int64))], schema=arrow)
 
-    keys = ["shard", "segment"]
-    return segments.select(*keys, "codes").groupBy(*keys).cogroup(found.groupBy(*keys)).applyInArrow(look, schema)
+    left = segments.select("shard", "segment", "codes").toDF("of_shard", "of_segment", "codes").groupBy("of_shard", "of_segment")
+    return left.cogroup(found.toDF("shard", "segment", "doc_id", "position", "at").groupBy("shard", "segment")).applyInArrow(look, schema)
