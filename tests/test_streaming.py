@@ -185,3 +185,52 @@ def test_the_gate_lets_a_proven_candidate_through():
         last = step(i, 3)  # then every trigger is followed by a hit at 2
     assert last["probabilities"]["2"] == last["candidate_probabilities"]["2"] > last["historical_probabilities"]["2"]
     assert last["probabilities"]["5"] == last["historical_probabilities"]["5"]
+
+
+def test_replayed_and_late_outcomes_are_counted_not_scored(spark, tmp_path):
+    batches = [
+        [outcome(0, 1.2), outcome(1, 2.0)],
+        [outcome(1, 2.0)],  # the reference of the open lock, again
+        [outcome(0, 1.2), outcome(1, 2.0)],
+        [outcome(2, 6.0), outcome(2, 6.0), outcome(1, 2.0)],
+    ]
+    rows = run(spark, tmp_path, batches, lambda s: locks.lock_and_score(s, min_history=2))
+    assert [r["event"] for r in rows] == [
+        "prediction_locked", "outcomes_ignored", "outcomes_ignored", "outcomes_ignored",
+        "prediction_scored", "prediction_locked",
+    ]
+    assert [r["unpredicted"] for r in rows if r["event"] == "outcomes_ignored"] == [1, 2, 2]
+    assert rows[4]["actual_id"] == "o2" and rows[5]["history_count"] == 3
+
+
+def test_outcomes_that_arrive_with_a_score_only_arm(spark, tmp_path):
+    def seen(i, at):
+        return {
+            "series": "a", "kind": "observation", "us": BASE + i * 10_000_000 + at, "id": f"x{i}",
+            "signature": "t", "direction": "received", "payload_format": "binary", "payload_bytes": 64,
+        }
+
+    frozen = {"series": "a", "kind": "signatures", "us": BASE, "scores": json.dumps({"t": 0.5})}
+    batches = [
+        [frozen, outcome(0, 2)],
+        [seen(0, 3_000_000)],
+        [outcome(1, 3), outcome(2, 1.2), outcome(3, 4)],
+        [outcome(4, 2)],
+    ]
+    rows = run(spark, tmp_path, batches, lambda s: locks.trigger_locks(s))
+    ready = ["prospective_boundary_ready", "pre_round_prior_forecast"]
+    assert [r["event"] for r in rows] == [
+        *ready, "pre_round_snapshot_locked", "pre_round_snapshot_scored", "prospective_capture_armed", *ready,
+    ]
+    assert rows[4]["history_count"] == 4 and rows[4]["reference_id"] == "o3"
+
+
+def test_a_second_stream_replaces_no_ledger_rows(spark, tmp_path):
+    rows = run(spark, tmp_path, [[outcome(0, 1.2)], [outcome(1, 2)]], lambda s: locks.lock_and_score(s, min_history=1))
+    stream = spark.readStream.schema(locks.MESSAGE).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    again = (
+        locks.lock_and_score(stream, min_history=1).writeStream.foreachBatch(ingest.ledger_sink(str(tmp_path / "ledger")))
+        .option("checkpointLocation", str(tmp_path / "other")).trigger(availableNow=True).start()
+    )
+    again.awaitTermination(240)
+    assert spark.read.json(str(tmp_path / "ledger")).count() == 2 * len(rows)

@@ -18,19 +18,20 @@ CANDIDATE_TERMS = [
     "round", "multiplier", "coefficient", "result", "crash", "payout",
     "gameid", "game_id", "roundid", "round_id", "status",
 ]
-TOP_PATHS = 50
 
 
 def _interesting(path: Column) -> Column:
     return F.regexp_replace(F.lower(path), "-", "_").rlike("|".join(CANDIDATE_TERMS))
 
 
-def _top_paths(observations: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The 50 most frequent JSON paths per group; ties by path."""
+def _top_paths(observations: DataFrame, by: Sequence[str], most: int | None = None) -> DataFrame:
+    """The JSON paths per group, most frequent first, ties by path; all, or the first ``most``."""
     paths = observations.select(*by, F.explode("shape.path").alias("path")).where("path is not null")
     counts = paths.groupBy(*by, "path").agg(F.count("*").alias("n"))
     order = Window.partitionBy(*by).orderBy(F.desc("n"), "path")
-    top = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= TOP_PATHS)
+    top = counts.withColumn("r", F.row_number().over(order))
+    if most is not None:
+        top = top.where(F.col("r") <= most)
     listed = F.array_sort(F.collect_list(F.struct("r", "path", "n")))
     return top.groupBy(*by).agg(
         F.transform(listed, lambda e: F.struct(e["path"].alias("path"), e["n"].alias("n"))).alias(
@@ -66,19 +67,22 @@ def _histograms(observations: DataFrame, by: Sequence[str], columns: Mapping[str
     return counts.groupBy(*by).agg(*[one(name) for name in columns])
 
 
-def profile_kinds(observations: DataFrame) -> DataFrame:
-    """Per (kind, url): events, top paths, interesting paths and status counts."""
+def profile_kinds(observations: DataFrame, most_paths: int | None = None) -> DataFrame:
+    """Per (kind, url): events, paths (all, or the ``most_paths`` most frequent), interesting
+    paths and status counts."""
     by = ["kind", "url"]
     rows = observations.where("kind is not null and url is not null")
     events = rows.groupBy(*by).agg(F.count("*").alias("events"))
-    report = events.join(_top_paths(rows, by), by, "left").join(
+    report = events.join(_top_paths(rows, by, most_paths), by, "left").join(
         _histograms(rows, by, {"status_counts": "status"}), by, "left"
     )
     return report.withColumn("candidate_paths", _candidates("json_paths"))
 
 
-def profile_transports(observations: DataFrame) -> DataFrame:
-    """Per URL of live traffic: volumes, formats, sizes, histograms and a ranking score."""
+def profile_transports(observations: DataFrame, most_paths: int | None = None) -> DataFrame:
+    """Per URL of live traffic: volumes, formats, sizes, histograms and a ranking score.
+
+    The score counts interesting paths among all, or among the ``most_paths`` most frequent."""
     rows = observations.where(F.col("kind").isin(LIVE_KINDS) & F.col("url").isNotNull())
     kind, fmt = F.col("kind"), F.col("payload_format")
     size = F.when(F.col("payload_bytes") >= 0, F.col("payload_bytes"))
@@ -99,7 +103,7 @@ def profile_transports(observations: DataFrame) -> DataFrame:
         "high_bit_ratio_buckets": "high_bit_ratio",
         "unique_byte_buckets": "unique_byte_bucket",
     }
-    report = report.join(_top_paths(rows, ["url"]), "url", "left").join(
+    report = report.join(_top_paths(rows, ["url"], most_paths), "url", "left").join(
         _histograms(rows, ["url"], histograms), "url", "left"
     )
     report = report.withColumn("candidate_paths", _candidates("json_paths"))

@@ -25,7 +25,6 @@ STATE_KEYS = [
     "event", "eventtype", "type", "state", "status", "phase", "action", "method",
     "command", "cmd", "topic", "messagetype", "gamestate", "roundstate",
 ]
-LIST_ITEMS = 20
 
 
 def strip_url(url: Column) -> Column:
@@ -63,8 +62,11 @@ def json_path_inventory(
     return joined.withColumn("coverage", share)
 
 
-def _fields(documents: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    nodes = J.walk(_parsed(documents, text), "_doc", LIST_ITEMS, plain_paths=True)
+def _fields(
+    documents: DataFrame, text: str, keys: list[str], list_items: int | None, max_depth: int
+) -> DataFrame:
+    """Nodes of the keys, of all list items unless only the first ``list_items`` are wanted."""
+    nodes = J.walk(_parsed(documents, text), "_doc", list_items, plain_paths=True, max_depth=max_depth)
     return nodes.where(F.col("key").isNotNull() & J.plain_key(F.col("key")).isin(keys))
 
 
@@ -72,9 +74,11 @@ def _scalar(kind: Column) -> Column:
     return kind.isin("string", "number")
 
 
-def extract_numeric_fields(documents: DataFrame, text: str = "text") -> DataFrame:
+def extract_numeric_fields(
+    documents: DataFrame, text: str = "text", list_items: int | None = None, max_depth: int = J.MAX_DEPTH
+) -> DataFrame:
     """Allow-listed numeric fields; text such as ``2.5x`` counts, range 0 to 1e6."""
-    rows = _fields(documents, text, NUMERIC_KEYS)
+    rows = _fields(documents, text, NUMERIC_KEYS, list_items, max_depth)
     kind = J.variant_type("node")
     shown = F.expr("try_variant_get(node, '$', 'string')")
     number = F.regexp_replace(F.trim(shown), "[xX]+$", "").try_cast("double")
@@ -84,9 +88,11 @@ def extract_numeric_fields(documents: DataFrame, text: str = "text") -> DataFram
     )
 
 
-def hash_identifiers(documents: DataFrame, text: str = "text") -> DataFrame:
+def hash_identifiers(
+    documents: DataFrame, text: str = "text", list_items: int | None = None, max_depth: int = J.MAX_DEPTH
+) -> DataFrame:
     """Allow-listed identifiers as the first 24 hex digits of SHA-256, and their length."""
-    rows = _fields(documents, text, IDENTIFIER_KEYS)
+    rows = _fields(documents, text, IDENTIFIER_KEYS, list_items, max_depth)
     shown = F.expr("try_variant_get(node, '$', 'string')")
     return rows.where(_scalar(J.variant_type("node"))).select(
         *documents.columns,
@@ -97,9 +103,11 @@ def hash_identifiers(documents: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def extract_categories(documents: DataFrame, text: str = "text") -> DataFrame:
+def extract_categories(
+    documents: DataFrame, text: str = "text", list_items: int | None = None, max_depth: int = J.MAX_DEPTH
+) -> DataFrame:
     """Allow-listed short state words, lower-cased; nothing that looks like a token."""
-    rows = _fields(documents, text, STATE_KEYS)
+    rows = _fields(documents, text, STATE_KEYS, list_items, max_depth)
     word = F.trim(F.expr("try_variant_get(node, '$', 'string')"))
     compact = F.regexp_replace(F.lower(word), "[^a-z0-9]", "")
     hexadecimal = (F.length(compact) >= 20) & compact.rlike("^[0-9a-f]+$")

@@ -21,11 +21,13 @@ PAGE = (1000, 600)
 ORDER = ["ts", "snap_id"]
 
 
-def normalise_candidates(raw: DataFrame, items: str = "items") -> DataFrame:
+def normalise_candidates(
+    raw: DataFrame, items: str = "items", first_items: int | None = None
+) -> DataFrame:
     """Candidates from raw items struct(text, x, y, w, h): parsed, bucketed, distinct.
 
     Only texts such as ``12.34x`` with a value in [1, 1e6] are kept, coordinates are
-    rounded to tens, and the first 100 items are considered.
+    rounded to tens; all items are considered, or the first ``first_items``.
     """
     text = lambda e: F.regexp_replace(F.trim(e["text"]), " ", "")
 
@@ -46,7 +48,8 @@ def normalise_candidates(raw: DataFrame, items: str = "items") -> DataFrame:
             F.greatest(ten(e["h"]), F.lit(0)).alias("height_bucket"),
         )
 
-    kept = F.filter(F.slice(items, 1, 100), lambda e: F.coalesce(usable(e), F.lit(False)))
+    taken = F.col(items) if first_items is None else F.slice(items, 1, first_items)
+    kept = F.filter(taken, lambda e: F.coalesce(usable(e), F.lit(False)))
     return raw.withColumn("candidates", F.array_distinct(F.transform(kept, candidate)))
 
 
@@ -165,8 +168,11 @@ def _value(text: Column) -> Column:
     return F.when((number >= 1) & (number <= 1000), number)
 
 
-def live_reading(snapshots: DataFrame) -> DataFrame:
-    """The strongest larger item per snapshot: by occurrences, area, width, value."""
+def live_reading(snapshots: DataFrame, first_items: int | None = None) -> DataFrame:
+    """The strongest larger item per snapshot: by occurrences, area, width, value.
+
+    Of all items, or of the first ``first_items``.
+    """
     wide, high = COMPACT
 
     def usable(e: Column) -> Column:
@@ -174,8 +180,9 @@ def live_reading(snapshots: DataFrame) -> DataFrame:
         shown = _value(e["multiplier"]).isNotNull() & (w >= 0) & (h >= 0)
         return shown & ((w > wide) | (h > high)) & (w <= PAGE[0]) & (h <= PAGE[1])
 
+    taken = F.col("candidates") if first_items is None else F.slice("candidates", 1, first_items)
     items = F.transform(
-        F.filter(F.slice("candidates", 1, 100), lambda e: F.coalesce(usable(e), F.lit(False))),
+        F.filter(taken, lambda e: F.coalesce(usable(e), F.lit(False))),
         lambda e: F.struct(
             _value(e["multiplier"]).alias("v"),
             e["width_bucket"].alias("w"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -11,11 +12,15 @@ def settle(df: DataFrame) -> DataFrame:
     """Write a derived table to the shared checkpoint folder and read it from there.
 
     For small results of long plans that later steps read more than once. The folder
-    is the one the cluster names; only where none is named is a temporary one set.
+    is the one the cluster names; only a local session may do without one.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-"))
+        if folder is None:
+            if not re.match(r"local(\[[^\]]*\])?$", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="tidemark-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -81,12 +81,11 @@ def declared_layout(df: DataFrame) -> Layout | None:
 
 def stored_bytes(df: DataFrame) -> int | None:
     """Bytes of the tables a DataFrame reads, from their file listing; no job runs."""
-    try:
-        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-        sizes = [leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size())]
-        return sum(int(size.toString()) for size in sizes)
-    except Exception:  # noqa: BLE001  no size estimate here: the caller counts rows
-        return None
+    if getattr(df, "_jdf", None) is None or df.isStreaming:
+        return None  # no estimate here: the caller counts rows
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size())]
+    return sum(int(str(size)) for size in sizes)
 
 
 def _is_time(df: DataFrame, name: str) -> bool:

@@ -13,15 +13,19 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.ordering import declared_layout, scan, task_rows
+from tidemark.plans.ordering import SMALL_ROW_BYTES, scan, stored_bytes, task_rows
 
 SLICES_PER_DOUBLING = 64
 
 
 def fits_one_task(df: DataFrame) -> bool:
-    """True if the whole table has no more rows than a task may hold."""
-    declared = declared_layout(df)
-    return declared.whole if declared is not None else df.count() <= task_rows(df)
+    """True if the stored tables behind ``df`` are small enough for one task together.
+
+    A session's layout says nothing here: it is about the largest series, and a table of
+    many small series may be of any size. Where nothing is known the table is large.
+    """
+    stored = stored_bytes(df)
+    return stored is not None and stored <= task_rows(df) * SMALL_ROW_BYTES
 
 
 def percentiles(
@@ -106,6 +110,7 @@ def _percentile(df: DataFrame, by: Sequence[str], expr: Column, q: float, name:
     weight = F.max(position - low)
     lower = F.max(F.when(holds(low), F.col("_v")))
     upper = F.max(F.when(holds(high), F.col("_v")))
-    return middle.groupBy(*keys).agg(
+    # Without keys there is one row, of null where there are no values.
+    return middle.groupBy(*by).agg(
         F.when(weight == 0, lower).otherwise(lower * (1 - weight) + upper * weight).alias(name)
     ).select(*by, name)

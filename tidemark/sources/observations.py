@@ -91,12 +91,14 @@ def read_observations(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return frames(flat_observations(read_lines(spark, paths, OBSERVATION_LINE)))
 
 
-def field_observations(observations: DataFrame, strict: bool = False) -> DataFrame:
+def field_observations(
+    observations: DataFrame, strict: bool = False, first_fields: int | None = None
+) -> DataFrame:
     """One row per allow-listed field of an observation.
 
     The loose form takes every observation kind; replays are equal in time, kind,
-    URL, payload and field. The strict form takes server messages and the first 64
-    fields of each; replays are equal in time, field, value and URL.
+    URL, payload and field. The strict form takes server messages; replays are equal
+    in time, field, value and URL. ``first_fields`` takes only so many of each message.
     """
     timed = observations.where(F.col("ts").isNotNull() & F.col("fields").isNotNull())
     if strict:
@@ -120,8 +122,8 @@ def field_observations(observations: DataFrame, strict: bool = False) -> DataFra
         numeric.alias("number"),
         digest.alias("identifier"),
     ).where(F.col("number").isNotNull() | F.col("identifier").isNotNull())
-    if strict:
-        rows = rows.where(F.col("field_no") < 64)
+    if first_fields is not None:
+        rows = rows.where(F.col("field_no") < first_fields)
     same = ["series", "ts", "path", "field_kind", "number", "identifier", "url"]
     if not strict:
         same += ["obs_kind", "payload_sha256"]

@@ -389,7 +389,9 @@ def dataset_fingerprint(outcomes: DataFrame, chunk_rows: int = 100_000) -> DataF
     """
     from tidemark.plans.ordering import number
 
-    text = F.regexp_replace(F.col("value").cast("string"), r"\.?0+$", "")
+    shown = F.col("value").cast("string")
+    # Zeros go only behind a point: 1, 10 and 100 are different values.
+    text = F.when(shown.contains("."), F.regexp_replace(shown, r"\.?0+$", "")).otherwise(shown)
     numbered = number(
         outcomes.select("series", "ts", "outcome_id", text.alias("text")),
         ["series"],

@@ -44,10 +44,16 @@ def outcome_sink(
 
 
 def ledger_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function that appends ledger events, exactly once per batch."""
+    """foreachBatch function that appends ledger events, exactly once per batch.
+
+    A batch that is run again replaces its own folder. Numbers of batches start anew with
+    each stream, so the folder is also named by the id of the query, which is kept in its
+    checkpoint: a second stream, or one with a new checkpoint, replaces nothing.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        target = f"{path}/batch_id={batch_id}"
+        query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        target = f"{path}/query_id={query_id}/batch_id={batch_id}"
         stamp_version(batch).write.mode("overwrite").json(target)
 
     return write

@@ -208,10 +208,38 @@ class _Ledger(StatefulProcessor):
         rank = batch["kind"].map({"signatures": 0, "heartbeat": 1, "observation": 2, "outcome": 3})
         batch = batch.assign(_rank=rank, _late=rank.ge(2)).sort_values(["_late", "us", "_rank", "id"])
         state = self.load()
-        events = self.advance(state, list(batch.itertuples(index=False)), timerValues)
+        rows, events = self.fresh(state, list(batch.itertuples(index=False)))
+        events += self.advance(state, rows, timerValues)
         self.save(state)
         yield self.frame(key, events)
 
+    def fresh(self, state: dict, rows: list) -> tuple[list, list[dict]]:
+        """The rows without outcomes that are replayed or late, and an event that counts these.
+
+        An outcome counts only behind the last one, by time and then id: an earlier one is
+        in no forecast's future, and its own reference outcome must not score a lock.
+        """
+        last = (state["last"][1], state["last"][0]) if state["last"] else None
+        kept, ignored = [], []
+        for row in rows:
+            if row.kind == "outcome":
+                at = (int(row.us), row.id)
+                if last is not None and at <= last:
+                    ignored.append(row)
+                    continue
+                last = at
+            kept.append(row)
+        if not ignored:
+            return kept, []
+        return kept, [
+            self.event(
+                state, "outcomes_ignored", state["last"][1] if state["last"] else ignored[-1].us,
+                unpredicted=len(ignored), history_count=state["n"],
+                reference_id=state["last"][0] if state["last"] else None, actual_id=ignored[-1].id,
+                reason="replayed_or_late_outcome",
+            )
+        ]
+
     def frame(self, key, events: list[dict]) -> pd.DataFrame:
         made = pd.DataFrame(events, columns=FIELDS, dtype=object)
         made["series"] = key[0]
@@ -343,6 +371,9 @@ class TriggerLocks(_Ledger):
 
     def complete(self, state: dict, row, more: int) -> list[dict]:
         lock = state["lock"]
+        if state.get("together"):  # others of the batch that scored a lock: arm over all
+            state["together"] = more > 0
+            return [] if more else [self.arm(state, row.us)]
         if lock is not None:
             self.settle(state, lock, row.value)
             state["lock"], state["misses"] = None, 0
@@ -352,8 +383,8 @@ class TriggerLocks(_Ledger):
                 briers=self.briers(lock["p"], row.value),
             )
             if more:  # results arrived together: wait for a fresh one
-                state["previous"], state["interval"] = None, None
-                return [scored, self.arm(state, row.us)]
+                state["previous"], state["interval"], state["together"] = None, None, True
+                return [scored]
             return [scored, *self.open(state, row)]
         if state["previous"] is not None:
             events = [
