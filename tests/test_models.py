@@ -175,3 +175,45 @@ def test_state_ridge_equals_direct_fits(spark):
                 for a in (1.0, 10.0, 100.0)
             ]
             assert got[i] == pytest.approx(float(direct_ridge(x[:i], y[:i], min(losses)[1])(x[i])), abs=1e-9)
+
+
+@pytest.mark.parametrize("query", ["online_rls", "champion_selection", "prequential_adaptive_audit", "prospective_feature_audit"])
+def test_online_queries_are_equal_whatever_a_task_holds(spark, query):
+    import os
+
+    from compare import spark_table
+
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("driver tables not present")
+    tables = []
+    for rows in (None, "40", "60"):
+        if rows:
+            spark.conf.set("tidemark.task.rows", rows)
+        try:
+            tables.append(spark_table(entry.queries()[query](spark, folder)))
+        finally:
+            spark.conf.unset("tidemark.task.rows")
+    assert tables[0] == tables[1] == tables[2]
+
+
+def test_online_rls_is_well_posed_without_excitement(spark):
+    rng = np.random.default_rng(3)
+    x = np.zeros((900, 4))
+    x[:, 0] = rng.normal(size=900)
+    x[:300, 1] = rng.normal(size=300)  # moves no more after the first third
+    x[:, 2] = 0.25
+    hits = rng.integers(0, 2, (900, 1))
+    df = spark.createDataFrame(
+        [("s", "m", i, [float(v) for v in x[i]], [int(hits[i, 0])]) for i in range(900)],
+        "series string, mode string, pos bigint, x array<double>, hits array<int>",
+    )
+    made = [
+        {(r.factor, r.pos): r.probabilities[0] for r in online.online_rls(df, (0.9, 1.0), layout=layout).collect()}
+        for layout in (Layout(), Layout(block_rows=64), Layout(block_rows=150))
+    ]
+    assert made[0] == made[1] == made[2]
+    late = [p for (f, i), p in made[0].items() if f == 0.9 and i > 500]
+    assert np.std(late) < 0.45 and not all(p in (0.001, 0.999) for p in late)

@@ -2,7 +2,7 @@
 
 A model with forgetting is sequential within one series. Its state after any number
 of rows is a decayed sum of products, though, so a long series is cut into blocks
-whose decayed sums are combined into the state at each block start.
+whose decayed sums, made part by part, are added up to the state at each block start.
 """
 
 from __future__ import annotations
@@ -20,6 +20,11 @@ from tidemark.plans.ordering import Layout, plan_layout, rolling
 
 FACTORS = (0.90, 0.95, 0.98, 1.00)
 LOW, HIGH = 0.001, 0.999
+# Rows whose products are summed together, by position, however the series is cut.
+PART_ROWS = 64
+# Share of the regularisation that forgetting leaves: else directions that no row moves any
+# more keep nothing but rounding errors.
+FLOOR = 1e-8
 
 
 def _inputs(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -39,17 +44,56 @@ def online_rls(
     ``samples`` has (series, mode, pos, x ARRAY<DOUBLE>, hits ARRAY<INT>), one hit per
     threshold. The gain does not depend on the hits, so all thresholds share it.
     Output: (series, mode, factor, pos, probabilities, hits) in threshold order.
+
+    The filter is run in its information form: weights solve the decayed normal equations
+    of all earlier rows, with the decayed ``regularization``, but no less than ``FLOOR`` of
+    it, so the equations are well-posed at any length. Products are summed in parts of
+    ``PART_ROWS`` positions, which every cut respects: a series gives the same numbers
+    whole and in blocks of any size. The update of the covariance form, which divides by
+    the forgetting factor plus a square, has nothing to guard against here.
     """
     by = ["series", "mode"]
     rows = samples.select(*by, "pos", "x", "hits")
     layout = layout if layout is not None else plan_layout(rows, by, "pos")
+    if not layout.whole:  # cut between the parts that sums are made of
+        layout = Layout(layout.slice_us, -(-layout.block_rows // PART_ROWS) * PART_ROWS)
     factors = [float(f) for f in factors]
-
-    def fresh(width: int, labels: int) -> tuple[np.ndarray, np.ndarray]:
-        covariance = np.repeat((np.eye(width) / regularization)[None], len(factors), axis=0)
-        weights = np.zeros((len(factors), labels, width))
-        weights[:, :, 0] = 0.5
-        return covariance, weights
+    forget = np.asarray(factors)
+
+    def parts(pdf: pd.DataFrame):
+        """Consecutive rows with the same ``pos // PART_ROWS``."""
+        for _, part in pdf.groupby(pdf["pos"] // PART_ROWS, sort=True):
+            yield part
+
+    def sums(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Decayed products of a part's rows: (factor, width, width) and (factor, label, width)."""
+        decay = forget[:, None] ** np.arange(len(x) - 1, -1, -1.0)
+        decayed = decay[:, :, None] * x
+        return np.swapaxes(decayed, 1, 2) @ x, y.T @ decayed
+
+    def advance(state, rows_, gram, cross):
+        """The state after a part: rows so far, and decayed products of all of them."""
+        fade = (forget**rows_)[:, None, None]
+        return state[0] + rows_, state[1] * fade + gram, state[2] * fade + cross
+
+    def start(width: int, labels: int):
+        return 0, np.zeros((len(factors), width, width)), np.zeros((len(factors), labels, width))
+
+    def predictions(state, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Probabilities of each row of a part, (row, factor, label), from all rows before it."""
+        n, gram, cross = state
+        width = x.shape[1]
+        grams = np.empty((len(x), *gram.shape))
+        crosses = np.empty((len(x), *cross.shape))
+        for i in range(len(x)):
+            grams[i], crosses[i] = gram, cross
+            gram = gram * forget[:, None, None] + np.outer(x[i], x[i])
+            cross = cross * forget[:, None, None] + np.outer(y[i], x[i])
+        held = regularization * np.maximum(forget ** (n + np.arange(len(x), dtype=float))[:, None], FLOOR)
+        grams[..., np.arange(width), np.arange(width)] += held[..., None]
+        crosses[..., 0] += 0.5 * held[..., None]
+        weights = np.linalg.solve(grams, np.swapaxes(crosses, 2, 3))
+        return np.clip(np.einsum("iw,ifwl->ifl", x, weights), LOW, HIGH)
 
     def kernel(pdf: pd.DataFrame, state: pd.DataFrame | None) -> pd.DataFrame:
         if pdf.empty:
@@ -58,24 +102,20 @@ def online_rls(
             )
         x, y = _inputs(pdf)
         width, labels = x.shape[1], y.shape[1]
-        covariance, weights = fresh(width, labels)
+        now = start(width, labels)
         if state is not None and not state.empty:
-            for k, f in enumerate(factors):
-                mine = state[np.isclose(state["factor"], f)].iloc[0]
-                covariance[k] = np.asarray(mine["covariance"]).reshape(width, width)
-                weights[k] = np.asarray(mine["weights"]).reshape(labels, width)
-        forget = np.asarray(factors)
-        out = np.empty((len(x), len(factors), labels))
-        with np.errstate(all="ignore"):
-            for i in range(len(x)):
-                row = x[i]
-                raw = weights @ row
-                out[i] = np.clip(raw, LOW, HIGH)
-                reach = covariance @ row
-                scale = forget + reach @ row
-                gain = reach / scale[:, None]
-                weights = weights + (y[i][None, :] - raw)[:, :, None] * gain[:, None, :]
-                covariance = (covariance - gain[:, :, None] * reach[:, None, :]) / forget[:, None, None]
+            own = state.set_index("factor").loc[factors]
+            now = (
+                int(own["rows"].iloc[0]),
+                np.stack(own["gram"].to_numpy()).reshape(-1, width, width),
+                np.stack(own["cross"].to_numpy()).reshape(-1, labels, width),
+            )
+        made = []
+        for part in parts(pdf):
+            px, py = _inputs(part)
+            made.append(predictions(now, px, py))
+            now = advance(now, len(px), *sums(px, py))
+        out = np.concatenate(made)
         count = len(x)
         return pd.DataFrame(
             {
@@ -89,37 +129,43 @@ def online_rls(
         )
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = _inputs(pdf)
-        age = np.arange(len(x) - 1, -1, -1.0)
         made = []
-        for f in factors:
-            decayed = x * (f**age)[:, None]
-            made.append(
-                (
-                    pdf["series"].iloc[0], pdf["mode"].iloc[0], pdf["_slice"].iloc[0], f, len(x),
-                    (decayed.T @ x).ravel(), (y.T @ decayed).ravel(),
+        for part in parts(pdf):
+            x, y = _inputs(part)
+            gram, cross = sums(x, y)
+            first = part.iloc[0]
+            for k, f in enumerate(factors):
+                made.append(
+                    (
+                        first["series"], first["mode"], first["_slice"], f, int(first["pos"]) // PART_ROWS,
+                        len(x), gram[k].ravel(), cross[k].ravel(),
+                    )
                 )
-            )
         return pd.DataFrame(
-            made, columns=["series", "mode", "_slice", "factor", "rows", "gram", "cross"]
+            made, columns=["series", "mode", "_slice", "factor", "part", "rows", "gram", "cross"]
         )
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = []
-        for f, part in pdf.groupby("factor"):
-            width = int(round(len(part["gram"].iloc[0]) ** 0.5))
-            labels = len(part["cross"].iloc[0]) // width
-            gram = np.eye(width) * regularization
-            cross = np.zeros((labels, width))
-            cross[:, 0] = 0.5 * regularization
-            for r in part.itertuples(index=False):
-                inverse = np.linalg.pinv(gram, hermitian=True)
-                made.append((r.series, r.mode, r[2], f, inverse.ravel(), (cross @ inverse).ravel()))
-                fade = f ** float(r.rows)
-                gram = gram * fade + np.asarray(r.gram).reshape(width, width)
-                cross = cross * fade + np.asarray(r.cross).reshape(labels, width)
+        made, now, reached = [], None, None
+        for _, part in pdf.groupby("part", sort=True):
+            own = part.set_index("factor").loc[factors]
+            width = int(round(len(own["gram"].iloc[0]) ** 0.5))
+            labels = len(own["cross"].iloc[0]) // width
+            now = start(width, labels) if now is None else now
+            if own["_slice"].iloc[0] != reached:
+                reached = own["_slice"].iloc[0]
+                for k, f in enumerate(factors):
+                    made.append(
+                        (
+                            own["series"].iloc[0], own["mode"].iloc[0], reached, f, now[0],
+                            now[1][k].ravel(), now[2][k].ravel(),
+                        )
+                    )
+            gram = np.stack(own["gram"].to_numpy()).reshape(-1, width, width)
+            cross = np.stack(own["cross"].to_numpy()).reshape(-1, labels, width)
+            now = advance(now, int(own["rows"].iloc[0]), gram, cross)
         return pd.DataFrame(
-            made, columns=["series", "mode", "_slice", "factor", "covariance", "weights"]
+            made, columns=["series", "mode", "_slice", "factor", "rows", "gram", "cross"]
         )
 
     return run_blocks(
@@ -127,11 +173,11 @@ def online_rls(
         "series string, mode string, factor double, pos bigint, probabilities array<double>, "
         "hits array<int>",
         kernel,
-        "series string, mode string, _slice bigint, factor double, rows bigint, "
+        "series string, mode string, _slice bigint, factor double, part bigint, rows bigint, "
         "gram array<double>, cross array<double>",
         summarise, combine,
-        "series string, mode string, _slice bigint, factor double, "
-        "covariance array<double>, weights array<double>",
+        "series string, mode string, _slice bigint, factor double, rows bigint, "
+        "gram array<double>, cross array<double>",
     )
 
 
