@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 from array import array
 from heapq import heappop, heappush
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.shared import IdStore, pieces, text_of
 
-#: Distinct pre-tokens, and pieces made of them, that a worker remembers.
-REMEMBERED = 900_000
-REMEMBERED_UNITS = 300_000
-#: Longer pre-tokens are not remembered.
-REMEMBERED_CHARS = 64
+#: Distinct pre-tokens, and pieces made of several, that a worker remembers.
+REMEMBERED = 1_000_000
 
 
 #: Ranks under one bit of the upper bitmap.
@@ -63,43 +61,54 @@ class Merger:
                     buckets[rank].append(i)  # ascending, so still a heap
                 else:
                     buckets[rank] = [i]
-                    low[rank >> 8] |= 1 << (rank & 255)
-                    top |= 1 << (rank >> 8)
+                    word = rank >> 8
+                    low[word] |= 1 << (rank & 255)
+                    top |= 1 << word
         while top:
             word = (top & -top).bit_length() - 1  # find first set, twice
             bits = low[word]
-            rank = (word << 8) + (bits & -bits).bit_length() - 1
+            bit = bits & -bits
+            rank = (word << 8) + bit.bit_length() - 1
             bucket = buckets[rank]
-            i = heappop(bucket) if len(bucket) > 1 else bucket.pop()
-            if not bucket:
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
                 del buckets[rank]
-                low[word] = bits & (bits - 1)
-                if not low[word]:
+                low[word] = bits = bits ^ bit
+                if not bits:
                     top &= top - 1
             if pending[i] != rank:
                 continue
             j = after[i]
             end = after[i] = after[j]
             pending[j] = pending[i] = -1
-            starts = (i, before[i])
             if end < n:
                 before[end] = i
-            else:
-                starts = (before[i],)
-            for start in starts:
-                if start < 0:
-                    continue
-                rank = get(piece[start : after[after[start]]])
+                rank = get(piece[i : after[end]])
+                if rank is not None:
+                    pending[i] = rank
+                    if rank in buckets:
+                        heappush(buckets[rank], i)
+                    else:
+                        buckets[rank] = [i]
+                        word = rank >> 8
+                        low[word] |= 1 << (rank & 255)
+                        top |= 1 << word
+            i = before[i]
+            if i >= 0:
+                rank = get(piece[i:end])
                 if rank is None:
-                    pending[start] = -1
-                elif pending[start] != rank:
-                    pending[start] = rank
+                    pending[i] = -1
+                elif pending[i] != rank:
+                    pending[i] = rank
                     if rank in buckets:
-                        heappush(buckets[rank], start)
+                        heappush(buckets[rank], i)
                     else:
-                        buckets[rank] = [start]
-                        low[rank >> 8] |= 1 << (rank & 255)
-                        top |= 1 << (rank >> 8)
+                        buckets[rank] = [i]
+                        word = rank >> 8
+                        low[word] |= 1 << (rank & 255)
+                        top |= 1 << word
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : after[i]]])
@@ -123,27 +132,22 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         self.merger, self.pattern = Merger(read_ranks(path)), regex.compile(pattern)
-        self.tokens, self.units = IdStore(), IdStore()
-
-    def _learn_tokens(self, tokens: list[str]) -> None:
-        ids = [self.merger.encode(t.encode()) for t in tokens]
-        self.tokens.add(tokens, np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
-
-    def _ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of each string by itself, one after another, and how many each has."""
-        if len(self.tokens) > REMEMBERED:
-            self.tokens = IdStore()
-        split = [self.pattern.findall(u) for u in units]
-        flat = [t for s in split for t in s]
-        new = list(dict.fromkeys(self.tokens.missing(flat)))
+        self.known = IdStore()  # pre-tokens, and pieces of several
+
+    def _learn(self, strings: list[str]) -> list[list[str]]:
+        """The pre-tokens of each string, all of them known afterwards."""
+        split = [self.pattern.findall(s) for s in strings]
+        new = list(dict.fromkeys(self.known.missing(t for s in split for t in s)))
         if new:
-            self._learn_tokens(new)
-        ids, ends = self.tokens.gather(self.tokens.rows_of(flat))
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        if any(len(t) > REMEMBERED_CHARS for t in new):
-            self.tokens = IdStore()
-        return ids, np.diff(upto)
+            ids = [self.merger.encode(t.encode()) for t in new]
+            self.known.add(new, np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
+        return split
+
+    def _joined(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each string's pre-tokens, one after another, and how many each has."""
+        ids, ends = self.known.gather(self.known.rows_of([t for s in split for t in s]))
+        upto = np.concatenate([[0], np.cumsum([len(s) for s in split], dtype=np.int64)])
+        return ids, np.diff(np.concatenate([[0], ends])[upto])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one row, and where each text ends."""
@@ -163,31 +167,32 @@ class Encoder:
         use = ~whole[doc]
         use[first[counts > 0]] = False
         used = np.unique(number[use])
-        if len(self.units) > REMEMBERED_UNITS:
-            self.units = IdStore()
+        if self.known.is_full(REMEMBERED):
+            self.known = IdStore()
         units = [" " + pieces_[i] for i in used.tolist()]
-        new = self.units.missing(units)
-        long = [u for u in new if len(u) > REMEMBERED_CHARS]
-        if new:
-            ids, n = self._ids(new)
-            self.units.add(new, ids, n)
+        unit_row = np.fromiter(map(self.known.rows.get, units, repeat(-1)), np.int64, len(units))
+        unknown = np.flatnonzero(unit_row < 0)
+        new = [units[i] for i in unknown.tolist()]
+        split = self._learn(new)
+        several = [i for i, s in enumerate(split) if len(s) > 1]
+        if several:
+            self.known.add([new[i] for i in several], *self._joined([split[i] for i in several]))
+        unit_row[unknown] = self.known.rows_of(new)
         row = np.zeros(len(pieces_), np.int64)
-        row[used] = self.units.rows_of(units)
-        ids, n = self._ids(starts)
-        base = len(self.units)
-        joined = IdStore()  # the store and the starts, for one gather
-        joined.ids = [*self.units.ids, ids]
-        joined.first = array("q", self.units.first)
-        joined.first.extend((self.units.total + np.cumsum(n) - n).tolist())
-        joined.length = array("q", self.units.length)
+        row[used] = unit_row
+        ids, n = self._joined(self._learn(starts))
+        base = len(self.known)
+        joined = IdStore()  # what is known and the starts, for one gather
+        joined.ids = [*self.known.ids, ids]
+        joined.first = array("q", self.known.first)
+        joined.first.extend((self.known.total + np.cumsum(n) - n).tolist())
+        joined.length = array("q", self.known.length)
         joined.length.extend(n.tolist())
         order = np.where(use, row[number], -1)
         order[first] = base + np.arange(len(counts))
         kept = use.copy()
         kept[first] = True
         out, ends = joined.gather(order[kept])
-        if long:
-            self.units = IdStore()
         return out, ends[np.cumsum(np.bincount(doc[kept], minlength=len(counts))) - 1] if len(ends) else np.zeros(0, np.int64)
 
 

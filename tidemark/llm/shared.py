@@ -152,11 +152,17 @@ class IdStore:
     def __init__(self):
         self.rows: dict[str, int] = {}
         self.ids, self.first, self.length, self.total = [np.zeros(0, np.uint32)], array("q"), array("q"), 0
+        self.chars = 0
+
+    def is_full(self, strings: int) -> bool:
+        """Whether there are more strings than that, or as much text as they have usually."""
+        return len(self) > strings or self.chars > 20 * strings
 
     def __len__(self) -> int:
         return len(self.first)
 
-    def add(self, keys: Iterable[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+    def add(self, keys: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.chars += sum(map(len, keys))
         self.rows.update(zip(keys, range(len(self.first), len(self.first) + len(lengths))))
         self.first.extend((self.total + np.cumsum(lengths) - lengths).tolist())
         self.length.extend(lengths.tolist())

@@ -189,7 +189,7 @@ class ChunkEncoder:
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one row, ``end_id`` behind each text, and where texts end."""
-        if len(self.known) > REMEMBERED:
+        if self.known.is_full(REMEMBERED):
             self.known = IdStore()
         number, chunks, counts = split_words(column)
         bases, of_chunk, tail = self._bases(chunks)
