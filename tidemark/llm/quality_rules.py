@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.shared import text_of, written
+from tidemark.llm.shared import spread_join, text_of, written
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
@@ -130,15 +130,15 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     null_safe = lambda df, *cols: df.select(*[F.col(c).alias(f"{c}_") for c in cols], *[c for c in df.columns if c not in cols])
     own, language, every = null_safe(level(0, "lang", "source"), "lang", "source"), null_safe(level(1, "lang"), "lang"), level(2)
     groups = fence.where("level = 0").select("lang", "source")
-    # Resolved for each group first: one join with the documents, whose key may be hot.
+    # Resolved for each group first: one join with the documents, a hot source's in parts.
     resolved = (
         groups.join(own, groups["lang"].eqNullSafe(F.col("lang_")) & groups["source"].eqNullSafe(F.col("source_")), "left").drop("lang_", "source_")
         .join(language, F.col("lang").eqNullSafe(F.col("lang_")), "left").drop("lang_")
         .join(F.broadcast(every))  # one row
-        .select(F.col("lang").alias("lang_"), F.col("source").alias("source_"), F.coalesce("f0", "f1", "f2").alias("f"))
-        .select("lang_", "source_", "f.*")
+        .select("lang", "source", F.coalesce("f0", "f1", "f2").alias("f"))
+        .select("lang", "source", "f.*")
     )
-    joined = rates.join(resolved, F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_")), "left")
+    joined = spread_join(rates, resolved, ["lang", "source"], ["doc_id", "n_words", "word_chars"])
     high = F.lit(False)
     for s in RATES:
         high = high | (F.col(s) > F.coalesce(F.col(f"{s}_fence"), F.col(s)))

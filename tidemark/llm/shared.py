@@ -17,6 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: Rows that are turned into Python objects at once.
 PIECE_ROWS = 256
 
+#: Into how many parts the rows of one key are spread, so that a hot key is many tasks' work.
+PARTS = 64
+
 #: ASCII letters to lower case, other ASCII characters but digits to spaces.
 WORD_BYTES = bytes(
     b if b >= 128 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32
@@ -63,6 +66,32 @@ def bounded_sample(df: DataFrame, key: Column, most: int) -> DataFrame:
     return some.orderBy(F.xxhash64(key), key).limit(most)
 
 
+def part_of(*columns: str) -> Column:
+    """One of ``PARTS`` numbers, by the hash of the columns."""
+    return F.pmod(F.xxhash64(*columns), F.lit(PARTS)).cast("int")
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``keyed``, which has one row for each value of ``keys``.
+
+    The rows of a key are spread over parts by the hash of ``by``. The parts that occur, at
+    most ``PARTS`` of a key and never more than there are rows, fetch the columns first, and
+    rows then meet their part. Null keys are equal to each other; rows without a partner go.
+    """
+    part = free_name(rows, "part")
+    cut = rows.withColumn(part, part_of(*by))
+    theirs = {k: f"{k}_of_key" for k in keys}
+    occurring = cut.select(*[F.col(k).alias(theirs[k]) for k in keys], F.col(part).alias("part_of_key")).distinct()
+    match = F.lit(True)
+    for k in keys:
+        match = match & keyed[k].eqNullSafe(occurring[theirs[k]])
+    fetched = occurring.join(keyed, match).drop(*keys)
+    match = F.col(part) == F.col("part_of_key")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(theirs[k]))
+    return cut.join(fetched, match).drop(part, "part_of_key", *theirs.values())
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores in front as long as a column has that name."""
     taken = {c.lower() for c in df.columns}
