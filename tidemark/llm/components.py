@@ -1,25 +1,44 @@
-"""Connected components by alternating large and small stars."""
+"""Connected components by alternating large and small stars.
+
+A node may have links to a third of all nodes, so its links are spread over parts: each part
+finds its least neighbour, the few parts of a node agree on the least of all, and the links
+of each part are joined with it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from tidemark.llm.shared import part_of, written
+
 
-from tidemark.llm.shared import written
+def with_group(rows: DataFrame, key: str, by: str, **totals: tuple[Column, Column]) -> DataFrame:
+    """``rows`` with totals over all rows of their key, of which one key may hold many.
+
+    A total is an aggregate of rows, and one, of the column of that name, that merges those
+    of the parts of a key.
+    """
+    cut = rows.withColumn("part", part_of(by))
+    parts = cut.groupBy(key, "part").agg(*[first.alias(name) for name, (first, _) in totals.items()])
+    whole = Window.partitionBy(key)
+    agreed = parts.select(key, "part", *[merge.over(whole).alias(name) for name, (_, merge) in totals.items()])
+    return cut.join(agreed, [key, "part"]).drop("part")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links every greater neighbour of a node to the least one."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-    return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+    known = with_group(both, "a", "b", least=(F.min("b"), F.min("least")))
+    return known.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("least", "a").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links the smaller neighbours of a node, and the node, to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    least = down.groupBy("a").agg(F.min("b").alias("least"))
-    moved = down.join(least, "a").where(F.col("b") != F.col("least")).select(F.col("b").alias("a"), F.col("least").alias("b"))
-    return moved.union(least.select("a", F.col("least").alias("b"))).distinct()
+    known = with_group(down, "a", "b", least=(F.min("b"), F.min("least")))
+    # A link to the least itself says where the node belongs; others are moved to the least.
+    own = F.col("b") == F.col("least")
+    return known.select(F.when(own, F.col("a")).otherwise(F.col("b")).alias("a"), F.col("least").alias("b")).distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

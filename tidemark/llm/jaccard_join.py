@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.components import components
-from tidemark.llm.shared import free_name, gram_hashes, mixed, normal_words, pieces, shingle_set, text_of, texts, word_hashes, written
+from tidemark.llm.components import components, with_group
+from tidemark.llm.shared import free_name, gram_hashes, mixed, normal_words, pieces, shingle_set, spread_join, text_of, texts, word_hashes, written
 
 SHINGLE = 5
 TREES = 16
@@ -188,13 +188,13 @@ def join_classes(docs: DataFrame, threshold: float = 0.8, trees: int = TREES, de
         copies.join(twins.withColumnRenamed("doc_id", "rep"), ["text_key", "rep"], "left").withColumn("twins", F.coalesce("twins", "copies")), "texts"
     )
     nodes = forms.select("text_key", F.explode("prefixes").alias("node"))
-    shared = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("text_key").alias("least")).where("n > 1")
-    edges = nodes.join(shared, "node").select(F.col("text_key").alias("a"), F.col("least").alias("b")).where("a != b").distinct()
+    met = with_group(nodes, "node", "text_key", least=(F.min("text_key"), F.min("least")))
+    edges = met.select(F.col("text_key").alias("a"), F.col("least").alias("b")).where("a != b").distinct()
     tree = components(edges, "candidates")
     component = tree.union(tree.select("b", "b")).distinct().toDF("text_key", "component")
     sizes = component.groupBy("component").agg(F.count("*").alias("size"))
     placed = written(
-        component.join(sizes, "component")
+        spread_join(component, sizes, ["component"], ["text_key"])
         .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("text_key"), F.col("blocks")).cast("int"))
         .join(forms.select("text_key", "rep"), "text_key"),
@@ -243,8 +243,8 @@ def document_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc
     keyed = _keyed(docs, id_col, text_col).select("doc_id", "text_key")
     classes = written(join_classes(docs, threshold, id_col=id_col, text_col=text_col), "classes")
     named = classes.groupBy("root").agg(F.min("rep").alias("class_id"))
-    known = classes.join(named, "root").select("text_key", "class_id", "n_links", F.col("copies").alias("n_copies"))
-    return keyed.join(known, "text_key").select("doc_id", "class_id", "n_links", "n_copies")
+    known = spread_join(classes, named, ["root"], ["text_key"]).select("text_key", "class_id", "n_links", F.col("copies").alias("n_copies"))
+    return spread_join(keyed, known, ["text_key"], ["doc_id"]).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
