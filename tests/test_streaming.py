@@ -5,6 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import ledger
+from tidemark.sources import ledgers
 from tidemark.sources.outcomes import OUTCOME_COLUMNS, OutcomeConflict
 from tidemark.streaming import ingest, locks
 
@@ -234,3 +236,36 @@ def test_a_second_stream_replaces_no_ledger_rows(spark, tmp_path):
     )
     again.awaitTermination(240)
     assert spark.read.json(str(tmp_path / "ledger")).count() == 2 * len(rows)
+
+
+def test_batch_audits_read_streamed_forecasts(spark, tmp_path):
+    batches = [[outcome(i, v)] for i, v in enumerate(VALUES)]
+    run(spark, tmp_path, batches, lambda s: locks.lock_and_score(s, min_history=1))
+    found = ledgers.read_ledger(spark, str(tmp_path / "ledger"))
+    pairs = ledger.lock_score_pairing(found).orderBy("scored_seq").collect()
+    assert [float(p.actual) for p in pairs] == VALUES[1:]
+    # Before 2.0, 6.0, 3.0 and 1.1 the shares of values from 2 on are 0, 1/2, 2/3 and 3/4.
+    audit = {float(r.threshold): r for r in ledger.live_forecast_audit(found).collect()}
+    losses = [1.0, 0.25, 0.333333**2, 0.5625]
+    scored = ledger.score_forecasts(ledger.lock_score_pairing(found)).where("threshold = 2").orderBy("scored_seq")
+    assert [float(r.chosen_brier) for r in scored.collect()] == pytest.approx(losses, abs=1e-5)
+    assert set(audit) == {1.5, 2.0, 5.0}
+    assert [r.lock_id for r in ledger.open_locks(found).collect()] not in ([], [None])
+
+
+def test_batch_samples_read_streamed_snapshots(spark, tmp_path):
+    def seen(i, at, signature):
+        return {
+            "series": "a", "kind": "observation", "us": BASE + i * 10_000_000 + at, "id": f"x{i}{at}",
+            "signature": signature, "direction": "received", "payload_format": "binary", "payload_bytes": 64,
+        }
+
+    frozen = {"series": "a", "kind": "signatures", "us": BASE, "scores": json.dumps({"t": 0.5})}
+    batches = [[frozen, outcome(0, 2)], [seen(0, 2_000_000, "u"), seen(0, 3_000_000, "t")], [outcome(1, 3)]]
+    run(spark, tmp_path, batches, lambda s: locks.trigger_locks(s))
+    found = ledgers.read_snapshot_ledger(spark, str(tmp_path / "ledger"))
+    lock = found.where("event = 'pre_round_snapshot_locked'").first()
+    assert lock.features.event_count_since_previous == 2 and lock.features.transition_counts == {"u -> t": 1}
+    assert lock.previous_round_id == "o0" and lock.trigger_age_after_previous_seconds == 3.0
+    samples = ledger.snapshot_samples(found, ("1.5", "2", "5")).collect()
+    assert [(r.actual, r.trigger_signature, r.priors) for r in samples] == [(3.0, "t", [1.0, 1.0, 0.0])]

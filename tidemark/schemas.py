@@ -101,5 +101,16 @@ forecast struct<historical_probabilities:map<string,string>, probabilities:map<s
   candidate_probabilities:map<string,string>, prior_reconstructed_for_audit:boolean>
 """
 
+# One row of the ledgers that streams write, of both kinds; instants are microseconds.
+STREAM_LEDGER = (
+    "series string, seq bigint, event string, us bigint, lock_id string, "
+    "collector_session_id string, history_count bigint, reference_id string, "
+    "actual_id string, actual_value string, probabilities map<string,string>, "
+    "candidate_probabilities map<string,string>, historical_probabilities map<string,string>, "
+    "briers map<string,string>, "
+    "unpredicted bigint, trigger_signature string, trigger_score double, "
+    "trigger_age_seconds double, features string, reason string"
+)
+
 HEARTBEAT = "kind string, observed_at string, collector_session_id string, capture_ready boolean"
 LEDGER_VERSION = 1

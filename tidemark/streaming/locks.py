@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions import columns as C
+from tidemark.schemas import STREAM_LEDGER
 
 PLACES = Decimal("0.000001")
 SEQUENCE = 32
@@ -32,16 +33,7 @@ MESSAGE = (
     "ready boolean, signature string, direction string, payload_format string, "
     "payload_bytes bigint, scores string"
 )
-LEDGER = (
-    "series string, seq bigint, event string, us bigint, lock_id string, "
-    "collector_session_id string, history_count bigint, reference_id string, "
-    "actual_id string, actual_value string, probabilities map<string,string>, "
-    "candidate_probabilities map<string,string>, historical_probabilities map<string,string>, "
-    "briers map<string,string>, "
-    "unpredicted bigint, trigger_signature string, trigger_score double, "
-    "trigger_age_seconds double, features string, reason string"
-)
-FIELDS = [part.split()[0] for part in LEDGER.split(", ")]
+FIELDS = [part.split()[0] for part in STREAM_LEDGER.split(", ")]
 STATE = "body string"
 
 
@@ -486,7 +478,7 @@ class TriggerLocks(_Ledger):
 
 def _run(stream: DataFrame, processor: _Ledger) -> DataFrame:
     return stream.groupBy("series").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=LEDGER, outputMode="append",
+        statefulProcessor=processor, outputStructType=STREAM_LEDGER, outputMode="append",
         # Timers watch heartbeats; without sessions a replay ends when its input does.
         timeMode="ProcessingTime" if processor.sessions else "None",
     )
