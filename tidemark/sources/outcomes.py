@@ -217,7 +217,9 @@ class AppendResult:
 def append_plan(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
     """One row per key of the batch: how often it occurs, and whether it conflicts,
     is already stored, or is new (``state``). The batch is reduced to keys and
-    digests before it is shuffled against the stored table."""
+    digests first. Of the stored table only keys are read until those of the batch are
+    picked out, so a small batch is sent to it and nothing stored is digested or shuffled
+    for other keys; adaptive execution picks the join by the measured size of the batch."""
     per_key = (
         batch.select(*KEY, row_digest().alias("digest"))
         .groupBy(*KEY)
@@ -230,7 +232,7 @@ def append_plan(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
     if stored is None:
         per_key = per_key.withColumn("held", F.lit(None).cast("string"))
     else:
-        held = stored.select(*KEY, row_digest().alias("held"))
+        held = stored.join(per_key.select(*KEY), KEY, "left_semi").select(*KEY, row_digest().alias("held"))
         per_key = per_key.join(held, KEY, "left")
     conflict = (F.col("digest") != F.col("other")) | (F.col("held") != F.col("digest"))
     return per_key.select(
@@ -262,7 +264,8 @@ def append_outcomes(batch: DataFrame, path: str) -> AppendResult:
         raise OutcomeConflict("A conflicting record exists for a series and outcome id.")
     inserted = int(totals.inserted or 0)
     if inserted:
-        fresh = batch if stored is None else batch.join(stored.select(*KEY), KEY, "left_anti")
+        new = plan.where(F.col("state") == "new").select(*KEY)
+        fresh = batch if stored is None else batch.join(new, KEY, "left_semi")
         fresh = fresh.dropDuplicates(KEY).withColumn("ingested_at", F.current_timestamp())
         fresh.write.mode("append").parquet(path)
     return AppendResult(inserted, int(totals.rows or 0) - inserted)
