@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.registry import audits, basics, modelling, observing, timing
+from tidemark.registry import audits, basics, modelling, observing, persisting, timing
 from tidemark.plans.ordering import Layout, measure_layout, stored_bytes, task_rows, use_layout
 from tidemark.plans.ordering import SMALL_ROW_BYTES, WHOLE
 from tidemark.registry.common import publish
 from tidemark.sources import driver_tables as D
 
-MODULES = [basics, observing, timing, modelling, audits]
+MODULES = [basics, observing, timing, modelling, audits, persisting]
 
 
 _LAYOUTS: dict[tuple, Layout] = {}
