@@ -217,9 +217,8 @@ class AppendResult:
 def append_plan(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
     """One row per key of the batch: how often it occurs, and whether it conflicts,
     is already stored, or is new (``state``). The batch is reduced to keys and
-    digests first. Of the stored table only keys are read until those of the batch are
-    picked out, so a small batch is sent to it and nothing stored is digested or shuffled
-    for other keys; adaptive execution picks the join by the measured size of the batch."""
+    digests first. The stored table is scanned, but rows with other keys go before they
+    are digested; adaptive execution picks that join by the measured size of the keys."""
     per_key = (
         batch.select(*KEY, row_digest().alias("digest"))
         .groupBy(*KEY)
