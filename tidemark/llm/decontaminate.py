@@ -1,10 +1,11 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-A window has as many words as a benchmark item. Its features are the hashes of its five-word
+A window has as many words as a benchmark item; a text that is shorter than an item, but long
+enough to reach the threshold, is one window for it. Its features are the hashes of its five-word
 shingles, weighted by how often they occur, and its fingerprint holds the signs of their
 weighted sums over 64 bits. A shingle that no item has cannot count towards any item, and a
 window shares none with an item unless it holds one of the item's, so fingerprints are made
-only for windows with a shingle of some item of their size. Fingerprints are cut into ``RADIUS + 1`` blocks: two that differ in at most
+only for windows with a shingle of some item they are made for. Fingerprints are cut into ``RADIUS + 1`` blocks: two that differ in at most
 ``RADIUS`` bits agree in a block, so looking up every block misses none within the radius.
 Candidates are then checked by their exact weighted (multiset) Jaccard similarity.
 
@@ -135,11 +136,14 @@ class Index:
                 by_size.setdefault(n, []).append(place)
         for n, own in sorted(by_size.items()):
             m = n - width + 1  # shingles of a window
+            if self.threshold * m <= len(shingles) < m:  # a text that is shorter than the item is its one window
+                self._stretch(shingles, 0, len(shingles), m, width, self.groups[n], best)
             for lo, hi in _stretches(np.array(own), m, len(shingles)):  # first shingles of windows
                 for at in range(lo, hi, 4096):
-                    self._stretch(shingles[at : min(hi, at + 4096) + m - 1], at, m, n, self.groups[n], best)
+                    self._stretch(shingles[at : min(hi, at + 4096) + m - 1], at, m, m, width, self.groups[n], best)
 
-    def _stretch(self, shingles, at, m, n, group, best):
+    def _stretch(self, shingles, at, m, of_item, width, group, best):
+        """Windows of ``m`` shingles against items of ``of_item``."""
         sums = np.zeros((len(shingles) + 1, BITS), np.int32)
         np.cumsum(bit_signs(shingles), axis=0, out=sums[1:])
         window, item = self.within_radius(group, fingerprints(sums[m:] - sums[:-m]))
@@ -147,9 +151,9 @@ class Index:
             theirs = group["counts"][i]
             mine = Counter(shingles[w : w + m].tolist())
             both = sum(min(c, mine[s]) for s, c in theirs.items() if s in mine)
-            similarity = both / (2 * m - both)
+            similarity = both / (m + of_item - both)
             if similarity >= self.threshold:
-                key = (similarity, -(at + w), n)
+                key = (similarity, -(at + w), m + width - 1)
                 if key > best.get(group["ids"][i], (0,)):
                     best[group["ids"][i]] = key
 
