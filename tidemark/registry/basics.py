@@ -105,6 +105,16 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "unique_key_check_all",
+    """SELECT event_id % 31 <> 0 OR event_id % 29 = 0 AS unique_keys, count(*) AS records FROM events GROUP BY 1""",
+)
+def _(spark, sf_dir):
+    return _raw(spark, sf_dir).groupBy(J.has_unique_keys(F.col("post_data")).alias("unique_keys")).agg(
+        F.count("*").alias("records")
+    )
+
+
 @query(
     "append_outcomes",
     f"""WITH {OUTCOMES},

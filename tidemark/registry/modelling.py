@@ -239,7 +239,7 @@ def _locks(spark, sf_dir):
     text = F.create_map(F.lit("1.5"), F.lit("0.500000"))
     kept = F.when(event_id % 2 == 0, text)
     empty = F.lit(None).cast("map<string,string>")
-    return D.outcomes(spark, sf_dir).where(event_id % 5 == 0).select(
+    return D.outcomes(spark, sf_dir).select(
         "series", event_id.alias("seq"),
         F.when(event_id % 15 == 0, "unknown").otherwise(F.col("outcome_id")).alias("previous_round_id"),
         F.struct(
@@ -250,6 +250,14 @@ def _locks(spark, sf_dir):
     )
 
 
+def _rebuilt(spark, sf_dir, locks):
+    rows = forecast.reconstruct_prior(locks, D.outcomes(spark, sf_dir), D.THRESHOLDS)
+    return rows.select(
+        "series", "seq", F.col("forecast.historical_probabilities")["20"].cast("double").alias("p20"),
+        F.coalesce("forecast.prior_reconstructed_for_audit", F.lit(False)).alias("rebuilt"),
+    )
+
+
 @query(
     "reconstruct_prior",
     f"""WITH {FREQUENCY} SELECT series, event_id AS seq,
@@ -258,11 +266,18 @@ def _locks(spark, sf_dir):
     FROM forecast WHERE event_id % 5 = 0 GROUP BY series, event_id""",
 )
 def _(spark, sf_dir):
-    rows = forecast.reconstruct_prior(_locks(spark, sf_dir), D.outcomes(spark, sf_dir), D.THRESHOLDS)
-    return rows.select(
-        "series", "seq", F.col("forecast.historical_probabilities")["20"].cast("double").alias("p20"),
-        F.coalesce("forecast.prior_reconstructed_for_audit", F.lit(False)).alias("rebuilt"),
-    )
+    return _rebuilt(spark, sf_dir, _locks(spark, sf_dir).where("seq % 5 = 0"))
+
+
+@query(
+    "reconstruct_prior_all",
+    f"""WITH {FREQUENCY} SELECT series, event_id AS seq,
+      CASE WHEN event_id % 2 = 0 THEN NULL WHEN event_id % 15 = 0 THEN NULL ELSE max(round_even((hits + actual) / (n + 1), 6)) FILTER (threshold = 20.0) END AS p20,
+      event_id % 2 = 1 AND event_id % 15 <> 0 AS rebuilt
+    FROM forecast GROUP BY series, event_id""",
+)
+def _(spark, sf_dir):
+    return _rebuilt(spark, sf_dir, _locks(spark, sf_dir))
 
 
 # --- online models and state ---------------------------------------------------------------

@@ -93,6 +93,17 @@ def _(spark, sf_dir):
     return out.select("series", "outcome_id", F.col("c.threshold").cast("double").alias("threshold"), "n", "c.hits")
 
 
+@query(
+    "history_as_of_all",
+    f"""WITH {FREQUENCY} SELECT series, outcome_id, threshold::DOUBLE AS threshold, n + 1 AS n,
+    CAST(hits + actual AS BIGINT) AS hits FROM forecast""",
+)
+def _(spark, sf_dir):
+    rows = D.outcomes(spark, sf_dir)
+    out = temporal.history_as_of(rows.select("series", "outcome_id"), rows, D.THRESHOLDS).select("series", "outcome_id", "n", F.explode("counts").alias("c"))
+    return out.select("series", "outcome_id", F.col("c.threshold").cast("double").alias("threshold"), "n", "c.hits")
+
+
 # --- features --------------------------------------------------------------------------------
 
 LOGS = f"""{OUTCOMES}, logs AS (SELECT *, ln(least(value::DOUBLE, 1000.0)) AS x,
