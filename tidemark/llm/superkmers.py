@@ -5,16 +5,22 @@ among its runs of ``MINIMISER_WORDS`` words, so equal windows have equal minimis
 they stand. Consecutive windows with one minimiser travel as one packed string to the bucket
 of that minimiser. In its bucket every distinct word gets a number, windows are sorted by a
 hash of these numbers, and neighbours are compared number by number, so counts are exact.
+
+Of equal texts only the one of the least document is packed. Windows of hot minimisers meet
+in three steps: in their pack, in one of ``SALTS`` buckets by window and document, and in one
+bucket by window. A window that is not the first of its equals in any step is repeated, and
+only first ones go on, so at most ``SALTS`` of equal windows reach the last bucket.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.shared import gram_hashes, mixed, pieces, text_of, texts, word_hashes, written
+from tidemark.llm.shared import gram_hashes, mixed, pieces, spread_join, text_of, texts, word_hashes, written
 
 MINIMISER_WORDS = 3
 #: Documents whose super-k-mers are packed together.
@@ -26,7 +32,11 @@ BUCKETS = 8
 #: A minimiser with more than this share of a sample's super-k-mers is spread by window.
 HOT_SHARE = 1 / 2000
 HOT_SAMPLE_ROWS = 4000
+#: Buckets over which equal windows of a hot minimiser are spread before their firsts meet.
+SALTS = 64
 NULL_ID = -(1 << 63)
+#: End of the one run of a text that a smaller document also has.
+WHOLE = -1
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -94,7 +104,42 @@ def _unblob(blob: bytes) -> list[bytes]:
     return zstandard.ZstdDecompressor().decompress(blob).split(b"\n")
 
 
-PACKED = "bucket int, strings binary, doc_id binary, tie binary, start binary"
+#: ``strings`` is null where ``start`` and ``last`` are runs that are known to be repeated.
+PACKED = "bucket int, hot boolean, strings binary, doc_id binary, tie binary, start binary, last binary"
+PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("hot", pa.bool_()), *((n, pa.binary()) for n in ("strings", "doc_id", "tie", "start", "last"))])
+
+
+def _longs(values) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values, np.int64).tobytes())
+
+
+def _unlongs(column) -> np.ndarray:
+    parts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.int64) for b in column.to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def _packed(bucket: int, hot: bool, strings: list[bytes] | None, doc, tie, start, last=None) -> pa.RecordBatch:
+    row = [bucket, hot, None if strings is None else _blob(strings), _longs(doc), _longs(tie), _longs(start), None if last is None else _longs(last)]
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, PACKED_ARROW)], schema=PACKED_ARROW)
+
+
+def numbered(words: list[bytes]) -> np.ndarray:
+    """A number for each word, equal for equal words; any number of bytes."""
+    return pa.array(words, pa.large_binary()).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def salted(windows: np.ndarray, doc: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each window of a hot minimiser: one of ``SALTS``, by its document."""
+    salt = mixed(doc.astype(np.int64).view(np.uint64)) % np.uint64(SALTS)
+    return (mixed(windows ^ mixed(salt + np.uint64(1))) % np.uint64(buckets)).astype(np.int64)
+
+
+def runs_of(doc: np.ndarray, tie: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of each run of consecutive places of one document."""
+    cut = np.ones(len(place), bool)
+    cut[1:] = (np.diff(place) != 1) | (np.diff(doc) != 0) | (np.diff(tie) != 0)
+    at = np.flatnonzero(cut)
+    return at, np.append(at[1:], len(place)) - 1
 
 
 def pack(docs: DataFrame, width: int, buckets: int, hot: np.ndarray) -> DataFrame:
@@ -121,38 +166,47 @@ def pack(docs: DataFrame, width: int, buckets: int, hot: np.ndarray) -> DataFram
         words, of_doc, first_word = _split(documents)
         if len(words) < width:
             return
-        starts, lasts, least = super_kmers(word_hashes(words), of_doc, width)
+        hashes = word_hashes(words)
+        starts, lasts, least = super_kmers(hashes, of_doc, width)
         bucket = (mixed(least) % np.uint64(buckets)).astype(np.int64)
+        is_hot = np.zeros(len(starts), bool)
         if len(hot):
             spread = np.isin(least, hot)
-            if spread.any():  # windows of their own, by the hash of the whole window
+            if spread.any():  # windows of their own, the first of equal ones of this pack
                 n = lasts[spread] - starts[spread] + 1
                 ends = np.cumsum(n)
                 alone = np.arange(ends[-1]) + np.repeat(starts[spread] - ends + n, n)
-                whole = gram_hashes(word_hashes(words), width)[alone]
+                doc = of_doc[alone]
+                alone = alone[np.lexsort((alone - first_word[doc], ties[doc], ids[doc]))]
+                doc = of_doc[alone]
+                place = alone - first_word[doc]
+                f = repeated_windows(numbered(words), alone, width)
+                later = np.flatnonzero((ids[doc[f]] != ids[doc]) | (ties[doc[f]] != ties[doc]) | (place[f] != place))
+                if len(later):
+                    d, t, p = ids[doc[later]], ties[doc[later]], place[later]
+                    at, last = runs_of(d, t, p)
+                    yield _packed(int(mixed(d[:1].view(np.uint64))[0] % np.uint64(buckets)), False, None, d[at], t[at], p[at], p[last])
+                firsts = np.flatnonzero(f == np.arange(len(f)))
+                alone, doc = alone[firsts], doc[firsts]
+                whole = gram_hashes(hashes, width)[alone]
                 starts, lasts = np.concatenate([starts[~spread], alone]), np.concatenate([lasts[~spread], alone])
-                bucket = np.concatenate([bucket[~spread], (mixed(whole) % np.uint64(buckets)).astype(np.int64)])
+                bucket = np.concatenate([bucket[~spread], salted(whole, ids[doc], buckets)])
+                is_hot = np.arange(len(starts)) >= len(starts) - len(alone)
         if not len(starts):
             return
         line = b" ".join(words)
         lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
         after = np.cumsum(lengths)  # one past the space behind each word
         begin, end = after - lengths, after - 1
-        order = np.lexsort((starts, bucket))
-        starts, lasts, bucket = starts[order], lasts[order], bucket[order]
+        order = np.lexsort((starts, is_hot, bucket))
+        starts, lasts, bucket, is_hot = starts[order], lasts[order], bucket[order], is_hot[order]
         a, b = begin[starts].tolist(), end[lasts + width - 1].tolist()
         doc = of_doc[starts]
         place = starts - first_word[doc]
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        cuts = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(is_hot) != 0)) + 1
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)]):
             strings = [line[x:y] for x, y in zip(a[lo:hi], b[lo:hi])]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([int(bucket[lo])], pa.int32()), pa.array([_blob(strings)], pa.binary()),
-                    *(pa.array([zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(v, np.int64).tobytes())], pa.binary()) for v in (ids[doc[lo:hi]], ties[doc[lo:hi]], place[lo:hi])),
-                ],
-                names=["bucket", "strings", "doc_id", "tie", "start"],
-            )
+            yield _packed(int(bucket[lo]), bool(is_hot[lo]), strings, ids[doc[lo:hi]], ties[doc[lo:hi]], place[lo:hi])
 
     return docs.mapInArrow(run, PACKED)
 
@@ -182,21 +236,54 @@ def repeated_windows(ids: np.ndarray, starts: np.ndarray, width: int) -> np.ndar
     return first
 
 
-def judge(packed: DataFrame, width: int) -> DataFrame:
-    """doc_id, tie and first and last start of runs of windows that also start earlier."""
-    schema = "doc_id long, tie long, a long, b long"
+JUDGED = "doc_id long, tie long, a long, b long, " + PACKED.replace("doc_id", "doc_ids").replace("tie", "ties")
+JUDGED_ARROW = pa.schema([*((n, pa.int64()) for n in ("doc_id", "tie", "a", "b")), *(pa.field({"doc_id": "doc_ids", "tie": "ties"}.get(f.name, f.name), f.type) for f in PACKED_ARROW)])
+
+
+def _runs(doc, tie, a, b) -> pa.Table:
+    return pa.table([pa.array(c, pa.int64()) for c in (doc, tie, a, b)] + [pa.nulls(len(doc), f.type) for f in PACKED_ARROW], schema=JUDGED_ARROW)
+
+
+def _forward(bucket, strings, doc, tie, start) -> list[pa.Table]:
+    """First windows by the bucket where all equal ones meet, in rows of up to ``PACK_ROWS``."""
+    out, order = [], np.argsort(bucket, kind="stable")
+    edges = [0, *(np.flatnonzero(np.diff(bucket[order])) + 1).tolist(), len(order)]
+    for lo, hi in zip(edges, edges[1:]):
+        for at in range(lo, hi, PACK_ROWS):
+            some = order[at : min(hi, at + PACK_ROWS)]
+            row = _packed(int(bucket[some[0]]), True, [strings[i] for i in some.tolist()], doc[some], tie[some], start[some])
+            out.append(pa.Table.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), *row.columns], schema=JUDGED_ARROW))
+    return out
+
+
+def judge(packed: DataFrame, width: int, buckets: int = 0) -> DataFrame:
+    """doc_id, tie and first and last start of runs of windows that also start earlier.
+
+    With ``buckets``, also rows with ``strings``: the first windows of hot minimisers, packed
+    by the bucket, of so many, where all equal ones meet.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        arrow = pa.schema([(n, pa.int64()) for n in ("doc_id", "tie", "a", "b")])
-        strings = [s for blob in table.column("strings").to_pylist() for s in _unblob(blob)]
-        doc, tie, start = (np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.int64) for b in table.column(c).to_pylist()]) for c in ("doc_id", "tie", "start"))
+        known = table.filter(pc.is_null(table.column("strings")))
+        table = table.filter(pc.is_valid(table.column("strings")))
+        out = [_runs(*(_unlongs(known.column(c)) for c in ("doc_id", "tie", "start", "last")))]
+        if table.num_rows:
+            out += compared(table)
+        return pa.concat_tables(out)
+
+    def compared(table: pa.Table) -> list[pa.Table]:
+        blobs = [_unblob(blob) for blob in table.column("strings").to_pylist()]
+        hot = np.repeat(table.column("hot").to_numpy(), [len(b) for b in blobs])
+        strings = [s for blob in blobs for s in blob]
+        del blobs
+        doc, tie, start = (_unlongs(table.column(c)) for c in ("doc_id", "tie", "start"))
         order = np.lexsort((start, tie, doc))
-        strings, doc, tie, start = [strings[i] for i in order.tolist()], doc[order], tie[order], start[order]
+        strings, doc, tie, start, hot = [strings[i] for i in order.tolist()], doc[order], tie[order], start[order], hot[order]
         counts = np.fromiter((s.count(b" ") + 1 for s in strings), np.int64, len(strings))
-        words = pa.array(b" ".join(strings).split(), pa.binary())
-        del strings
-        ids = words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        del words
+        line = b" ".join(strings)
+        strings = [s if h else None for s, h in zip(strings, hot.tolist())]  # others are no longer needed
+        ids = numbered(line.split())
+        del line
         windows = counts - width + 1
         ends = np.cumsum(windows)
         of_string = np.repeat(np.arange(len(windows)), windows)
@@ -205,17 +292,27 @@ def judge(packed: DataFrame, width: int) -> DataFrame:
         place = start[of_string] + offset
         f = of_string[first]
         earlier = (doc[f] != doc[of_string]) | (tie[f] != tie[of_string]) | (place[first] != place)
+        out = []
         hit = np.flatnonzero(earlier)
-        if not len(hit):
-            return arrow.empty_table()
-        cut = np.ones(len(hit), bool)
-        cut[1:] = (np.diff(hit) != 1) | (np.diff(of_string[hit]) != 0)
-        at = np.flatnonzero(cut)
-        last = np.append(at[1:], len(hit)) - 1
-        s = of_string[hit[at]]
-        return pa.table([doc[s], tie[s], place[hit[at]], place[hit[last]]], schema=arrow)
+        if len(hit):
+            s = of_string[hit]
+            a, b = runs_of(doc[s], tie[s], place[hit])
+            out.append(_runs(doc[s[a]], tie[s[a]], place[hit[a]], place[hit[b]]))
+        on = np.flatnonzero(hot[of_string] & (first == np.arange(len(first)))) if buckets else hit[:0]
+        if len(on):  # windows of hot minimisers are strings of their own
+            s = of_string[on]
+            some = [strings[i] for i in s.tolist()]
+            out += _forward((mixed(word_hashes(some)) % np.uint64(buckets)).astype(np.int64), some, doc[s], tie[s], place[on])
+        return out
+
+    return packed.groupBy("bucket").applyInArrow(run, JUDGED)
+
 
-    return packed.groupBy("bucket").applyInArrow(run, schema)
+def later_copies(source: DataFrame) -> DataFrame:
+    """doc_id and tie, once each, of texts that a smaller document also has."""
+    ids = source.select("doc_id", "tie", F.unhex(F.sha2("text", 256)).alias("digest")).distinct()
+    least = ids.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("digest", "least")
+    return spread_join(ids, least, ["digest"], ["doc_id"]).where("doc_id > least").select("doc_id", "tie")
 
 
 def mark_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,16 +326,25 @@ def mark_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_
     a text with fewer words than ``width`` has no window; an empty table gives no rows;
     other columns are not read.
 
-    Two shuffles: packed super-k-mers by bucket, and texts beside the runs of their repeated
-    windows by document. A minimiser that a sample shows to be hot is spread by window.
+    Texts that a smaller document also has are found by digest and not packed: all their
+    windows also start there. Packed super-k-mers are shuffled by bucket, the first windows of
+    minimisers that a sample shows to be hot once more, and texts twice by document: to leave
+    out copies, and to meet the runs of their repeated windows.
     """
     spark = docs.sparkSession
     # One more sort key than the id: rows of one id with different texts.
     source = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("tie"), text_of(text_col).alias("text"))
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = hot_minimisers(source, width)
-    runs = written(judge(pack(source, width, buckets, spread), width), "repeats")
-    marks = runs.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    copies = written(later_copies(source), "copies")
+    # In one order, so that a task that runs again makes the same packs.
+    once = source.join(copies, ["doc_id", "tie"], "left_anti").sortWithinPartitions("doc_id", "tie")
+    judged = written(judge(pack(once, width, buckets, spread), width, buckets), "repeats")
+    met = judged.where("strings IS NOT NULL").select("bucket", "hot", "strings", F.col("doc_ids").alias("doc_id"), F.col("ties").alias("tie"), "start", "last")
+    run = ["doc_id", "tie", "a", "b"]
+    runs = judged.where("strings IS NULL").select(run).unionByName(judge(met, width).select(run))
+    whole = copies.select("doc_id", "tie", F.lit(0).cast("long").alias("a"), F.lit(WHOLE).cast("long").alias("b"))
+    marks = runs.unionByName(whole).groupBy("doc_id", "tie").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     joined = source.join(marks, ["doc_id", "tie"], "left").select("doc_id", "text", F.col("runs.a").alias("a"), F.col("runs.b").alias("b"))
     schema = "doc_id long, n_words long, n_removed long, kept string"
 
@@ -248,7 +354,9 @@ def mark_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_
             for doc, text, a, b in zip(*(piece.column(i).to_pylist() for i in range(4))):
                 words = (text or "").encode().split()
                 kept = words
-                if a:
+                if a and b[0] == WHOLE:
+                    kept = words if len(words) < width else []
+                elif a:
                     change = np.zeros(len(words) + 1, np.int64)
                     np.add.at(change, a, 1)
                     np.add.at(change, np.array(b) + width, -1)
