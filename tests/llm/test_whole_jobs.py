@@ -89,3 +89,11 @@ def test_only_one_of_equal_texts_is_packed(spark, monkeypatch):
             assert r.n_removed == (n if r.doc_id else 0) and (r.kept == "" if n and r.doc_id else r.kept in (long, short))
         else:
             assert r.kept.split()[-2:] == [str(r.doc_id), "more"]
+
+
+def test_tasks_hold_one_block_of_a_benchmark(spark):
+    items = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(12))) for i in range(9)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, "and " + " ".join(f"w{i}x{j}" for j in range(12))) for i in range(12)], "doc_id long, text string")
+    marked, name = decontaminate.add_matches(docs, items, block_items=2)
+    assert marked._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {(r.doc_id, m.item_id) for r in marked.collect() for m in r[name]} == {(i, i) for i in range(9)}

@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.shared import WORD_BYTES, free_name, gram_hashes, normal_words, pieces, split_words, text_of, texts, word_hashes
+from tidemark.llm.shared import WORD_BYTES, free_name, gram_hashes, normal_words, pieces, split_words, text_of, texts, word_hashes, written
 
 SHINGLE = 5
 BITS = 64
@@ -190,7 +190,8 @@ def add_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, t
     Words are lower-case runs without ASCII punctuation; an item of fewer than five words is
     one shingle. A match names the item, the similarity of the most similar window (the
     earliest of ties) and where it stands. The scan goes row by row, once for each block of
-    ``block_items`` items, so there is no shuffle and neither hot documents nor copies
+    ``block_items`` items and written before the next, so that tasks hold one block's index
+    and there is no shuffle and neither hot documents nor copies
     matter. Null and empty texts, and items without words, match nothing; repeated items and
     rows with null ids are matched each; an empty benchmark matches nothing. All columns of
     ``docs`` are kept; the new one gets underscores in front where its name is taken.
@@ -198,7 +199,11 @@ def add_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, t
     name = free_name(docs, "matches")
     out = docs.withColumn(name, F.expr(f"cast(array() as {MATCHES})"))
     place, text_at = len(docs.columns), docs.columns.index(text_col)
+    index = None
     for items in item_blocks(benchmark, block_items):
+        if index is not None:  # a block's scan ends before the next one's index is made
+            out = written(out, "matches")
+            index.unpersist()
         index = docs.sparkSession.sparkContext.broadcast(Index(items, threshold))  # of at most block_items items
 
         def run(batches, index=index):
