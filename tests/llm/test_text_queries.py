@@ -20,7 +20,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="driver tables
 
 def test_all_are_registered():
     assert set(llm.QUERIES) <= set(entry.queries()) and set(llm.ORACLES) <= set(entry.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in llm.QUERIES if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in llm.QUERIES if n != "pipeline") == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(llm.ORACLES))
@@ -34,6 +34,13 @@ def test_classifier_on_held_out_labels(spark):
     assert sum(r.predicted == r.quality for r in rows) >= 0.9 * len(rows)
 
 
+def test_languages_of_held_out_texts(spark):
+    found = llm.QUERIES["op11_language_id"](spark, SF_DIR)
+    rows = found.join(llm.table(spark, SF_DIR, "documents").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
+    assert sum(r.lang_pred == r.lang for r in rows) >= 0.9 * len(rows) > 0
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
 def test_pipeline_stages(spark):
     docs = llm.table(spark, SF_DIR, "documents")
     columns = docs.columns

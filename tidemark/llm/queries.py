@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.llm import byte_bpe, chat, decontaminate, jaccard_join, licenses, pii, quality_rules, rule_ensemble, superkmers, token_codes
+from tidemark.llm import (
+    byte_bpe, centroids, chat, decontaminate, hard_negatives, jaccard_join, language_id, licenses, pii, quality_rules, rule_ensemble, superkmers, token_codes
+)
 from tidemark.llm.shared import new_folder, text_of
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
@@ -93,6 +95,20 @@ def jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.document_classes(table(spark, sf_dir, "documents"))
 
 
+def language_identification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predictions(table(spark, sf_dir, "documents"))
+
+
+def hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved))
+
+
+def centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -110,6 +126,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": license_scan,
     "op9_personal_data": personal_data,
     "op10_jaccard_join": jaccard_classes,
+    "op11_language_id": language_identification,
+    "op12_hard_negatives": hard_negative_mining,
+    "op13_centroid_clusters": centroid_clustering,
     "pipeline": pipeline,
 }
 
@@ -203,9 +222,55 @@ SELECT doc_id, class_id, coalesce(degree.n, 0)::BIGINT AS n_links, copies AS n_c
 FROM documents JOIN forms ON forms.k = md5(coalesce(text, '')) JOIN class ON class.k = forms.k LEFT JOIN degree ON degree.k = forms.k
 """
 
+FINITE_SQL = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+
+NEGATIVES_SQL = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {FINITE_SQL}),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3
+"""
+
+
+def clusters_sql(rounds: int = 10) -> str:
+    """Rounds of assignment and means, one after another."""
+    steps = [
+        f"v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings WHERE len(embedding) = 64 AND {FINITE_SQL})",
+        "c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h, q) - 1)::INT AS c, q FROM (SELECT q, sha256('3:' || vec_id) AS h FROM v WHERE vec_id IS NOT NULL) ORDER BY h, q LIMIT 8)",
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"a{r} AS MATERIALIZED (SELECT vec_id, v.q, c, list_sum(list_transform(list_zip(v.q, k.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d "
+            f"FROM v, c{r} k QUALIFY row_number() OVER (PARTITION BY v.vec_id, v.q ORDER BY d, c) = 1)"
+        )
+        if r < rounds:
+            steps.append(
+                f"m{r} AS (SELECT c, list(CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END ORDER BY i)::BIGINT[] AS q FROM "
+                f"(SELECT c, i, sum(q[i])::BIGINT AS s, count(*) AS n FROM a{r}, range(1, 65) AS t(i) GROUP BY c, i) GROUP BY c)"
+            )
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c, coalesce(m.q, o.q) AS q FROM c{r} o LEFT JOIN m{r} m USING (c))")
+    last = rounds
+    return (
+        "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, c AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(k.q, ',')) AS centroid_sha256
+FROM a{last} a JOIN c{last} k USING (c)"""
+    )
+
+
 ORACLES = {
     "op3_adaptive_rules": ADAPTIVE_SQL,
     "op4_superkmer_dedup": SUBSTRING_SQL,
     "op5_chat_formatting": CHAT_SQL,
     "op10_jaccard_join": JACCARD_SQL,
+    "op12_hard_negatives": NEGATIVES_SQL,
+    "op13_centroid_clusters": clusters_sql(),
 }
