@@ -24,7 +24,7 @@ from tidemark.llm.shared import ODD, free_name, mixed, pieces, text_of
 UNDETERMINED = "und"
 
 #: Hashed features.
-BINS = 1 << 13
+BINS = 1 << 12
 
 #: Lengths of n-grams.
 GRAMS = (1, 2, 3, 4)
@@ -32,8 +32,8 @@ GRAMS = (1, 2, 3, 4)
 #: Distinct words that are looked at together.
 WORDS = 20_000
 
-#: Training texts of each language, at most.
-PER_LANGUAGE = 1_500
+#: Training texts in all, at most; each language has an equal part of them, but at least ``FEWEST``.
+MOST_TEXTS, FEWEST = 2_400, 20
 
 #: Families of common languages by ISO 639-1 code; a parameter.
 FAMILIES = {
@@ -216,11 +216,12 @@ def _machine(x: np.ndarray, positive: np.ndarray) -> np.ndarray:
     return linear_svm(x, y, cost)
 
 
-def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", families: dict[str, tuple[str, ...]] = FAMILIES, most: int = PER_LANGUAGE) -> Model | None:
+def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", families: dict[str, tuple[str, ...]] = FAMILIES, most: int = MOST_TEXTS) -> Model | None:
     """A model from the rows with a language and a letter that are not held out.
 
-    At most ``most`` texts of each language, those with the least hashes of their ids; their
-    feature counts are made by the tasks from the whole texts. None without such rows.
+    At most ``most`` texts, of each language an equal part, those with the least hashes of their
+    ids; their features are counted by the tasks from the whole texts, and the driver has
+    ``BINS`` numbers of each. None without such rows.
     """
     known = df.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull() & ~is_held_out(F.col(f"`{id_col}`"))).select(
         F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")
@@ -228,13 +229,14 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return None
+    each = max(FEWEST, most // len(counts))
     # A share of the hashes of each language leaves about twice as many rows as wanted, so that
     # the sort for the least ones sees a bounded number of rows of a language.
     bits = 30
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, 2.0 * most / n) * (1 << bits)))])
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, 2.0 * each / n) * (1 << bits)))])
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
     some = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << bits)) < share[F.col("lang")])
-    some = some.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n", "id")
+    some = some.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).drop("n", "id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -253,11 +255,14 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             kept = n_words > 0
             yield pa.RecordBatch.from_arrays([langs.filter(pa.array(kept)), pa.array([(f / f.sum()).tobytes() for f, k in zip(found, kept) if k], pa.binary())], ["lang", "share"])
 
-    rows = some.mapInArrow(count, "lang string, share binary").orderBy("lang", "share").toArrow()
-    if not rows.num_rows:
+    found = some.mapInArrow(count, "lang string, share binary").toArrow()
+    if not found.num_rows:
         return None
-    langs = np.array(rows.column(0).to_pylist(), object)
-    x = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.float32).reshape(len(langs), BINS)
+    # One order, however the rows come, so that a model is the same each time.
+    rows = sorted(zip(found.column(0).to_pylist(), found.column(1).to_pylist()))
+    langs = np.array([lang for lang, _ in rows], object)
+    x = np.frombuffer(b"".join(share for _, share in rows), np.float32).reshape(len(langs), BINS)
+    del found, rows
     languages = sorted(set(langs))
     spread = _scale(x)
     x = np.concatenate([x * spread, np.ones((len(x), 1), np.float32)], axis=1)
