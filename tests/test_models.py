@@ -115,19 +115,68 @@ def test_online_rls_equals_a_plain_loop(spark, layout):
             assert got == pytest.approx(direct_rls(x, hits[:, k], factor, 10.0), abs=1e-8)
 
 
-def test_logistic_fit_is_the_minimum(spark):
+def test_logistic_fit_is_the_minimum():
     x, c = RNG.normal(size=(200, 3)), 0.3
     y = (RNG.random(200) < 1 / (1 + np.exp(-x[:, 0]))).astype(float)
+    x[:, 1] = 0.25  # a constant column
     fit = logistic.fit_logistic(x, y, c)
-    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    scale = np.where(x.std(axis=0) > 1e-12, x.std(axis=0), 1.0)
+    z = (x - x.mean(axis=0)) / scale
     p = fit.probability(x)
-    gradient = c * z.T @ (p - y) + fit.weights
-    assert np.abs(gradient).max() < 1e-6 and abs((p - y).sum()) < 1e-6
-    rows = spark.createDataFrame([(x[i].tolist(), int(y[i])) for i in range(200)], "x array<double>, y int")
-    other = logistic.fit_distributed(rows, 3, c)
-    assert np.concatenate([[other.intercept], other.weights]) == pytest.approx(
-        np.concatenate([[fit.intercept], fit.weights]), abs=1e-4
-    )
+    gradient = c * z.T @ (p - y) + fit.w[1:]
+    assert np.abs(gradient).max() < 1e-6 and abs((p - y).sum()) < 1e-6 and fit.w[2] == 0
+
+
+@pytest.mark.parametrize("n, size", [(1, 64), (63, 64), (64, 64), (65, 128), (3000, 256), (70_000, 65_536)])
+def test_sums_do_not_depend_on_the_cut(n, size):
+    x, y = RNG.normal(size=(n, 3)), (RNG.random((n, 2)) < 0.4).astype(float)
+    whole = logistic.Rows(np.arange(n), x, y, RNG.random((n, 2)))
+    ask = logistic.Moments([(0, n), (n // 3, n)], x[0])
+    cut = [logistic.Rows(*(a[at : at + size] for a in (whole.rank, whole.x, whole.hits, whole.prior))) for at in range(0, n, size)]
+    got = logistic.tree_sum(np.stack([logistic.answer(part, ask) for part in cut]))
+    assert got.tobytes() == logistic.answer(whole, ask).tobytes()
+    assert ask.read(got, 3, 2)[1]["hits"] == pytest.approx(y[n // 3 :].sum(axis=0))
+
+
+def test_experiment_of_plain_fits(spark):
+    values = [round(1 + float(v), 2) for v in RNG.exponential(3, size=160)]
+    got = {r.threshold: r for r in logistic.logistic_experiment(series_of(spark, values)).collect()}
+    logs, hit = np.log(np.minimum(values, 1000)), lambda t, v: float(v >= t)
+    x = [[logs[i - k] for k in range(1, 6)] + [logs[i - 20 : i].mean()] + [np.mean([hit(t, v) for v in values[i - 20 : i]]) for t in (1.5, 2, 5)] for i in range(20, 160)]
+    x, n = np.array(x), 140
+    test, val = n - int(n * 0.2), n - 2 * int(n * 0.2)
+    for t in (1.5, 2.0, 5.0):
+        y = np.array([hit(t, v) for v in values[20:]])
+        fits = {c: logistic.fit_logistic(x[:val], y[:val], c) for c in (0.1, 1.0, 10.0)}
+        score = {c: np.mean((f.probability(x[val:test]) - y[val:test]) ** 2) for c, f in fits.items()}
+        best = min(score, key=lambda c: (score[c], c))
+        final = logistic.fit_logistic(x[:test], y[:test], best)
+        assert (got[t].status, got[t].selected_c, got[t].train_rows, got[t].test_rows) == ("COMPLETE", best, val, n - test)
+        assert got[t].validation_brier == pytest.approx(score[best], abs=1e-10)
+        assert got[t].test_brier == pytest.approx(np.mean((final.probability(x[test:]) - y[test:]) ** 2), abs=1e-10)
+        assert 1 / (1 + np.exp(-got[t].intercept - x @ np.array(got[t].weights))) == pytest.approx(final.probability(x), abs=1e-9)
+
+
+@pytest.mark.parametrize("operator", [logistic.logistic_experiment, logistic.gated_logistic_forecast])
+def test_series_in_rounds_have_the_same_rows(spark, monkeypatch, operator):
+    from tidemark.plans import ordering
+
+    frames = [series_of(spark, [round(1 + float(v), 2) for v in RNG.exponential(3, size=n)]).drop("series").selectExpr(f"'s{n}' as series", "*") for n in (30, 190)]
+    rows = frames[0]
+    for f in frames[1:]:
+        rows = rows.unionByName(f)
+    whole = sorted(map(tuple, operator(rows).collect()))
+    ordering.use_layout(spark, None)
+    spark.conf.set(ordering.TASK_ROWS_CONF, "100")
+    monkeypatch.setattr(logistic, "FOLD", 4)
+    try:
+        cut = operator(rows)
+        assert "mapInPandas" in cut._jdf.queryExecution().toString() or "MapInPandas" in cut._jdf.queryExecution().toString()
+        cut = sorted(map(tuple, cut.collect()))
+    finally:
+        spark.conf.unset(ordering.TASK_ROWS_CONF)
+        ordering.use_layout(spark, ordering.WHOLE)
+    assert repr(cut) == repr(whole) and len(whole) == 6
 
 
 def test_challenger_reasons(spark):

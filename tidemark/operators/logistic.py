@@ -1,20 +1,29 @@
 """Logistic regression per series and threshold, chosen and judged chronologically.
 
-A series that fits a task is fitted there by Newton steps. Larger series are fitted
-by Spark's distributed LogisticRegression on columns standardised the same way; there
-are at most (all rows / rows of a task) of them, so the loop over them is bounded.
-Both minimise the same function: C times the log-loss plus half the squared weights
-of the standardised features, the intercept free.
+There is one solver. Newton's method needs only sums over rows: the loss, its gradient and
+its Hessian. A series' *program* asks for such sums, for all of its fits at once, and
+goes on with the answers until it can say its result. A series that fits a task is
+answered there. Larger series advance together: each round every task answers for the
+blocks it holds, the answers are added up, and every program takes its next step. There
+is one round for a step of all fits of all series, however many they are.
+
+Sums are taken over parts of 64 rows and added up as a binary tree over the numbers of the
+parts. Blocks are aligned with the tree, so a series has the same result, bit for bit,
+however it is cut.
+
+All fits minimise C times the log-loss plus half the squared weights of the standardised
+features, the intercept free.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Generator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle as pickle  # classes of this package travel by value
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
@@ -23,96 +32,353 @@ from tidemark.operators.forecast import check_thresholds, frequency_forecast, wi
 from tidemark.plans.lineage import settle
 from tidemark.plans.ordering import declared_layout, task_rows
 
+#: Rows whose sums are one leaf of the tree.
+PART = 64
+
+#: Leaves that are in memory with their features at once; a power of two.
+LEAVES = 1024
+
+#: Nodes of a series that one task adds up; a power of two.
+FOLD = 256
+
+
+# --- sums over rows ------------------------------------------------------------------------
+
+
+@dataclass
+class Rows:
+    """Consecutive samples of a series; the first rank is a multiple of ``PART``."""
+
+    rank: np.ndarray
+    x: np.ndarray
+    hits: np.ndarray
+    prior: np.ndarray
+
+    @classmethod
+    def of(cls, pdf: pd.DataFrame) -> Rows:
+        pdf = pdf.sort_values("rank")
+
+        def matrix(name: str) -> np.ndarray:
+            return np.stack(pdf[name].to_numpy()).astype(float) if len(pdf) else np.zeros((0, 0))
+
+        return cls(pdf["rank"].to_numpy(), matrix("x"), matrix("hits"), matrix("prior"))
+
+    def leaves(self, at: int) -> Rows:
+        """``LEAVES`` parts from the row ``at``, filled up with rows of rank -1."""
+        rows = slice(at, at + LEAVES * PART)
+        n = len(self.rank[rows])
+        shape = (-(-n // PART), PART)
+
+        def filled(a: np.ndarray, value: float = 0.0) -> np.ndarray:
+            out = np.full((shape[0] * PART, *a.shape[1:]), value, a.dtype)
+            out[:n] = a[rows]
+            return out.reshape(*shape, *a.shape[1:])
+
+        return Rows(filled(self.rank, -1), filled(self.x), filled(self.hits), filled(self.prior))
+
+    def within(self, lo: int, hi: int) -> np.ndarray:
+        return ((self.rank >= lo) & (self.rank < hi)).astype(float)
+
+
+def tree_sum(nodes: np.ndarray) -> np.ndarray:
+    """Sum over the first axis by neighbours, so that aligned cuts change no bit of it."""
+    while len(nodes) > 1:
+        if len(nodes) % 2:
+            nodes = np.concatenate([nodes, np.zeros_like(nodes[:1])])
+        nodes = nodes[0::2] + nodes[1::2]
+    return nodes[0]
+
 
 @dataclass
-class Fitted:
+class Fit:
+    """One fit: the ranks it learns from, its target, its scale, and where Newton's method is."""
+
+    lo: int
+    hi: int
+    target: int
+    c: float
     mean: np.ndarray
     scale: np.ndarray
-    intercept: float
-    weights: np.ndarray
+    w: np.ndarray
+    trial: np.ndarray = None
+    loss: float | None = None
+    step: np.ndarray | None = None
+    size: float = 1.0
+    steps: int = 0
+    done: bool = False
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        margin = self.intercept + ((x - self.mean) / self.scale) @ self.weights
-        return 1.0 / (1.0 + np.exp(-np.clip(margin, -700, 700)))
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, c: float, steps: int = 100) -> Fitted:
-    """Newton's method with step halving on standardised features."""
-    mean, scale = x.mean(axis=0), x.std(axis=0)
-    scale = np.where(scale > 0, scale, 1.0)
-    z = np.concatenate([np.ones((len(x), 1)), (x - mean) / scale], axis=1)
-    ridge = np.ones(z.shape[1])
-    ridge[0] = 0.0
-
-    def loss(w: np.ndarray) -> float:
-        margin = z @ w
-        return c * float(np.logaddexp(0.0, np.where(y > 0, -margin, margin)).sum()) + 0.5 * float(
-            (ridge * w * w).sum()
-        )
-
-    w = np.zeros(z.shape[1])
-    rate = min(max(float(y.mean()), 1e-9), 1 - 1e-9)
+        return _sigmoid(self.w[0] + ((x - self.mean) / self.scale) @ self.w[1:])
+
+    def take(self, loss: float, gradient: np.ndarray, hessian: np.ndarray) -> None:
+        """Go on with the sums at the trial weights: accept them, or halve the step."""
+        ridge = np.ones(len(self.w))
+        ridge[0] = 0.0
+        now = self.c * loss + 0.5 * float((ridge * self.trial * self.trial).sum())
+        if self.loss is not None and now > self.loss + 1e-13 * max(1.0, abs(self.loss)):
+            self.size /= 2
+            self.done = self.size < 1e-8
+            self.trial = self.w - self.size * self.step
+            return
+        gradient = self.c * gradient + ridge * self.trial
+        little = self.loss is not None and self.loss - now < 1e-13 * max(1.0, abs(now))
+        self.w, self.loss, self.size, self.steps = self.trial, now, 1.0, self.steps + 1
+        self.done = little or np.abs(gradient).max() < 1e-10 or self.steps > 100
+        self.step = np.linalg.solve(self.c * hessian + np.diag(ridge + 1e-12), gradient)
+        self.trial = self.w - self.step
+
+
+def _sigmoid(margin: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(margin, -700, 700)))
+
+
+@dataclass
+class Moments:
+    """For each range of ranks: rows, shifted sums and squares of x, hits, and the loss of the prior."""
+
+    ranges: list[tuple[int, int]]
+    shift: np.ndarray
+    places: int | None = None
+
+    def sums(self, part: Rows) -> np.ndarray:
+        x = part.x - self.shift
+        prior = part.prior if self.places is None else np.round(part.prior, self.places)
+        off = (prior - part.hits) ** 2
+        out = []
+        for lo, hi in self.ranges:
+            m = part.within(lo, hi)[..., None]
+            out += [m.sum(axis=1), (m * x).sum(axis=1), (m * x * x).sum(axis=1), (m * part.hits).sum(axis=1), (m * off).sum(axis=1)]
+        return np.concatenate(out, axis=1)
+
+    def read(self, sums: np.ndarray, width: int, targets: int) -> list[dict]:
+        out = []
+        for one in np.split(sums, len(self.ranges)):
+            n, x, xx, hits, off = np.split(one, np.cumsum([1, width, width, targets]))
+            n = int(n[0])
+            mean = x / max(n, 1)
+            spread = np.sqrt(np.maximum(xx / max(n, 1) - mean * mean, 0.0))
+            out.append({"n": n, "mean": self.shift + mean, "scale": np.where(spread > 0, spread, 1.0), "hits": hits, "prior_loss": off / max(n, 1)})
+        return out
+
+
+@dataclass
+class Newton:
+    """For each fit: the log-loss, its gradient and its Hessian at the trial weights."""
+
+    fits: list[Fit]
+
+    def sums(self, part: Rows) -> np.ndarray:
+        out, scaled = [], {}
+        for f in self.fits:
+            if (f.lo, f.hi) not in scaled:
+                z = (part.x - f.mean) / f.scale
+                scaled[f.lo, f.hi] = np.concatenate([np.ones((*z.shape[:2], 1)), z], axis=2)
+            z, m, y = scaled[f.lo, f.hi], part.within(f.lo, f.hi), part.hits[..., f.target]
+            margin = z @ f.trial
+            p = _sigmoid(margin)
+            loss = (m * np.logaddexp(0.0, np.where(y > 0, -margin, margin))).sum(axis=1)
+            gradient = np.matmul((m * (p - y))[:, None, :], z)[:, 0]
+            hessian = np.matmul(z.transpose(0, 2, 1), (m * p * (1 - p))[..., None] * z)
+            out += [loss[:, None], gradient, hessian.reshape(len(z), -1)]
+        return np.concatenate(out, axis=1)
+
+    def read(self, sums: np.ndarray) -> None:
+        for f, one in zip(self.fits, np.split(sums, len(self.fits))):
+            d = len(f.trial)
+            f.take(float(one[0]), one[1 : d + 1], one[d + 1 :].reshape(d, d))
+
+
+@dataclass
+class Losses:
+    """For each fit: the sum of squared errors of its probabilities on other ranks."""
+
+    fits: list[Fit]
+    lo: int
+    hi: int
+
+    def sums(self, part: Rows) -> np.ndarray:
+        m = part.within(self.lo, self.hi)
+        return np.stack([(m * (f.probability(part.x) - part.hits[..., f.target]) ** 2).sum(axis=1) for f in self.fits], axis=1)
+
+
+def answer(rows: Rows, ask: Moments | Newton | Losses) -> np.ndarray:
+    """The sums over all rows."""
+    chunks = range(0, len(rows.rank), LEAVES * PART)
+    return tree_sum(np.stack([tree_sum(ask.sums(rows.leaves(at))) for at in chunks]))
+
+
+#: Asks for sums and ends with rows of the result.
+Program = Generator["Moments | Newton | Losses", np.ndarray, list]
+
+
+def newton(fits: list[Fit]) -> Generator[Newton, np.ndarray, None]:
+    """Run all fits to their ends, together."""
+    while active := [f for f in fits if not f.done]:
+        ask = Newton(active)
+        ask.read((yield ask))
+
+
+def losses(fits: list[Fit], lo: int, hi: int) -> Generator[Losses, np.ndarray, np.ndarray]:
+    """Mean squared errors on ranks from ``lo`` to before ``hi``."""
+    if not fits:
+        return np.zeros(0)
+    return (yield Losses(fits, lo, hi)) / (hi - lo)
+
+
+def start(stats: dict, lo: int, hi: int, target: int, c: float) -> Fit:
+    """A fit whose weights are zero but for the intercept of the rate of hits."""
+    rate = min(max(stats["hits"][target] / stats["n"], 1e-9), 1 - 1e-9)
+    w = np.zeros(len(stats["mean"]) + 1)
     w[0] = np.log(rate / (1 - rate))
-    current = loss(w)
-    for _ in range(steps):
-        p = 1.0 / (1.0 + np.exp(-np.clip(z @ w, -700, 700)))
-        gradient = c * (z.T @ (p - y)) + ridge * w
-        hessian = c * (z.T * (p * (1 - p))) @ z + np.diag(ridge + 1e-12)
-        step = np.linalg.solve(hessian, gradient)
-        size = 1.0
-        while size > 1e-8 and loss(w - size * step) > current:
-            size /= 2
-        w = w - size * step
-        before, current = current, loss(w)
-        if np.abs(gradient).max() < 1e-10 or before - current < 1e-15 * max(1.0, abs(current)):
-            break
-    return Fitted(mean, scale, float(w[0]), w[1:])
-
-
-def brier(y: np.ndarray, p: np.ndarray) -> float:
-    return float(((p - y) ** 2).mean())
-
-
-# --- fitting beyond one task -------------------------------------------------------------
-
-
-def fit_distributed(rows: DataFrame, width: int, c: float) -> Fitted:
-    """The same fit by Spark ML; ``rows`` has (x ARRAY<DOUBLE>, y)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    moments = rows.agg(
-        F.count("*").alias("n"),
-        *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(width)],
-        *[F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in range(width)],
-    ).first()
-    mean = np.array([moments[f"m{i}"] for i in range(width)])
-    scale = np.array([moments[f"s{i}"] or 1.0 for i in range(width)])
-    z = F.array(
-        *[(F.col("x")[i] - float(mean[i])) / float(scale[i]) for i in range(width)]
-    )
-    ready = rows.select(array_to_vector(z).alias("features"), F.col("y").cast("double").alias("label"))
-    model = LogisticRegression(
-        regParam=1.0 / (c * moments.n), elasticNetParam=0.0, standardization=False,
-        maxIter=1000, tol=1e-10,
-    ).fit(ready)
-    return Fitted(mean, scale, float(model.intercept), np.array(model.coefficients.toArray()))
+    return Fit(lo, hi, target, c, stats["mean"], stats["scale"], w, trial=w)
+
+
+def both_classes(stats: dict, target: int) -> bool:
+    return 0 < stats["hits"][target] < stats["n"]
+
 
+def in_task(program: Program, rows: Rows) -> list:
+    """The result of a program whose rows are all here."""
+    try:
+        ask = next(program)
+        while True:
+            ask = program.send(answer(rows, ask))
+    except StopIteration as end:
+        return end.value
 
-def _scored(rows: DataFrame, fit: Fitted, name: str) -> DataFrame:
-    margin: Column = F.lit(fit.intercept)
-    for i, w in enumerate(fit.weights):
-        margin = margin + (F.col("x")[i] - float(fit.mean[i])) / float(fit.scale[i]) * float(w)
-    return rows.withColumn(name, 1.0 / (1.0 + F.exp(-margin)))
 
+def fit_logistic(x: np.ndarray, y: np.ndarray, c: float) -> Fit:
+    """One fit of rows that are all here."""
+    rows = Rows(np.arange(len(x)), np.asarray(x, float), np.asarray(y, float)[:, None], np.zeros((len(x), 1)))
 
-def _mean_loss(rows: DataFrame, name: str) -> float:
-    return float(rows.agg(F.avg(F.pow(F.col(name) - F.col("y"), 2))).first()[0])
+    def program() -> Program:
+        ask = Moments([(0, len(x))], rows.x[0])
+        stats = ask.read((yield ask), rows.x.shape[1], 1)[0]
+        fit = start(stats, 0, len(x), 0, c)
+        yield from newton([fit])
+        return fit
 
+    return in_task(program(), rows)
 
-def _two_classes(rows: DataFrame) -> bool:
-    found = rows.agg(F.min("y").alias("lo"), F.max("y").alias("hi")).first()
-    return found.lo is not None and found.lo != found.hi
+
+# --- programs of many series -----------------------------------------------------------------
+
+
+def _frame(rows: list, names: list[str]) -> pd.DataFrame:
+    """Plain objects: strings in Arrow's own form may come in chunks, which a result refuses."""
+    return pd.DataFrame(rows, columns=names, dtype=object)
+
+
+def _fresh(df: DataFrame) -> DataFrame:
+    """The same columns under new identities, for a table that meets what was derived from it."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
+@dataclass
+class Work:
+    """The series whose programs are to run.
+
+    ``rows`` has all rows of a series, from which ``read`` makes, in a task, what the program is
+    made from and the samples. The same as tables, for series that no task holds: ``heads``,
+    one row for each series, with the number of its ``samples``, and ``samples`` with
+    (series, rank, x, hits, prior).
+    """
+
+    rows: DataFrame
+    read: Callable[[pd.DataFrame], tuple[dict, pd.DataFrame]]
+    heads: DataFrame
+    samples: DataFrame
+
+
+def run_programs(work: Work, program: Callable[[dict], Program], schema: str) -> DataFrame:
+    """The result rows of every series' program.
+
+    Series of more samples than the rows of a task go in rounds, if there are any; the others
+    are one task's work.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        head, samples = work_read(pdf)
+        return _frame(in_task(program(head), Rows.of(samples)), names)
+
+    work_read = work.read
+    declared = declared_layout(work.rows)
+    limit = task_rows(work.rows)
+    if declared is None or not declared.whole:
+        heads = settle(work.heads)
+        most = heads.agg(F.max("samples")).first()[0] or 0
+        if most > limit:
+            large = heads.where(F.col("samples") > limit)
+            others = _fresh(heads.where(F.col("samples") <= limit).select("series"))
+            small = work.rows.join(others, "series", "left_semi").groupBy("series").applyInPandas(kernel, schema)
+            return small.unionByName(_in_rounds(large, _fresh(work.samples), program, schema, limit, most))
+    return work.rows.groupBy("series").applyInPandas(kernel, schema)
+
+
+STATE = "series string, log binary, ask binary, result binary"
+
+
+def _in_rounds(large: DataFrame, rows: DataFrame, program, schema: str, limit: int, most: int) -> DataFrame:
+    names = [c.split()[0] for c in schema.split(", ")]
+    size = PART
+    while 2 * size <= limit:
+        size *= 2
+    cut = rows.join(large.select("series"), "series", "left_semi").withColumn("block", F.floor(F.col("rank") / size).cast("bigint"))
+    cut = settle(cut)
+    blocks = _fresh(settle(cut.select("series", "block").distinct()))
+
+    def advance(head: dict, log: list[np.ndarray]) -> tuple:
+        """Run the program again from its start with the answers so far: its next question, or its end."""
+        running = program(head)
+        try:
+            ask = next(running)
+            for sums in log:
+                ask = running.send(sums)
+            return (head["series"], pickle.dumps(log), pickle.dumps(ask), None)
+        except StopIteration as end:
+            return (head["series"], None, None, pickle.dumps(end.value))
+
+    def step(head: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        made = []
+        for h, s in zip(head.to_dict("records"), state.to_dict("records") or [{}]):
+            if s.get("result") is not None:
+                made.append((h["series"], None, None, s["result"]))
+            else:
+                log = pickle.loads(s["log"]) + [pickle.loads(s["node"])] if s.get("log") is not None else []
+                made.append(advance(h, log))
+        return _frame(made, ["series", "log", "ask", "result"])
+
+    def measure(pdf: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        if not len(asks) or not len(pdf):
+            return _frame([], ["series", "block", "node"])
+        node = answer(Rows.of(pdf), pickle.loads(asks["ask"].iloc[0]))
+        return _frame([(asks["series"].iloc[0], asks["block"].iloc[0], pickle.dumps(node))], ["series", "block", "node"])
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        nodes = np.stack([pickle.loads(n) for n in pdf["node"]])
+        return _frame([(pdf["series"].iloc[0], pdf["block"].iloc[0] // FOLD, pickle.dumps(tree_sum(nodes)))], ["series", "block", "node"])
+
+    nothing = large.sparkSession.createDataFrame([], STATE + ", node binary")
+    state = settle(large.groupBy("series").cogroup(nothing.groupBy("series")).applyInPandas(step, STATE))
+    while not state.where("ask is not null").isEmpty():
+        asks = _fresh(state.where("ask is not null").select("series", "ask")).join(blocks, "series")
+        nodes = cut.groupBy("series", "block").cogroup(asks.groupBy("series", "block")).applyInPandas(measure, "series string, block bigint, node binary")
+        n_blocks = -(-most // size)
+        while True:
+            nodes = nodes.groupBy("series", F.floor(F.col("block") / FOLD).alias("_up")).applyInPandas(fold, "series string, block bigint, node binary")
+            if n_blocks <= FOLD:
+                break
+            n_blocks = -(-n_blocks // FOLD)
+        told = _fresh(state).join(_fresh(nodes.select("series", "node")), "series", "left")
+        state = settle(large.groupBy("series").cogroup(told.groupBy("series")).applyInPandas(step, STATE))
+
+    def unpack(batches):
+        for pdf in batches:
+            yield _frame([r for result in pdf["result"] for r in pickle.loads(result)], names)
+
+    return state.select("result").mapInPandas(unpack, schema)
 
 
 # --- samples ---------------------------------------------------------------------------
@@ -153,21 +419,10 @@ def chronological_split(
     return rows.withColumns({"rank": rank, "part": part.otherwise("train")}).drop("_first")
 
 
-def _by_size(rows: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Rows of series that fit a task, and the names of those that do not."""
-    declared = declared_layout(rows)
-    if declared is not None and declared.whole:
-        return rows, []
-    limit = task_rows(rows)
-    large = rows.groupBy("series").count().where(F.col("count") > limit)
-    names = [r.series for r in large.select("series").collect()]
-    return (rows.where(~F.col("series").isin(names)) if names else rows), names
-
-
 EXPERIMENT = (
     "series string, threshold double, status string, selected_c double, train_rows bigint, "
     "validation_rows bigint, test_rows bigint, validation_brier double, test_brier double, "
-    "baseline_test_brier double, test_positive_rate double"
+    "baseline_test_brier double, test_positive_rate double, intercept double, weights array<double>"
 )
 
 
@@ -180,68 +435,52 @@ def logistic_experiment(
 ) -> DataFrame:
     """Choose C on validation rows, refit, and score the untouched test rows.
 
-    The baseline is the expanding frequency, rounded to 6 places as published.
+    The baseline is the expanding frequency, rounded to 6 places as published. The intercept
+    and the weights of the refit belong to the features as they are.
     """
     thresholds = check_thresholds(thresholds)
     numbers, grid = [float(t) for t in thresholds], [float(c) for c in c_values]
-    samples = labelled_samples(outcomes, thresholds)
-    split = chronological_split(samples, validation_fraction, test_fraction)
-    small, large = _by_size(split)
+    split = chronological_split(labelled_samples(outcomes, thresholds), validation_fraction, test_fraction)
+    heads = split.groupBy("series").agg(
+        F.count("*").alias("samples"), F.count_if(F.col("part") == "train").alias("train"),
+        F.count_if(F.col("part") != "test").alias("known"), F.min_by("x", "rank").alias("shift"),
+    )
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        x = np.stack(pdf["x"].to_numpy()).astype(float)
-        hits = np.stack(pdf["hits"].to_numpy())
-        prior = np.stack(pdf["prior"].to_numpy()).astype(float)
-        part = pdf["part"].to_numpy()
-        train, val, test = (part == p for p in ("train", "validation", "test"))
-        made = []
+    def program(head: dict) -> Program:
+        n, train, known, shift = int(head["samples"]), int(head["train"]), int(head["known"]), np.array(head["shift"], float)
+        ask = Moments([(0, train), (0, known), (known, n)], shift, places=6)
+        learned, before, test = ask.read((yield ask), len(shift), len(numbers))
+        able = [k for k in range(len(numbers)) if both_classes(learned, k)]
+        fits = [start(learned, 0, train, k, c) for k in able for c in grid]
+        yield from newton(fits)
+        score = dict(zip([(f.target, f.c) for f in fits], (yield from losses(fits, train, known))))
+        best = {k: min(grid, key=lambda c: (score[k, c], c)) for k in able}
+        final = [start(before, 0, known, k, best[k]) for k in able]
+        yield from newton(final)
+        tested = dict(zip(able, (yield from losses(final, known, n))))
+        weights = {f.target: f.w[1:] / f.scale for f in final}
+        rows = []
         for k, threshold in enumerate(numbers):
-            y = hits[:, k].astype(float)
-            row = [pdf["series"].iloc[0], threshold, "INSUFFICIENT_CLASS_VARIATION", None]
-            row += [int(train.sum()), int(val.sum()), int(test.sum()), None, None, None]
-            row.append(float(y[test].mean()))
-            if len(set(y[train])) > 1:
-                score = {c: brier(y[val], fit_logistic(x[train], y[train], c).probability(x[val])) for c in grid}
-                best = min(grid, key=lambda c: (score[c], c))
-                final = fit_logistic(x[~test], y[~test], best)
-                row[2], row[3], row[7] = "COMPLETE", best, score[best]
-                row[8] = brier(y[test], final.probability(x[test]))
-                row[9] = brier(y[test], np.round(prior[test, k], 6))
-            made.append(row)
-        return pd.DataFrame(made, columns=[c.split()[0] for c in EXPERIMENT.split(", ")])
-
-    report = small.groupBy("series").applyInPandas(kernel, EXPERIMENT)
-    if large:  # read by many fits
-        split = settle(split.where(F.col("series").isin(large)))
-    extra = [
-        _large_experiment(split.where(F.col("series") == s), s, k, t, grid)
-        for s in large
-        for k, t in enumerate(numbers)
-    ]
-    if extra:
-        report = report.unionByName(outcomes.sparkSession.createDataFrame(extra, EXPERIMENT))
-    return report
-
-
-def _large_experiment(rows: DataFrame, series: str, k: int, threshold: float, grid: list[float]) -> tuple:
-    rows = rows.select("part", "x", F.col("hits")[k].alias("y"), F.bround(F.col("prior")[k], 6).alias("base"))
-    train, val, test = (rows.where(F.col("part") == p) for p in ("train", "validation", "test"))
-    counts = {r.part: r["count"] for r in rows.groupBy("part").count().collect()}
-    sizes = [counts.get(p, 0) for p in ("train", "validation", "test")]
-    positive = float(test.agg(F.avg("y")).first()[0])
-    if not _two_classes(train):
-        return (series, threshold, "INSUFFICIENT_CLASS_VARIATION", None, *sizes, None, None, None, positive)
-    width = len(lag_names(5, RATE_THRESHOLDS))
-    score = {c: _mean_loss(_scored(val, fit_distributed(train, width, c), "p"), "p") for c in grid}
-    best = min(grid, key=lambda c: (score[c], c))
-    final = fit_distributed(rows.where(F.col("part") != "test"), width, best)
-    return (
-        series, threshold, "COMPLETE", best, *sizes, score[best],
-        _mean_loss(_scored(test, final, "p"), "p"), _mean_loss(test, "base"), positive,
-    )
+            row = [head["series"], threshold, "INSUFFICIENT_CLASS_VARIATION", None, train, known - train, n - known]
+            row += [None, None, None, float(test["hits"][k] / test["n"]), None, None]
+            if k in best:
+                row[2:4] = "COMPLETE", best[k]
+                row[7:10] = float(score[k, best[k]]), float(tested[k]), float(test["prior_loss"][k])
+                fit = final[able.index(k)]
+                row[11:] = float(fit.w[0] - weights[k] @ fit.mean), weights[k].tolist()
+            rows.append(row)
+        return rows
+
+    def read(pdf: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
+        part = pdf["part"]
+        first = pdf["x"].iloc[pdf["rank"].to_numpy().argmin()]
+        return {"series": pdf["series"].iloc[0], "samples": len(pdf), "train": (part == "train").sum(), "known": (part != "test").sum(), "shift": first}, pdf
+
+    samples = split.select("series", "rank", "x", "hits", "prior")
+    return run_programs(Work(split.drop("outcome_id", "pos"), read, heads, samples), program, EXPERIMENT)
 
 
+# Names, reasons and defaults of the challenger, as ledgers carry them.
 DECISION = (
     "series string, threshold double, source string, reason string, probability double, "
     "baseline_probability double, raw_candidate_probability double, selected_c double, "
@@ -262,14 +501,100 @@ class ChallengerConfig:
     max_probability_shift: float = 0.10
     c_values: tuple[float, ...] = (0.03, 0.1, 0.3, 1.0)
 
+    def sizes(self, n: int) -> tuple[int, int, int]:
+        """Rows to train, tune and gate, of ``n`` samples."""
+        gate = min(self.gate_rows, n - self.min_train_rows - self.tune_rows)
+        gate = max(self.min_gate_rows, gate)
+        tune = min(self.tune_rows, n - self.min_train_rows - gate)
+        return n - tune - gate, tune, gate
+
+    def too_early(self, history: int, samples: int) -> str | None:
+        if history < self.min_history:
+            return "insufficient_challenger_history"
+        if samples < self.min_train_rows + self.tune_rows + self.min_gate_rows:
+            return "insufficient_challenger_rows"
+        return None
+
+    def blend(self, gate: int, skill: float, raw: float, base: float) -> tuple[float, float]:
+        """Weight of an accepted candidate and the blended probability."""
+        evidence = gate / max(self.gate_rows, 1) * 0.45 + min(max(skill, 0.0), 25.0) / 25.0 * 0.20
+        weight = min(self.max_candidate_weight, max(0.20, evidence))
+        shift = (raw - base) * weight
+        shift = max(-self.max_probability_shift, min(self.max_probability_shift, shift))
+        return weight, min(1.0, max(0.0, base + shift))
 
-def _decide(config: ChallengerConfig, gate: int, skill: float, raw: float, base: float) -> tuple[float, float]:
-    """Weight of an accepted candidate and the blended probability."""
-    evidence = gate / max(config.gate_rows, 1) * 0.45 + min(max(skill, 0.0), 25.0) / 25.0 * 0.20
-    weight = min(config.max_candidate_weight, max(0.20, evidence))
-    shift = (raw - base) * weight
-    shift = max(-config.max_probability_shift, min(config.max_probability_shift, shift))
-    return weight, min(1.0, max(0.0, base + shift))
+
+@dataclass
+class Decision:
+    """What is known of the forecast of one threshold."""
+
+    threshold: float
+    base: float | None
+    reason: str = "baseline_not_ready"
+    used: dict = field(default_factory=dict)
+
+    def row(self, series: str, history: int) -> dict:
+        row = dict.fromkeys(c.split()[0] for c in DECISION.split(", "))
+        return row | {
+            "series": series, "threshold": self.threshold, "source": "historical_baseline", "reason": self.reason,
+            "probability": self.base, "baseline_probability": self.base, "tune_samples": 0, "gate_samples": 0, "history_count": history,
+        } | self.used
+
+
+def gated_program(head: dict, numbers: Sequence[float], config: ChallengerConfig) -> Program:
+    """Decide on the forecasts of one series.
+
+    ``head`` has series, history_count, base (a probability for each threshold), samples,
+    shift (any features, to centre sums) and ahead (the features of the coming outcome).
+    """
+    count, n = int(head["history_count"]), int(head["samples"])
+    decisions = [Decision(t, None if b is None or b != b else float(b)) for t, b in zip(numbers, head["base"])]
+    early = config.too_early(count, n)
+    ready = [k for k, d in enumerate(decisions) if d.base is not None and not early]
+    if early:
+        for d in decisions:
+            d.reason = early
+    if ready:
+        train, tune, gate = config.sizes(n)
+        shift, ahead = np.array(head["shift"], float), np.array(head["ahead"], float)
+        ask = Moments([(0, train), (0, train + tune), (0, n), (train + tune, n)], shift)
+        learned, tuned, everything, judged = ask.read((yield ask), len(shift), len(numbers))
+        for k in ready:
+            decisions[k].reason = "insufficient_train_class_variation"
+            decisions[k].used = {"tune_samples": tune, "gate_samples": gate}
+        ready = [k for k in ready if both_classes(learned, k)]
+        fits = [start(learned, 0, train, k, c) for k in ready for c in config.c_values]
+        yield from newton(fits)
+        score = dict(zip([(f.target, f.c) for f in fits], (yield from losses(fits, train, train + tune))))
+        chosen = {k: min(config.c_values, key=lambda c: (score[k, c], c)) for k in ready}
+        fits = [start(tuned, 0, train + tune, k, chosen[k]) for k in ready]
+        yield from newton(fits)
+        accepted = {}
+        for k, candidate in zip(ready, (yield from losses(fits, train + tune, n))):
+            baseline, candidate = float(judged["prior_loss"][k]), float(candidate)
+            skill = (baseline - candidate) / baseline * 100 if baseline > 0 else 0.0
+            decisions[k].used |= {
+                "selected_c": chosen[k], "candidate_brier": round(candidate, 6), "baseline_brier": round(baseline, 6), "candidate_skill_pct": round(skill, 6),
+            }
+            decisions[k].reason = "chronological_gate_rejected"
+            if gate >= config.min_gate_rows and candidate < baseline and skill >= config.min_skill_pct:
+                accepted[k] = skill
+        fits = [start(everything, 0, n, k, chosen[k]) for k in accepted]
+        yield from newton(fits)
+        for fit, (k, skill) in zip(fits, accepted.items()):
+            raw = float(fit.probability(ahead))
+            weight, blended = config.blend(gate, skill, raw, decisions[k].base)
+            decisions[k].reason = "chronological_gate_passed"
+            decisions[k].used |= {
+                "source": "gated_logistic_challenger", "probability": round(blended, 6),
+                "raw_candidate_probability": round(raw, 6), "candidate_weight": round(weight, 6),
+            }
+    rows, previous = [d.row(head["series"], count) for d in decisions], None
+    for row in rows:  # probabilities do not rise with the threshold
+        p = row["probability"]
+        if p is not None:
+            row["probability"] = previous = p if previous is None else min(previous, p)
+    return [list(row.values()) for row in rows]
 
 
 def gated_logistic_forecast(
@@ -298,173 +623,21 @@ def gated_logistic_forecast(
         ).alias("base"),
     )
     samples = labelled_samples(extended, thresholds)
-    sized = samples.join(base, "series", "right")
-    small, large = _by_size(sized)
-    fields = [c.split()[0] for c in DECISION.split(", ")]
-
-    def sizes(n: int) -> tuple[int, int, int]:
-        gate = min(config.gate_rows, n - config.min_train_rows - config.tune_rows)
-        gate = max(config.min_gate_rows, gate)
-        tune = min(config.tune_rows, n - config.min_train_rows - gate)
-        return n - tune - gate, tune, gate
-
-    def fallback(series, threshold, base_p, reason, count, **more) -> dict:
-        row = dict.fromkeys(fields)
-        row.update(
-            series=series, threshold=threshold, source="historical_baseline", reason=reason,
-            probability=base_p, baseline_probability=base_p, tune_samples=0, gate_samples=0,
-            history_count=count,
-        )
-        row.update(more)
-        return row
-
-    required = config.min_train_rows + config.tune_rows + config.min_gate_rows
-
-    def early(series: str, base_p: list, count: int, n: int) -> list[dict] | None:
-        reason = None
-        if count < config.min_history:
-            reason = "insufficient_challenger_history"
-        elif n < required:
-            reason = "insufficient_challenger_rows"
-        if reason is None:
-            return None
-        return [fallback(series, t, b, reason, count) for t, b in zip(numbers, base_p)]
-
-    def judge(series, threshold, base_p, count, tune, gate, ops) -> dict:
-        """One threshold; ``ops`` fits and scores named parts of the samples."""
-        if base_p is None:
-            return fallback(series, threshold, None, "baseline_not_ready", count)
-        used = {"tune_samples": tune, "gate_samples": gate}
-        if not ops.varied("train"):
-            return fallback(series, threshold, base_p, "insufficient_train_class_variation", count, **used)
-        score = {c: ops.loss(ops.fit("train", c), "tune") for c in config.c_values}
-        best = min(config.c_values, key=lambda c: (score[c], c))
-        used["selected_c"] = best
-        candidate = ops.loss(ops.fit("train+tune", best), "gate")
-        baseline = ops.baseline_loss()
-        skill = (baseline - candidate) / baseline * 100 if baseline > 0 else 0.0
-        used.update(
-            candidate_brier=round(candidate, 6), baseline_brier=round(baseline, 6),
-            candidate_skill_pct=round(skill, 6),
-        )
-        if gate < config.min_gate_rows or candidate >= baseline or skill < config.min_skill_pct:
-            return fallback(series, threshold, base_p, "chronological_gate_rejected", count, **used)
-        raw = ops.next_probability(ops.fit("all", best))
-        weight, blended = _decide(config, gate, skill, raw, base_p)
-        return fallback(
-            series, threshold, base_p, "chronological_gate_passed", count, **used
-        ) | {
-            "source": "gated_logistic_challenger", "probability": round(blended, 6),
-            "raw_candidate_probability": round(raw, 6), "candidate_weight": round(weight, 6),
-        }
-
-    def clamp(rows: list[dict]) -> list[dict]:
-        previous = None
-        for row in rows:
-            p = row["probability"]
-            if p is not None:
-                row["probability"] = previous = p if previous is None else min(previous, p)
-        return rows
-
-    class InTask:
-        def __init__(self, x, y, prior, nxt, train, tune):
-            n = len(x)
-            self.x, self.y, self.prior, self.nxt = x, y, prior, nxt
-            self.parts = {
-                "train": slice(0, train), "tune": slice(train, train + tune),
-                "train+tune": slice(0, train + tune), "gate": slice(train + tune, n), "all": slice(0, n),
-            }
-
-        def varied(self, part):
-            return len(set(self.y[self.parts[part]])) > 1
-
-        def fit(self, part, c):
-            return fit_logistic(self.x[self.parts[part]], self.y[self.parts[part]], c)
-
-        def loss(self, fit, part):
-            return brier(self.y[self.parts[part]], fit.probability(self.x[self.parts[part]]))
-
-        def baseline_loss(self):
-            return brier(self.y[self.parts["gate"]], self.prior[self.parts["gate"]])
-
-        def next_probability(self, fit):
-            return float(fit.probability(self.nxt)[0])
+    past = F.col("outcome_id").isNotNull()
+    sizes = samples.groupBy("series").agg(
+        F.count("outcome_id").alias("samples"), F.min("pos").alias("first"), F.min_by("x", "pos").alias("shift"),
+        F.max(F.when(~past, F.col("x"))).alias("ahead"),
+    )
+    heads = base.join(sizes, "series", "left").withColumn("samples", F.coalesce("samples", F.lit(0)))
+    cut = samples.where(past).join(sizes.select("series", "first"), "series")
+    cut = cut.select("series", (F.col("pos") - F.col("first")).alias("rank"), "x", "hits", "prior")
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        series, count = pdf["series"].iloc[0], int(pdf["history_count"].iloc[0])
-        base_p = [None if b is None or b != b else float(b) for b in pdf["base"].iloc[0]]
+    def read(pdf: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
+        head = {n: pdf[n].iloc[0] for n in ("series", "history_count", "base")}
         pdf = pdf[pdf["x"].notna()].sort_values("pos")
-        past, nxt = pdf[pdf["outcome_id"].notna()], pdf[pdf["outcome_id"].isna()]
-        rows = early(series, base_p, count, len(past))
-        if rows is None:
-            x = np.stack(past["x"].to_numpy()).astype(float)
-            hits = np.stack(past["hits"].to_numpy()).astype(float)
-            prior = np.stack(past["prior"].to_numpy()).astype(float)
-            ahead = np.stack(nxt["x"].to_numpy()).astype(float)
-            train, tune, gate = sizes(len(x))
-            rows = [
-                judge(
-                    series, t, base_p[k], count, tune, gate,
-                    InTask(x, hits[:, k], prior[:, k], ahead, train, tune),
-                )
-                for k, t in enumerate(numbers)
-            ]
-        return pd.DataFrame(clamp(rows), columns=fields)
-
-    report = small.groupBy("series").applyInPandas(kernel, DECISION)
-    if large:
-        sized = settle(sized.where(F.col("series").isin(large)))  # read by many fits
-        made = []
-        for series in large:
-            rows = sized.where(F.col("series") == series)
-            head = rows.select("history_count", "base").first()
-            past = rows.where(F.col("outcome_id").isNotNull())
-            first, n = past.agg(F.min("pos"), F.count("*")).first()
-            train, tune, gate = sizes(n)
-            made += clamp(
-                [
-                    judge(
-                        series, t, head.base[k], head.history_count, tune, gate,
-                        _OnCluster(rows, k, first, train, tune),
-                    )
-                    for k, t in enumerate(numbers)
-                ]
-            )
-        extra = outcomes.sparkSession.createDataFrame([tuple(r[f] for f in fields) for r in made], DECISION)
-        report = report.unionByName(extra)
-    return report
-
-
-class _OnCluster:
-    """Fits and losses of one large series as Spark jobs."""
-
-    def __init__(self, rows: DataFrame, k: int, first: int, train: int, tune: int):
-        rows = rows.select(
-            "outcome_id", (F.col("pos") - first).alias("rank"), "x",
-            F.col("hits")[k].alias("y"), F.col("prior")[k].alias("base"),
-        )
-        past = rows.where(F.col("outcome_id").isNotNull())
-        self.next = rows.where(F.col("outcome_id").isNull())
-        rank = F.col("rank")
-        self.parts = {
-            "train": past.where(rank < train),
-            "tune": past.where((rank >= train) & (rank < train + tune)),
-            "train+tune": past.where(rank < train + tune),
-            "gate": past.where(rank >= train + tune),
-            "all": past,
-        }
-
-    def varied(self, part):
-        return _two_classes(self.parts[part])
-
-    def fit(self, part, c):
-        return fit_distributed(self.parts[part], len(lag_names(5, RATE_THRESHOLDS)), c)
-
-    def loss(self, fit, part):
-        return _mean_loss(_scored(self.parts[part], fit, "p"), "p")
-
-    def baseline_loss(self):
-        return _mean_loss(self.parts["gate"], "base")
-
-    def next_probability(self, fit):
-        return float(_scored(self.next, fit, "p").first().p)
+        known, ahead = pdf[pdf["outcome_id"].notna()], pdf[pdf["outcome_id"].isna()]
+        head |= {"samples": len(known), "shift": pdf["x"].iloc[0] if len(pdf) else None, "ahead": ahead["x"].iloc[0] if len(ahead) else None}
+        return head, known.assign(rank=known["pos"] - (known["pos"].iloc[0] if len(known) else 0))
+
+    work = Work(samples.join(base, "series", "right"), read, heads.drop("first"), cut)
+    return run_programs(work, lambda head: gated_program(head, numbers, config), DECISION)

@@ -146,8 +146,43 @@ def _(spark, sf_dir):
 @query("logistic_experiment")
 def _(spark, sf_dir):
     rows = logistic.logistic_experiment(D.outcomes(spark, sf_dir), D.THRESHOLDS)
-    names = ["validation_brier", "test_brier", "baseline_test_brier", "test_positive_rate"]
-    return rows.withColumns({n: F.bround(n, 6) for n in names})
+    names = ["validation_brier", "test_brier", "baseline_test_brier", "test_positive_rate", "intercept"]
+    rows = rows.withColumns({n: F.bround(n, 6) for n in names})
+    return rows.withColumn("weights", F.transform("weights", lambda w: F.bround(w, 6)))
+
+
+@query(
+    "logistic_optimality",
+    f"""WITH {FREQUENCY}, s AS (SELECT series, threshold, n - 20 AS rank, actual, round_even(hits / n, 6) AS base, count(*) OVER (PARTITION BY series, threshold) AS m FROM prefix WHERE n >= 20),
+    cut AS (SELECT *, m - greatest(1, floor(m * 0.2::DOUBLE)) AS test_start, m - greatest(1, floor(m * 0.2::DOUBLE)) - greatest(1, floor(m * 0.2::DOUBLE)) AS validation_start FROM s),
+    r AS (SELECT series, threshold, count(*) FILTER (rank < validation_start) AS train_rows, count(*) FILTER (rank >= validation_start AND rank < test_start) AS validation_rows,
+      count(*) FILTER (rank >= test_start) AS test_rows, round_even(avg((base - actual) * (base - actual)) FILTER (rank >= test_start), 6) AS baseline,
+      round_even(avg(actual) FILTER (rank >= test_start), 6) AS test_positive_rate,
+      min(actual) FILTER (rank < validation_start) < max(actual) FILTER (rank < validation_start) AS varied FROM cut WHERE m >= 5 AND validation_start >= 1 GROUP BY series, threshold)
+    SELECT series, threshold::DOUBLE AS threshold, CASE WHEN varied THEN 'COMPLETE' ELSE 'INSUFFICIENT_CLASS_VARIATION' END AS status, train_rows, validation_rows, test_rows,
+      CASE WHEN varied THEN baseline END AS baseline_test_brier, test_positive_rate, CASE WHEN varied THEN true END AS optimal FROM r""",
+)
+def _(spark, sf_dir):
+    """The gradient of the penalised loss at the published weights, summed anew over all rows."""
+    outcomes = D.outcomes(spark, sf_dir)
+    report = logistic.logistic_experiment(outcomes, D.THRESHOLDS)
+    known = logistic.chronological_split(logistic.labelled_samples(outcomes, D.THRESHOLDS)).where("part <> 'test'")
+    limits = F.array(*[F.lit(float(t)) for t in D.THRESHOLDS])
+    rows = known.select("series", "x", F.posexplode("hits").alias("k", "y")).select("series", "x", "y", F.get(limits, "k").alias("threshold"))
+    rows = rows.join(report.where("status = 'COMPLETE'").select("series", "threshold", "selected_c", "intercept", "weights"), ["series", "threshold"])
+    margin = F.aggregate(F.zip_with("x", "weights", lambda x, w: x * w), F.col("intercept"), lambda a, b: a + b)
+    rows = rows.withColumn("off", 1 / (1 + F.exp(-margin)) - F.col("y"))
+    width = range(len(features.lag_names(5, features.RATE_THRESHOLDS)))
+    sums = rows.groupBy("series", "threshold").agg(
+        F.abs(F.sum("off")).alias("free"),
+        *[F.abs(F.first("selected_c") * F.sum(F.get("x", F.lit(i)) * F.col("off")) + F.first(F.get("weights", F.lit(i))) * F.var_pop(F.get("x", F.lit(i)))).alias(f"g{i}") for i in width],
+    )
+    best = F.greatest("free", *[f"g{i}" for i in width]) < 1e-6
+    found = report.join(sums.select("series", "threshold", best.alias("optimal")), ["series", "threshold"], "left")
+    return found.select(
+        "series", "threshold", "status", "train_rows", "validation_rows", "test_rows",
+        F.bround("baseline_test_brier", 6).alias("baseline_test_brier"), F.bround("test_positive_rate", 6).alias("test_positive_rate"), "optimal",
+    )
 
 
 @query("gated_logistic_forecast")
