@@ -183,7 +183,7 @@ def _flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("bigint")
 
 
-def _state_measures() -> dict[str, Column]:
+def state_measures() -> dict[str, Column]:
     received = F.col("direction") == "received"
     sent = F.col("direction") == "sent"
     binary = F.col("payload_format") == "binary"
@@ -211,7 +211,7 @@ def _state_measures() -> dict[str, Column]:
     return measures
 
 
-def _vector(sockets: Column) -> list[Column]:
+def state_vector(sockets: Column) -> list[Column]:
     """The 17 features of one window from its totals."""
 
     def d(name: str) -> Column:
@@ -246,7 +246,7 @@ def _vector(sockets: Column) -> list[Column]:
     ]
 
 
-def _gap_columns(totals: DataFrame) -> DataFrame:
+def gap_columns(totals: DataFrame) -> DataFrame:
     """Mean and population deviation of the gaps inside each window, in milliseconds."""
     gaps = F.col("n") - 1
     total_ms = (F.col("last_seen_us") - F.col("first_seen_next_us")).cast("double") / 1000.0
@@ -296,7 +296,7 @@ def window_state_features(
     )
     gap = (F.col("us") - F.col("before_us")).cast("decimal(38,0)")
     measures = {
-        **_state_measures(),
+        **state_measures(),
         "gap2": F.coalesce((gap * gap).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")),
     }
     for i, w in enumerate(widths):
@@ -336,12 +336,12 @@ def window_state_features(
         following={"seen_next_us": F.col("seen_us")},
         layout=layout,
     )
-    totals = _gap_columns(totals)
+    totals = gap_columns(totals)
     offset = 0 if since is None else 1
     sockets = F.col("new_sockets") if since is not None else F.lit(None).cast("bigint")
     for i, name in enumerate(numbers):
         sockets = F.when(F.col("span") == i + offset, F.col(name)).otherwise(sockets)
-    vector = F.when(F.col("n") > 0, F.array(*_vector(sockets))).otherwise(
+    vector = F.when(F.col("n") > 0, F.array(*state_vector(sockets))).otherwise(
         F.array(*[F.lit(0.0)] * len(STATE_FEATURES))
     )
     parts = totals.select("series", *keys, "span", "n", vector.alias("v"))

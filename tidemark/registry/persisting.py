@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import ledger as L
 from tidemark.plans.lineage import new_folder
-from tidemark.registry.common import OUTCOMES
+from tidemark.registry.common import OUTCOMES, elements, observed
 from tidemark.registry.modelling import LEDGER
+from tidemark.registry.timing import _vector_sql
+from tidemark.operators.features import STATE_FEATURES
 from tidemark.schemas import OUTCOME_COLUMNS
 from tidemark.sources import driver_tables as D
 from tidemark.sources import ledgers
@@ -69,3 +73,59 @@ def _(spark, sf_dir):
         stream = ingest.stream_outcomes(spark, arriving).writeStream.foreachBatch(ingest.outcome_sink(table))
         stream.option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(table).select("series", "outcome_id", "value", "ts")
+
+
+@query(
+    "stream_window_features",
+    _vector_sql(
+        f"""{observed(True).strip()}, ends AS (SELECT DISTINCT series, CAST(ceil(epoch_us(ts) / 7.2e9) AS BIGINT) + k AS slot FROM obs, range(4) AS r(k)),
+        points AS (SELECT series, series || '@' || slot AS key, make_timestamp(slot * 7200000000) AS cutoff FROM ends)""",
+        [("p.cutoff - INTERVAL 8 HOUR", "")], minimum=1,
+    ),
+)
+def _(spark, sf_dir):
+    """Observations arrive in a folder; a row far ahead lets the watermark pass them all."""
+    arriving, out, progress = (new_folder(spark, n) for n in ("arriving", "windows", "progress"))
+    rows = D.observations(spark, sf_dir, True).select(
+        "series", "ts", "direction", "payload_format", "payload_bytes", "socket", "entropy", "zero_ratio", "high_bit_ratio", "unique_byte_bucket"
+    )
+    ahead = rows.agg(F.timestamp_micros(F.max(F.unix_micros("ts")) + 10 * 86_400_000_000).alias("ts"))
+    rows.unionByName(ahead.withColumn("series", F.lit("")), allowMissingColumns=True).write.parquet(arriving)
+    stream = ingest.rolling_stream_features(spark.readStream.schema(rows.schema).parquet(arriving), "8 hours", "2 hours", "1 minute")
+    with flushing(spark):
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(stream.schema).parquet(out).where("series <> ''")
+    slot = F.floor(F.unix_micros("end") / 7_200_000_000).cast("string")
+    return elements(found.select("series", F.concat("series", F.lit("@"), slot).alias("key"), F.array(*STATE_FEATURES).alias("state")), "state", ["series", "key"])
+
+
+@contextmanager
+def flushing(spark):
+    """Streams that start here go on without data until the watermark has passed all rows."""
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+@query("tail_observations", f"WITH {observed()} SELECT series, kind, ts, socket, direction, payload_bytes, payload_format FROM obs")
+def _(spark, sf_dir):
+    """Lines arrive in two parts; the second run goes on where the first one ended."""
+    folder, out, progress = (new_folder(spark, n) for n in ("lines", "tailed", "progress"))
+    rows = D.observations(spark, sf_dir)
+    lines = rows.select(
+        F.to_json(
+            F.struct(
+                "series", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("observed_at"), "kind", "url", F.col("socket").alias("socket_id"), "opcode", "status",
+                F.struct(F.col("payload_bytes").alias("bytes"), F.col("payload_format").alias("format")).alias("payload"),
+            )
+        ).alias("value"), (F.crc32("obs_id") % 2).alias("half")
+    )
+    for half in range(2):
+        lines.where(F.col("half") == half).select("value").write.mode("append").text(folder)
+        tailed = ingest.tail_observations(spark, folder).select("series", "kind", "ts", "socket", "direction", "payload_bytes", "payload_format")
+        tailed.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(tailed.schema).parquet(out)

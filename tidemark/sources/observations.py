@@ -27,11 +27,6 @@ def read_lines(spark: SparkSession, paths: str | list[str], schema: str) -> Data
     return spark.read.schema(schema).json(paths, mode="PERMISSIVE")
 
 
-def stream_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The same lines as a stream over a folder of closed files."""
-    return spark.readStream.schema(schema).json(path)
-
-
 def _series() -> Column:
     return F.coalesce(F.col("series"), F.lit("default"))
 
