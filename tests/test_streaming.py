@@ -1,6 +1,8 @@
 """Streams: replay equality, gaps, arming, heartbeats, triggers, idempotent sinks."""
 
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -269,3 +271,50 @@ def test_batch_samples_read_streamed_snapshots(spark, tmp_path):
     assert lock.previous_round_id == "o0" and lock.trigger_age_after_previous_seconds == 3.0
     samples = ledger.snapshot_samples(found, ("1.5", "2", "5")).collect()
     assert [(r.actual, r.trigger_signature, r.priors) for r in samples] == [(3.0, "t", [1.0, 1.0, 0.0])]
+
+
+@pytest.mark.parametrize("window", [None, 60])
+def test_streamed_locks_equal_batch_forecasts(spark, tmp_path, whole, window):
+    """Every lock of a replay carries what the batch operators say of the history before it."""
+    from tidemark.operators import forecast, logistic, ridge
+
+    rng = random.Random(4)
+    values, level = [], 0.0
+    for i in range(190):  # a series whose past tells something
+        level = 0.9 * level + rng.gauss(0, 0.5)
+        values.append(f"{1 + math.exp(level + rng.gauss(0, 0.3)):.2f}")
+    cuts = [1, 10, 22, 24, 27, 40, 139, 140, 165, 190]
+    batches = [[outcome(i, values[i]) for i in range(a, b)] for a, b in zip([0, *cuts], cuts)]
+    rows = run(spark, tmp_path, batches, lambda s: locks.lock_and_score(s, min_history=20, window=window))
+    found = {r["history_count"]: r for r in rows if r["event"] == "prediction_locked"}
+    assert sorted(found) == cuts
+    table = spark.createDataFrame([("a", f"o{i}", BASE + i * 10_000_000, v) for i, v in enumerate(values)], "series string, outcome_id string, us bigint, v string")
+    table = table.select("series", "outcome_id", F.timestamp_micros("us").alias("ts"), F.col("v").cast("decimal(18,6)").alias("value"), "us")
+    sources = set()
+    for n in cuts:
+        past, lock = table.where(F.col("us") < BASE + n * 10_000_000).drop("us"), found[n]
+        want = {f"{r.threshold:g}": r for r in logistic.gated_logistic_forecast(past, min_history=20, window=window).collect()}
+        for t, r in want.items():
+            told, p = lock["details"][t], lock["probabilities"].get(t)
+            assert (told["source"], told["reason"]) == (r.source, r.reason)
+            assert (p is None) == (r.probability is None) and float(p or 0) == pytest.approx(r.probability or 0, abs=1e-6)
+            assert float(told.get("raw_candidate_probability") or 0) == pytest.approx(r.raw_candidate_probability or 0, abs=1e-6)
+            sources.add(r.source)
+        point = ridge.point_forecast(forecast.with_next(past)).where("outcome_id is null").first()
+        told = json.loads(lock["point"])
+        if n >= 20:
+            assert (told["status"], told["validation_rows"]) == (point.status, point.validation_rows)
+            assert float(lock.get("predicted") or 0) == pytest.approx(point.predicted or 0, abs=0.011)
+            if point.predicted:
+                assert [float(lock["interval"][k]) for k in ("lower", "upper")] == pytest.approx([point.lower, point.upper], abs=0.011)
+                assert told["components"] == pytest.approx(point.components, abs=1e-5) and told["regime"] == point.regime
+        else:
+            assert point is None and told["status"] == "INSUFFICIENT_DATA"
+    assert sources == {"historical_baseline", "gated_logistic_challenger"}
+    last = [r for r in rows if r["event"] == "prediction_scored"][-1]
+    miss = abs(float(found[165]["predicted"]) - float(values[165]))
+    assert float(last["point_score"]["absolute_error"]) == pytest.approx(miss, abs=1e-9)
+    ledger_rows = ledgers.read_ledger(spark, str(tmp_path / "ledger"))
+    scored = ledger.score_forecasts(ledger.lock_score_pairing(ledger_rows)).where("scored_seq = %d and threshold = 2" % last["seq"]).first()
+    assert float(scored.absolute_error) == pytest.approx(miss, abs=1e-9) and scored.within_interval == last["point_score"]["within_interval"]
+    assert scored.source == found[165]["details"]["2"]["source"]

@@ -602,19 +602,21 @@ def gated_logistic_forecast(
     thresholds: Sequence[str] = ("1.5", "2", "5"),
     min_history: int = 50,
     config: ChallengerConfig | None = None,
+    window: int | None = None,
 ) -> DataFrame:
     """Forecast the next outcome of each series: frequency, or a blend that has earned it.
 
     A logistic challenger is tuned and then gated on later rows it never saw. It moves
     the frequency only if it beat it on the gate; probabilities are finally clamped so
-    that they do not rise with the threshold.
+    that they do not rise with the threshold. With ``window`` the frequency is rolling.
     """
     thresholds = check_thresholds(thresholds)
     config = config or ChallengerConfig()
     numbers = [float(t) for t in thresholds]
     extended = with_next(outcomes.select("series", "outcome_id", "ts", "value"))
     upcoming = F.col("value").isNull()
-    base = frequency_forecast(extended, thresholds, min_history=min_history).where(upcoming)
+    mode = "expanding" if window is None else "rolling"
+    base = frequency_forecast(extended, thresholds, mode, window, min_history).where(upcoming)
     base = base.groupBy("series").agg(
         F.max("available").alias("history_count"),
         F.transform(

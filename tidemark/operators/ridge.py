@@ -7,6 +7,7 @@ sums of products replace a refit per target. Solving them is a batched numpy cal
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -187,6 +188,71 @@ def _masked_quantile(values: np.ndarray, counts: np.ndarray, q: float) -> np.nda
     return ordered[rows, low] * (1.0 - part) + ordered[rows, high] * part
 
 
+@dataclass
+class Competition:
+    """What the candidates of some targets are judged on, and what they forecast from.
+
+    Validation rows come first, (target, slot, ...), of which ``valid`` are used for each
+    target; then the features, median and average of the targets themselves.
+    """
+
+    x_val: np.ndarray
+    y_val: np.ndarray
+    median_val: np.ndarray
+    ewma_val: np.ndarray
+    valid: np.ndarray
+    x: np.ndarray
+    median: np.ndarray
+    ewma: np.ndarray
+
+
+def compete(train: np.ndarray, full: np.ndarray, at: Competition, alphas: Sequence[float], lags: int) -> list[tuple]:
+    """Status, figures and components of the forecast of each target.
+
+    ``train`` are the moments of the rows before a target's validation rows, ``full`` those of
+    all rows before the target.
+    """
+    labels = [*[f"ridge_{a:g}" for a in alphas], "recent_median", "ewma"]
+    order = np.argsort(np.argsort(labels))  # ties go to the smaller name
+    v = at.valid
+    used = np.arange(at.x_val.shape[1])[None, :] < v[:, None]
+    b0, b = solve(train, alphas)
+    f0, f = solve(full, alphas)
+    ridge = b0[:, :, None] + np.einsum("mkd,mvd->mkv", b, at.x_val)
+    guess = np.concatenate([ridge, at.median_val[:, None, :], at.ewma_val[:, None, :]], axis=1)
+    miss = np.abs(guess - at.y_val[:, None, :])
+    mae = np.where(used[:, None, :], miss, 0.0).sum(axis=2) / v[:, None]
+    ahead = np.concatenate([f0 + np.einsum("mkd,md->mk", f, at.x), at.median[:, None], at.ewma[:, None]], axis=1)
+    rows = np.arange(len(v))
+    # Lowest error first, equal errors by name.
+    ranked = np.lexsort((np.broadcast_to(order, mae.shape), mae), axis=1)[:, :3]
+    inverse = 1.0 / np.maximum(np.take_along_axis(mae, ranked, 1), 1e-6)
+    weight = inverse / inverse.sum(axis=1, keepdims=True)
+    blend = (weight * np.take_along_axis(ahead, ranked, 1)).sum(axis=1)
+    best, base = mae[rows, ranked[:, 0]], mae[:, len(alphas)]
+    radius = _masked_quantile(miss[rows, ranked[:, 0]], v, 0.80)
+    spread = np.stack([np.zeros(len(v)), -radius, radius], axis=1)
+    shown = np.clip(np.exp(blend[:, None] + spread), 1.0, 1000.0)
+    near, far, std = at.x[:, lags], at.x[:, lags + 1], at.x[:, lags + 4]
+    shift = (near - far) / np.maximum(std, 1e-6)
+    gain = (base - best) / np.maximum(base, 1e-6)
+    result = []
+    for j in rows:
+        regime = "STABLE"
+        if abs(shift[j]) > 0.35:
+            regime = ("HIGHER" if shift[j] > 0 else "LOWER") + "_RECENT_VALUES"
+        result.append(
+            (
+                "READY", *[round(float(p), 2) for p in shown[j]],
+                "MEDIUM" if v[j] >= 8 and gain[j] >= 0.15 else "LOW",
+                regime, round(float(shift[j]), 6), int(v[j]), round(float(best[j]), 6),
+                round(float(base[j]), 6),
+                {labels[c]: round(float(w), 6) for c, w in zip(ranked[j], weight[j])},
+            )
+        )
+    return result
+
+
 def point_forecast(
     outcomes: DataFrame,
     min_history: int = 20,
@@ -223,9 +289,6 @@ def point_forecast(
         "series", "outcome_id", "ts", "pos", value.alias("actual"), log.alias("y"),
         F.array(*names).alias("x"), "median_log", "ewma_log", "recent_median",
     )
-    labels = [*[f"ridge_{a:g}" for a in alphas], "recent_median", "ewma"]
-    order = np.argsort(np.argsort(labels))  # ties go to the smaller name
-    short_at, long_std_at = lags, lags + 4
     v_max = validation_rows
 
     def kernel(pdf: pd.DataFrame, state: pd.DataFrame | None) -> pd.DataFrame:
@@ -247,52 +310,13 @@ def point_forecast(
             v = valid[at]
             train = moments.before(at - v)
             full = moments.before(at)
-            b0, b = solve(train, alphas)
-            f0, f = solve(full, alphas)
             # Validation rows of each target; unused slots repeat the last row.
             slots = np.arange(v_max)[None, :]
-            used = slots < v[:, None]
             val = at[:, None] - v[:, None] + np.minimum(slots, v[:, None] - 1)
-            ridge = b0[:, :, None] + np.einsum("mkd,mvd->mkv", b, x[val])
-            guess = np.concatenate(
-                [ridge, median_log[val][:, None, :], ewma_log[val][:, None, :]], axis=1
-            )
-            miss = np.abs(guess - y[val][:, None, :])
-            mae = np.where(used[:, None, :], miss, 0.0).sum(axis=2) / v[:, None]
-            nxt = np.concatenate(
-                [
-                    f0 + np.einsum("mkd,md->mk", f, x[at]),
-                    median_log[at][:, None],
-                    ewma_log[at][:, None],
-                ],
-                axis=1,
+            inputs = Competition(
+                x[val], y[val], median_log[val], ewma_log[val], v, x[at], median_log[at], ewma_log[at]
             )
-            rows = np.arange(len(at))
-            # Lowest error first, equal errors by name.
-            ranked = np.lexsort((np.broadcast_to(order, mae.shape), mae), axis=1)[:, :3]
-            inverse = 1.0 / np.maximum(np.take_along_axis(mae, ranked, 1), 1e-6)
-            weight = inverse / inverse.sum(axis=1, keepdims=True)
-            blend = (weight * np.take_along_axis(nxt, ranked, 1)).sum(axis=1)
-            best, base = mae[rows, ranked[:, 0]], mae[:, len(alphas)]
-            radius = _masked_quantile(miss[rows, ranked[:, 0]], v, 0.80)
-            spread = np.stack([np.zeros(len(at)), -radius, radius], axis=1)
-            shown = np.clip(np.exp(blend[:, None] + spread), 1.0, 1000.0)
-            near, far, std = (x[at, c] for c in (short_at, short_at + 1, long_std_at))
-            shift = (near - far) / np.maximum(std, 1e-6)
-            gain = (base - best) / np.maximum(base, 1e-6)
-            for j, i in enumerate(at):
-                regime = "STABLE"
-                if abs(shift[j]) > 0.35:
-                    regime = ("HIGHER" if shift[j] > 0 else "LOWER") + "_RECENT_VALUES"
-                result.append(
-                    (
-                        i, "READY", *[round(float(p), 2) for p in shown[j]],
-                        "MEDIUM" if v[j] >= 8 and gain[j] >= 0.15 else "LOW",
-                        regime, round(float(shift[j]), 6), int(v[j]), round(float(best[j]), 6),
-                        round(float(base[j]), 6),
-                        {labels[c]: round(float(w), 6) for c, w in zip(ranked[j], weight[j])},
-                    )
-                )
+            result += [(i, *row) for i, row in zip(at, compete(train, full, inputs, alphas, lags))]
         fields = [
             "i", "status", "predicted", "lower", "upper", "confidence", "regime", "regime_shift",
             "validation_rows", "validation_mae_log", "recent_median_mae_log", "components",

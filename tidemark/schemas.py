@@ -109,7 +109,11 @@ STREAM_LEDGER = (
     "candidate_probabilities map<string,string>, historical_probabilities map<string,string>, "
     "briers map<string,string>, "
     "unpredicted bigint, trigger_signature string, trigger_score double, "
-    "trigger_age_seconds double, features string, reason string"
+    "trigger_age_seconds double, features string, reason string, status string, "
+    "details map<string,struct<source:string,reason:string,baseline_probability:string,raw_candidate_probability:string,"
+    "selected_c:double,candidate_skill_pct:double,candidate_weight:double>>, "
+    "predicted string, interval struct<lower:string,upper:string>, point string, "
+    "point_score struct<absolute_error:string,relative_error:string,within_interval:boolean>"
 )
 
 HEARTBEAT = "kind string, observed_at string, collector_session_id string, capture_ready boolean"

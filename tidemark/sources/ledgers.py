@@ -24,6 +24,8 @@ def _streamed() -> dict[str, Column]:
             p.alias("baseline_probability"), nothing.alias("raw_candidate_probability"),
         )
 
+    kept = ("source", "reason", "baseline_probability", "raw_candidate_probability")
+    told = F.transform_values("details", lambda _, d: F.struct(*[d[n].alias(n) for n in kept]))
     reference, actual = F.col("reference_id"), F.col("actual_id")
     known = F.col("event").endswith("locked") | F.col("event").endswith("armed")
     return {
@@ -42,7 +44,9 @@ def _streamed() -> dict[str, Column]:
         "first_unpredicted_round_id": of("gap", reference),
         "last_unpredicted_round_id": of("gap", actual),
         "threshold_probabilities": of("prediction_locked", F.col("probabilities")),
-        "threshold_model_details": of("prediction_locked", F.transform_values("probabilities", detail)),
+        "threshold_model_details": of("prediction_locked", F.coalesce(told, F.transform_values("probabilities", detail))),
+        "predicted_multiplier": of("prediction_locked", F.col("predicted")),
+        "prediction_interval": of("prediction_locked", F.col("interval")),
         "snapshot_id": F.col("lock_id"),
         "trigger_age_after_previous_seconds": F.col("trigger_age_seconds"),
         "historical_rounds": of("snapshot_locked", F.col("history_count")),

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions import columns as C
+from tidemark.operators.logistic import ChallengerConfig
 from tidemark.schemas import STREAM_LEDGER
+from tidemark.streaming.history import Points, challenged
 
 PLACES = Decimal("0.000001")
 SEQUENCE = 32
@@ -91,6 +93,10 @@ def _quotient(top: int | Decimal, bottom: int) -> str:
     return str((Decimal(top) / Decimal(bottom)).quantize(PLACES, rounding=ROUND_HALF_EVEN))
 
 
+def _places(value: float | None) -> str | None:
+    return None if value is None else str(Decimal(str(value)).quantize(PLACES, rounding=ROUND_HALF_EVEN))
+
+
 def _id(prefix: str, *parts: object) -> str:
     material = "|".join(str(p) for p in parts)
     return prefix + hashlib.sha256(material.encode()).hexdigest()[:24]
@@ -244,11 +250,79 @@ class _Ledger(StatefulProcessor):
 class ForecastLocks(_Ledger):
     """Score the open lock with the first new outcome, note the others as a gap, lock again.
 
-    With sessions, nothing is locked until one outcome has arrived after arming.
+    A lock has the frequency of each threshold, over all outcomes or the last ``window``, the
+    challenger's say on it, and the point forecast with its interval. With sessions, nothing
+    is locked until one outcome has arrived after arming.
     """
 
     ARMED, INVALIDATED = "prediction_armed", "prediction_invalidated"
 
+    def __init__(self, thresholds, min_history, stale_seconds, sessions, window: int | None, challenger: ChallengerConfig | None, point: bool):
+        super().__init__(thresholds, min_history, stale_seconds, sessions)
+        if window is not None and window < min_history:
+            raise ValueError("rolling window cannot be smaller than min_history.")
+        self.window, self.challenger, self.point = window, challenger, point
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        if self.challenger:
+            self.values = handle.getListState("values", "value double")
+
+    def learn(self, state: dict, row) -> None:
+        super().learn(state, row)
+        if self.window is not None:
+            state["last_values"] = [*state.get("last_values", []), row.value][-self.window :]
+        if self.point:
+            points = Points(state.get("points"))
+            points.learn(float(row.value))
+            state["points"] = points.state
+
+    def prior(self, state: dict, minimum: int | None = None) -> dict[str, str | None]:
+        if self.window is None:
+            return super().prior(state, minimum)
+        last = [Decimal(v) for v in state.get("last_values", [])]
+        if len(last) < (self.min_history if minimum is None else minimum):
+            return dict.fromkeys(self.thresholds)
+        return {t: _quotient(sum(v >= limit for v in last), len(last)) for t, limit in zip(self.thresholds, self.limits)}
+
+    def forecast(self, state: dict) -> dict:
+        """Columns of a lock: probabilities, details, point forecast."""
+        prior = self.prior(state)
+        made = {"probabilities": prior, "status": "READY" if None not in prior.values() else "INSUFFICIENT_DATA"}
+        if self.challenger:
+            values = [r[0] for r in self.values.get()] if state["n"] >= self.challenger.min_history else [0.0] * state["n"]
+            order = sorted(range(len(self.limits)), key=lambda k: self.limits[k])
+            base = [None if prior[t] is None else float(prior[t]) for t in self.thresholds]
+            rows = challenged("", values, [base[k] for k in order], [float(self.limits[k]) for k in order], self.challenger)
+            names = [self.thresholds[k] for k in order]
+            made["probabilities"] = {t: _places(r["probability"]) for t, r in zip(names, rows)}
+            made["details"] = {
+                t: {
+                    "source": r["source"], "reason": r["reason"], "baseline_probability": _places(r["baseline_probability"]),
+                    "raw_candidate_probability": _places(r["raw_candidate_probability"]), "selected_c": r["selected_c"],
+                    "candidate_skill_pct": r["candidate_skill_pct"], "candidate_weight": r["candidate_weight"],
+                }
+                for t, r in zip(names, rows)
+            }
+        if self.point:
+            point = Points(state.get("points")).forecast()
+            shown = {n: None if point[n] is None else f"{point[n]:.2f}" for n in ("predicted", "lower", "upper")}
+            made["predicted"] = shown["predicted"]
+            made["interval"] = None if shown["lower"] is None else {"lower": shown["lower"], "upper": shown["upper"]}
+            made["point"] = json.dumps({n: v for n, v in point.items() if n not in shown}, sort_keys=True)
+        return made
+
+    def point_score(self, lock: dict, value: str) -> dict | None:
+        if lock.get("predicted") is None:
+            return None
+        actual = Decimal(value)
+        error = abs(Decimal(lock["predicted"]) - actual).quantize(Decimal("0.01"), rounding=ROUND_HALF_EVEN)
+        low, high = (Decimal(lock["interval"][n]) for n in ("lower", "upper"))
+        return {
+            "absolute_error": str(error), "relative_error": str((error / actual).quantize(PLACES, rounding=ROUND_HALF_EVEN)),
+            "within_interval": low <= actual <= high,
+        }
+
     def advance(self, state: dict, rows: list, timers) -> list[dict]:
         events: list[dict] = []
         fresh = [r for r in rows if r.kind == "outcome"]
@@ -260,13 +334,15 @@ class ForecastLocks(_Ledger):
             self.learn(state, row)
         if not fresh:
             return events
+        if self.challenger:
+            self.values.appendList([(float(r.value),) for r in fresh])
         if lock is not None:
             first = fresh[0]
             events.append(
                 self.event(
                     state, "prediction_scored", first.us, lock_id=lock["id"], actual_id=first.id,
                     actual_value=first.value, probabilities=lock["p"],
-                    briers=self.briers(lock["p"], first.value),
+                    briers=self.briers(lock["p"], first.value), point_score=self.point_score(lock, first.value),
                 )
             )
             state["lock"] = None
@@ -282,12 +358,16 @@ class ForecastLocks(_Ledger):
             if state["session"] is None or state["armed"] is None or state["n"] <= state["armed"]:
                 return events
         last_id, us = state["last"]
-        lock = {"id": _id("lock-", state["n"], last_id, us), "p": self.prior(state)}
+        made = self.forecast(state)
+        lock = {
+            "id": _id("lock-", state["n"], last_id, us), "p": made["probabilities"],
+            "predicted": made.get("predicted"), "interval": made.get("interval"),
+        }
         state["lock"] = lock
         events.append(
             self.event(
                 state, "prediction_locked", us, lock_id=lock["id"], history_count=state["n"],
-                reference_id=last_id, probabilities=lock["p"],
+                reference_id=last_id, **made,
             )
         )
         return events
@@ -490,9 +570,16 @@ def lock_and_score(
     min_history: int = 50,
     sessions: bool = False,
     stale_seconds: float = 5.0,
+    window: int | None = None,
+    challenger: ChallengerConfig | None = ChallengerConfig(),
+    point: bool = True,
 ) -> DataFrame:
-    """Forecast ledger events of a stream of ``messages``. Needs the RocksDB state store."""
-    return _run(stream, ForecastLocks(thresholds, min_history, stale_seconds, sessions))
+    """Forecast ledger events of a stream of ``messages``. Needs the RocksDB state store.
+
+    ``window`` makes the frequencies rolling. The challenger keeps all values of a series in
+    state, and is fitted to them at each lock; without it, the state of a series is bounded.
+    """
+    return _run(stream, ForecastLocks(thresholds, min_history, stale_seconds, sessions, window, challenger, point))
 
 
 def trigger_locks(
