@@ -522,3 +522,31 @@ def test_components_of_paths_and_stars(spark):
 
 def test_sha_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+@given(st.lists(st.binary(max_size=60), max_size=12), st.integers(1, 80))
+@settings(max_examples=60, deadline=None)
+def test_a_shared_queue_merges_each_string_alone(strings, size):
+    """Also for a table whose merges make pairs of lower ranks."""
+    ranks = {bytes([b]): b + 40 for b in range(256)}
+    made = [b"ab", b"bc", b"abab", b"aa", b"aaa", b"cab", b"abc", b"aaaa", b"ba", b"bab", b"\x00\x01", b"\x00\x01\x00"]
+    ranks |= {token: 300 + (7 * k) % len(made) if k % 2 else k for k, token in enumerate(made)}
+    merger = byte_bpe.Merger(ranks)
+    strings = strings + [s.translate(bytes(97 + b % 3 for b in range(256))) for s in strings]
+
+    def plain(piece):
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while True:
+            pairs = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+            if not pairs:
+                return [ranks[p] for p in parts]
+            i = min(pairs)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    before, byte_bpe.BUFFER_BYTES = byte_bpe.BUFFER_BYTES, size
+    try:
+        ids, counts = merger.encode_all(strings)
+    finally:
+        byte_bpe.BUFFER_BYTES = before
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts))[:-1]] == [plain(s) for s in strings]
+    assert not any(merger.low)

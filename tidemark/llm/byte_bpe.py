@@ -3,15 +3,14 @@
 Each possible merge rank has a bucket of positions in a linked list of the pre-token's
 parts. Two levels of bitmaps say which buckets hold something, so the lowest rank is found by
 two find-first-set steps. A merge does not search for entries that it makes
-obsolete: they are recognised and skipped when they come up. A pre-token of n bytes takes
-O(n log n) however long it is.
+obsolete: they are recognised and skipped when they come up. Pre-tokens of n bytes take
+O(n log n) however long they are.
 """
 
 from __future__ import annotations
 
 import base64
 from array import array
-from heapq import heappop, heappush
 from itertools import repeat
 
 import numpy as np
@@ -23,8 +22,10 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm.shared import IdStore, pieces, text_of
 
 #: Distinct pre-tokens, and pieces made of several, that a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 
+#: Bytes of pre-tokens that share a queue; a longer one has a queue of its own.
+BUFFER_BYTES = 1 << 20
 
 #: Ranks under one bit of the upper bitmap.
 WORD_BITS = 256
@@ -33,87 +34,131 @@ WORD_BITS = 256
 class Merger:
     """Splits byte strings into the tokens of a rank table.
 
-    The queue is ``low``, a bitmap word for each ``WORD_BITS`` ranks, ``top``, a bitmap of
-    the words that aren't empty, and ``buckets``, a heap of positions for each rank in the
-    queue; the leftmost of equal ranks is merged first. It is empty between calls. Its steps
-    stand in ``encode`` itself, as calls would cost more than they do.
+    The strings stand one behind another in one buffer and share a queue: ``low``, a bitmap
+    word for each ``WORD_BITS`` ranks, ``top``, a bitmap of the words that aren't empty, and
+    ``buckets`` with the positions of each rank in the queue. The lowest rank is taken with all
+    of its positions, which are merged from left to right. If a merge makes a pair of a lower
+    rank, the rest of the bucket goes back, since that pair is next in its string; strings
+    do not touch each other, so the order among them does not matter. The queue is empty
+    between calls.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.low = [0] * (max(ranks.values()) // WORD_BITS + 1)
-        self.buckets: dict[int, list[int]] = {}
+        self.single = np.array([ranks[bytes([b])] for b in range(256)])
+        self.pair = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)])
 
     def encode(self, piece: bytes) -> list[int]:
-        ranks, n = self.ranks, len(piece)
-        whole = ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        get, low, buckets, top = ranks.get, self.low, self.buckets, 0
-        after = list(range(1, n + 1))  # first byte of the next part
-        before = list(range(-1, n - 1))
-        pending = [-1] * n  # rank of the pair that starts here; entries of other ranks are stale
-        for i in range(n - 1):
-            rank = get(piece[i : i + 2])
-            if rank is not None:
-                pending[i] = rank
-                if rank in buckets:
-                    buckets[rank].append(i)  # ascending, so still a heap
-                else:
-                    buckets[rank] = [i]
-                    word = rank >> 8
-                    low[word] |= 1 << (rank & 255)
-                    top |= 1 << word
+        whole = self.ranks.get(piece)
+        return [whole] if whole is not None else self.encode_all([piece])[0].tolist()
+
+    def encode_all(self, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all strings, one behind another, and their number in each."""
+        ids, counts, at = [], [], 0
+        while at < len(strings):
+            upto, size = at, 0
+            while upto < len(strings) and (upto == at or size + len(strings[upto]) <= BUFFER_BYTES):
+                size += len(strings[upto])
+                upto += 1
+            some, n = self._merge(strings[at:upto])
+            ids.append(some)
+            counts.append(n)
+            at = upto
+        return (np.concatenate(ids), np.concatenate(counts)) if ids else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def _merge(self, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        buffer = b"".join(strings)
+        n = len(buffer)
+        sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(len(strings), np.int64)
+        ends = np.cumsum(sizes)
+        edge = np.zeros(n + 1, bool)  # no pair goes across
+        edge[ends - sizes] = edge[n] = True
+        numbers = np.frombuffer(buffer, np.uint8).astype(np.int64)
+        rank_of = np.full(n, -1)
+        rank_of[:-1] = np.where(edge[1:n], -1, self.pair[numbers[:-1] * 256 + numbers[1:]])
+        buckets, low, top = self._filled(rank_of)
+        pending = rank_of.tolist()  # rank of the pair that starts here; entries of other ranks are stale
+        edges, token, alive = edge.tobytes(), self.single[numbers].tolist(), bytearray(b"\1") * n
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        get = self.ranks.get
         while top:
             word = (top & -top).bit_length() - 1  # find first set, twice
             bits = low[word]
             bit = bits & -bits
-            rank = (word << 8) + bit.bit_length() - 1
-            bucket = buckets[rank]
-            if len(bucket) > 1:
-                i = heappop(bucket)
-            else:
-                i = bucket[0]
-                del buckets[rank]
-                low[word] = bits = bits ^ bit
-                if not bits:
-                    top &= top - 1
-            if pending[i] != rank:
-                continue
-            j = after[i]
-            end = after[i] = after[j]
-            pending[j] = pending[i] = -1
-            if end < n:
-                before[end] = i
-                rank = get(piece[i : after[end]])
-                if rank is not None:
-                    pending[i] = rank
-                    if rank in buckets:
-                        heappush(buckets[rank], i)
-                    else:
-                        buckets[rank] = [i]
-                        word = rank >> 8
-                        low[word] |= 1 << (rank & 255)
-                        top |= 1 << word
-            i = before[i]
-            if i >= 0:
-                rank = get(piece[i:end])
-                if rank is None:
-                    pending[i] = -1
-                elif pending[i] != rank:
-                    pending[i] = rank
-                    if rank in buckets:
-                        heappush(buckets[rank], i)
-                    else:
-                        buckets[rank] = [i]
-                        word = rank >> 8
-                        low[word] |= 1 << (rank & 255)
-                        top |= 1 << word
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : after[i]]])
-            i = after[i]
-        return out
+            now = (word << 8) + bit.bit_length() - 1
+            bucket = buckets.pop(now)
+            low[word] = bits = bits ^ bit
+            if not bits:
+                top &= top - 1
+            bucket.sort()
+            done = 0
+            for i in bucket:
+                done += 1
+                if pending[i] != now:
+                    continue
+                j = after[i]
+                end = after[i] = after[j]
+                token[i] = now
+                alive[j] = 0
+                pending[j] = pending[i] = -1
+                stop = False
+                if not edges[end]:
+                    before[end] = i
+                    rank = get(buffer[i : after[end]])
+                    if rank is not None:
+                        pending[i] = rank
+                        if rank in buckets:
+                            buckets[rank].append(i)
+                        else:
+                            buckets[rank] = [i]
+                            word = rank >> 8
+                            low[word] |= 1 << (rank & 255)
+                            top |= 1 << word
+                        stop = rank <= now
+                if not edges[i]:
+                    i = before[i]
+                    rank = get(buffer[i:end])
+                    if rank is None:
+                        pending[i] = -1
+                    elif pending[i] != rank:
+                        pending[i] = rank
+                        if rank in buckets:
+                            buckets[rank].append(i)
+                        else:
+                            buckets[rank] = [i]
+                            word = rank >> 8
+                            low[word] |= 1 << (rank & 255)
+                            top |= 1 << word
+                        stop = stop or rank <= now
+                if stop:
+                    break
+            if done < len(bucket):
+                rest = bucket[done:]
+                if now in buckets:
+                    buckets[now] += rest
+                else:
+                    buckets[now] = rest
+                    low[now >> 8] |= 1 << (now & 255)
+                    top |= 1 << (now >> 8)
+        kept = np.frombuffer(alive, np.uint8)
+        upto = np.concatenate([[0], np.cumsum(kept, dtype=np.int64)])
+        return np.array(token)[kept == 1], upto[ends] - upto[ends - sizes]
+
+    def _filled(self, rank_of: np.ndarray) -> tuple[dict[int, list[int]], list[int], int]:
+        """The queue of all first pairs."""
+        place = np.flatnonzero(rank_of >= 0)
+        place = place[np.argsort(rank_of[place], kind="stable")]
+        ranks, first = np.unique(rank_of[place], return_index=True)
+        bounds, place = [*first.tolist(), len(place)], place.tolist()
+        buckets, low, top = {}, self.low, 0
+        for k, rank in enumerate(ranks.tolist()):
+            buckets[rank] = place[bounds[k] : bounds[k + 1]]
+            low[rank >> 8] |= 1 << (rank & 255)
+            top |= 1 << (rank >> 8)
+        return buckets, low, top
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -139,8 +184,14 @@ class Encoder:
         split = [self.pattern.findall(s) for s in strings]
         new = list(dict.fromkeys(self.known.missing(t for s in split for t in s)))
         if new:
-            ids = [self.merger.encode(t.encode()) for t in new]
-            self.known.add(new, np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
+            get = self.merger.ranks.get
+            coded = [t.encode() for t in new]
+            whole = [get(c) for c in coded]
+            split_up = [k for k, rank in enumerate(whole) if rank is None]
+            kept = [k for k, rank in enumerate(whole) if rank is not None]
+            self.known.add([new[k] for k in kept], np.array([whole[k] for k in kept], np.uint32), np.ones(len(kept), np.int64))
+            ids, lengths = self.merger.encode_all([coded[k] for k in split_up])
+            self.known.add([new[k] for k in split_up], ids.astype(np.uint32), lengths)
         return split
 
     def _joined(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +207,7 @@ class Encoder:
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = lists.flatten().dictionary_encode()
         number, pieces_ = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
-        odd = np.fromiter((not p or p[0].isspace() or p[-1].isspace() for p in pieces_), bool, len(pieces_))
+        odd = np.fromiter((not p or p.strip() is not p for p in pieces_), bool, len(pieces_))  # strip gives itself if it strips nothing
         doc = np.repeat(np.arange(len(counts)), counts)
         whole = np.zeros(len(counts), bool)
         whole[doc[odd[number]]] = True
