@@ -318,3 +318,54 @@ def test_streamed_locks_equal_batch_forecasts(spark, tmp_path, whole, window):
     scored = ledger.score_forecasts(ledger.lock_score_pairing(ledger_rows)).where("scored_seq = %d and threshold = 2" % last["seq"]).first()
     assert float(scored.absolute_error) == pytest.approx(miss, abs=1e-9) and scored.within_interval == last["point_score"]["within_interval"]
     assert scored.source == found[165]["details"]["2"]["source"]
+
+
+def test_a_refresh_is_applied_once(spark, tmp_path):
+    """Eight misses ask for new signatures; a rerun of the batch that answered changes nothing."""
+    folder, control, out = tmp_path / "in", tmp_path / "control", str(tmp_path / "ledger")
+    folder.mkdir()
+    control.mkdir()
+    columns = [p.split()[0] for p in locks.MESSAGE.split(", ")]
+    asked, batches = [], []
+
+    def discover():
+        asked.append(1)
+        return spark.createDataFrame([("a", json.dumps({"new": 0.9}))], "series string, scores string")
+
+    sink = locks.refresh_sink(out, str(control), discover)
+
+    def write(batch, batch_id):
+        if batch_id in batches:
+            return
+        sink(batch, batch_id)
+        if not batch.where("event = 'trigger_refresh_wanted'").isEmpty():
+            sink(batch, batch_id)  # as after a failure behind the write
+            batches.append(batch_id)
+
+    def feed(name, rows):
+        (folder / f"{name}.json").write_text("\n".join(json.dumps({c: m.get(c) for c in columns}) for m in rows))
+        main = spark.readStream.schema(locks.MESSAGE).json(str(folder))
+        stream = main.unionByName(locks.messages(signatures=locks.stream_signatures(spark, str(control))))
+        query = (
+            locks.trigger_locks(stream, min_age_seconds=0.0).writeStream.foreachBatch(write)
+            .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination(240)
+        return [r.asDict(recursive=True) for r in spark.read.json(out).orderBy("seq").collect()]
+
+    frozen = {"series": "a", "kind": "signatures", "us": BASE, "scores": json.dumps({"old": 0.5})}
+    rows = feed("0", [frozen, *[outcome(i, 2) for i in range(9)]])
+    assert [r["event"] for r in rows].count("trigger_refresh_wanted") == 1 and len(asked) == 2
+    seen = {
+        "series": "a", "kind": "observation", "us": BASE + 8 * 10_000_000 + 1_000_000, "id": "x", "signature": "new",
+        "direction": "sent", "payload_format": "text", "payload_bytes": 1,
+    }
+    rows = feed("1", [seen])
+    found = [r for r in rows if r["event"] in ("trigger_regime_refreshed", "pre_round_snapshot_locked")]
+    assert [r["event"] for r in found] == ["trigger_regime_refreshed", "pre_round_snapshot_locked"]
+    assert found[1]["trigger_signature"] == "new" and found[1]["trigger_score"] == 0.9
+    # The control rows are written once more, under new file names.
+    spark.read.json(str(control), locks.CONTROL, recursiveFileLookup=True).write.mode("append").json(str(control / "again"))
+    rows = feed("2", [outcome(9, 2)])
+    assert [r["event"] for r in rows].count("trigger_regime_refreshed") == 1
+    assert rows[-1]["event"] == "pre_round_prior_forecast" and "pre_round_snapshot_scored" in [r["event"] for r in rows]

@@ -1,4 +1,4 @@
-"""Queries whose oracles name a subset of ids have a partner that reads every row."""
+"""Queries that name, lock or check every row."""
 
 import os
 

@@ -17,7 +17,6 @@ SENSITIVE_PARTS = [
 ]
 
 _STRING = r'"(?:[^"\\]|\\.)*"'
-MAX_DEPTH = 8
 
 
 def plain_key(key: Column) -> Column:
@@ -97,34 +96,48 @@ def variant_type(value: str | Column) -> Column:
 _NODE = "struct<path:string,key:string,node:variant>"
 
 
-def walk(
-    documents: DataFrame,
-    value: str,
-    list_items: int | None,
-    plain_paths: bool,
-    max_depth: int = MAX_DEPTH,
-) -> DataFrame:
-    """One row per node of the JSON trees in ``value`` (a VARIANT column).
+def depth(text: Column) -> Column:
+    """How deep lists and objects of a JSON text are nested; 0 for a scalar."""
+    brackets = F.regexp_replace(outside_strings(text), r"[^\[\]{}]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
-    Adds ``path``, ``key`` (null for list items) and ``node``. Sensitive keys and all
+    def step(acc: Column, c: Column) -> Column:
+        now = acc["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(F.split(brackets, "(?<=.)(?=.)"), start, step)["most"]
+
+
+def unfolded(documents: DataFrame, value: str, list_items: int | None, plain_paths: bool, deep: Column) -> DataFrame:
+    """``documents`` with ``_nodes``: all nodes of the JSON tree in ``value`` (a VARIANT column).
+
+    A node has ``path``, ``key`` (null for list items) and ``node``. Sensitive keys and all
     below them are left out. With ``plain_paths`` keys are reduced to letters and
     digits and ``[]`` is a path step of its own; otherwise keys stay as written and
     ``[]`` is glued to its list. ``list_items`` bounds how many items of a list are
     visited (its first ones).
 
-    The tree is unfolded level by level inside the row, one array per level, and
-    exploded once.
+    The tree is unfolded inside the row, from one level to the next, as many levels as
+    ``deep`` says of the row.
     """
     root = F.struct(
         F.lit("").alias("path"), F.lit(None).cast("string").alias("key"), F.col(value).alias("node")
     )
-    rows = documents.withColumn("_l0", F.array(root).cast(f"array<{_NODE}>"))
-    for depth in range(max_depth + 1):
-        below = F.transform(f"_l{depth}", lambda e: _children(e, list_items, plain_paths))
-        rows = rows.withColumn(f"_l{depth + 1}", F.flatten(below))
-    levels = [f"_l{depth}" for depth in range(max_depth + 2)]
-    nodes = rows.withColumn("_n", F.explode(F.concat(*levels[1:]))).drop(*levels)
-    return nodes.select("*", "_n.*").drop("_n")
+    steps = F.when(deep > 0, F.sequence(F.lit(1), deep)).otherwise(F.array().cast("array<int>"))
+
+    def below(levels: Column, _: Column) -> Column:
+        children = F.transform(F.element_at(levels, -1), lambda e: _children(e, list_items, plain_paths))
+        return F.concat(levels, F.array(F.flatten(children)))
+
+    levels = F.aggregate(steps, F.array(F.array(root)).cast(f"array<array<{_NODE}>>"), below)
+    nodes = F.flatten(F.slice(levels, F.lit(2), F.greatest(F.size(levels) - 1, F.lit(0))))
+    return documents.withColumn("_nodes", nodes)
+
+
+def walk(documents: DataFrame, value: str, list_items: int | None, plain_paths: bool, deep: Column) -> DataFrame:
+    """One row per node of the JSON trees, with ``path``, ``key`` and ``node``."""
+    nodes = unfolded(documents, value, list_items, plain_paths, deep).withColumn("_n", F.explode("_nodes"))
+    return nodes.drop("_nodes").select("*", "_n.*").drop("_n")
 
 
 def _children(parent: Column, list_items: int | None, plain_paths: bool) -> Column:

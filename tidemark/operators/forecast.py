@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.operators.features import ORDER, SERIES, prefix_counts
 from tidemark.operators.temporal import history_as_of
-from tidemark.plans.ordering import Layout, plan_layout, rolling, scan
+from tidemark.plans.ordering import DEFAULT_TASK_ROWS, HOME, SLICE, Layout, plan_layout, rolling, scan, with_halo
 
 THRESHOLDS = ("1.5", "2", "5")
 PRIOR_STRENGTH = 20
@@ -206,17 +206,20 @@ def forward_gate(forecasts: DataFrame, layout: Layout | None = None) -> DataFram
         "_prior": F.coalesce(loss("prior"), F.lit(0).cast("decimal(16,12)")),
     }
     rows = scan(rows, keys, ["seq"], sums=sums, layout=layout)
-    # The totals 60 comparable rows back, looked up by their running number.
-    totals = F.struct("_n", "_cand", "_prior")
-    starts = rows.where(comparable).select(
-        *keys, (F.col("_n") + GATE_WINDOW).alias("_n"), totals.alias("_old")
-    )
-    rows = rows.where("_judged").join(starts, [*keys, "_n"], "left")
+    # The totals 60 comparable rows back. Rows of one running number have the same totals, as
+    # rows that are not comparable add nothing, so the frame is the value 60 below.
+    back, cut = keys, []
+    if not layout.whole:
+        rows = with_halo(rows, "_n", max(int(layout.block_rows or DEFAULT_TASK_ROWS), 2 * GATE_WINDOW), GATE_WINDOW)
+        back, cut = [*keys, SLICE], [SLICE, HOME]
+    frame = Window.partitionBy(*back).orderBy("_n").rangeBetween(-GATE_WINDOW, -GATE_WINDOW)
+    rows = rows.withColumns({f"_old{name}": F.first(name).over(frame) for name in ("_cand", "_prior")})
+    rows = rows.where("_judged" if layout.whole else f"_judged AND {HOME}").drop(*cut)
     n = F.least(F.col("_n"), F.lit(GATE_WINDOW))
     enough = n >= GATE_MIN
 
     def brier(name: str) -> Column:
-        total = F.col(name) - F.coalesce(F.col(f"_old.{name}"), F.lit(0))
+        total = F.col(name) - F.coalesce(F.col(f"_old{name}"), F.lit(0))
         return F.when(enough, (total.cast("decimal(32,12)") / n.cast("decimal(10,0)")))
 
     candidate, prior = brier("_cand"), brier("_prior")
@@ -238,8 +241,6 @@ def selected_probabilities(gated: DataFrame) -> DataFrame:
     chosen = F.when(F.col("source") == "prospective_adjusted", F.col("candidate")).otherwise(
         F.col("prior").cast("decimal(18,6)")
     )
-    from pyspark.sql import Window
-
     nested = Window.partitionBy("series", "seq").orderBy("threshold").rowsBetween(
         Window.unboundedPreceding, 0
     )

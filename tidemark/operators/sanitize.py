@@ -36,37 +36,55 @@ def _parsed(documents: DataFrame, text: str) -> DataFrame:
     return documents.withColumn("_doc", F.try_parse_json(text)).where(F.col("_doc").isNotNull())
 
 
-def document_paths(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(path, type) of every key of every document; lists are seen by their first item."""
-    nodes = J.walk(_parsed(documents, text), "_doc", 1, plain_paths=False)
-    return nodes.select(*documents.columns, "path", J.variant_type("node").alias("type"))
+def _levels(text: str, max_depth: int | None) -> Column:
+    deep = J.depth(F.col(text))
+    return deep if max_depth is None else F.least(deep, F.lit(max_depth))
+
+
+def _pairs(documents: DataFrame, text: str, list_items: int | None, max_depth: int | None) -> DataFrame:
+    """``documents`` that are JSON, with the distinct (path, type) of each as ``_pairs``."""
+    nodes = J.unfolded(_parsed(documents, text), "_doc", list_items, False, _levels(text, max_depth))
+    pair = F.transform("_nodes", lambda n: F.struct(n["path"].alias("path"), J.variant_type(n["node"]).alias("type")))
+    return nodes.withColumn("_pairs", F.array_distinct(pair)).drop("_nodes", "_doc")
+
+
+def document_paths(
+    documents: DataFrame, text: str = "text", list_items: int | None = None, max_depth: int | None = None
+) -> DataFrame:
+    """(path, type) of every key of every document, each once.
+
+    All items of lists are seen, or the first ``list_items``, and all levels, or the first
+    ``max_depth``.
+    """
+    nodes = _pairs(documents, text, list_items, max_depth).withColumn("_p", F.explode("_pairs"))
+    return nodes.select(*documents.columns, "_p.path", "_p.type")
 
 
 def json_path_inventory(
-    documents: DataFrame, text: str = "text", key: str = "doc_id", by: Sequence[str] = ("series",)
+    documents: DataFrame, text: str = "text", key: str = "doc_id", by: Sequence[str] = ("series",),
+    list_items: int | None = None, max_depth: int | None = None,
 ) -> DataFrame:
     """Per (path, type): number of documents and share of the group's parsed documents.
 
-    A path occurs at most once per document and type, because lists are seen by their
-    first item only, so counting rows counts documents.
+    The paths of a document are made distinct inside its row, so counting rows counts
+    documents, without a shuffle of single paths. Items and depth as in ``document_paths``.
     """
     by = list(by)
-    parsed = _parsed(documents.select(*by, key, text), text)
-    nodes = J.walk(parsed, "_doc", 1, plain_paths=False)
-    counts = nodes.groupBy(*by, "path", J.variant_type("node").alias("type")).agg(
+    parsed = _pairs(documents.select(*by, key, text), text, list_items, max_depth)
+    counts = parsed.select(*by, F.explode("_pairs").alias("_p")).groupBy(*by, "_p.path", "_p.type").agg(
         F.count("*").alias("documents")
     )
-    totals = parsed.groupBy(*by).agg(F.count("*").alias("parsed_documents"))
+    totals = _parsed(documents.select(*by, text), text).groupBy(*by).agg(F.count("*").alias("parsed_documents"))
     share = F.bround(F.col("documents") / F.col("parsed_documents"), 6)
     joined = counts.join(totals, by) if by else counts.crossJoin(F.broadcast(totals))
     return joined.withColumn("coverage", share)
 
 
 def _fields(
-    documents: DataFrame, text: str, keys: list[str], list_items: int | None, max_depth: int
+    documents: DataFrame, text: str, keys: list[str], list_items: int | None, max_depth: int | None
 ) -> DataFrame:
     """Nodes of the keys, of all list items unless only the first ``list_items`` are wanted."""
-    nodes = J.walk(_parsed(documents, text), "_doc", list_items, plain_paths=True, max_depth=max_depth)
+    nodes = J.walk(_parsed(documents, text), "_doc", list_items, True, _levels(text, max_depth))
     return nodes.where(F.col("key").isNotNull() & J.plain_key(F.col("key")).isin(keys))
 
 
@@ -75,7 +93,7 @@ def _scalar(kind: Column) -> Column:
 
 
 def extract_numeric_fields(
-    documents: DataFrame, text: str = "text", list_items: int | None = None, max_depth: int = J.MAX_DEPTH
+    documents: DataFrame, text: str = "text", list_items: int | None = None, max_depth: int | None = None
 ) -> DataFrame:
     """Allow-listed numeric fields; text such as ``2.5x`` counts, range 0 to 1e6."""
     rows = _fields(documents, text, NUMERIC_KEYS, list_items, max_depth)
@@ -89,7 +107,7 @@ def extract_numeric_fields(
 
 
 def hash_identifiers(
-    documents: DataFrame, text: str = "text", list_items: int | None = None, max_depth: int = J.MAX_DEPTH
+    documents: DataFrame, text: str = "text", list_items: int | None = None, max_depth: int | None = None
 ) -> DataFrame:
     """Allow-listed identifiers as the first 24 hex digits of SHA-256, and their length."""
     rows = _fields(documents, text, IDENTIFIER_KEYS, list_items, max_depth)
@@ -104,7 +122,7 @@ def hash_identifiers(
 
 
 def extract_categories(
-    documents: DataFrame, text: str = "text", list_items: int | None = None, max_depth: int = J.MAX_DEPTH
+    documents: DataFrame, text: str = "text", list_items: int | None = None, max_depth: int | None = None
 ) -> DataFrame:
     """Allow-listed short state words, lower-cased; nothing that looks like a token."""
     rows = _fields(documents, text, STATE_KEYS, list_items, max_depth)

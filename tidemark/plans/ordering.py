@@ -32,8 +32,8 @@ DEFAULT_SLICE_US = 3_600_000_000  # an hour, where nothing better is known
 # Inputs below this many stored bytes per row of a task are taken as small unseen.
 SMALL_ROW_BYTES = 32
 
-_SLICE = "_slice"
-_HOME = "_home"
+SLICE = "_slice"
+HOME = "_home"
 
 
 @dataclass(frozen=True)
@@ -170,11 +170,11 @@ def scan(
         layout = plan_layout(df, by, order[0]) if slices is None else Layout(block_rows=1)
     keys = list(by)
     if not layout.whole:
-        keys = [*by, _SLICE]
+        keys = [*by, SLICE]
         if slices is None:
             width = layout.slice_us if _is_time(df, order[0]) else layout.block_rows
             slices = F.floor(_time_us(df, order[0]) / F.lit(width or DEFAULT_SLICE_US))
-        df = df.withColumn(_SLICE, slices)
+        df = df.withColumn(SLICE, slices)
 
     names = [f"_in{i}" for i in range(len(sums) + len(prev) + len(next))]
     exprs = [*sums.values(), *prev.values(), *next.values()]
@@ -202,7 +202,7 @@ def scan(
         merged[out] = F.col(out) + F.coalesce(F.col("c" + name), F.lit(0))
     for out, name in [*zip(prev, prev_in), *zip(next, next_in)]:
         merged[out] = F.coalesce(F.col(out), F.col("c" + name))
-    return joined.withColumns(merged).drop(*names, *["c" + n for n in names], _SLICE)
+    return joined.withColumns(merged).drop(*names, *["c" + n for n in names], SLICE)
 
 
 def _split(names: list[str], first: int, second: int) -> tuple[list[str], list[str], list[str]]:
@@ -226,13 +226,13 @@ def _carry(
     aggs = [F.sum(n).alias(n) for n in sum_in]
     aggs += [F.max_by(F.col(n), known(n)).alias(n) for n in prev_in]
     aggs += [F.min_by(F.col(n), known(n)).alias(n) for n in next_in]
-    slices = df.groupBy(*by, _SLICE).agg(*(aggs or [F.count("*").alias("_n")]))
-    before = window(by, [_SLICE]).rowsBetween(Window.unboundedPreceding, -1)
-    after = window(by, [_SLICE], reverse=True).rowsBetween(Window.unboundedPreceding, -1)
+    slices = df.groupBy(*by, SLICE).agg(*(aggs or [F.count("*").alias("_n")]))
+    before = window(by, [SLICE]).rowsBetween(Window.unboundedPreceding, -1)
+    after = window(by, [SLICE], reverse=True).rowsBetween(Window.unboundedPreceding, -1)
     out = [F.sum(n).over(before).alias("c" + n) for n in sum_in]
     out += [F.last(n, ignorenulls=True).over(before).alias("c" + n) for n in prev_in]
     out += [F.last(n, ignorenulls=True).over(after).alias("c" + n) for n in next_in]
-    return slices.select(*by, _SLICE, *out)
+    return slices.select(*by, SLICE, *out)
 
 
 def number(
@@ -268,8 +268,8 @@ def rolling(
     rows = max(int(layout.block_rows or DEFAULT_TASK_ROWS), 2 * back, 1)
     numbered = df if pos in df.columns else number(df, by, order, pos, layout)
     spread = with_halo(numbered, pos, rows, back)
-    spec = window([*by, _SLICE], [pos])
-    return spread.withColumns(columns(spec)).where(_HOME).drop(_SLICE, _HOME)
+    spec = window([*by, SLICE], [pos])
+    return spread.withColumns(columns(spec)).where(HOME).drop(SLICE, HOME)
 
 
 def with_halo(df: DataFrame, pos: str, rows: int, back: int) -> DataFrame:
@@ -279,7 +279,7 @@ def with_halo(df: DataFrame, pos: str, rows: int, back: int) -> DataFrame:
     homes = F.when(tail, F.array(block, block + 1)).otherwise(F.array(block))
     return (
         df.withColumn("_own", block)
-        .withColumn(_SLICE, F.explode(homes))
-        .withColumn(_HOME, F.col(_SLICE) == F.col("_own"))
+        .withColumn(SLICE, F.explode(homes))
+        .withColumn(HOME, F.col(SLICE) == F.col("_own"))
         .drop("_own")
     )

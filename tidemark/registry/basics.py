@@ -93,18 +93,6 @@ def _(spark, sf_dir):
     return S.text_form(good).select("series", "outcome_id", "value", "ts", "post_data")
 
 
-@query(
-    "unique_key_check",
-    """SELECT event_id % 31 <> 0 AS unique_keys, count(*) AS records FROM events
-    WHERE event_id % 29 <> 0 GROUP BY 1""",
-)
-def _(spark, sf_dir):
-    rows = _raw(spark, sf_dir).withColumn("auth", J.has_auth_key(F.col("post_data"))).where("not auth")
-    return rows.groupBy(J.has_unique_keys(F.col("post_data")).alias("unique_keys")).agg(
-        F.count("*").alias("records")
-    )
-
-
 @query(
     "unique_key_check_all",
     """SELECT event_id % 31 <> 0 OR event_id % 29 = 0 AS unique_keys, count(*) AS records FROM events GROUP BY 1""",
@@ -264,6 +252,48 @@ def _(spark, sf_dir):
     return sanitize.reject_auth_keys(D.documents_json(spark, sf_dir)).select("doc_id")
 
 
+SHAPES = """n AS (SELECT event_type AS series, event_id % 6 AS shape, count(*) AS n FROM events GROUP BY ALL),
+    whole AS (SELECT series, CAST(sum(n) AS BIGINT) AS parsed_documents FROM n WHERE shape <> 4 GROUP BY series)"""
+
+
+@query(
+    "json_path_inventory_shapes",
+    f"""WITH {SHAPES}, p(shape, path, type) AS (
+      SELECT * FROM (VALUES (0, 'k', 'number'), (1, 'a', 'array'), (1, 'a[]', 'object'), (1, 'a[].b', 'number'), (1, 'a[].c', 'string'), (1, 'a[]', 'number'),
+        (1, 'a[]', 'array'), (1, 'a[][]', 'boolean'), (3, '[]', 'object'), (3, '[].z', 'null'), (3, '[].state', 'string'), (5, 'user', 'object'), (5, 'note', 'string'))
+      UNION ALL SELECT 2, rtrim(repeat('d.', i), '.'), 'object' FROM range(1, 21) AS r(i) UNION ALL SELECT 2, repeat('d.', 20) || 'multiplier', 'string'),
+    c AS (SELECT series, path, type, CAST(sum(n) AS BIGINT) AS documents FROM n JOIN p USING (shape) GROUP BY ALL)
+    SELECT c.*, parsed_documents, round_even(documents / parsed_documents, 6) AS coverage FROM c JOIN whole USING (series)""",
+)
+def _(spark, sf_dir):
+    return sanitize.json_path_inventory(D.documents_of_shapes(spark, sf_dir))
+
+
+@query("extract_numeric_fields_shapes", "SELECT event_id AS doc_id, repeat('d.', 20) || 'multiplier' AS path, 2.5::DOUBLE AS value FROM events WHERE event_id % 6 = 2")
+def _(spark, sf_dir):
+    return sanitize.extract_numeric_fields(D.documents_of_shapes(spark, sf_dir)).select("doc_id", "path", "value")
+
+
+@query("extract_categories_shapes", "SELECT event_id AS doc_id, '[].state' AS path, 'open' AS value FROM events WHERE event_id % 6 = 3")
+def _(spark, sf_dir):
+    return sanitize.extract_categories(D.documents_of_shapes(spark, sf_dir)).select("doc_id", "path", "value")
+
+
+@query("reject_auth_keys_shapes", "SELECT event_id AS doc_id FROM events WHERE event_id % 6 = 5")
+def _(spark, sf_dir):
+    return sanitize.reject_auth_keys(D.documents_of_shapes(spark, sf_dir)).select("doc_id")
+
+
+@query(
+    "payload_formats_shapes",
+    """WITH t AS (SELECT CASE event_id % 6 WHEN 3 THEN 'array' WHEN 4 THEN NULL ELSE 'object' END AS root_type, CASE event_id % 6 WHEN 4 THEN 'text' ELSE 'json' END AS format,
+      [7, 34, 141, 44, 5, 47][event_id % 6 + 1] AS bytes FROM events)
+    SELECT format, root_type, count(*) AS payloads, CAST(sum(bytes) AS BIGINT) AS total_bytes FROM t GROUP BY ALL""",
+)
+def _(spark, sf_dir):
+    return sanitize.payload_formats(D.documents_of_shapes(spark, sf_dir), "text")
+
+
 @query(
     "payload_digest",
     """SELECT conv_id, turn, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, sha256(text) AS sha256,

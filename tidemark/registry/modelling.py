@@ -293,17 +293,6 @@ def _rebuilt(spark, sf_dir, locks):
     )
 
 
-@query(
-    "reconstruct_prior",
-    f"""WITH {FREQUENCY} SELECT series, event_id AS seq,
-      CASE WHEN event_id % 2 = 0 THEN NULL WHEN event_id % 15 = 0 THEN NULL ELSE max(round_even((hits + actual) / (n + 1), 6)) FILTER (threshold = 20.0) END AS p20,
-      event_id % 2 = 1 AND event_id % 15 <> 0 AS rebuilt
-    FROM forecast WHERE event_id % 5 = 0 GROUP BY series, event_id""",
-)
-def _(spark, sf_dir):
-    return _rebuilt(spark, sf_dir, _locks(spark, sf_dir).where("seq % 5 = 0"))
-
-
 @query(
     "reconstruct_prior_all",
     f"""WITH {FREQUENCY} SELECT series, event_id AS seq,

@@ -81,18 +81,6 @@ def _(spark, sf_dir):
     return rows.select("series", "target_id", "ts", "obs_id")
 
 
-@query(
-    "history_as_of",
-    f"""WITH {FREQUENCY} SELECT series, outcome_id, threshold::DOUBLE AS threshold, n + 1 AS n,
-    CAST(hits + actual AS BIGINT) AS hits FROM forecast WHERE event_id % 7 = 0""",
-)
-def _(spark, sf_dir):
-    rows = D.outcomes(spark, sf_dir)
-    named = rows.where(F.col("outcome_id").cast("bigint") % 7 == 0).select("series", "outcome_id")
-    out = temporal.history_as_of(named, rows, D.THRESHOLDS).select("series", "outcome_id", "n", F.explode("counts").alias("c"))
-    return out.select("series", "outcome_id", F.col("c.threshold").cast("double").alias("threshold"), "n", "c.hits")
-
-
 @query(
     "history_as_of_all",
     f"""WITH {FREQUENCY} SELECT series, outcome_id, threshold::DOUBLE AS threshold, n + 1 AS n,

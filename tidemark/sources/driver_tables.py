@@ -279,3 +279,15 @@ def documents_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         F.col("event_type").alias("series"), F.col("event_id").alias("doc_id"), text.alias("text")
     )
+
+
+def documents_of_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each event, of one of six shapes: mixed lists, depth 21, root lists, broken."""
+    event_id = F.col("event_id")
+    deep = '{"d":' * 20 + '{"multiplier":"2.5x"}' + "}" * 20
+    shapes = [
+        '{"k":1}', '{"a":[{"b":1},{"c":"x"},2,[true]]}', deep, '[{"z":null},{"session-id":1,"state":"OPEN"}]',
+        '{"k":', '{"user":{"Access-Token":"x"},"note":"password"}',
+    ]
+    text = F.element_at(F.array(*[F.lit(x) for x in shapes]), (event_id % 6 + 1).cast("int"))
+    return events(spark, sf_dir).select(F.col("event_type").alias("series"), event_id.alias("doc_id"), text.alias("text"))

@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 from decimal import ROUND_HALF_EVEN, Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -73,7 +73,8 @@ def messages(
     if signatures is not None:
         parts.append(
             signatures.select(
-                "series", F.lit("signatures").alias("kind"), C.micros("ts").alias("us"), "scores"
+                "series", F.lit("signatures").alias("kind"), C.micros("ts").alias("us"), "scores",
+                *(["id"] if "id" in signatures.columns else []),
             )
         )
     columns = [part.split() for part in MESSAGE.split(", ")]
@@ -392,6 +393,7 @@ class TriggerLocks(_Ledger):
         state.setdefault("previous", None)
         state.setdefault("interval", None)
         state.setdefault("misses", 0)
+        state.setdefault("controls", {})
         state.setdefault("cohorts", {"": self.empty()})
         return state
 
@@ -422,6 +424,8 @@ class TriggerLocks(_Ledger):
         fresh_left = sum(r.kind == "outcome" for r in rows)
         for row in rows:
             if row.kind == "signatures":
+                if not self.is_new(state, row.id):
+                    continue
                 refreshed = bool(state["frozen"])
                 state["frozen"] = json.loads(row.scores)
                 if refreshed:
@@ -441,6 +445,19 @@ class TriggerLocks(_Ledger):
                 events += self.complete(state, row, fresh_left)
         return events
 
+    def is_new(self, state: dict, control) -> bool:
+        """Whether control rows of this id, or later ones of its query, have not been applied.
+
+        A batch that is run again answers a refresh again; its rows have the same id.
+        """
+        if not isinstance(control, str):
+            return True
+        query, _, batch = control.rpartition(":")
+        if int(batch) <= state["controls"].get(query, -1):
+            return False
+        state["controls"][query] = int(batch)
+        return True
+
     def complete(self, state: dict, row, more: int) -> list[dict]:
         lock = state["lock"]
         if state.get("together"):  # others of the batch that scored a lock: arm over all
@@ -593,12 +610,22 @@ def trigger_locks(
     return _run(stream, TriggerLocks(thresholds, stale_seconds, sessions, min_age_seconds))
 
 
+CONTROL = "series string, ts timestamp, scores string, id string"
+
+
+def stream_signatures(spark: SparkSession, control_path: str) -> DataFrame:
+    """The signatures that refreshes have written, for ``messages``."""
+    return spark.readStream.schema(CONTROL).option("recursiveFileLookup", "true").json(control_path)
+
+
 def refresh_sink(ledger_path: str, control_path: str, discover):
     """foreachBatch function: append the ledger, and answer wanted refreshes.
 
     ``discover()`` reruns trigger discovery on the stored tables and returns one row
     per series with ``scores`` (JSON of signature to score); the rows of the series
-    that asked are written to the control folder the stream reads.
+    that asked are written to the control folder the stream reads. They carry the query and
+    the number of the batch: one that is run again replaces what it wrote, and the state
+    applies rows of an id once, whether or not it had read the first ones.
     """
     from tidemark.streaming.ingest import ledger_sink
 
@@ -609,11 +636,13 @@ def refresh_sink(ledger_path: str, control_path: str, discover):
         wanted = batch.where(F.col("event") == "trigger_refresh_wanted").groupBy("series").agg(
             F.max("us").alias("us")
         )
-        if not wanted.isEmpty():
-            found = discover().join(wanted, "series").select(
-                "series", F.timestamp_micros("us").alias("ts"), "scores"
-            )
-            found.write.mode("append").json(control_path)
+        if wanted.isEmpty():
+            return
+        query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        found = discover().join(wanted, "series").select(
+            "series", F.timestamp_micros("us").alias("ts"), "scores", F.lit(f"{query_id}:{batch_id}").alias("id")
+        )
+        found.write.mode("overwrite").json(f"{control_path}/{query_id}-{batch_id}")
 
     return write
 
