@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm.shared import IdStore, pieces, text_of
 
 #: Distinct pre-tokens, and pieces made of several, that a worker remembers.
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 
 #: Bytes of pre-tokens that share a queue; a longer one has a queue of its own.
-BUFFER_BYTES = 1 << 20
+BUFFER_BYTES = 1 << 18
 
 #: Ranks under one bit of the upper bitmap.
 WORD_BITS = 256
