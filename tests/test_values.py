@@ -392,3 +392,18 @@ def test_plans_have_no_nested_loops(spark):
     for df in plans:
         text = df._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in text and "CartesianProduct" not in text
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_medians_of_decimals_keep_every_digit(spark, small):
+    from decimal import Decimal
+
+    from tidemark.plans.quantiles import medians
+
+    rows = [("a", "12345678901234567.25"), ("b", "1.000001"), ("b", "1.000002"), ("c", "3"), ("c", "12345678901234567.250001"), ("c", "12345678901234567.250002"), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, t string").select("g", F.col("t").cast("decimal(24,6)").alias("v"), F.col("t").cast("decimal(38,18)").alias("w"))
+    got = {r.g: (r.m, r.k) for r in medians(df, ["g"], {"m": F.col("v"), "k": F.col("w")}, small).collect()}
+    assert got["a"] == (Decimal("12345678901234567.25"),) * 2
+    assert got["b"] == (Decimal("1.0000015"),) * 2
+    assert got["c"] == (Decimal("12345678901234567.250001"),) * 2
+    assert got.get("d") in (None, (None, None))

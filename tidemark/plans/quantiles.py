@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.plans.ordering import SMALL_ROW_BYTES, scan, stored_bytes, task_rows
 
@@ -36,13 +37,14 @@ def percentiles(
 ) -> DataFrame:
     """One row per group with the interpolated percentile of each named expression."""
     small = fits_one_task(df) if small is None else small
+    exact = {n: _decimal(df, e) for n, (e, q) in wanted.items() if q == 0.5}
     if small:
         return df.groupBy(*by).agg(
-            *[F.percentile(e.cast("double"), q).alias(n) for n, (e, q) in wanted.items()]
+            *[_middle(e, exact[n], n) if exact.get(n) else F.percentile(e.cast("double"), q).alias(n) for n, (e, q) in wanted.items()]
         )
     result = None
     for name, (expr, q) in wanted.items():
-        one = _percentile(df, by, expr, q, name)
+        one = _percentile(df, by, expr, q, name, exact.get(name))
         if result is None:
             result = one
         elif by:
@@ -52,6 +54,32 @@ def percentiles(
     return result
 
 
+def _decimal(df: DataFrame, expr: Column) -> T.DecimalType | None:
+    """The type of an expression, if it is a decimal: its median is then one too."""
+    kind = df.select(expr.alias("_v")).schema["_v"].dataType
+    return kind if isinstance(kind, T.DecimalType) else None
+
+
+def _mean(lower: Column, upper: Column, kind: T.DecimalType) -> Column:
+    """The mean of two decimals: equal ones keep every digit, others get one more place.
+
+    Where 38 digits do not allow that (more than 28 before and behind the point), the mean of
+    unequal ones has as many places as there is room for.
+    """
+    places = min(kind.scale + 1, 35 - (kind.precision - kind.scale))
+    wide = f"decimal(38,{max(places, kind.scale)})"
+    half = (lower + upper).cast(f"decimal(36,{places - 1 if places > kind.scale else places})") * F.lit("0.5").cast("decimal(1,1)")
+    return F.when(lower == upper, lower.cast(wide)).otherwise(half.cast(wide))
+
+
+def _middle(expr: Column, kind: T.DecimalType, name: str) -> Column:
+    """The exact median of a group's decimals, which one task holds, as the percentile would."""
+    values = F.array_sort(F.collect_list(expr))
+    n = F.size(values)
+    lower, upper = F.get(values, F.floor((n - 1) / 2).cast("int")), F.get(values, F.floor(n / 2).cast("int"))
+    return F.when(n > 0, _mean(lower, upper, kind)).alias(name)
+
+
 def medians(
     df: DataFrame, by: Sequence[str], wanted: Mapping[str, Column], small: bool | None = None
 ) -> DataFrame:
@@ -68,7 +96,8 @@ def summarise(
     """Aggregates and medians of the same groups: one pass where a task holds all rows,
     a pass per median beside the aggregates otherwise."""
     if small:
-        exact = [F.percentile(e.cast("double"), 0.5).alias(n) for n, e in wanted.items()]
+        kinds = {n: _decimal(df, e) for n, e in wanted.items()}
+        exact = [_middle(e, kinds[n], n) if kinds[n] else F.percentile(e.cast("double"), 0.5).alias(n) for n, e in wanted.items()]
         return df.groupBy(*by).agg(*aggregates, *exact)
     report = df.groupBy(*by).agg(*aggregates)
     return report.join(medians(df, by, wanted, small), list(by), "left")
@@ -90,14 +119,15 @@ def median_seconds(
     return found.withColumns({n: in_seconds(n) for n in wanted})
 
 
-def _percentile(df: DataFrame, by: Sequence[str], expr: Column, q: float, name: str) -> DataFrame:
-    values = df.select(*by, expr.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+def _percentile(df: DataFrame, by: Sequence[str], expr: Column, q: float, name: str, kind: T.DecimalType | None) -> DataFrame:
+    values = df.select(*by, (expr if kind else expr.cast("double")).alias("_v")).where(F.col("_v").isNotNull())
     counts = values.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
     keys = list(by) or ["_all"]
     if not by:
         counts = counts.withColumn("_all", F.lit(0))
     # Slices are narrow relative spans of value, so no look at the data is needed.
-    slices = F.floor(F.signum("_v") * F.log2(F.abs("_v") + 1) * SLICES_PER_DOUBLING)
+    size = F.col("_v").cast("double")
+    slices = F.floor(F.signum(size) * F.log2(F.abs(size) + 1) * SLICES_PER_DOUBLING)
     ranked = scan(counts, keys, ["_v"], sums={"_below": F.col("_c")}, slices=slices)
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     position = (F.col("_n") - 1) * F.lit(q)
@@ -110,7 +140,6 @@ def _percentile(df: DataFrame, by: Sequence[str], expr: Column, q: float, name:
     weight = F.max(position - low)
     lower = F.max(F.when(holds(low), F.col("_v")))
     upper = F.max(F.when(holds(high), F.col("_v")))
+    mixed = _mean(lower, upper, kind) if kind else F.when(weight == 0, lower).otherwise(lower * (1 - weight) + upper * weight)
     # Without keys there is one row, of null where there are no values.
-    return middle.groupBy(*by).agg(
-        F.when(weight == 0, lower).otherwise(lower * (1 - weight) + upper * weight).alias(name)
-    ).select(*by, name)
+    return middle.groupBy(*by).agg(mixed.alias(name)).select(*by, name)

@@ -353,10 +353,16 @@ def _(spark, sf_dir):
 # --- description ---------------------------------------------------------------------------
 
 
+def _median(name: str) -> str:
+    """The mean of the two middle values, in their own type, not in doubles."""
+    ordered = f"list_sort(list({name}))"
+    return f"(({ordered}[(count(*) + 1) // 2] + {ordered}[count(*) // 2 + 1]) * 0.5)::DOUBLE"
+
+
 @query(
     "numeric_summary",
     f"""WITH {OUTCOMES} SELECT series, count(*) AS n, min(value)::DOUBLE AS min, max(value)::DOUBLE AS max,
-    round_even(sum(value)::DOUBLE / count(*), 6) AS mean, quantile_cont(value::DOUBLE, 0.5) AS median
+    round_even(sum(value)::DOUBLE / count(*), 6) AS mean, {_median('value')} AS median
     FROM outcomes GROUP BY series""",
 )
 def _(spark, sf_dir):
@@ -399,7 +405,7 @@ def _(spark, sf_dir):
     "collection_delay",
     f"""WITH {OUTCOMES}, d AS (SELECT series, (epoch_us(collection_ts) - epoch_us(ts)) / 1e6 AS d FROM outcomes)
     SELECT series, count(*) AS n, min(d) AS min, max(d) AS max, round_even(avg(d), 6) AS mean,
-    quantile_cont(d, 0.5) AS median FROM d GROUP BY series""",
+    {_median('d')} AS median FROM d GROUP BY series""",
 )
 def _(spark, sf_dir):
     return describe.collection_delay(D.outcomes(spark, sf_dir), ["series"])
@@ -422,8 +428,8 @@ def _(spark, sf_dir):
     f"""WITH {OUTCOMES}, r AS (SELECT *, (epoch_us(collection_ts) - epoch_us(ts)) / 1e6 AS d FROM outcomes)
     SELECT series, count(*) AS selected, count(DISTINCT series) AS series_count, min(ts) AS first_ts, max(ts) AS last_ts,
       min(value)::DOUBLE AS value_min, max(value)::DOUBLE AS value_max,
-      round_even(sum(value)::DOUBLE / count(*), 6) AS value_mean, quantile_cont(value::DOUBLE, 0.5) AS value_median,
-      min(d) AS delay_min, max(d) AS delay_max, round_even(avg(d), 6) AS delay_mean, quantile_cont(d, 0.5) AS delay_median,
+      round_even(sum(value)::DOUBLE / count(*), 6) AS value_mean, {_median('value')} AS value_median,
+      min(d) AS delay_min, max(d) AS delay_max, round_even(avg(d), 6) AS delay_mean, {_median('d')} AS delay_median,
       count(*) FILTER (value < 2) AS bucket_0, count(*) FILTER (value >= 2 AND value < 5) AS bucket_1,
       count(*) FILTER (value >= 5 AND value < 10) AS bucket_2, count(*) FILTER (value >= 10) AS bucket_3,
       round_even(100 * count(*) FILTER (value < 2) / count(*), 2) AS bucket_0_pct,
