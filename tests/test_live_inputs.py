@@ -111,3 +111,41 @@ def test_live_windows_equal_batch_features(spark, tmp_path, whole):
     assert set(got) == set(ends) == set(batch)
     for key, state in batch.items():
         assert got[key] == pytest.approx(state, abs=1e-9), key
+
+
+def test_streamed_signals_equal_batch(spark, tmp_path, whole):
+    """Probabilities and champions of a replay in uneven batches are those of the batch operators."""
+    from tidemark.operators import online
+    from tidemark.streaming import signals
+
+    rng = random.Random(3)
+    thresholds, rows = ("2", "5"), []
+    for i in range(150):
+        hits = [int(rng.random() < 0.5), int(rng.random() < 0.2)]
+        for mode, width in (("history", 2), ("state", 3)):
+            rows.append(("a", mode, i, [rng.gauss(0, 1) + (hits[0] if mode == "state" else 0) for _ in range(width)], hits))
+    schema = "series string, mode string, pos bigint, x array<double>, hits array<int>"
+    folder = tmp_path / "in"
+    for n, (a, b) in enumerate([(0, 1), (1, 70), (60, 71), (71, 128), (128, 150)]):  # one part comes twice
+        spark.createDataFrame([r for r in rows if a <= r[2] < b], schema).coalesce(1).write.mode("append").parquet(str(folder))
+        for name in os.listdir(folder):
+            path = folder / name
+            if path.stat().st_mtime > 1_700_001_000:
+                os.utime(path, (1_700_000_000 + n, 1_700_000_000 + n))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    out = str(tmp_path / "out")
+    query = (
+        signals.online_signals(stream, thresholds).writeStream.format("parquet").option("path", out)
+        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination(240)
+    got = {(r.pos, float(r.threshold)): r for r in spark.read.parquet(out).collect()}
+    assert len(got) == 300 == spark.read.parquet(out).count()
+    batch = online.online_rls(spark.createDataFrame(rows, schema))
+    name = F.concat_ws(":ff=", F.col("mode"), F.format_number("factor", 2))
+    losses = online.candidate_losses(batch, thresholds, 16, name)
+    for r in losses.collect():
+        assert got[r.at, float(r.threshold)].candidates[r.name] == pytest.approx(r.probability, abs=1e-12)
+    for r in online.champion_selection(losses).collect():
+        mine = got[r["at"], float(r.threshold)]
+        assert (mine.champion, mine.mode, mine.factor, mine.actual) == (r.champion.name, r.champion["mode"], r.champion.factor, r.actual)

@@ -33,6 +33,48 @@ def _inputs(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.ones((len(x), 1)), x], axis=1), y
 
 
+class Filter:
+    """Least squares with forgetting, in information form, for several factors at once.
+
+    A state is (rows so far, decayed products of their features, and of features and hits).
+    """
+
+    def __init__(self, factors: Sequence[float], regularization: float):
+        self.forget, self.regularization = np.asarray(factors, float), regularization
+
+    def start(self, width: int, labels: int) -> tuple:
+        n = len(self.forget)
+        return 0, np.zeros((n, width, width)), np.zeros((n, labels, width))
+
+    def sums(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Decayed products of a part's rows: (factor, width, width) and (factor, label, width)."""
+        decay = self.forget[:, None] ** np.arange(len(x) - 1, -1, -1.0)
+        decayed = decay[:, :, None] * x
+        return np.swapaxes(decayed, 1, 2) @ x, y.T @ decayed
+
+    def advance(self, state: tuple, rows: int, gram: np.ndarray, cross: np.ndarray) -> tuple:
+        """The state after a part: rows so far, and decayed products of all of them."""
+        fade = (self.forget**rows)[:, None, None]
+        return state[0] + rows, state[1] * fade + gram, state[2] * fade + cross
+
+    def predictions(self, state: tuple, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Probabilities of each row of a part, (row, factor, label), from all rows before it."""
+        forget = self.forget
+        n, gram, cross = state
+        width = x.shape[1]
+        grams = np.empty((len(x), *gram.shape))
+        crosses = np.empty((len(x), *cross.shape))
+        for i in range(len(x)):
+            grams[i], crosses[i] = gram, cross
+            gram = gram * forget[:, None, None] + np.outer(x[i], x[i])
+            cross = cross * forget[:, None, None] + np.outer(y[i], x[i])
+        held = self.regularization * np.maximum(forget ** (n + np.arange(len(x), dtype=float))[:, None], FLOOR)
+        grams[..., np.arange(width), np.arange(width)] += held[..., None]
+        crosses[..., 0] += 0.5 * held[..., None]
+        weights = np.linalg.solve(grams, np.swapaxes(crosses, 2, 3))
+        return np.clip(np.einsum("iw,ifwl->ifl", x, weights), LOW, HIGH)
+
+
 def online_rls(
     samples: DataFrame,
     factors: Sequence[float] = FACTORS,
@@ -58,43 +100,13 @@ def online_rls(
     if not layout.whole:  # cut between the parts that sums are made of
         layout = Layout(layout.slice_us, -(-layout.block_rows // PART_ROWS) * PART_ROWS)
     factors = [float(f) for f in factors]
-    forget = np.asarray(factors)
+    model = Filter(factors, regularization)
 
     def parts(pdf: pd.DataFrame):
         """Consecutive rows with the same ``pos // PART_ROWS``."""
         for _, part in pdf.groupby(pdf["pos"] // PART_ROWS, sort=True):
             yield part
 
-    def sums(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Decayed products of a part's rows: (factor, width, width) and (factor, label, width)."""
-        decay = forget[:, None] ** np.arange(len(x) - 1, -1, -1.0)
-        decayed = decay[:, :, None] * x
-        return np.swapaxes(decayed, 1, 2) @ x, y.T @ decayed
-
-    def advance(state, rows_, gram, cross):
-        """The state after a part: rows so far, and decayed products of all of them."""
-        fade = (forget**rows_)[:, None, None]
-        return state[0] + rows_, state[1] * fade + gram, state[2] * fade + cross
-
-    def start(width: int, labels: int):
-        return 0, np.zeros((len(factors), width, width)), np.zeros((len(factors), labels, width))
-
-    def predictions(state, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Probabilities of each row of a part, (row, factor, label), from all rows before it."""
-        n, gram, cross = state
-        width = x.shape[1]
-        grams = np.empty((len(x), *gram.shape))
-        crosses = np.empty((len(x), *cross.shape))
-        for i in range(len(x)):
-            grams[i], crosses[i] = gram, cross
-            gram = gram * forget[:, None, None] + np.outer(x[i], x[i])
-            cross = cross * forget[:, None, None] + np.outer(y[i], x[i])
-        held = regularization * np.maximum(forget ** (n + np.arange(len(x), dtype=float))[:, None], FLOOR)
-        grams[..., np.arange(width), np.arange(width)] += held[..., None]
-        crosses[..., 0] += 0.5 * held[..., None]
-        weights = np.linalg.solve(grams, np.swapaxes(crosses, 2, 3))
-        return np.clip(np.einsum("iw,ifwl->ifl", x, weights), LOW, HIGH)
-
     def kernel(pdf: pd.DataFrame, state: pd.DataFrame | None) -> pd.DataFrame:
         if pdf.empty:
             return pd.DataFrame(
@@ -102,7 +114,7 @@ def online_rls(
             )
         x, y = _inputs(pdf)
         width, labels = x.shape[1], y.shape[1]
-        now = start(width, labels)
+        now = model.start(width, labels)
         if state is not None and not state.empty:
             own = state.set_index("factor").loc[factors]
             now = (
@@ -113,8 +125,8 @@ def online_rls(
         made = []
         for part in parts(pdf):
             px, py = _inputs(part)
-            made.append(predictions(now, px, py))
-            now = advance(now, len(px), *sums(px, py))
+            made.append(model.predictions(now, px, py))
+            now = model.advance(now, len(px), *model.sums(px, py))
         out = np.concatenate(made)
         count = len(x)
         return pd.DataFrame(
@@ -132,7 +144,7 @@ def online_rls(
         made = []
         for part in parts(pdf):
             x, y = _inputs(part)
-            gram, cross = sums(x, y)
+            gram, cross = model.sums(x, y)
             first = part.iloc[0]
             for k, f in enumerate(factors):
                 made.append(
@@ -151,7 +163,7 @@ def online_rls(
             own = part.set_index("factor").loc[factors]
             width = int(round(len(own["gram"].iloc[0]) ** 0.5))
             labels = len(own["cross"].iloc[0]) // width
-            now = start(width, labels) if now is None else now
+            now = model.start(width, labels) if now is None else now
             if own["_slice"].iloc[0] != reached:
                 reached = own["_slice"].iloc[0]
                 for k, f in enumerate(factors):
@@ -163,7 +175,7 @@ def online_rls(
                     )
             gram = np.stack(own["gram"].to_numpy()).reshape(-1, width, width)
             cross = np.stack(own["cross"].to_numpy()).reshape(-1, labels, width)
-            now = advance(now, int(own["rows"].iloc[0]), gram, cross)
+            now = model.advance(now, int(own["rows"].iloc[0]), gram, cross)
         return pd.DataFrame(
             made, columns=["series", "mode", "_slice", "factor", "rows", "gram", "cross"]
         )
