@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 import random
 
 import pytest
@@ -24,8 +25,6 @@ def run(spark, tmp_path, batches, build):
         lines = [json.dumps({c: m.get(c) for c in columns}) for m in batch]
         path = folder / f"{i:03d}.json"
         path.write_text("\n".join(lines))
-        import os
-
         os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
     stream = (
         spark.readStream.schema(locks.MESSAGE).option("maxFilesPerTrigger", 1).json(str(folder))
@@ -164,7 +163,7 @@ def test_the_gate_lets_a_proven_candidate_through():
     """Without Spark: after sixteen scored locks the better candidate replaces the prior."""
     from types import SimpleNamespace
 
-    machine = locks.TriggerLocks(("2", "5"), 5.0, False, 0.0)
+    machine = locks.TriggerLocks(("2", "5"), 5.0, False, False, 0.0)
     machine.cell = SimpleNamespace(exists=lambda: False)
     state = machine.load()
     state["frozen"] = {"t": 1.0}
@@ -342,9 +341,12 @@ def test_a_refresh_is_applied_once(spark, tmp_path):
             sink(batch, batch_id)  # as after a failure behind the write
             batches.append(batch_id)
 
-    def feed(name, rows):
-        (folder / f"{name}.json").write_text("\n".join(json.dumps({c: m.get(c) for c in columns}) for m in rows))
-        main = spark.readStream.schema(locks.MESSAGE).json(str(folder))
+    def feed(name, *polls):
+        for i, rows in enumerate(polls):
+            path = folder / f"{name}-{i}.json"
+            path.write_text("\n".join(json.dumps({c: m.get(c) for c in columns}) for m in rows))
+            os.utime(path, (1_700_000_000 + 100 * int(name) + i,) * 2)
+        main = spark.readStream.schema(locks.MESSAGE).option("maxFilesPerTrigger", 1).json(str(folder))
         stream = main.unionByName(locks.messages(signatures=locks.stream_signatures(spark, str(control))))
         query = (
             locks.trigger_locks(stream, min_age_seconds=0.0).writeStream.foreachBatch(write)
@@ -354,7 +356,7 @@ def test_a_refresh_is_applied_once(spark, tmp_path):
         return [r.asDict(recursive=True) for r in spark.read.json(out).orderBy("seq").collect()]
 
     frozen = {"series": "a", "kind": "signatures", "us": BASE, "scores": json.dumps({"old": 0.5})}
-    rows = feed("0", [frozen, *[outcome(i, 2) for i in range(9)]])
+    rows = feed("0", [frozen, outcome(0, 2)], *[[outcome(i, 2)] for i in range(1, 9)])
     assert [r["event"] for r in rows].count("trigger_refresh_wanted") == 1 and len(asked) == 2
     seen = {
         "series": "a", "kind": "observation", "us": BASE + 8 * 10_000_000 + 1_000_000, "id": "x", "signature": "new",
@@ -369,3 +371,25 @@ def test_a_refresh_is_applied_once(spark, tmp_path):
     rows = feed("2", [outcome(9, 2)])
     assert [r["event"] for r in rows].count("trigger_regime_refreshed") == 1
     assert rows[-1]["event"] == "pre_round_prior_forecast" and "pre_round_snapshot_scored" in [r["event"] for r in rows]
+
+
+@pytest.mark.parametrize("cuts", [[1, 2, 3, 4, 5, 6, 7], [3, 7], [7]])
+def test_sessions_become_stale_in_the_time_of_rows(spark, tmp_path, cuts):
+    """The same ledger, whatever the batches; the last session ends when others' rows pass it."""
+    rows = [beat(0, "s1"), outcome(1, 2), beat(1, "s1"), outcome(4, 3), outcome(5, 3), beat(6, "s2"), outcome(7, 2)]
+    rows = [r | {"series": "a"} for r in rows]
+    later = [[outcome(i, 2, "b")] for i in (20, 21, 22)]
+    batches = [rows[a:b] for a, b in zip([0, *cuts], cuts)] + later
+    found = run(
+        spark, tmp_path, batches,
+        lambda s: locks.lock_and_score(s, min_history=1, sessions=True, stale_seconds=15.0, watermark="1 second"),
+    )
+    mine = [(r["event"], (r["us"] - BASE) / 1e7, r.get("reason"), r["history_count"] if "history_count" in r else None) for r in found if r["series"] == "a"]
+    assert mine == [
+        ("prediction_armed", pytest.approx(0.0, abs=1e-3), "await_fresh_outcome", 0),
+        ("prediction_locked", 1.0, None, 1),
+        ("prediction_invalidated", pytest.approx(2.5, abs=1e-3), "collector_heartbeat_missing_or_stale", None),
+        ("prediction_armed", pytest.approx(6.0, abs=1e-3), "await_fresh_outcome", 3),
+        ("prediction_locked", 7.0, None, 4),
+        ("prediction_invalidated", pytest.approx(7.5, abs=1e-3), "collector_heartbeat_missing_or_stale", None),
+    ]

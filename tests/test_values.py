@@ -407,3 +407,18 @@ def test_medians_of_decimals_keep_every_digit(spark, small):
     assert got["b"] == (Decimal("1.0000015"),) * 2
     assert got["c"] == (Decimal("12345678901234567.250001"),) * 2
     assert got.get("d") in (None, (None, None))
+
+
+def test_fingerprints_are_trees(spark, whole):
+    import hashlib
+
+    from tidemark.sources.outcomes import dataset_fingerprint
+
+    def digest(parts):
+        return hashlib.sha256(",".join(parts).encode()).hexdigest()
+
+    values = [f"{i}.5" for i in range(1, 48)]
+    got = {n: dataset_fingerprint(series_of(spark, values), 5, n).first() for n in (3, 4096)}
+    chunks = [digest(values[a : a + 5]) for a in range(0, 47, 5)]
+    assert (got[4096].outcomes, got[4096].fingerprint) == (47, digest(chunks))
+    assert got[3].fingerprint == digest([digest(chunks[a : a + 3]) for a in range(0, 10, 3)])

@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import ledger as L
 from tidemark.plans.lineage import new_folder
-from tidemark.registry.common import OUTCOMES, elements, observed
+from tidemark.registry.common import FREQUENCY, OUTCOMES, elements, observed
 from tidemark.registry.modelling import LEDGER
 from tidemark.registry.timing import _vector_sql
 from tidemark.operators.features import STATE_FEATURES
-from tidemark.schemas import OUTCOME_COLUMNS
+from tidemark.schemas import OUTCOME_COLUMNS, STREAM_LEDGER
 from tidemark.sources import driver_tables as D
 from tidemark.sources import ledgers
 from tidemark.sources import outcomes as S
-from tidemark.streaming import ingest
+from tidemark.streaming import ingest, locks
 
 QUERIES, ORACLES = {}, {}
 
@@ -129,3 +129,46 @@ def _(spark, sf_dir):
         tailed = ingest.tail_observations(spark, folder).select("series", "kind", "ts", "socket", "direction", "payload_bytes", "payload_format")
         tailed.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(tailed.schema).parquet(out)
+
+
+@contextmanager
+def keyed_state(spark):
+    """Keyed state of Python operators needs the RocksDB store."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+@query(
+    "stream_locks",
+    f"""WITH {FREQUENCY}, parts AS (SELECT *, event_id * 4 // (SELECT max(event_id) + 1 FROM events) AS part FROM forecast),
+    seen AS (SELECT series, threshold, part, count(*) AS rows, CAST(sum(actual) AS BIGINT) AS won, arg_min(outcome_id, (ts, outcome_id)) AS first_id FROM parts GROUP BY ALL),
+    locks AS (SELECT *, CAST(sum(rows) OVER w AS BIGINT) AS history_count, sum(won) OVER w AS hits, lead(first_id) OVER w AS actual_id, lead(rows) OVER w - 1 AS others
+      FROM seen WINDOW w AS (PARTITION BY series, threshold ORDER BY part))
+    SELECT series, history_count, threshold::DOUBLE AS threshold, CASE WHEN history_count >= 50 THEN round_even(hits / history_count, 6) END AS probability, actual_id,
+      CASE WHEN others > 0 THEN others END AS unpredicted FROM locks""",
+)
+def _(spark, sf_dir):
+    """Outcomes arrive in four parts; each is scored, its others are a gap, and a lock follows."""
+    arriving, out, progress = (new_folder(spark, n) for n in ("arriving", "ledger", "progress"))
+    rows = D.outcomes(spark, sf_dir).select("series", "outcome_id", "value", "ts")
+    upto = D.events(spark, sf_dir).agg(F.max("event_id") + 1).first()[0]
+    part = F.floor(F.col("outcome_id").cast("bigint") * 4 / upto)
+    with keyed_state(spark):
+        for k in range(4):
+            rows.where(part == k).write.mode("append").parquet(arriving)
+            stream = locks.lock_and_score(locks.messages(outcomes=spark.readStream.schema(rows.schema).parquet(arriving)), D.THRESHOLDS)
+            writer = stream.writeStream.foreachBatch(ingest.ledger_sink(out)).option("checkpointLocation", progress)
+            writer.trigger(availableNow=True).start().awaitTermination()
+    events = spark.read.schema(STREAM_LEDGER).json(out)
+    locked = events.where("event = 'prediction_locked'").select("series", "lock_id", "history_count", F.explode("details").alias("threshold", "detail"))
+    scored = events.where("event = 'prediction_scored'").select("series", "lock_id", "actual_id")
+    gaps = events.where("event = 'prediction_gap'").select("series", "lock_id", "unpredicted")
+    return locked.join(scored, ["series", "lock_id"], "left").join(gaps, ["series", "lock_id"], "left").select(
+        "series", "history_count", F.col("threshold").cast("double").alias("threshold"), F.col("detail.baseline_probability").cast("double").alias("probability"),
+        "actual_id", "unpredicted",
+    )

@@ -106,7 +106,8 @@ def _id(prefix: str, *parts: object) -> str:
 class _Ledger(StatefulProcessor):
     """What both ledgers share: counts of the history, sessions, numbered events."""
 
-    def __init__(self, thresholds: Sequence[str], min_history: int, stale_seconds: float, sessions: bool):
+    def __init__(self, thresholds: Sequence[str], min_history: int, stale_seconds: float, sessions: bool, event_time: bool):
+        self.event_time = event_time
         self.thresholds = [str(t) for t in thresholds]
         self.limits = [Decimal(str(t)) for t in thresholds]
         self.min_history = min_history
@@ -123,7 +124,7 @@ class _Ledger(StatefulProcessor):
             return json.loads(found[0])
         return {
             "seq": 0, "n": 0, "hits": [0] * len(self.limits), "last": None, "lock": None,
-            "session": None, "armed": None,
+            "session": None, "armed": None, "beat": None,
         }
 
     def save(self, state: dict) -> None:
@@ -173,7 +174,8 @@ class _Ledger(StatefulProcessor):
         if not self.sessions:
             return []
         session = row.session if row.ready else None
-        now = timers.getCurrentProcessingTimeInMs()
+        state["beat"] = int(row.us)
+        now = int(row.us) // 1000 + 1 if self.event_time else timers.getCurrentProcessingTimeInMs()
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if session is not None:
@@ -191,27 +193,57 @@ class _Ledger(StatefulProcessor):
     def forget(self, state: dict) -> None:
         state["armed"] = None
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = self.load()
-        us = state["last"][1] if state["last"] else 0
+    def due(self, state: dict) -> int | None:
+        """When the session is stale, by the time of its last heartbeat."""
+        return state["beat"] + self.stale_ms * 1000 if state["session"] is not None else None
+
+    def expire(self, state: dict, us: int) -> list[dict]:
         events = self.close_lock(state, us, "collector_heartbeat_missing_or_stale")
         state["session"] = None
         self.forget(state)
+        return events
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = self.load()
+        us = state["last"][1] if state["last"] else 0
+        if self.event_time:
+            us = self.due(state)
+            if us is None or expiredTimerInfo.getExpiryTimeInMs() * 1000 < us:
+                return
+        events = self.expire(state, us)
         self.save(state)
         yield self.frame(key, events)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True)
         # Control rows first, then by time; an observation at an outcome's instant
-        # belongs before it.
+        # belongs before it. By event time, heartbeats have their place in time too.
         rank = batch["kind"].map({"signatures": 0, "heartbeat": 1, "observation": 2, "outcome": 3})
-        batch = batch.assign(_rank=rank, _late=rank.ge(2)).sort_values(["_late", "us", "_rank", "id"])
+        late = rank.ge(1) if self.event_time else rank.ge(2)
+        batch = batch.assign(_rank=rank, _late=late).sort_values(["_late", "us", "_rank", "id"])
         state = self.load()
         rows, events = self.fresh(state, list(batch.itertuples(index=False)))
-        events += self.advance(state, rows, timerValues)
+        events += self.in_time(state, rows, timerValues) if self.event_time else self.advance(state, rows, timerValues)
         self.save(state)
         yield self.frame(key, events)
 
+    def in_time(self, state: dict, rows: list, timers) -> list[dict]:
+        """Rows in their order in time, a stale session ended where it became so, however rows come in batches."""
+        events, together = [], []
+        for row in rows:
+            due = self.due(state)
+            stale = due is not None and row.us > due
+            if stale or row.kind == "heartbeat":
+                events += self.advance(state, together, timers)
+                together = []
+            if stale:
+                events += self.expire(state, due)
+            if row.kind == "heartbeat":
+                events += self.advance(state, [row], timers)
+            else:
+                together.append(row)
+        return events + self.advance(state, together, timers)
+
     def fresh(self, state: dict, rows: list) -> tuple[list, list[dict]]:
         """The rows without outcomes that are replayed or late, and an event that counts these.
 
@@ -258,8 +290,8 @@ class ForecastLocks(_Ledger):
 
     ARMED, INVALIDATED = "prediction_armed", "prediction_invalidated"
 
-    def __init__(self, thresholds, min_history, stale_seconds, sessions, window: int | None, challenger: ChallengerConfig | None, point: bool):
-        super().__init__(thresholds, min_history, stale_seconds, sessions)
+    def __init__(self, thresholds, min_history, stale_seconds, sessions, event_time, window: int | None, challenger: ChallengerConfig | None, point: bool):
+        super().__init__(thresholds, min_history, stale_seconds, sessions, event_time)
         if window is not None and window < min_history:
             raise ValueError("rolling window cannot be smaller than min_history.")
         self.window, self.challenger, self.point = window, challenger, point
@@ -383,8 +415,8 @@ class TriggerLocks(_Ledger):
 
     ARMED, INVALIDATED = "prospective_capture_armed", "pre_round_snapshot_invalidated"
 
-    def __init__(self, thresholds, stale_seconds: float, sessions: bool, min_age_seconds: float):
-        super().__init__(thresholds, 1, stale_seconds, sessions)
+    def __init__(self, thresholds, stale_seconds: float, sessions: bool, event_time: bool, min_age_seconds: float):
+        super().__init__(thresholds, 1, stale_seconds, sessions, event_time)
         self.min_age_us = C.to_micros(min_age_seconds)
 
     def load(self) -> dict:
@@ -573,11 +605,15 @@ class TriggerLocks(_Ledger):
             cohort["losses"] = [*cohort["losses"], losses][-GATE_WINDOW:]
 
 
-def _run(stream: DataFrame, processor: _Ledger) -> DataFrame:
+def _run(stream: DataFrame, processor: _Ledger, delay: str | None) -> DataFrame:
+    # Timers watch heartbeats; without sessions a replay ends when its input does.
+    mode = "None"
+    if processor.sessions:
+        mode = "EventTime" if processor.event_time else "ProcessingTime"
+    if mode == "EventTime":
+        stream = stream.withColumn("at", F.timestamp_micros("us")).withWatermark("at", delay)
     return stream.groupBy("series").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=STREAM_LEDGER, outputMode="append",
-        # Timers watch heartbeats; without sessions a replay ends when its input does.
-        timeMode="ProcessingTime" if processor.sessions else "None",
+        statefulProcessor=processor, outputStructType=STREAM_LEDGER, outputMode="append", timeMode=mode
     )
 
 
@@ -590,13 +626,18 @@ def lock_and_score(
     window: int | None = None,
     challenger: ChallengerConfig | None = ChallengerConfig(),
     point: bool = True,
+    watermark: str | None = None,
 ) -> DataFrame:
     """Forecast ledger events of a stream of ``messages``. Needs the RocksDB state store.
 
     ``window`` makes the frequencies rolling. The challenger keeps all values of a series in
     state, and is fitted to them at each lock; without it, the state of a series is bounded.
+
+    Sessions become stale by the wall clock, or, with ``watermark`` (how late rows may be), by the
+    rows' own time: then a replay ends them at the same rows, in whatever batches they come.
     """
-    return _run(stream, ForecastLocks(thresholds, min_history, stale_seconds, sessions, window, challenger, point))
+    processor = ForecastLocks(thresholds, min_history, stale_seconds, sessions, watermark is not None, window, challenger, point)
+    return _run(stream, processor, watermark)
 
 
 def trigger_locks(
@@ -605,9 +646,13 @@ def trigger_locks(
     sessions: bool = False,
     stale_seconds: float = 5.0,
     min_age_seconds: float = 1.0,
+    watermark: str | None = None,
 ) -> DataFrame:
-    """Snapshot ledger events of a stream of ``messages``. Needs the RocksDB state store."""
-    return _run(stream, TriggerLocks(thresholds, stale_seconds, sessions, min_age_seconds))
+    """Snapshot ledger events of a stream of ``messages``. Needs the RocksDB state store.
+
+    ``watermark`` as in ``lock_and_score``.
+    """
+    return _run(stream, TriggerLocks(thresholds, stale_seconds, sessions, watermark is not None, min_age_seconds), watermark)
 
 
 CONTROL = "series string, ts timestamp, scores string, id string"
