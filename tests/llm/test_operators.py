@@ -440,6 +440,8 @@ def test_redaction_keeps_tables(spark, awkward, nothing):
     row = pii.redact(one, tagger, chars_col="n_chars").collect()[0]
     assert row.text == "mail [EMAIL] or [PHONE] x" and row.n_chars == len(row.text)
     assert pii.add_spans(nothing, tagger).count() == 0
+    named = pii.add_spans(awkward.withColumnRenamed("score", "spans"), tagger)
+    assert named.columns[-1] == "_spans" and [r.spans for r in named.collect()] == ["y"] * awkward.count()
 
 
 # Jaccard join
@@ -550,3 +552,42 @@ def test_a_shared_queue_merges_each_string_alone(strings, size):
         byte_bpe.BUFFER_BYTES = before
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts))[:-1]] == [plain(s) for s in strings]
     assert not any(merger.low)
+
+
+def test_parts_of_spans_are_joined_over_windows():
+    email, phone = "email", "phone"
+    runs = [
+        (email, 40, 96, 0.9, False, True), (email, 48, 144, 1.0, True, True), (email, 96, 150, 1.0, True, False),  # one long span
+        (phone, 10, 20, 0.95, False, False), (phone, 90, 96, 0.9, False, True),  # the second goes on nowhere
+        (email, 300, 310, 0.9, True, False),  # its beginning is nowhere
+    ]
+    got = pii.joined(runs)
+    assert sorted((a, b, k) for _, a, b, k in got) == [(10, 20, phone), (40, 150, email)]
+    assert [q for q, a, *_ in got if a == 40][0] == pytest.approx((56 * 0.9 + 96 + 54) / 206, abs=5e-3)
+
+
+SMALL_TEXTS = "/root/testdata/sf0.01/documents.parquet"
+
+
+@pytest.mark.skipif(not Path(SMALL_TEXTS).exists(), reason="driver tables not present")
+def test_few_texts_teach_the_tagger_and_long_spans_are_found():
+    """Learned from the first texts of a small table, it finds rewritten emails in others, however long."""
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table(SMALL_TEXTS, columns=["text"]).column(0).to_pylist() if t and pii.base_spans(t)]
+    with_email = [t for t in texts if any(k == "email" for k, *_ in pii.base_spans(t))]
+    held = with_email[::2]
+    tagger = pii.Tagger()
+    tagger.train(*pii.examples([t[:4000] for t in texts if t not in held]))
+    rng = np.random.default_rng(1)
+    for length in (0, 40, 120, 400):
+        found = 0
+        for text in held:
+            _, a, b = next(s for s in pii.base_spans(text) if s[0] == "email")
+            name, domain = text[a:b].split("@", 1)
+            while len(name) + len(domain) + 3 < length:
+                name += "." + "office"
+            part = pii.disguised("email", f"{name}@{domain}", rng)
+            spans = pii.find_spans(tagger, [text[:a] + part + text[b:]])[0]
+            found += ("email", a, a + len(part)) in [s[:3] for s in spans]
+        assert found >= 0.9 * len(held) > 3, length

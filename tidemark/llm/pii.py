@@ -2,9 +2,10 @@
 
 The tagger is trained in numpy on the driver, from the spans that the base patterns label in
 a bounded sample of documents, with some of them rewritten as people write them to evade
-patterns. It then reads every text in overlapping windows; spans that whole windows agree on
-are reconciled over the text, those of higher marginal probability first, and added to the
-base spans. All kinds hold a digit or an at sign, so a window without either is not read.
+patterns. It then reads every text in overlapping windows; parts of spans that reach over the edges of windows
+are joined, and spans are reconciled over the text, those of higher marginal probability
+first, and added to the base spans. All kinds hold a digit or an at sign, so a window without
+either is read only where a span of its neighbour goes on.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.shared import pieces, text_of, texts
+from tidemark.llm.shared import free_name, pieces, text_of, texts
 
 # The kinds in order, and the base patterns.
 KINDS = ["email", "ip", "card", "phone"]
@@ -35,7 +36,11 @@ STRIDE = 48
 #: Texts that are learned from at most, those with the least hashes; and windows of them.
 TRAIN_TEXTS = 600
 TRAIN_WINDOWS = 900
-EPOCHS = 40
+#: Training ends after so many batches, or with a pass of at most this mean loss of a window.
+STEPS = 320
+ENOUGH = 0.1
+#: How often few texts are drawn from again, each time rewritten anew.
+DRAWS = 30
 #: An added span has at least this mean marginal probability.
 SURE = 0.9
 
@@ -226,13 +231,13 @@ class Tagger:
         np.add.at(g["E"], windows.T, dx)
         return loss, g
 
-    def train(self, windows: np.ndarray, tags: np.ndarray, epochs: int = EPOCHS, batch: int = 128, rate: float = 0.02, seed: int = 9) -> list[float]:
-        """Adam over shuffled batches; the mean loss of each epoch."""
+    def train(self, windows: np.ndarray, tags: np.ndarray, steps: int = STEPS, batch: int = 128, rate: float = 0.02, seed: int = 9) -> list[float]:
+        """Adam over shuffled batches, as many steps whatever the number of windows; the mean loss of each pass."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(v) for k, v in self.p.items()}
         losses, step = [], 0
-        for epoch in range(epochs):
+        while step < steps and not (losses and losses[-1] <= ENOUGH):
             order, total = rng.permutation(len(windows)), 0.0
             for lo in range(0, len(order), batch):
                 pick = order[lo : lo + batch]
@@ -244,7 +249,7 @@ class Tagger:
                     x = g[k] * min(1.0, 5 / (norm + 1e-12))
                     m[k] = 0.9 * m[k] + 0.1 * x
                     v[k] = 0.999 * v[k] + 0.001 * x * x
-                    r = rate * (0.1 + 0.9 * (1 - epoch / epochs))
+                    r = rate * (0.1 + 0.9 * max(0.0, 1 - step / steps))
                     self.p[k] -= (r * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
             losses.append(total / len(order))
         return losses
@@ -304,22 +309,36 @@ def plausible(kind: str, part: str) -> bool:
 
 
 def find_spans(tagger: Tagger, documents: list[str], batch: int = 256) -> list[list[Span]]:
-    """All spans of each text: the base ones, and those that the tagger adds."""
+    """All spans of each text: the base ones, and those that the tagger adds.
+
+    Where a span reaches the edge of its window, the windows behind the edge are read too, one,
+    then two, then four further on, until all spans end inside of what is read.
+    """
     classes = [encode(d) if GATE.search(d) else np.zeros(0, np.int64) for d in documents]
-    starts = [window_starts(c) for c in classes]
-    where = [(i, int(s)) for i, ss in enumerate(starts) for s in ss]
-    found: list[list] = [[] for _ in documents]
-    for lo in range(0, len(where), batch):
-        some = where[lo : lo + batch]
-        tags, sure = tagger.decode(np.concatenate([cut(classes[i], np.array([s])) for i, s in some]))
-        for (i, s), t, p in zip(some, tags, sure):
-            for kind, a, b, q in spans_of_tags(t, p):
-                # A span at an edge may go on: the neighbour that holds it whole decides.
-                if (a > 0 or s == 0) and (b < WINDOW or s + WINDOW >= len(documents[i])) and s + b <= len(documents[i]):
-                    found[i].append((q, s + a, s + b, KINDS[kind]))
+    runs: list[dict[int, list]] = [{} for _ in documents]  # by window: kind, start, end, probability, open to the left, right
+    where = [(i, int(s)) for i, c in enumerate(classes) for s in window_starts(c)]
+    further = 1
+    while where:
+        for lo in range(0, len(where), batch):
+            some = where[lo : lo + batch]
+            tags, sure = tagger.decode(np.concatenate([cut(classes[i], np.array([s])) for i, s in some]))
+            for (i, s), t, p in zip(some, tags, sure):
+                n = len(documents[i])
+                runs[i][s] = [
+                    (KINDS[k], s + a, s + b, q, a == 0 and s > 0, b == WINDOW and s + WINDOW < n)
+                    for k, a, b, q in spans_of_tags(t, p) if s + b <= n
+                ]
+        wanted = set()
+        for i, s in where:
+            for *_, left, right in runs[i][s]:
+                steps = [-k for k in range(1, further + 1)] * left + list(range(1, further + 1)) * right
+                wanted |= {(i, s + k * STRIDE) for k in steps if 0 <= s + k * STRIDE < len(documents[i])}
+        where = sorted(w for w in wanted if w[1] not in runs[w[0]])
+        further *= 2
     out = []
-    for text, added in zip(documents, found):
+    for text, found in zip(documents, runs):
         spans = [(*s, True) for s in base_spans(text)] if text else []
+        added = joined([r for s in sorted(found) for r in found[s]])
         if added:
             taken = _Taken((a, b) for _, a, b, _ in spans)
             for q, a, b, kind in sorted(set(added), key=lambda x: (-x[0], x[1], x[2], x[3])):
@@ -329,6 +348,28 @@ def find_spans(tagger: Tagger, documents: list[str], batch: int = 256) -> list[l
     return out
 
 
+def joined(runs: list[tuple]) -> list[tuple[float, int, int, str]]:
+    """Probability, start, end and kind of the runs that end inside of what was read.
+
+    Parts of one kind that go on over an edge are joined where they meet in neighbouring
+    windows, with the mean of their probabilities by length. A part that meets none is left to
+    the window that holds its span whole.
+    """
+    out = [(q, a, b, kind) for kind, a, b, q, left, right in runs if not (left or right)]
+    for kind in KINDS:
+        parts = sorted((a, b, q, left, right) for k, a, b, q, left, right in runs if k == kind and (left or right))
+        now = None
+        for a, b, q, left, right in [*parts, (np.inf, np.inf, 0.0, False, False)]:
+            if now and left and now[4] and a <= now[1]:
+                weight, more = now[1] - now[0], b - a
+                now = (now[0], max(now[1], b), (now[2] * weight + q * more) / (weight + more), now[3], right if b >= now[1] else now[4])
+                continue
+            if now and not (now[3] or now[4]):
+                out.append((now[2], now[0], now[1], kind))
+            now = (a, b, q, left, right)
+    return out
+
+
 class _Taken:
     """Disjoint intervals; ``add`` refuses one that overlaps."""
 
@@ -361,41 +402,68 @@ def disguised(kind: str, part: str, rng) -> str:
     return [".", "/", "_"][rng.integers(3)].join(digits[i : i + 4] for i in range(0, len(digits), 4))
 
 
+def lengthened(part: str, rng) -> str:
+    """An email address with more words in its name, of 30 to 150 characters, as some systems make them."""
+    name, domain = part.split("@", 1)
+    words = [w for w in re.split(r"[^A-Za-z0-9]+", part) if w]
+    wanted = int(rng.integers(30, 150))
+    while len(name) + len(domain) < wanted:
+        name += "._-+"[rng.integers(4)] + words[rng.integers(len(words))]
+    return f"{name}@{domain}"
+
+
 def examples(documents: list[str], seed: int = 3, most: int = TRAIN_WINDOWS) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and tags from texts whose spans the base patterns label."""
+    """Windows and tags from texts whose spans the base patterns label.
+
+    The texts are drawn from again, with other windows and other rewrites, until there are
+    ``most`` windows, so that few texts teach as long as many do.
+    """
     rng = np.random.default_rng(seed)
     windows, tags = [], []
-    for text in documents:
-        spans = sorted((a, b, k) for k, a, b in base_spans(text) if b - a < 40)
-        disjoint = [s for i, s in enumerate(spans) if not i or s[0] >= spans[i - 1][1]]
-        # Rewrite about a third, and shift the labels with the text.
-        out, labels, at = [], [], 0
-        for a, b, kind in disjoint:
-            out.append(text[at:a])
-            part = disguised(kind, text[a:b], rng) if rng.random() < 0.35 else text[a:b]
-            start = sum(map(len, out))
-            labels.append((start, start + len(part), KINDS.index(kind)))
-            out.append(part)
-            at = b
-        text = "".join([*out, text[at:]])
-        classes, tag = encode(text), np.zeros(len(text) + WINDOW, np.int64)
-        for a, b, k in labels:
-            tag[a] = 2 * k + 1
-            tag[a + 1 : b] = 2 * k + 2
-        starts = window_starts(classes)
-        if len(starts) > 6:
-            starts = rng.choice(starts, 6, replace=False)
-        for s in starts:
-            own = tag[s : s + WINDOW].copy()
-            if own[0] and own[0] % 2 == 0:  # the window starts inside a span
-                own[0] -= 1
-            windows.append(cut(classes, np.array([s]))[0])
-            tags.append(own)
-        if len(windows) >= most:
+    for _ in range(DRAWS):
+        for text in documents:
+            _draw(text, rng, windows, tags)
+            if len(windows) >= most:
+                break
+        if len(windows) >= most or not windows:
             break
     return np.array(windows[:most], np.int64).reshape(-1, WINDOW), np.array(tags[:most], np.int64).reshape(-1, WINDOW)
 
 
+def _draw(text: str, rng, windows: list, tags: list) -> None:
+    """Some windows of a text, in which about a third of the spans are rewritten, and some emails made longer."""
+    spans = sorted((a, b, k) for k, a, b in base_spans(text))
+    disjoint = [s for i, s in enumerate(spans) if not i or s[0] >= spans[i - 1][1]]
+    out, labels, at = [], [], 0
+    for a, b, kind in disjoint:
+        out.append(text[at:a])
+        part = text[a:b]
+        if kind == "email" and rng.random() < 0.35:
+            part = lengthened(part, rng)
+        part = disguised(kind, part, rng) if rng.random() < 0.35 else part
+        start = sum(map(len, out))
+        labels.append((start, start + len(part), KINDS.index(kind)))
+        out.append(part)
+        at = b
+    text = "".join([*out, text[at:]])
+    classes, tag = encode(text), np.zeros(len(text) + WINDOW, np.int64)
+    for a, b, k in labels:
+        tag[a] = 2 * k + 1
+        tag[a + 1 : b] = 2 * k + 2
+    starts = window_starts(classes)
+    # Windows that long spans go on in hold no digit or at sign, perhaps.
+    inside = [s for a, b, _ in labels for s in range(a // STRIDE * STRIDE, b, STRIDE)]
+    starts = np.unique(np.concatenate([starts, np.array(inside, np.int64)]))
+    if len(starts) > 6:
+        starts = rng.choice(starts, 6, replace=False)
+    for s in starts:
+        own = tag[s : s + WINDOW].copy()
+        if own[0] and own[0] % 2 == 0:  # the window starts inside a span
+            own[0] -= 1
+        windows.append(cut(classes, np.array([s]))[0])
+        tags.append(own)
+
+
 def learn(docs: DataFrame, text_col: str = "text", most: int = TRAIN_TEXTS) -> Tagger:
     """A tagger trained on at most ``most`` texts with a digit or an at sign.
 
@@ -429,8 +497,10 @@ def add_spans(docs: DataFrame, tagger: Tagger, text_col: str = "text", name: str
 
     Row by row over every whole text, without a shuffle; the tagger's few thousand numbers
     travel with the function. Base spans are always there; an added span overlaps none.
-    Null and empty texts have none; rows with null ids and repeated rows are read as any.
+    Null and empty texts have none; rows with null ids and repeated rows are read as any. The
+    column is the last one, and has underscores in front if the name is taken.
     """
+    name = free_name(docs, name)
     out = docs.withColumn(name, F.expr(f"cast(array() as {SPANS})"))
     place, text_at = len(docs.columns), docs.columns.index(text_col)
 
