@@ -501,8 +501,8 @@ def test_one_document_of_each_class_stays(spark, awkward, nothing):
 
 def test_depth_reaches_the_recall():
     for target in (0.5, 0.9, 0.99, 0.9995):
-        d = jaccard_join.prefix_depth(0.8, 16, 8, target)
-        assert d == 1 or 1 - (1 - 0.8**d) ** 16 >= target
+        trees, d = jaccard_join.forest(0.8, 16, 8, target)
+        assert 1 - (1 - 0.8**d) ** trees >= target
         assert d == 8 or 1 - (1 - 0.8 ** (d + 1)) ** 16 < target
 
 
@@ -591,3 +591,38 @@ def test_few_texts_teach_the_tagger_and_long_spans_are_found():
             spans = pii.find_spans(tagger, [text[:a] + part + text[b:]])[0]
             found += ("email", a, a + len(part)) in [s[:3] for s in spans]
         assert found >= 0.9 * len(held) > 3, length
+
+
+def test_many_repeated_lines_are_told_apart(spark):
+    """Where a hundred repeated lines are common, a text with thousands is still over the fence."""
+    plain = [" ".join(f"word{n}x{k}" for k in range(60)) + "\n" + "same line here\n" * (96 + n % 5) for n in range(300)]
+    docs = spark.createDataFrame([(n, "en", "s", t) for n, t in enumerate([*plain, plain[0] + "same line here\n" * 20_000])], "doc_id long, lang string, source string, text string")
+    rates = quality_rules.with_rates(quality_rules.with_counts(docs))
+    fence = quality_rules.fences(quality_rules.sketches(rates)).where("level = 0").first().dup_rate_fence
+    over = [r.doc_id for r in rates.where(F.col("dup_rate") > fence).collect()]
+    assert over == [300] and fence > 100 * 25
+
+
+def test_a_forest_reaches_its_recall_at_every_threshold():
+    for similarity in (0.2, 0.3, 0.5, 0.6, 0.8, 0.9, 1.0):
+        trees, depth = jaccard_join.forest(similarity)
+        assert depth >= min(2, jaccard_join.DEPTH) and 1 - (1 - similarity**depth) ** trees >= jaccard_join.TARGET_RECALL
+        if trees == jaccard_join.TREES and depth < jaccard_join.DEPTH:
+            assert 1 - (1 - similarity ** (depth + 1)) ** trees < jaccard_join.TARGET_RECALL
+    with pytest.raises(ValueError):
+        jaccard_join.forest(0.01)
+
+
+def test_links_of_a_low_threshold_are_found(spark):
+    """At 0.3, where the trees of 0.8 would miss links, more trees find those of brute force."""
+    rng = np.random.default_rng(2)
+    docs = []
+    for n in range(40):
+        words = [f"w{n}x{k}" for k in range(60)]
+        other = words[: 25 + n % 20] + [f"o{n}x{k}" for k in range(35 - n % 20)]
+        docs += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(other))]
+    got = {r.doc_id: r.class_id for r in jaccard_join.document_classes(spark.createDataFrame(docs, "doc_id long, text string"), 0.3).collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(56)} for i, t in docs}
+    for n in range(40):
+        a, b = sets[2 * n], sets[2 * n + 1]
+        assert (got[2 * n + 1] == 2 * n) == (len(a & b) >= 0.3 * len(a | b))

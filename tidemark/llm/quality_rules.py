@@ -70,7 +70,7 @@ def with_rates(counts: DataFrame) -> DataFrame:
     share = lambda a, b, unit: F.coalesce(F.floor(F.lit(unit) * F.col(a) / F.nullif(F.col(b), F.lit(0))), F.lit(0)).cast("long")
     return counts.withColumns({
         "symbol_rate": share("n_symbols", "word_chars", 1000),
-        "dup_rate": F.least(F.lit(100), F.col("n_dup_lines")) * 25,
+        "dup_rate": F.col("n_dup_lines") * 25,
         "repeat_rate": share("n_repeat_words", "n_words", 1000),
         "word_tenths": share("word_chars", "n_words", 10),
         "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")),

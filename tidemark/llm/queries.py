@@ -147,7 +147,7 @@ c AS (
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN rep USING (doc_id)),
 r AS (
-  SELECT *, coalesce(1000 * n_symbols // nullif(word_chars, 0), 0) AS symbol_rate, least(100, n_dup_lines) * 25 AS dup_rate,
+  SELECT *, coalesce(1000 * n_symbols // nullif(word_chars, 0), 0) AS symbol_rate, n_dup_lines * 25 AS dup_rate,
     coalesce(1000 * n_repeat_words // nullif(n_words, 0), 0) AS repeat_rate, coalesce(10 * word_chars // nullif(n_words, 0), 0) AS word_tenths,
     n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
   FROM c),
