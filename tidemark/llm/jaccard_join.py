@@ -1,9 +1,11 @@
 """Self-join of documents by the Jaccard similarity of their word shingles.
 
-A MinHash LSH forest finds candidates: each of ``TREES`` trees is a prefix trie over its own
-sequence of MinHash values, and documents are candidates if they share a prefix. Prefixes
-start at the full depth and are shortened until the chance that two documents of the wanted
-similarity share one in some tree reaches the target recall. Candidates that hang together
+A MinHash LSH forest finds candidates: each of ``TREES`` trees has its own sequence of MinHash
+values, and documents are candidates if they share a prefix of it. Prefixes are shortened from
+the full depth until the chance that two documents of the wanted similarity share one in some
+tree reaches the target recall. A join has one threshold for all texts, so that depth holds
+for all of them; the texts of a prefix are grouped by its hash, and longer prefixes, whose
+pairs are among those of the shorter ones, are not made. Candidates that hang together
 then meet once, as whole texts, and are verified exactly.
 """
 
@@ -20,17 +22,30 @@ SHINGLE = 5
 TREES = 16
 DEPTH = 8
 TARGET_RECALL = 0.9995
+LEAST_DEPTH, MOST_TREES = 2, 512
 #: Documents of a component that are compared in one task.
 BLOCK = 1024
 #: Documents of small components that share a group.
 GROUP = 512
 
 
-def prefix_depth(similarity: float, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL) -> int:
-    """The longest prefix at which the forest still reaches the target recall."""
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < target:
+def forest(similarity: float, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL) -> tuple[int, int]:
+    """Trees and the longest prefix with which two texts of ``similarity`` meet with the target recall.
+
+    Prefixes are shortened from the full depth. Where even ``LEAST_DEPTH`` values are too many,
+    there are more trees, as a prefix of one value would bring nearly all texts together; an
+    error where there would be more than ``MOST_TREES``.
+    """
+    def recall(trees: int, depth: int) -> float:
+        return 1 - (1 - similarity**depth) ** trees
+
+    while depth > LEAST_DEPTH and recall(trees, depth) < target:
         depth -= 1
-    return depth
+    while recall(trees, depth) < target:
+        trees += 1
+        if trees > MOST_TREES:
+            raise ValueError(f"a similarity of {similarity} needs more than {MOST_TREES} trees")
+    return trees, depth
 
 
 def coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +67,7 @@ def trie_prefixes(documents: list[str], trees: int, depth: int) -> tuple[np.ndar
         rows = np.flatnonzero(n > 0)
         ends = np.cumsum(n[rows])
         grams = grams[np.arange(ends[-1]) + np.repeat(first[rows] - ends + n[rows], n[rows])]
-        a, b = coefficients(TREES * DEPTH)
+        a, b = coefficients(max(trees, TREES) * DEPTH)
         cuts = ends - n[rows]
         for t in range(trees):
             prefix = np.full(len(rows), t + 1, np.uint64)
@@ -180,7 +195,7 @@ def join_classes(docs: DataFrame, threshold: float = 0.8, trees: int = TREES, de
     are empty; a text whose doc_ids are all null has no rep; an empty table gives no rows.
     """
     keyed = _keyed(docs, id_col, text_col)
-    use = prefix_depth(threshold, trees, depth, target_recall)
+    trees, use = forest(threshold, trees, depth, target_recall)
     keys = written(_prefixes(keyed, trees, use), "prefixes")
     copies = keys.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("prefixes").alias("prefixes"))
     twins = keys.groupBy("text_key", "doc_id").agg(F.count("*").alias("twins"))
