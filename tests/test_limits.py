@@ -83,3 +83,57 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         lineage.settle(Frame())
+
+
+def test_a_hot_instant_is_cut_between_its_ties(spark):
+    """4,000 rows at one microsecond, in slices of at most 100, give what one window gives."""
+    from pyspark.sql import Window, functions as F
+
+    from tidemark.plans import ordering
+
+    rows = spark.range(5_000).select(
+        F.when(F.col("id") % 5 == 4, "b").otherwise("a").alias("series"),
+        F.timestamp_micros(F.when(F.col("id") % 5 == 4, F.col("id") * 1_000_000).otherwise(F.lit(2_500_000_000))).alias("ts"),
+        F.concat(F.lit("o"), (F.col("id") * 7919 % 5_000).cast("string")).alias("outcome_id"),
+        F.when(F.col("id") % 3 == 0, F.col("id")).alias("v"),
+    )
+    order = ["ts", "outcome_id"]
+    spark.conf.set(ordering.TASK_ROWS_CONF, "100")
+    try:
+        layout = ordering.measure_layout(rows, ["series"], "ts")
+        assert layout.parts == 100
+        ordering.use_layout(spark, layout)
+        assert ordering.declared_layout(rows) == layout
+        sizes = ordering._sliced(rows, ["series"], order, layout).groupBy("series", ordering.SLICE).count()
+        assert sizes.agg(F.max("count")).first()[0] <= 100
+        got = ordering.scan(rows, ["series"], order, sums={"n": F.lit(1), "s": F.coalesce("v", F.lit(0))}, prev={"p": F.col("v")}, next={"q": F.col("v")}, layout=layout)
+        rolled = ordering.rolling(rows, ["series"], order, 8, lambda w: {"m": F.sum("v").over(w.rowsBetween(-8, -1))}, layout)
+        got, rolled = sorted(map(tuple, got.collect())), sorted(map(tuple, rolled.collect()))
+    finally:
+        spark.conf.unset(ordering.TASK_ROWS_CONF)
+        ordering.use_layout(spark, None)
+    want = ordering.scan(rows, ["series"], order, sums={"n": F.lit(1), "s": F.coalesce("v", F.lit(0))}, prev={"p": F.col("v")}, next={"q": F.col("v")}, layout=ordering.WHOLE)
+    assert got == sorted(map(tuple, want.collect()))
+    plain = ordering.rolling(rows, ["series"], order, 8, lambda w: {"m": F.sum("v").over(w.rowsBetween(-8, -1))}, ordering.WHOLE).select(*["series", "ts", "outcome_id", "v", "pos", "m"])
+    assert [r[:6] for r in rolled] == sorted(map(tuple, plain.collect()))
+
+
+def test_joins_in_time_at_a_hot_instant(spark):
+    """Thousands of observations at the instant of one outcome belong to the interval that ends there."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import temporal
+    from tidemark.plans import ordering
+
+    at = lambda s: F.timestamp_micros(F.lit(s * 1_000_000))
+    outcomes = spark.range(4).select(F.lit("a").alias("series"), F.concat(F.lit("o"), "id").alias("outcome_id"), F.timestamp_micros(F.col("id") * 10_000_000).alias("ts"), F.lit(2).cast("decimal(18,6)").alias("value"))
+    obs = spark.range(3_000).select(F.lit("a").alias("series"), F.concat(F.lit("x"), "id").alias("obs_id"), F.when(F.col("id") < 2_990, at(20)).otherwise(at(21)).alias("ts"))
+    spark.conf.set(ordering.TASK_ROWS_CONF, "100")
+    try:
+        ordering.use_layout(spark, ordering.measure_layout(obs, ["series"], "ts"))
+        found = temporal.assign_interval(outcomes, obs)
+        got = {tuple(r) for r in found.groupBy("prev_ts", "target_ts").count().select(F.unix_micros("prev_ts"), F.unix_micros("target_ts"), "count").collect()}
+    finally:
+        spark.conf.unset(ordering.TASK_ROWS_CONF)
+        ordering.use_layout(spark, None)
+    assert got == {(10_000_000, 20_000_000, 2_990), (20_000_000, 30_000_000, 10)}

@@ -5,7 +5,8 @@ a single series holds a third of all rows. The helpers here cut a large series i
 slices that many tasks share and hand each slice what it needs of its neighbours:
 
 * ``scan``     running sums, and the nearest earlier / later non-null value. Slices
-  are spans of time; each gets a carry computed from one summary row per slice.
+  are spans of time, or ranges of the whole order where one instant has too many rows;
+  each gets a carry computed from one summary row per slice.
 * ``number``   position of a row in its series, from the same carries.
 * ``rolling``  frames over the last ``back`` rows. Slices are blocks of row numbers;
   each block also receives the last ``back`` rows of the block before it.
@@ -24,6 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.plans.lineage import settle
+
 TASK_ROWS_CONF = "tidemark.task.rows"
 LAYOUT_CONF = "tidemark.layout"
 DEFAULT_TASK_ROWS = 2_000_000
@@ -33,15 +36,21 @@ DEFAULT_SLICE_US = 3_600_000_000  # an hour, where nothing better is known
 SMALL_ROW_BYTES = 32
 
 SLICE = "_slice"
+TIE = "_equal_rows"
 HOME = "_home"
 
 
 @dataclass(frozen=True)
 class Layout:
-    """How one series is cut: width of a time slice, rows of a block (None: whole)."""
+    """How one series is cut: width of a time slice, rows of a block (None: whole).
+
+    With ``parts``, no width of time is narrow enough, as one instant has more rows than a
+    task: slices are then ranges of the whole order, ties included.
+    """
 
     slice_us: int | None = None
     block_rows: int | None = None
+    parts: int | None = None
 
     @property
     def whole(self) -> bool:
@@ -60,7 +69,7 @@ def use_layout(spark: SparkSession, layout: Layout | None) -> None:
     if layout is None:
         spark.conf.unset(LAYOUT_CONF)
     else:
-        spark.conf.set(LAYOUT_CONF, f"{layout.slice_us or 0},{layout.block_rows or 0}")
+        spark.conf.set(LAYOUT_CONF, f"{layout.slice_us or 0},{layout.block_rows or 0},{layout.parts or 0}")
 
 
 def task_rows(df: DataFrame) -> int:
@@ -71,8 +80,7 @@ def declared_layout(df: DataFrame) -> Layout | None:
     """The layout that needs no look at the data: the session's, or whole if small."""
     text = df.sparkSession.conf.get(LAYOUT_CONF, "")
     if text:
-        slice_us, block_rows = (int(part) or None for part in text.split(","))
-        return Layout(slice_us, block_rows)
+        return Layout(*(int(part) or None for part in text.split(",")))
     stored = stored_bytes(df)
     if stored is not None and stored <= task_rows(df) * SMALL_ROW_BYTES:
         return WHOLE
@@ -115,7 +123,7 @@ def plan_layout(df: DataFrame, by: Sequence[str], order: str) -> Layout:
 def measure_layout(df: DataFrame, by: Sequence[str], time: str) -> Layout:
     """Choose slices so that no slice of one series exceeds the rows of a task.
 
-    Runs at most two jobs over two columns; both return a single row.
+    Runs at most three jobs over two columns; each returns a single row.
     """
     limit = task_rows(df)
     at = _time_us(df, time)
@@ -132,8 +140,13 @@ def measure_layout(df: DataFrame, by: Sequence[str], time: str) -> Layout:
     )
     if densest.rows <= limit:
         return WHOLE
-    width = cell if densest.cell_rows <= limit else max(1, cell * limit // densest.cell_rows)
-    return Layout(slice_us=int(width), block_rows=limit)
+    if densest.cell_rows <= limit:
+        return Layout(slice_us=int(cell), block_rows=limit)
+    width = int(max(1, cell * limit // densest.cell_rows))
+    slices = df.groupBy(*by, F.floor(at / F.lit(width)).alias("_cell")).count()
+    most = slices.agg(F.max("count")).first()[0]
+    # Rows of a cell may be anywhere in it, all at one instant at worst.
+    return Layout(width, limit, 2 * -(-span.n // limit) if most > limit else None)
 
 
 def _order(names: Sequence[str], reverse: bool = False) -> list[Column]:
@@ -171,10 +184,7 @@ def scan(
     keys = list(by)
     if not layout.whole:
         keys = [*by, SLICE]
-        if slices is None:
-            width = layout.slice_us if _is_time(df, order[0]) else layout.block_rows
-            slices = F.floor(_time_us(df, order[0]) / F.lit(width or DEFAULT_SLICE_US))
-        df = df.withColumn(SLICE, slices)
+        df = _sliced(df, by, order, layout) if slices is None else df.withColumn(SLICE, slices)
 
     names = [f"_in{i}" for i in range(len(sums) + len(prev) + len(next))]
     exprs = [*sums.values(), *prev.values(), *next.values()]
@@ -205,6 +215,21 @@ def scan(
     return joined.withColumns(merged).drop(*names, *["c" + n for n in names], SLICE)
 
 
+def _sliced(df: DataFrame, by: Sequence[str], order: Sequence[str], layout: Layout) -> DataFrame:
+    """``df`` with the number of its slice, which never falls along the order of a series.
+
+    Slices of ``parts`` are the partitions of a sort by range, which splits an instant between
+    its ties, and rows that are equal in the whole order, which may come in any, anywhere. What
+    is read twice must be cut alike both times, so these are written first.
+    """
+    if layout.parts and _is_time(df, order[0]):
+        told = df.withColumn(TIE, F.monotonically_increasing_id())
+        ranged = told.repartitionByRange(layout.parts, *_order([*by, *order, TIE])).drop(TIE)
+        return settle(ranged.withColumn(SLICE, F.spark_partition_id().cast("bigint")))
+    width = layout.slice_us if _is_time(df, order[0]) else layout.block_rows
+    return df.withColumn(SLICE, F.floor(_time_us(df, order[0]) / F.lit(width or DEFAULT_SLICE_US)))
+
+
 def _split(names: list[str], first: int, second: int) -> tuple[list[str], list[str], list[str]]:
     return names[:first], names[first : first + second], names[first + second :]
 
