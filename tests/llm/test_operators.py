@@ -69,8 +69,11 @@ def test_token_files(spark, awkward, nothing):
     assert all(digests[r.start].ids_crc32 == zlib.crc32(np.array(r.tokens, "<u4").tobytes()) for r in rows)
     long = next(r for r in rows if r.doc_id == 7)
     wanted = spark.createDataFrame([(7, p) for p in (0, 5, len(long.tokens) - 1, len(long.tokens), -1)], "doc_id long, position long")
-    found = token_codes.tokens_at(spark, folder, wanted.union(wanted)).collect()
-    assert sorted((r.position, r.token) for r in found) == [(p, long.tokens[p]) for p in (0, 5, len(long.tokens) - 1)]
+    for most_sent in (token_codes.MOST_SENT, 0):
+        found = token_codes.tokens_at(spark, folder, wanted.union(wanted), most_sent)
+        assert sorted((r.position, r.token) for r in found.collect()) == [(p, long.tokens[p]) for p in (0, 5, len(long.tokens) - 1)]
+    plan = token_codes.tokens_at(spark, folder, wanted)._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan and "segment#" in plan.split("Filter")[1]  # the scan is told which segments
     empty = new_folder(spark, "test")
     token_codes.write_tokens(nothing, empty, WORD_BPE, 2)
     assert token_codes.read_digests(spark, empty).count() == 0

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.shared import IdStore, frame_batch, pieces, split_words, text_of
+from tidemark.llm.shared import IdStore, frame_batch, pieces, split_words, text_of, written
 
 MAGIC = b"DAC1"
 RANK_BITS = 512
@@ -324,31 +324,49 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     return read_segments(spark, folder).mapInArrow(digest, schema)
 
 
-def tokens_at(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
+#: Wanted positions that are sent to all tasks; more of them meet their segments by a shuffle.
+MOST_SENT = 200_000
+
+#: Segments that are named to the scan, which then skips the row groups of others.
+MOST_NAMED = 1_000
+
+
+def tokens_at(spark: SparkSession, folder: str, wanted: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
     """Random access: ``wanted`` has doc_id and position; returns doc_id, position, token.
 
-    Positions meet their segments by document; a segment meets at most as many distinct
-    positions as it has tokens. Positions outside of a document give no row.
+    Positions first find their segments in the directory, which has no codes. At most
+    ``most_sent`` of them go to the tasks that read the containers, so no container is shuffled,
+    and few segments are named to the scan; more are joined with their segments. Of a container
+    that is read, only the bits of the wanted tokens are looked at. Positions outside of a
+    document give no row; repeated ones give one.
     """
     segments = spark.read.schema(SEGMENTS).parquet(folder)
     directory = segments.select("shard", "segment", F.posexplode("doc_id").alias("at", "doc_id"), "offset").select(
         "shard", "segment", "doc_id", F.element_at("offset", F.col("at") + 1).alias("a"), F.element_at("offset", F.col("at") + 2).alias("b")
     )
-    found = (
+    found = written(
         directory.join(wanted.select("doc_id", "position").distinct(), "doc_id")
         .where((F.col("position") >= 0) & (F.col("position") < F.col("b") - F.col("a")))
-        .select("shard", "segment", "doc_id", "position", (F.col("a") + F.col("position")).alias("at"))
+        .select("shard", "segment", "doc_id", "position", (F.col("a") + F.col("position")).alias("at")),
+        "wanted",
     )
+    each = found.groupBy("shard", "segment").agg(F.collect_list(F.struct("doc_id", "position", "at")).alias("wanted"))
+    codes = segments.select("shard", "segment", "codes")
+    if found.count() <= most_sent:
+        named = found.select("shard", "segment").distinct().limit(MOST_NAMED + 1).collect()
+        if len(named) <= MOST_NAMED:
+            codes = codes.where(F.col("shard").isin([r.shard for r in named]) & F.col("segment").isin([r.segment for r in named]))
+        each = F.broadcast(each)
     schema = spark.createDataFrame([], "doc_id long, position long, token long").schema
 
-    def look(left: pa.Table, right: pa.Table) -> pa.Table:
+    def look(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        if not left.num_rows or not right.num_rows:
-            return arrow.empty_table()
-        tokens = Codes(left.column("codes")[0].as_py()).at(right.column("at").to_numpy())
-        return pa.table([right.column("doc_id").cast(pa.int64()), right.column("position").cast(pa.int64()), pa.array(tokens.astype(np.int64))], schema=arrow)
+        for piece in pieces(batches, 1):
+            row = piece.to_pylist()[0]
+            doc, position, at = ([w[n] for w in row["wanted"]] for n in ("doc_id", "position", "at"))
+            tokens = Codes(row["codes"]).at(np.array(at, np.int64))
+            yield frame_batch(arrow, [doc, position, tokens.astype(np.int64)])
 
-    left = segments.select("shard", "segment", "codes").toDF("of_shard", "of_segment", "codes").groupBy("of_shard", "of_segment")
-    return left.cogroup(found.toDF("shard", "segment", "doc_id", "position", "at").groupBy("shard", "segment")).applyInArrow(look, schema)
+    return codes.join(each, ["shard", "segment"]).select("codes", "wanted").mapInArrow(look, schema)
