@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import columns as C
 from tidemark.operators import evaluate, features, forecast, ledger, logistic, online, ridge
 from tidemark.plans.lineage import settle
-from tidemark.registry.common import FREQUENCY, OUTCOMES, THRESHOLD_ROWS
+from tidemark.registry.common import FREQUENCY, OUTCOMES, THRESHOLD_ROWS, users
 from tidemark.registry.timing import _fired
 from tidemark.sources import driver_tables as D
 
@@ -113,6 +113,22 @@ def _(spark, sf_dir):
     return fitted.select("series", "pos", F.bround("predicted", 6).alias("predicted"))
 
 
+@query(
+    "batched_ridge_of_one",
+    f"""WITH {OUTCOMES}, l AS (SELECT series, ts, outcome_id, ln(least(value::DOUBLE, 1000.0)) AS y FROM outcomes),
+    s AS (SELECT *, lag(y) OVER w AS x, row_number() OVER w - 2 AS pos FROM l WINDOW w AS (PARTITION BY series ORDER BY ts, outcome_id)),
+    m AS (SELECT series, pos, x, count(*) OVER w AS n, avg(x) OVER w AS mx, avg(y) OVER w AS my, sum(x * y) OVER w AS sxy, sum(x * x) OVER w AS sxx FROM s WHERE pos >= 0
+      WINDOW w AS (PARTITION BY series ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT series, pos, CASE WHEN n >= 10 THEN round_even(my + (sxy - n * mx * my) / ((sxx / n - mx * mx) * (n + 1.0)) * (x - mx), 6) END AS predicted FROM m""",
+)
+def _(spark, sf_dir):
+    """A ridge on the logarithm before, which SQL can solve too."""
+    rows = features.lag_log_features(D.outcomes(spark, sf_dir), 1, 1, warm_only=False).where("pos >= 1")
+    samples = rows.select("series", (F.col("pos") - 1).alias("pos"), F.array("log_value_lag_1").alias("x"), C.log_value("value").alias("y"))
+    fitted = ridge.batched_ridge(samples, 1.0, 10)
+    return fitted.select("series", "pos", F.bround("predicted", 6).alias("predicted"))
+
+
 @query("point_forecast")
 def _(spark, sf_dir):
     rows = ridge.point_forecast(forecast.with_next(D.outcomes(spark, sf_dir)))
@@ -326,6 +342,45 @@ def _(spark, sf_dir):
     return out.select("series", "factor", "pos", *[F.bround(F.col("probabilities")[i], 6).alias(f"p{i}") for i in range(4)])
 
 
+RLS_OF_ONE = f"""{users(True)}, {THRESHOLD_ROWS}, f(factor) AS (VALUES (0.9::DOUBLE), (0.95::DOUBLE), (0.98::DOUBLE), (1.0::DOUBLE)),
+    s AS (SELECT series, value, row_number() OVER w - 2 AS pos, ln(least(lag(value) OVER w::DOUBLE, 1000.0)) AS x FROM user_outcomes WINDOW w AS (PARTITION BY series ORDER BY ts, outcome_id)),
+    k AS (SELECT *, CASE WHEN value >= threshold THEN 1.0::DOUBLE ELSE 0.0 END AS y, power(factor, -(pos + 1)) AS k, power(factor, pos) AS fade, 10 * greatest(power(factor, pos), 1e-8) AS held
+      FROM s, th, f WHERE pos >= 0),
+    g AS (SELECT *, held + fade * coalesce(sum(k) OVER w, 0) AS g00, fade * coalesce(sum(k * x) OVER w, 0) AS g01, held + fade * coalesce(sum(k * x * x) OVER w, 0) AS g11,
+      0.5 * held + fade * coalesce(sum(k * y) OVER w, 0) AS b0, fade * coalesce(sum(k * x * y) OVER w, 0) AS b1 FROM k
+      WINDOW w AS (PARTITION BY series, factor, threshold ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    p AS (SELECT series, factor, pos, threshold, y, least(0.999, greatest(0.001, ((b0 * g11 - b1 * g01) + (g00 * b1 - g01 * b0) * x) / (g00 * g11 - g01 * g01))) AS probability FROM g)"""
+
+
+def _rls_of_one(spark, sf_dir):
+    """Online models on the logarithm before, which SQL can solve too."""
+    rows = features.lag_log_features(D.user_outcomes(spark, sf_dir, True), 1, 1, warm_only=False).where("pos >= 1")
+    hits = evaluate._hits("value", D.THRESHOLDS)
+    return online.online_rls(rows.select("series", F.lit("history").alias("mode"), (F.col("pos") - 1).alias("pos"), F.array("log_value_lag_1").alias("x"), hits.alias("hits")))
+
+
+@query("online_rls_of_one", f"WITH {RLS_OF_ONE} SELECT series, factor, pos, threshold::DOUBLE AS threshold, round_even(probability, 6) AS probability FROM p")
+def _(spark, sf_dir):
+    limits = F.array(*[F.lit(float(t)) for t in D.THRESHOLDS])
+    rows = _rls_of_one(spark, sf_dir).select("series", "factor", "pos", F.posexplode("probabilities").alias("i", "p"))
+    return rows.select("series", "factor", "pos", F.get(limits, "i").alias("threshold"), F.bround("p", 6).alias("probability"))
+
+
+@query(
+    "champion_selection_of_one",
+    f"""WITH {RLS_OF_ONE}, l AS (SELECT *, avg((probability - y) * (probability - y)) OVER (PARTITION BY series, threshold, factor ORDER BY pos ROWS BETWEEN 16 PRECEDING AND 1 PRECEDING) AS recent FROM p)
+    SELECT series, threshold::DOUBLE AS threshold, pos AS at, 'history:ff=' || format('{{:.2f}}', factor) AS champion, round_even(probability, 6) AS probability
+    FROM l WHERE pos >= 40 QUALIFY row_number() OVER (PARTITION BY series, threshold, pos ORDER BY round(recent, 12), factor) = 1""",
+)
+def _(spark, sf_dir):
+    name = F.concat_ws(":ff=", F.col("mode"), F.format_number("factor", 2))
+    losses = online.candidate_losses(_rls_of_one(spark, sf_dir), D.THRESHOLDS, 16, name).withColumn("recent_loss", F.round("recent_loss", 12))
+    chosen = online.champion_selection(losses.where("at >= 40"))
+    return chosen.select(
+        "series", F.col("threshold").cast("double").alias("threshold"), "at", F.col("champion.name").alias("champion"), F.bround("champion.probability", 6).alias("probability")
+    )
+
+
 @query("champion_selection")
 def _(spark, sf_dir):
     rows = evaluate.prequential_predictions(_state(spark, sf_dir), D.THRESHOLDS)
