@@ -629,3 +629,15 @@ def test_links_of_a_low_threshold_are_found(spark):
     for n in range(40):
         a, b = sets[2 * n], sets[2 * n + 1]
         assert (got[2 * n + 1] == 2 * n) == (len(a & b) >= 0.3 * len(a | b))
+
+
+@pytest.mark.parametrize("n", [1, 127, 128, 129, 300, 2000])
+def test_long_conversations_come_back(spark, n):
+    """Formatting and reading of many turns, in runs that the sums and cuts are made of."""
+    rows = [(1, i, ("user", "assistant", "assistant", "tool")[i * i % 4], f"#{i}<é\\" * (i % 3)) for i in range(n)]
+    formatted = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    read = chat.read_chats(formatted).first()
+    assert [(t.role, t.text) for t in read.turns] == [(r, t) for _, _, r, t in rows]
+    assert read.loss_text == "".join(t for _, _, r, t in rows if r == "assistant")
+    spans = formatted.first().loss_spans
+    assert [s.start for s in spans] == sorted(s.start for s in spans) and all(0 <= s.start < s.end <= len(read.formatted) for s in spans)
