@@ -641,3 +641,48 @@ def test_long_conversations_come_back(spark, n):
     assert read.loss_text == "".join(t for _, _, r, t in rows if r == "assistant")
     spans = formatted.first().loss_spans
     assert [s.start for s in spans] == sorted(s.start for s in spans) and all(0 <= s.start < s.end <= len(read.formatted) for s in spans)
+
+
+@given(st.lists(st.sampled_from("mit license apache general public lesser affero bsd creative commons x é 1 MIT License. general-public -- by cc nc".split(" ") + ["", "\n"]), max_size=40))
+@settings(max_examples=150, deadline=None)
+def test_notices_are_found_wherever_their_words_stand(parts):
+    text = " ".join(parts)
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+
+    def places(phrase):
+        own = phrase.split()
+        return [i for i in range(len(words)) if words[i : i + len(own)] == own]
+
+    n_words, n_base, first, last, base, labels, score, *_ = licenses.Scanner().scan(text)
+    found = sorted(i for p in licenses.BASE_PHRASES for i in places(p))
+    assert (n_words, n_base) == (len(words), len(found))
+    assert (first, last) == ((found[0], found[-1]) if found else (None, None))
+    assert base == ",".join(sorted({label for p, label in licenses.BASE_PHRASES.items() if places(p)}))
+    every = {label for p, label in {**licenses.BASE_PHRASES, **licenses.MORE_PHRASES}.items() if places(p)}
+    assert labels == ",".join(sorted(every)) and (score > 0) == bool(every)
+
+
+def test_expressions_have_listed_identifiers_only():
+    written = lambda t: licenses.evaluate(licenses.read_expression(t))[1:]
+    assert written("MIT and other words follow") == ("mit", True)
+    assert written("(GPL-2.0+ WITH Classpath-exception-2.0 OR Apache-2.0) AND MIT or more") == ("(((gpl-2.0+ with classpath-exception-2.0) or apache-2.0) and mit)", True)
+    assert written("LicenseRef-own-1 OR MPL-2.0") == ("(licenseref-own-1 or mpl-2.0)", False)
+    assert written("GPL-2.0-only WITH MIT") == ("gpl-2.0-only", False)
+    for bad in ("", "the", "Classpath-exception-2.0", "AND MIT", ") MIT", "Hello-1.0 OR MIT", "( MIT", "MIT OR", "MIT WITH"):
+        with pytest.raises(licenses.BadExpression):
+            licenses.read_expression(bad)
+
+
+def test_every_pair_of_operators_is_evaluated_as_by_hand():
+    """Against truth tables of all expressions of three identifiers and two operators."""
+    names = ["mit", "gpl-3.0", "isc"]
+    truth = {n: n in licenses.PERMISSIVE for n in names}
+    for a in names:
+        for b in names:
+            for c in names:
+                for x in ("or", "and"):
+                    for y in ("or", "and"):
+                        for text in (f"{a} {x} {b} {y} {c}", f"({a} {x} {b}) {y} {c}", f"{a} {x} ({b} {y} {c})"):
+                            plain = re.sub(r"[a-z0-9.\-]+", lambda m: m.group() if m.group() in ("or", "and") else str(truth[m.group()]), text)
+                            assert licenses.evaluate(licenses.read_expression(text.upper()))[2] == eval(plain)

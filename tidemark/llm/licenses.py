@@ -31,7 +31,26 @@ MORE_PHRASES = {
     "all rights reserved": "reserved",
 }
 TAG = "spdx-license-identifier"
-PERMISSIVE = {"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "0bsd", "zlib", "bsl-1.0", "unlicense", "cc0-1.0", "cc-by-4.0"}
+# Identifiers of the SPDX list in lower case, permissive ones and others.
+PERMISSIVE = {
+    "0bsd", "afl-3.0", "apache-1.1", "apache-2.0", "artistic-2.0", "blueoak-1.0.0", "bsd-1-clause", "bsd-2-clause", "bsd-2-clause-patent",
+    "bsd-3-clause", "bsd-3-clause-clear", "bsd-4-clause", "bsl-1.0", "cc-by-3.0", "cc-by-4.0", "cc0-1.0", "curl", "ecl-2.0", "fsfap", "ftl",
+    "hpnd", "icu", "ijg", "isc", "libpng-2.0", "libtiff", "mit", "mit-0", "ms-pl", "mulanpsl-2.0", "ncsa", "ofl-1.1", "openssl", "php-3.01",
+    "postgresql", "psf-2.0", "python-2.0", "ruby", "tcl", "unicode-3.0", "unicode-dfs-2016", "unlicense", "upl-1.0", "vim", "w3c", "wtfpl", "x11", "zlib",
+}
+RESTRICTED = {
+    "agpl-3.0", "agpl-3.0-only", "agpl-3.0-or-later", "apsl-2.0", "bsl-1.1", "cc-by-nc-4.0", "cc-by-nc-nd-4.0", "cc-by-nc-sa-4.0", "cc-by-nd-4.0",
+    "cc-by-sa-3.0", "cc-by-sa-4.0", "cddl-1.0", "cddl-1.1", "cpl-1.0", "epl-1.0", "epl-2.0", "eupl-1.1", "eupl-1.2", "gfdl-1.3-only",
+    "gfdl-1.3-or-later", "gpl-1.0-only", "gpl-2.0", "gpl-2.0-only", "gpl-2.0-or-later", "gpl-3.0", "gpl-3.0-only", "gpl-3.0-or-later", "ipl-1.0",
+    "lgpl-2.0-only", "lgpl-2.0-or-later", "lgpl-2.1", "lgpl-2.1-only", "lgpl-2.1-or-later", "lgpl-3.0", "lgpl-3.0-only", "lgpl-3.0-or-later",
+    "mpl-1.1", "mpl-2.0", "ms-rl", "odbl-1.0", "osl-3.0", "qpl-1.0", "sspl-1.0",
+}
+# Exceptions of the SPDX list in lower case.
+EXCEPTIONS = {
+    "autoconf-exception-2.0", "autoconf-exception-3.0", "bison-exception-2.2", "classpath-exception-2.0", "font-exception-2.0", "gcc-exception-2.0",
+    "gcc-exception-3.1", "libtool-exception", "linux-syscall-note", "llvm-exception", "openjdk-assembly-exception-1.0", "qt-gpl-exception-1.0",
+    "u-boot-exception-2.0", "universal-foss-exception-1.0",
+}
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 #: What a parsed tag, a broken tag and a notice add as evidence that a licence is stated.
@@ -83,12 +102,41 @@ def to_postfix(expression: str) -> list[str]:
     return out + waiting[::-1]
 
 
+def is_license(word: str) -> bool:
+    """A listed identifier, also with a plus for later versions, or one of a document's own."""
+    word = word.removesuffix("+")
+    return word in PERMISSIVE or word in RESTRICTED or re.fullmatch(r"(documentref-[a-z0-9.\-]+:)?licenseref-[a-z0-9.\-]+", word) is not None
+
+
+def read_expression(text: str) -> list[str]:
+    """The longest expression that a text starts with, in postfix order.
+
+    Identifiers must be listed, and an exception must follow WITH and nothing else. Where
+    other words follow, an operator in front of them is theirs; a text that ends within an
+    expression, or starts with none, is refused.
+    """
+    tokens, after_with, ended = [], False, True
+    for token in TOKEN.findall(text):
+        word = token.lower()
+        if not (word in PRECEDENCE or word in ("(", ")") or (word in EXCEPTIONS if after_with else is_license(word))):
+            ended = False
+            break
+        tokens.append(word)
+        after_with = word == "with"
+    for n in range(len(tokens), len(tokens) - 1 if ended else 0, -1):
+        try:
+            return to_postfix(" ".join(tokens[:n]))
+        except BadExpression:
+            continue
+    raise BadExpression(text)
+
+
 def evaluate(postfix: list[str]) -> tuple[frozenset[str], str, bool]:
     """Identifiers, the expression with full parentheses, and whether it can be met permissively."""
     values = []
     for token in postfix:
         if token not in PRECEDENCE:
-            values.append((frozenset([token]), token, token in PERMISSIVE))
+            values.append((frozenset([token]), token, token.removesuffix("+") in PERMISSIVE))
             continue
         (b, right, q), (a, left, p) = values.pop(), values.pop()
         if token == "with":  # an exception only adds permissions
@@ -135,7 +183,7 @@ class Scanner:
                 else:
                     found = EXPRESSION.match(text, end + 1).group(1).strip()
                 try:
-                    identifiers, written, permissive = evaluate(to_postfix(found))
+                    identifiers, written, permissive = evaluate(read_expression(found))
                 except BadExpression:
                     kinds.append("broken")
                     continue
@@ -161,9 +209,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Words are runs of ASCII letters in lower case, digits and non-ASCII characters. Base
     phrases are counted at all places where their words stand consecutively, overlapping
-    ones too. Each tag is followed by a licence expression to the end of its line or to the
-    first character that none can hold; identifiers become labels ``spdx:...``, a broken one
-    only raises the score. ``permissive``: all expressions can be met by permissive licences
+    ones too. Each tag is followed by a licence expression, the longest that its line goes on
+    with, of listed identifiers and exceptions; identifiers become labels ``spdx:...``, a tag
+    without an expression is broken and only raises the score. ``permissive``: all expressions can be met by permissive licences
     alone, null without one. ``score`` is one minus the product of the misses of independent
     pieces of evidence. Null and empty texts have no words, no labels and score 0; null ids
     and repeated rows are scanned as any other; other columns are not read.
