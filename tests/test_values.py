@@ -422,3 +422,28 @@ def test_fingerprints_are_trees(spark, whole):
     chunks = [digest(values[a : a + 5]) for a in range(0, 47, 5)]
     assert (got[4096].outcomes, got[4096].fingerprint) == (47, digest(chunks))
     assert got[3].fingerprint == digest([digest(chunks[a : a + 3]) for a in range(0, 10, 3)])
+
+
+def test_marker_enrichment_beyond_a_task_forms_no_shuffled_pairs(spark, monkeypatch):
+    """Many places in few bins, in parts, give what one task gives; pairs of marker and class stay behind the exchange."""
+    from tidemark.plans import ordering
+
+    obs = frame(spark, [(i / 7 % 60, 40 + i % 3 * 300) for i in range(600)]).withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + F.crc32("obs_id") % 977))
+    marks = spark.range(300).selectExpr(
+        "'s' AS series", f"timestamp_micros({int(at(0).timestamp() * 1e6)} + id * id % 60000 * 1000) AS ts",
+        "CAST(id % 290 AS STRING) AS marker_id", "IF(id % 2 = 0, 'start', 'finish') AS event",
+    )
+    ask = lambda: sorted(map(str, profile.marker_class_enrichment(obs, marks, 0.7).collect()))
+    few = ask()
+    monkeypatch.setattr(profile, "fits_one_task", lambda df: False)
+    monkeypatch.setattr(profile, "PART_PAIRS", 50)
+    spark.conf.set(ordering.TASK_ROWS_CONF, "100")
+    try:
+        many = ask()
+    finally:
+        spark.conf.unset(ordering.TASK_ROWS_CONF)
+    assert many == few and len(few) == 6
+    near = profile.nearest_offsets(profile._labelled(obs).select("series", "us", "url", "frame_class"), marks, 0.7, ["url", "frame_class"], True)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Generate explode(_classes")]
+    assert "Exchange" not in above

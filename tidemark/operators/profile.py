@@ -8,11 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.operators.temporal import sums_as_of
-from tidemark.plans.ordering import plan_layout, scan
-from tidemark.plans.quantiles import fits_one_task, medians
+from tidemark.plans.lineage import settle
+from tidemark.plans.ordering import plan_layout, scan, window
+from tidemark.plans.quantiles import fits_one_task, medians, weighted_medians
 from tidemark.sources.observations import FRAME_KINDS, LIVE_KINDS
 
+# Rows of (marker, class) that one part of a time bin, and one task, are to hold.
+PART_PAIRS = 500_000
+TASK_PAIRS = 1_000_000
+
 # Fragments that make a JSON path interesting.
 CANDIDATE_TERMS = [
     "round", "multiplier", "coefficient", "result", "crash", "payout",
@@ -170,40 +174,94 @@ def _band_frames(observations: DataFrame) -> DataFrame:
     ).withColumn("us", C.micros("ts"))
 
 
-def marker_neighbourhood(
+def _marker_places(markers: DataFrame) -> DataFrame:
+    """How many different markers of an event are at an instant (``weight``)."""
+    marks = markers.select("series", "event", "marker_id", C.micros("ts").alias("at_us"))
+    known = marks.where("series IS NOT NULL AND event IS NOT NULL AND at_us IS NOT NULL").distinct()
+    return known.groupBy("series", "event", "at_us").agg(F.count("*").alias("weight"))
+
+
+def nearby_totals(
     classed: DataFrame, markers: DataFrame, window_seconds: float, class_columns: Sequence[str]
 ) -> DataFrame:
-    """Per marker and class with an observation nearby: how many, and the nearest offset.
+    """Per event and class: pairs of a marker and an observation within the window.
 
-    Classes near a marker come from one row per (time bin, class), not from the
-    observations; counts and nearest times are then read off one time line per class.
-    No pair of observation and marker is ever formed.
+    Counted from the observations: running totals of markers at both ends of the window around
+    each, on one time line per event, so work is linear in rows and no pair is formed.
     """
-    by = ["series", *class_columns]
+    by = ["series", "event"]
     w = C.to_micros(window_seconds)
-    width = F.lit(2 * w)
-    present = classed.select(*by, F.floor(F.col("us") / width).alias("bin")).distinct()
-    marks = markers.select("series", "event", "marker_id", C.micros("ts").alias("at_us"))
-    low, high = F.floor((F.col("at_us") - w) / width), F.floor((F.col("at_us") + w) / width)
-    spread = marks.withColumn("bin", F.explode(F.sequence(low, high)))
-    points = spread.join(present, ["series", "bin"]).drop("bin").distinct()
-    read = sums_as_of(
-        classed.withColumn("seen", F.col("us")),
-        points,
-        {"n": F.lit(1).cast("bigint")},
-        {"lo": F.col("at_us") - w, "mid": F.col("at_us"), "hi": F.col("at_us") + w},
-        ["event", "marker_id", "at_us"],
-        by=by,
-        last={"last": F.col("seen")},
-        following={"next": F.col("seen")},
-        before=["lo"],
+    places = _marker_places(markers)
+    facts = places.select(*by, F.col("at_us").alias("us"), F.lit(1).alias("_side"), "weight")
+    ends = F.array(
+        F.struct((F.col("us") - w).alias("us"), F.lit(0).alias("_side"), F.lit(-1).alias("_sign")),
+        F.struct((F.col("us") + w).alias("us"), F.lit(2).alias("_side"), F.lit(1).alias("_sign")),
+    )
+    seen = classed.join(places.select(*by).distinct(), "series")
+    points = seen.select(*by, *class_columns, F.explode(ends).alias("_e")).select(*by, *class_columns, "_e.*")
+    line = scan(
+        facts.unionByName(points, allowMissingColumns=True), by, ["us", "_side"],
+        sums={"_n": F.coalesce(F.col("weight"), F.lit(0)).cast("bigint")},
+    )
+    totals = line.where("_sign IS NOT NULL").groupBy(*by, *class_columns).agg(
+        F.sum(F.col("_n") * F.col("_sign")).alias("nearby_frames")
+    )
+    return totals.where("nearby_frames > 0")
+
+
+def nearest_offsets(
+    classed: DataFrame, markers: DataFrame, window_seconds: float, class_columns: Sequence[str], small: bool
+) -> DataFrame:
+    """Per marker place and class with an observation in the window: the nearest offset.
+
+    Time is cut into bins; observations also go to the bin beside theirs that their window
+    reaches, so the nearest one of any marker is in the marker's bin. Rows meet once, by bin;
+    markers are spread over the classes of their bin only behind that exchange. Bins of many
+    pairs are dealt to parts by marker. ``weight`` counts markers at the same instant.
+    """
+    w = C.to_micros(window_seconds)
+    width = F.lit(max(2 * w, 1))
+    label = F.struct(*class_columns)
+    reach = F.sequence(F.floor((F.col("us") - w) / width), F.floor((F.col("us") + w) / width))
+    seen = classed.where("series IS NOT NULL").select("series", label.alias("_class"), "us").distinct()
+    seen = seen.withColumn("bin", F.explode(reach))
+    marks = _marker_places(markers).withColumn("bin", F.floor(F.col("at_us") / width))
+    present = seen.groupBy("series", "bin").agg(F.collect_set("_class").alias("_classes"), F.count("*").alias("_facts"))
+    counts = marks.groupBy("series", "bin").agg(F.count("*").alias("_marks"))
+    pairs = F.col("_marks") * F.size("_classes")
+    bins = present.join(counts, ["series", "bin"]).withColumns(
+        {"_parts": F.ceil(pairs / PART_PAIRS).cast("int"), "_rows": pairs}
+    ).withColumn("_rows", F.col("_rows") + F.col("_facts") * F.col("_parts"))
+    number = None
+    if not small:
+        bins = settle(bins)
+        total = bins.agg(F.sum("_rows")).first()[0] or 0
+        number = max(int(classed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_PAIRS))
+    part = F.pmod(F.hash("at_us", "event"), F.col("_parts"))
+    at = marks.join(bins.select("series", "bin", "_parts", "_classes"), ["series", "bin"]).select(
+        "series", "bin", part.alias("_part"), F.col("at_us").alias("us"), F.lit(2).alias("_side"), "event", "weight",
+        "_classes",
+    )
+    own = seen.join(bins.select("series", "bin", "_parts"), ["series", "bin"]).select(
+        "series", "bin", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), "us",
+        F.lit(1).alias("_side"), F.array("_class").alias("_classes"),
     )
-    back, ahead = F.col("mid.last") - F.col("at_us"), F.col("mid.next") - F.col("at_us")
+    keys = ["series", "bin", "_part"]
+    met = own.unionByName(at, allowMissingColumns=True)
+    met = met.repartition(*([number] if number else []), *keys)
+    line = met.withColumn("_class", F.explode("_classes")).drop("_classes")
+    keys = [*keys, "_class"]
+    earlier = window(keys, ["us", "_side"]).rowsBetween(Window.unboundedPreceding, -1)
+    later = window(keys, ["us", "_side"], reverse=True).rowsBetween(Window.unboundedPreceding, -1)
+    fact = F.when(F.col("_side") == 1, F.col("us"))
+    line = line.withColumns(
+        {"_last": F.last(fact, ignorenulls=True).over(earlier), "_next": F.last(fact, ignorenulls=True).over(later)}
+    ).where("_side = 2")
+    back, ahead = F.col("_last") - F.col("us"), F.col("_next") - F.col("us")
     nearest = F.when(ahead.isNull() | (F.abs(back) <= ahead), back).otherwise(ahead)
-    return read.select(
-        *by, "event", "marker_id", (F.col("hi.n") - F.col("lo.n")).alias("nearby"),
-        nearest.alias("nearest_us"),
-    ).where(F.col("nearby") > 0)
+    return line.select(
+        "series", "event", "_class.*", "weight", nearest.alias("nearest_us")
+    ).where(F.abs("nearest_us") <= w)
 
 
 def _labelled(observations: DataFrame) -> DataFrame:
@@ -215,13 +273,10 @@ def marker_correlation(
     observations: DataFrame, markers: DataFrame, window_seconds: float = 1.5, top: int = 20
 ) -> DataFrame:
     """The most frequent frame classes near each marker event; ties by class."""
-    near = marker_neighbourhood(
+    counts = nearby_totals(
         _labelled(observations).select("series", "us", "url", "frame_class"),
         markers, window_seconds, ["url", "frame_class"],
     )
-    counts = near.groupBy("series", "event", "url", "frame_class").agg(
-        F.sum("nearby").alias("nearby_frames")
-    )
     order = Window.partitionBy("series", "event").orderBy(
         F.desc("nearby_frames"), "url", "frame_class"
     )
@@ -241,11 +296,11 @@ def _enrichment(
 ) -> DataFrame:
     by = ["series", *class_columns]
     key = ["event", *by]
-    near = marker_neighbourhood(classed, markers, window_seconds, class_columns)
-    hits = near.groupBy(*key).agg(
-        F.count("*").alias("hits"), F.sum("nearby").alias("nearby_frames")
-    )
-    middle = medians(near, key, {"m": F.col("nearest_us") / 1000.0}, fits_one_task(markers))
+    small = fits_one_task(markers) and fits_one_task(classed)
+    frames = nearby_totals(classed, markers, window_seconds, class_columns)
+    near = nearest_offsets(classed, markers, window_seconds, class_columns, small)
+    near = near.withColumn("nearest_ms", F.col("nearest_us") / 1000.0)
+    hits = weighted_medians(near, key, "nearest_ms", "weight", "m", "hits", small)
     totals = classed.groupBy(*by).agg(
         F.count("*").alias("total"), F.min("us").alias("lo"), F.max("us").alias("hi")
     )
@@ -256,7 +311,7 @@ def _enrichment(
     # Event names times classes of a series: one row per line of the report.
     grid = events.join(totals.drop("lo", "hi"), "series").join(spans, "series")
     grid = grid.where((F.col("total") >= min_total) & (F.col("duration") > 0))
-    report = grid.join(hits, key, "left" if keep_zero else "inner").join(middle, key, "left")
+    report = grid.join(hits, key, "left" if keep_zero else "inner").join(frames, key, "left")
     expected = F.col("total") / F.col("duration") * (2.0 * window_seconds) * F.col("markers")
     nearby = F.coalesce("nearby_frames", F.lit(0))
     found = F.coalesce("hits", F.lit(0))

@@ -10,13 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.plans.lineage import settle
 from tidemark.plans.ordering import SMALL_ROW_BYTES, scan, stored_bytes, task_rows
 
 SLICES_PER_DOUBLING = 64
+# Rows of a report that every task may hold.
+BROADCAST_ROWS = 100_000
 
 
 def fits_one_task(df: DataFrame) -> bool:
@@ -86,6 +89,45 @@ def medians(
     return percentiles(df, by, {n: (e, 0.5) for n, e in wanted.items()}, small)
 
 
+def weighted_medians(
+    df: DataFrame, by: Sequence[str], value: str, weight: str, name: str, total: str, small: bool
+) -> DataFrame:
+    """Median (``name``) of a double column whose rows count ``weight`` times, and the sum of weights.
+
+    Rows of a large ``df`` are never shuffled: totals per narrow relative span of value say in
+    which spans the two middle ranks lie, and only values of those spans are then counted. ``by``
+    is never null. ``df`` is read twice; the report has a row per group.
+    """
+    by = list(by)
+    if small:
+        return df.groupBy(*by).agg(
+            F.sum(weight).alias(total), F.percentile(F.col(value), F.lit(0.5), F.col(weight)).alias(name)
+        )
+    v = F.col(value)
+    span = F.floor(F.signum(v) * F.log2(F.abs(v) + 1) * SLICES_PER_DOUBLING)
+    spans = df.groupBy(*by, span.alias("_span")).agg(F.sum(weight).alias("_c"))
+    rising = Window.partitionBy(*by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = spans.withColumns(
+        {"_below": F.coalesce(F.sum("_c").over(rising), F.lit(0)), "_n": F.sum("_c").over(Window.partitionBy(*by))}
+    )
+    low, high = F.floor((F.col("_n") - 1) / 2).cast("bigint"), F.ceil((F.col("_n") - 1) / 2).cast("bigint")
+
+    def holds(rank: Column) -> Column:
+        return (F.col("_below") <= rank) & (rank < F.col("_below") + F.col("_c"))
+
+    middle = settle(ranked.where(holds(low) | holds(high)).select(*by, "_span", "_below", "_n"))
+    wanted = F.broadcast(middle) if middle.count() <= BROADCAST_ROWS else middle
+    values = df.withColumn("_span", span).join(wanted, [*by, "_span"])
+    counted = values.groupBy(*by, "_span", "_below", "_n", value).agg(F.sum(weight).alias("_c"))
+    inside = Window.partitionBy(*by, "_span").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn("_below", F.col("_below") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    lower, upper = F.max(F.when(holds(low), v)), F.max(F.when(holds(high), v))
+    mixed = F.when(lower == upper, lower).otherwise(lower * 0.5 + upper * 0.5)
+    return counted.where(holds(low) | holds(high)).groupBy(*by).agg(
+        F.max("_n").alias(total), mixed.alias(name)
+    )
+
+
 def summarise(
     df: DataFrame,
     by: Sequence[str],
