@@ -137,3 +137,18 @@ def test_joins_in_time_at_a_hot_instant(spark):
         spark.conf.unset(ordering.TASK_ROWS_CONF)
         ordering.use_layout(spark, None)
     assert got == {(10_000_000, 20_000_000, 2_990), (20_000_000, 30_000_000, 10)}
+
+
+def test_trees_are_unfolded_once(spark, tmp_path):
+    """Of a column of nodes Spark infers a filter on its size, which reads every tree once more; and groups without a name count nowhere."""
+    rows = [("a", 1, '{"x":[{"y":1},null,{"session":1}],"d":{"e":{}}}'), ("a", 2, "5"), ("a", 3, '{"x":'), (None, 4, '{"x":1}')]
+    spark.createDataFrame(rows, "series string, doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    found = sanitize.json_path_inventory(df)
+    got = {(r.series, r.path, r.type, r.documents, r.parsed_documents) for r in found.collect()}
+    want = [("x", "array"), ("x[]", "object"), ("x[].y", "number"), ("x[]", "null"), ("d", "object"), ("d.e", "object")]
+    assert got == {("a", p, t, 1, 2) for p, t in want}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_entries") == 1
+    paths = sanitize.document_paths(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert paths.count("map_entries") == 1

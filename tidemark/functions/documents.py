@@ -81,16 +81,27 @@ def is_sensitive(key: Column) -> Column:
     return plain.rlike("|".join(SENSITIVE_PARTS))
 
 
+def _members(node: Column) -> Column:
+    """The members of an object; null for anything else."""
+    return F.try_variant_get(node, "$", "map<string,variant>")
+
+
+def _items(node: Column) -> Column:
+    """The items of a list; null for anything else."""
+    return F.try_variant_get(node, "$", "array<variant>")
+
+
 def variant_type(value: str | Column) -> Column:
-    kind = F.schema_of_variant(F.col(value) if isinstance(value, str) else value)
-    return (
-        F.when(kind == "VOID", "null")
+    """Only scalars are asked for their schema, which of a tree tells all below it."""
+    node = F.col(value) if isinstance(value, str) else value
+    kind = F.schema_of_variant(node)
+    scalar = (
+        F.when(kind == "STRING", "string")
+        .when(kind == "VOID", "null")
         .when(kind == "BOOLEAN", "boolean")
-        .when(kind == "STRING", "string")
-        .when(kind.startswith("OBJECT"), "object")
-        .when(kind.startswith("ARRAY"), "array")
         .otherwise("number")
     )
+    return F.when(_members(node).isNotNull(), "object").when(_items(node).isNotNull(), "array").otherwise(scalar)
 
 
 _NODE = "struct<path:string,key:string,node:variant>"
@@ -108,8 +119,8 @@ def depth(text: Column) -> Column:
     return F.aggregate(F.split(brackets, "(?<=.)(?=.)"), start, step)["most"]
 
 
-def unfolded(documents: DataFrame, value: str, list_items: int | None, plain_paths: bool, deep: Column) -> DataFrame:
-    """``documents`` with ``_nodes``: all nodes of the JSON tree in ``value`` (a VARIANT column).
+def nodes_of(value: str, list_items: int | None, plain_paths: bool, deep: Column) -> Column:
+    """All nodes of the JSON tree in ``value`` (a VARIANT column), as an array.
 
     A node has ``path``, ``key`` (null for list items) and ``node``. Sensitive keys and all
     below them are left out. With ``plain_paths`` keys are reduced to letters and
@@ -118,31 +129,30 @@ def unfolded(documents: DataFrame, value: str, list_items: int | None, plain_pat
     visited (its first ones).
 
     The tree is unfolded inside the row, from one level to the next, as many levels as
-    ``deep`` says of the row.
+    ``deep`` says of the row. Explode the expression itself: of a column made from it, Spark
+    would infer a filter on its size, and unfold every tree twice.
     """
     root = F.struct(
         F.lit("").alias("path"), F.lit(None).cast("string").alias("key"), F.col(value).alias("node")
     )
-    steps = F.when(deep > 0, F.sequence(F.lit(1), deep)).otherwise(F.array().cast("array<int>"))
+    steps = F.array_repeat(F.lit(0), F.coalesce(deep, F.lit(0)))
 
     def below(levels: Column, _: Column) -> Column:
         children = F.transform(F.element_at(levels, -1), lambda e: _children(e, list_items, plain_paths))
         return F.concat(levels, F.array(F.flatten(children)))
 
     levels = F.aggregate(steps, F.array(F.array(root)).cast(f"array<array<{_NODE}>>"), below)
-    nodes = F.flatten(F.slice(levels, F.lit(2), F.greatest(F.size(levels) - 1, F.lit(0))))
-    return documents.withColumn("_nodes", nodes)
+    return F.flatten(F.slice(levels, F.lit(2), F.lit(2**30)))
 
 
 def walk(documents: DataFrame, value: str, list_items: int | None, plain_paths: bool, deep: Column) -> DataFrame:
     """One row per node of the JSON trees, with ``path``, ``key`` and ``node``."""
-    nodes = unfolded(documents, value, list_items, plain_paths, deep).withColumn("_n", F.explode("_nodes"))
-    return nodes.drop("_nodes").select("*", "_n.*").drop("_n")
+    nodes = documents.select("*", F.explode(nodes_of(value, list_items, plain_paths, deep)).alias("_n"))
+    return nodes.select("*", "_n.*").drop("_n")
 
 
 def _children(parent: Column, list_items: int | None, plain_paths: bool) -> Column:
     path, node = parent["path"], parent["node"]
-    kind = F.schema_of_variant(node)
 
     def member(entry: Column) -> Column:
         name = entry["key"]
@@ -160,14 +170,9 @@ def _children(parent: Column, list_items: int | None, plain_paths: bool) -> Colu
             element.alias("node"),
         )
 
-    members = F.map_entries(F.try_variant_get(node, "$", "map<string,variant>"))
-    members = F.filter(members, lambda e: ~is_sensitive(e["key"]))
-    items = F.try_variant_get(node, "$", "array<variant>")
+    members = F.filter(F.map_entries(_members(node)), lambda e: ~is_sensitive(e["key"]))
+    items = _items(node)
     if list_items is not None:
         items = F.slice(items, 1, list_items)
     nothing = F.array().cast(f"array<{_NODE}>")
-    return (
-        F.when(kind.startswith("OBJECT"), F.transform(members, member))
-        .when(kind.startswith("ARRAY"), F.transform(items, item))
-        .otherwise(nothing)
-    )
+    return F.coalesce(F.transform(members, member), F.transform(items, item), nothing)

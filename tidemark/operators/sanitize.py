@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions import columns as C
 from tidemark.functions import documents as J
 
 # Allow-listed keys, in lower-case letters and digits.
@@ -41,11 +42,11 @@ def _levels(text: str, max_depth: int | None) -> Column:
     return deep if max_depth is None else F.least(deep, F.lit(max_depth))
 
 
-def _pairs(documents: DataFrame, text: str, list_items: int | None, max_depth: int | None) -> DataFrame:
-    """``documents`` that are JSON, with the distinct (path, type) of each as ``_pairs``."""
-    nodes = J.unfolded(_parsed(documents, text), "_doc", list_items, False, _levels(text, max_depth))
-    pair = F.transform("_nodes", lambda n: F.struct(n["path"].alias("path"), J.variant_type(n["node"]).alias("type")))
-    return nodes.withColumn("_pairs", F.array_distinct(pair)).drop("_nodes", "_doc")
+def _pairs(text: str, list_items: int | None, max_depth: int | None) -> Column:
+    """The distinct (path, type) of the JSON tree in ``_doc``."""
+    nodes = J.nodes_of("_doc", list_items, False, _levels(text, max_depth))
+    pair = F.transform(nodes, lambda n: F.struct(n["path"].alias("path"), J.variant_type(n["node"]).alias("type")))
+    return F.array_distinct(pair)
 
 
 def document_paths(
@@ -56,7 +57,7 @@ def document_paths(
     All items of lists are seen, or the first ``list_items``, and all levels, or the first
     ``max_depth``.
     """
-    nodes = _pairs(documents, text, list_items, max_depth).withColumn("_p", F.explode("_pairs"))
+    nodes = _parsed(documents, text).select("*", F.explode(_pairs(text, list_items, max_depth)).alias("_p"))
     return nodes.select(*documents.columns, "_p.path", "_p.type")
 
 
@@ -70,13 +71,17 @@ def json_path_inventory(
     documents, without a shuffle of single paths. Items and depth as in ``document_paths``.
     """
     by = list(by)
-    parsed = _pairs(documents.select(*by, key, text), text, list_items, max_depth)
-    counts = parsed.select(*by, F.explode("_pairs").alias("_p")).groupBy(*by, "_p.path", "_p.type").agg(
-        F.count("*").alias("documents")
-    )
-    totals = _parsed(documents.select(*by, text), text).groupBy(*by).agg(F.count("*").alias("parsed_documents"))
+    parsed = _parsed(documents.select(*by, key, text), text)
+    if by:
+        parsed = parsed.where(C.all_of([F.col(b).isNotNull() for b in by]))
+    # A pair without path counts the document itself, so trees are read once.
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("type")))
+    found = F.explode(F.concat(_pairs(text, list_items, max_depth), whole))
+    counts = parsed.select(*by, found.alias("_p")).groupBy(*by, "_p.path", "_p.type").agg(F.count("*").alias("documents"))
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    totals = F.max(F.when(F.col("path").isNull(), F.col("documents"))).over(group)
     share = F.bround(F.col("documents") / F.col("parsed_documents"), 6)
-    joined = counts.join(totals, by) if by else counts.crossJoin(F.broadcast(totals))
+    joined = counts.withColumn("parsed_documents", totals).where("path IS NOT NULL")
     return joined.withColumn("coverage", share)
 
 
