@@ -152,3 +152,13 @@ def test_trees_are_unfolded_once(spark, tmp_path):
     assert plan.count("map_entries") == 1
     paths = sanitize.document_paths(df)._jdf.queryExecution().optimizedPlan().toString()
     assert paths.count("map_entries") == 1
+
+
+def test_byte_histograms_make_no_objects_of_rows(spark):
+    rows = [(1, "aab"), (2, ""), (3, None), (4, "é")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    got = {r.id: r.h for r in df.select("id", sanitize._histogram(df, "text").alias("h")).collect()}
+    assert (got[1][97], got[1][98], sum(got[1])) == (2, 1, 3) and sum(got[2]) == sum(got[3]) == 0
+    assert got[4][0xC3] == got[4][0xA9] == 1
+    plan = sanitize.byte_profile(df, "text", "id")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and sanitize.byte_histogram.evalType == 250

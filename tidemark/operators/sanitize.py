@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -201,14 +201,18 @@ def _profile(length: Column, entropy: Column, printable: Column, zero: Column, h
 
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def byte_histogram(payload: pd.Series) -> pd.Series:
-    """How often each of the 256 byte values occurs in each payload."""
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def byte_histogram(payload: pa.Array) -> pa.Array:
+    """How often each of the 256 byte values occurs in each payload.
 
-    def count(raw: bytes) -> np.ndarray:
-        return np.bincount(np.frombuffer(raw or b"", dtype=np.uint8), minlength=256)
-
-    return payload.map(count)
+    Bytes are counted where Arrow has them; nothing is copied into objects of single rows.
+    """
+    counts = np.zeros((len(payload), 256), dtype=np.int64)
+    for i, raw in enumerate(payload):
+        if raw.is_valid:
+            counts[i] = np.bincount(np.frombuffer(raw.as_buffer(), dtype=np.uint8), minlength=256)
+    edges = pa.array(np.arange(0, counts.size + 1, 256, dtype=np.int32))
+    return pa.ListArray.from_arrays(edges, pa.array(counts.ravel()))
 
 
 def _histogram(rows: DataFrame, payload: str) -> Column:
