@@ -20,6 +20,7 @@ from tidemark.plans.ordering import Layout, plan_layout, rolling
 
 FACTORS = (0.90, 0.95, 0.98, 1.00)
 LOW, HIGH = 0.001, 0.999
+SLICE_AT = 2  # the place of the block's number in a summary
 # Rows whose products are summed together, by position, however the series is cut.
 PART_ROWS = 64
 # Share of the regularisation that forgetting leaves: else directions that no row moves any
@@ -97,8 +98,6 @@ def online_rls(
     by = ["series", "mode"]
     rows = samples.select(*by, "pos", "x", "hits")
     layout = layout if layout is not None else plan_layout(rows, by, "pos")
-    if not layout.whole:  # cut between the parts that sums are made of
-        layout = Layout(layout.slice_us, -(-layout.block_rows // PART_ROWS) * PART_ROWS)
     factors = [float(f) for f in factors]
     model = Filter(factors, regularization)
 
@@ -157,28 +156,24 @@ def online_rls(
             made, columns=["series", "mode", "_slice", "factor", "part", "rows", "gram", "cross"]
         )
 
-    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        made, now, reached = [], None, None
-        for _, part in pdf.groupby("part", sort=True):
-            own = part.set_index("factor").loc[factors]
-            width = int(round(len(own["gram"].iloc[0]) ** 0.5))
-            labels = len(own["cross"].iloc[0]) // width
-            now = model.start(width, labels) if now is None else now
-            if own["_slice"].iloc[0] != reached:
-                reached = own["_slice"].iloc[0]
-                for k, f in enumerate(factors):
-                    made.append(
-                        (
-                            own["series"].iloc[0], own["mode"].iloc[0], reached, f, now[0],
-                            now[1][k].ravel(), now[2][k].ravel(),
-                        )
-                    )
-            gram = np.stack(own["gram"].to_numpy()).reshape(-1, width, width)
-            cross = np.stack(own["cross"].to_numpy()).reshape(-1, labels, width)
-            now = model.advance(now, int(own["rows"].iloc[0]), gram, cross)
-        return pd.DataFrame(
-            made, columns=["series", "mode", "_slice", "factor", "rows", "gram", "cross"]
-        )
+    def combine(batches):
+        """States at the starts of blocks, one part after another: rows come by series, mode, factor and part."""
+        key, reached, n, gram, cross = None, None, 0, None, None
+        for pdf in batches:
+            made = []
+            for row in pdf.itertuples(index=False):
+                own_gram, own_cross = np.asarray(row.gram, float), np.asarray(row.cross, float)
+                if (row.series, row.mode, row.factor) != key:
+                    key, reached, n = (row.series, row.mode, row.factor), None, 0
+                    gram, cross = np.zeros_like(own_gram), np.zeros_like(own_cross)
+                if row[SLICE_AT] != reached:
+                    reached = row[SLICE_AT]
+                    made.append((row.series, row.mode, reached, row.factor, n, gram, cross))
+                fade = (model.forget**row.rows)[factors.index(row.factor)]
+                n, gram, cross = n + row.rows, gram * fade + own_gram, cross * fade + own_cross
+            yield pd.DataFrame(
+                made, columns=["series", "mode", "_slice", "factor", "rows", "gram", "cross"]
+            )
 
     return run_blocks(
         rows, by, layout,
@@ -190,6 +185,8 @@ def online_rls(
         summarise, combine,
         "series string, mode string, _slice bigint, factor double, rows bigint, "
         "gram array<double>, cross array<double>",
+        align=PART_ROWS,  # cut between the parts that sums are made of
+        steps=["factor", "part"],
     )
 
 
