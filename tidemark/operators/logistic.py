@@ -38,6 +38,9 @@ PART = 64
 #: Leaves that are in memory with their features at once; a power of two.
 LEAVES = 1024
 
+#: Rows of a block that is kept packed for all rounds; a power of two.
+BLOCK = 8192
+
 #: Nodes of a series that one task adds up; a power of two.
 FOLD = 256
 
@@ -322,11 +325,15 @@ STATE = "series string, log binary, ask binary, result binary"
 def _in_rounds(large: DataFrame, rows: DataFrame, program, schema: str, limit: int, most: int) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
     size = PART
-    while 2 * size <= limit:
+    while 2 * size <= min(limit, BLOCK):
         size *= 2
     cut = rows.join(large.select("series"), "series", "left_semi").withColumn("block", F.floor(F.col("rank") / size).cast("bigint"))
-    cut = settle(cut)
-    blocks = _fresh(settle(cut.select("series", "block").distinct()))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _frame([(pdf["series"].iloc[0], pdf["block"].iloc[0], pickle.dumps(Rows.of(pdf)))], ["series", "block", "rows"])
+
+    # Rows are shuffled once; rounds send the questions to the blocks, and the blocks stay.
+    packed = settle(cut.groupBy("series", "block").applyInPandas(pack, "series string, block bigint, rows binary"))
 
     def advance(head: dict, log: list[np.ndarray]) -> tuple:
         """Run the program again from its start with the answers so far: its next question, or its end."""
@@ -349,11 +356,12 @@ def _in_rounds(large: DataFrame, rows: DataFrame, program, schema: str, limit: i
                 made.append(advance(h, log))
         return _frame(made, ["series", "log", "ask", "result"])
 
-    def measure(pdf: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        if not len(asks) or not len(pdf):
-            return _frame([], ["series", "block", "node"])
-        node = answer(Rows.of(pdf), pickle.loads(asks["ask"].iloc[0]))
-        return _frame([(asks["series"].iloc[0], asks["block"].iloc[0], pickle.dumps(node))], ["series", "block", "node"])
+    def measure(batches):
+        for pdf in batches:
+            made = []
+            for one in pdf.itertuples(index=False):
+                made.append((one.series, one.block, pickle.dumps(answer(pickle.loads(one.rows), pickle.loads(one.ask)))))
+            yield _frame(made, ["series", "block", "node"])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
@@ -363,8 +371,9 @@ def _in_rounds(large: DataFrame, rows: DataFrame, program, schema: str, limit: i
     nothing = large.sparkSession.createDataFrame([], STATE + ", node binary")
     state = settle(large.groupBy("series").cogroup(nothing.groupBy("series")).applyInPandas(step, STATE))
     while not state.where("ask is not null").isEmpty():
-        asks = _fresh(state.where("ask is not null").select("series", "ask")).join(blocks, "series")
-        nodes = cut.groupBy("series", "block").cogroup(asks.groupBy("series", "block")).applyInPandas(measure, "series string, block bigint, node binary")
+        # One question for each series of more rows than a task.
+        asks = F.broadcast(_fresh(state.where("ask is not null").select("series", "ask")))
+        nodes = _fresh(packed).join(asks, "series").mapInPandas(measure, "series string, block bigint, node binary")
         n_blocks = -(-most // size)
         while True:
             nodes = nodes.groupBy("series", F.floor(F.col("block") / FOLD).alias("_up")).applyInPandas(fold, "series string, block bigint, node binary")
