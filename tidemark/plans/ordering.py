@@ -29,7 +29,7 @@ from tidemark.plans.lineage import settle
 
 TASK_ROWS_CONF = "tidemark.task.rows"
 LAYOUT_CONF = "tidemark.layout"
-DEFAULT_TASK_ROWS = 2_000_000
+DEFAULT_TASK_ROWS = 250_000  # a task may hold several windows over them, of kilobytes a row
 GRID_CELLS = 4096
 DEFAULT_SLICE_US = 3_600_000_000  # an hour, where nothing better is known
 # Inputs below this many stored bytes per row of a task are taken as small unseen.
