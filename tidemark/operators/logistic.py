@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import columns as C
 from tidemark.operators.features import RATE_THRESHOLDS, lag_log_features, lag_names, prefix_counts
 from tidemark.operators.forecast import check_thresholds, frequency_forecast, with_next
-from tidemark.plans.lineage import settle
+from tidemark.plans.lineage import new_folder, settle
 from tidemark.plans.ordering import declared_layout, task_rows
 
 #: Rows whose sums are one leaf of the tree.
@@ -368,8 +368,14 @@ def _in_rounds(large: DataFrame, rows: DataFrame, program, schema: str, limit: i
         nodes = np.stack([pickle.loads(n) for n in pdf["node"]])
         return _frame([(pdf["series"].iloc[0], pdf["block"].iloc[0] // FOLD, pickle.dumps(tree_sum(nodes)))], ["series", "block", "node"])
 
+    def kept(df: DataFrame) -> DataFrame:
+        """Written as files: a checkpoint keeps the estimated size, a product that has twice the digits each round."""
+        folder = new_folder(large.sparkSession, "rounds")
+        df.write.parquet(folder)
+        return large.sparkSession.read.schema(STATE).parquet(folder)
+
     nothing = large.sparkSession.createDataFrame([], STATE + ", node binary")
-    state = settle(large.groupBy("series").cogroup(nothing.groupBy("series")).applyInPandas(step, STATE))
+    state = kept(large.groupBy("series").cogroup(nothing.groupBy("series")).applyInPandas(step, STATE))
     while not state.where("ask is not null").isEmpty():
         # One question for each series of more rows than a task.
         asks = F.broadcast(_fresh(state.where("ask is not null").select("series", "ask")))
@@ -381,7 +387,7 @@ def _in_rounds(large: DataFrame, rows: DataFrame, program, schema: str, limit: i
                 break
             n_blocks = -(-n_blocks // FOLD)
         told = _fresh(state).join(_fresh(nodes.select("series", "node")), "series", "left")
-        state = settle(large.groupBy("series").cogroup(told.groupBy("series")).applyInPandas(step, STATE))
+        state = kept(large.groupBy("series").cogroup(told.groupBy("series")).applyInPandas(step, STATE))
 
     def unpack(batches):
         for pdf in batches:
