@@ -266,3 +266,21 @@ def test_online_rls_is_well_posed_without_excitement(spark):
     assert made[0] == made[1] == made[2]
     late = [p for (f, i), p in made[0].items() if f == 0.9 and i > 500]
     assert np.std(late) < 0.45 and not all(p in (0.001, 0.999) for p in late)
+
+
+def test_blocks_of_a_kernel_are_small_whatever_a_task_holds(spark, monkeypatch):
+    """A layout of whole series cuts pandas kernels all the same, with the same bits; states of online models stream."""
+    from tidemark.operators import blocks
+    from tidemark.plans.ordering import Layout
+
+    df = spark.range(700).selectExpr(
+        "'s' AS series", "'m' AS mode", "id AS pos", "array(sin(id), cos(id * id)) AS x", "array(int(id % 3 = 0)) AS hits", "sin(id * 7) AS y"
+    )
+    ask = lambda: {(r.factor, r.pos): r.probabilities[0] for r in online.online_rls(df, (0.9, 1.0), layout=Layout()).collect()}
+    whole, ridges = ask(), {r.pos: r.predicted for r in ridge.batched_ridge(df, 1.0, 10, Layout()).collect()}
+    monkeypatch.setattr(blocks, "KERNEL_ROWS", 100)
+    seen = online.online_rls(df, (0.9, 1.0), layout=Layout())
+    assert "MapInPandas" in seen._jdf.queryExecution().executedPlan().toString()
+    assert ask() == whole
+    cut = {r.pos: r.predicted for r in ridge.batched_ridge(df, 1.0, 10, Layout()).collect()}
+    assert cut[5] is None and all(cut[i] == pytest.approx(ridges[i], abs=1e-9) for i in range(10, 700))
