@@ -687,3 +687,23 @@ def test_every_pair_of_operators_is_evaluated_as_by_hand():
                         for text in (f"{a} {x} {b} {y} {c}", f"({a} {x} {b}) {y} {c}", f"{a} {x} ({b} {y} {c})"):
                             plain = re.sub(r"[a-z0-9.\-]+", lambda m: m.group() if m.group() in ("or", "and") else str(truth[m.group()]), text)
                             assert licenses.evaluate(licenses.read_expression(text.upper()))[2] == eval(plain)
+
+
+def test_bpe_takes_few_bytes_at_once(spark, monkeypatch):
+    class Rows:  # stands for a table, and keeps the function that Spark would run in a worker
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    texts = [None if i == 5 else "text 1 " * 400_000 if i == 7 else f"text {i % 9} " * (i % 2_000) for i in range(1_000)]  # 7 MB and a long one
+    sizes, real = [], byte_bpe.Encoder.encode
+    monkeypatch.setattr(byte_bpe.Encoder, "encode", lambda self, column: sizes.append((len(column), sum(len(t or "") for t in column.to_pylist()))) or real(self, column))
+    encode = byte_bpe.encode(Rows(), RANKS, public_tokenizers.PATTERN).run
+    decode = byte_bpe.decode(Rows(), RANKS).run
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1_000)), pa.array(texts)], names=["doc_id", "text"])
+    got = [(i, d.decode()) for b in decode(encode([batch, batch.slice(0, 0)])) for i, d in zip(b.column("doc_id").to_pylist(), b.column("decoded").to_pylist())]
+    assert got == [(i, t or "") for i, t in enumerate(texts)]
+    assert sum(n for n, _ in sizes) == 1_000 and all(size <= 2_500_000 or n == 1 for n, size in sizes)

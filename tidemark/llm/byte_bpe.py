@@ -19,13 +19,16 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.shared import IdStore, pieces, text_of
+from tidemark.llm.shared import IdStore, sized_pieces, text_of
 
 #: Distinct pre-tokens, and pieces made of several, that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
+
+#: Bytes of texts, or of their ids, that are turned into Python objects at once; a larger row is alone.
+PIECE_BYTES = 1 << 20
 
 #: Bytes of pre-tokens that share a queue; a longer one has a queue of its own.
-BUFFER_BYTES = 1 << 18
+BUFFER_BYTES = 1 << 15
 
 #: Ranks under one bit of the upper bitmap.
 WORD_BITS = 256
@@ -213,8 +216,7 @@ class Encoder:
         whole[doc[odd[number]]] = True
         # A piece of a text, the first piece of a text, or a whole text.
         first = np.cumsum(counts) - counts
-        documents = column.to_pylist()
-        starts = [documents[i] if w else pieces_[number[first[i]]] for i, w in enumerate(whole.tolist())]
+        starts = [column[i].as_py() if w else pieces_[number[first[i]]] for i, w in enumerate(whole.tolist())]
         use = ~whole[doc]
         use[first[counts > 0]] = False
         used = np.unique(number[use])
@@ -262,7 +264,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
     def run(batches):
         if key not in _ENCODERS:
             _ENCODERS[key] = Encoder(*key)
-        for piece in pieces(batches, 1024):
+        for piece in sized_pieces(batches, 1, PIECE_BYTES):
             ids, ends = _ENCODERS[key].encode(piece.column(1))
             offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
@@ -285,7 +287,7 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
             for token, rank in table.items():
                 tokens[rank] = token
             _TABLES[ranks] = pa.array(tokens, pa.binary())
-        for piece in pieces(batches, 1024):
+        for piece in sized_pieces(batches, 1, PIECE_BYTES):
             lists = piece.column(1)
             counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
