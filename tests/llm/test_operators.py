@@ -557,6 +557,58 @@ def test_a_shared_queue_merges_each_string_alone(strings, size):
     assert not any(merger.low)
 
 
+@given(st.lists(st.binary(max_size=60), max_size=12), st.sampled_from([1, 2, 5]), st.integers(0, 1000))
+@settings(max_examples=300, deadline=None)
+def test_large_buckets_merge_each_string_alone(strings, bulk, seed):
+    """Like one pair after another, for tables whose merges also make pairs of lower ranks."""
+    made = [b"ab", b"bc", b"abab", b"aa", b"aaa", b"cab", b"abc", b"aaaa", b"ba", b"bab", b"ca", b"aab", b"abb", b"cc", b"abcab", b"caab"]
+    order = np.random.default_rng(seed).permutation(len(made)).tolist()
+    ranks = {bytes([b]): b + 40 for b in range(256)} | {token: 300 + k if k % 2 else k for token, k in zip(made, order)}
+    merger = byte_bpe.Merger(ranks)
+    strings = strings + [s.translate(bytes(97 + b % 3 for b in range(256))) for s in strings] + [b"a" * 9, b"abab" * 4, b"", b"cabcabaab" * 3]
+
+    def plain(piece):
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while True:
+            pairs = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+            if not pairs:
+                return [ranks[p] for p in parts]
+            i = min(pairs)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    before, byte_bpe.BULK = byte_bpe.BULK, bulk
+    try:
+        ids, counts = merger.encode_all(strings)
+    finally:
+        byte_bpe.BULK = before
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts))[:-1]] == [plain(s) for s in strings]
+    assert not any(merger.low) and not any(merger.buckets)
+
+
+def test_large_buckets_are_not_merged_one_by_one(bpe, tiktoken_encoding, monkeypatch):
+    single, real = [], byte_bpe.Merger._merge_each
+    monkeypatch.setattr(byte_bpe.Merger, "_merge_each", lambda self, parts, now, bucket, top: single.append(len(bucket)) or real(self, parts, now, bucket, top))
+    words = [f"thering{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}xation" for i in range(5_000)]
+    ids, counts = bpe.merger.encode_all([w.encode() for w in words])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts))[:-1]] == [tiktoken_encoding.encode_ordinary(w) for w in words]
+    assert sum(single) < 10_000  # of more than 50,000
+
+
+def test_bpe_remembers_what_comes_again(tiktoken_encoding, monkeypatch):
+    """Also after its memory was full; what came once is forgotten."""
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 400)
+    encoder, merged = byte_bpe.Encoder(RANKS, public_tokenizers.PATTERN), Counter()
+    real = encoder.merger.encode_all
+    monkeypatch.setattr(encoder.merger, "encode_all", lambda strings: merged.update(strings) or real(strings))
+    often = " ".join(f"oftenseen{chr(97 + i % 26)}zq{chr(97 + i // 26)}, it's" for i in range(60))
+    for k in range(40):
+        texts = [f"{often} once{k}xq" + " ".join(f"rarewo{chr(97 + i)}rd{chr(97 + k % 26)}q{'z' * (k // 26)}" for i in range(25)), "odd \n " * (k % 3), None, often]
+        ids, ends = encoder.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [tiktoken_encoding.encode_ordinary(t or "") for t in texts]
+        assert len(encoder.known) <= 700
+    assert max(merged[f" oftenseen{chr(97 + i % 26)}zq{chr(97 + i // 26)}".encode()] for i in range(1, 60)) == 1
+
+
 def test_parts_of_spans_are_joined_over_windows():
     email, phone = "email", "phone"
     runs = [
