@@ -55,6 +55,48 @@ def test_chunks_encode_as_whole_texts(extra):
     assert got == [whole.encode(t, add_special_tokens=False).ids + [2] for t in texts]
 
 
+def test_chunks_remember_what_comes_again(monkeypatch):
+    monkeypatch.setattr(token_codes, "REMEMBERED", 300)
+    learned = Counter()
+    learn = token_codes.ChunkEncoder._learn
+
+    def counted(self, chunks):
+        learned.update(chunks)
+        learn(self, chunks)
+
+    monkeypatch.setattr(token_codes.ChunkEncoder, "_learn", counted)
+    encoder = token_codes.ChunkEncoder(WORD_BPE)
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(WORD_BPE)
+    common = "the quick brown fox, jumps über 12 lazy dogs."
+    for n in range(20):
+        texts = [common, " ".join(f"{chr(97 + n)}{chr(97 + i % 26)}{chr(97 + i // 26)}" + "xyz."[: i % 5] for i in range(120)), None]
+        ids, ends = encoder.encode(pa.array(texts), 2)
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [whole.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+        assert len(encoder.known) < 300 + 150
+    assert {learned[w] for w in ("the", "quick", "fox", "über", "12", "dogs")} == {1}
+    assert sum(learned.values()) > 2 * 300  # more than it remembers
+
+
+@pytest.mark.parametrize("change", ["cut", "added"])
+def test_small_words_of_another_tokenizer(tmp_path, change):
+    from tokenizers import AddedToken, Regex, Tokenizer, pre_tokenizers
+
+    whole = Tokenizer.from_file(WORD_BPE)
+    assert token_codes.ChunkEncoder(WORD_BPE).plain
+    if change == "cut":  # words are cut behind an s
+        whole.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex("s"), "merged_with_previous"), whole.pre_tokenizer])
+    else:
+        whole.add_tokens([AddedToken("row", normalized=False)])
+    whole.save(path := str(tmp_path / "other.json"))
+    encoder = token_codes.ChunkEncoder(path)
+    assert not encoder.plain
+    texts = ["brown mississippi, arrows grow", "rows"]
+    ids, ends = encoder.encode(pa.array(texts), 2)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [whole.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+
+
 def test_token_files(spark, awkward, nothing):
     folder = new_folder(spark, "test")
     token_codes.write_tokens(awkward, folder, WORD_BPE, 2, segment_tokens=500)

@@ -12,6 +12,7 @@ container described above. Rows are in ascending order of document id.
 
 from __future__ import annotations
 
+import re
 import struct
 import sys
 import unicodedata
@@ -24,13 +25,19 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.shared import IdStore, frame_batch, pieces, split_words, text_of, written
+from tidemark.llm.shared import IdStore, frame_batch, pieces, sized_pieces, split_words, text_of, written
 
 MAGIC = b"DAC1"
 RANK_BITS = 512
 SEGMENT_TOKENS = 1 << 18
 #: Distinct chunks of text that a worker remembers.
 REMEMBERED = 800_000
+#: Bytes of text that are encoded at once, or one text.
+PIECE_BYTES = 1 << 23
+#: Chunks whose ids are put together at once.
+GATHERED = 1 << 16
+#: Whether a chunk has small ASCII letters alone.
+SMALL = re.compile("[a-z]+").fullmatch
 
 SEGMENTS = "shard int, segment int, start long, n_tokens long, doc_id array<bigint>, offset array<bigint>, codes binary"
 
@@ -123,7 +130,9 @@ class ChunkEncoder:
     For tokenizers whose tokens never cross white space and drop it, as ``word_bpe_49k``:
     its pattern has no white space, and neither composition nor lower-casing looks across.
     New chunks are encoded in long lines. A chunk of letters alone ends with the one token
-    that is marked as the end of a word; behind any other stands a special token.
+    that is marked as the end of a word; behind any other stands a special token. Chunks of
+    small ASCII letters are neither changed nor cut before the tokenizer's model sees them,
+    so it gets them by themselves, if it agrees with the whole tokenizer on words of its own.
     """
 
     def __init__(self, path: str):
@@ -132,7 +141,8 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        special = [(i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special]
+        added = self.tokenizer.get_added_tokens_decoder()
+        special = [(i, t.content) for i, t in sorted(added.items()) if t.special]
         self.mark_id, self.mark = special[0]
         self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
         suffix = self.tokenizer.model.end_of_word_suffix
@@ -143,15 +153,42 @@ class ChunkEncoder:
         # Letters that normalization turns into something with other characters.
         changing = (c for c in map(chr, range(sys.maxunicode + 1)) if c.isalpha() and not unicodedata.normalize("NFC", c).lower().isalpha())
         self.unstable = "[" + "".join(changing) + "]"
+        own = sorted(w for w in (t.removesuffix(suffix or "") for t in vocabulary) if SMALL(w))[::20]
+        self.plain = not any(SMALL(t.content.lower()) for t in added.values()) and all(
+            self._ids(w).tolist() == [t.id for t in self.tokenizer.model.tokenize(w)] for w in map("".join, zip(own, own[::-1]))
+        )
         self.known = IdStore()
+        self.uses = np.zeros(0, np.int32)  # in how many later pieces each was found, less at each cut
+
+    def _make_room(self) -> None:
+        """Forget what was not found again; of the rest, half of the room's most used are kept."""
+        if not self.known.is_full(REMEMBERED):
+            return
+        order = np.argsort(-self.uses, kind="stable")[: min(REMEMBERED // 2, np.count_nonzero(self.uses))]
+        kept = np.zeros(len(self.known), bool)
+        kept[order] = True
+        self.known, rows = self.known.only(kept)
+        self.uses = self.uses[rows] // 2
+        if self.known.is_full(REMEMBERED // 2):  # few, but long
+            self.known, self.uses = IdStore(), np.zeros(0, np.int32)
+
+    def _count(self, found: np.ndarray) -> None:
+        """One more use of these rows, each given once."""
+        self.uses = np.concatenate([self.uses, np.zeros(len(self.known) - len(self.uses), np.int32)])
+        self.uses[found] += 1
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _learn(self, chunks: list[str]) -> None:
-        letters, others = [], []
+        small, letters, others = [], [], []
         for c in chunks:
-            (letters if c.isalpha() else others).append(c)
+            (small if self.plain and SMALL(c) else letters if c.isalpha() else others).append(c)
+        model = self.tokenizer.model
+        for at in range(0, len(small), 200):
+            some = small[at : at + 200]
+            tokens = [model.tokenize(c) for c in some]
+            self.known.add(some, np.array([t.id for ts in tokens for t in ts], np.uint32), np.array([len(ts) for ts in tokens]))
         for at in range(0, len(letters), 5000):
             some = letters[at : at + 5000]
             ids = self._ids("\n".join(some))
@@ -189,18 +226,19 @@ class ChunkEncoder:
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one row, ``end_id`` behind each text, and where texts end."""
-        if self.known.is_full(REMEMBERED):
-            self.known = IdStore()
+        self._make_room()
         number, chunks, counts = split_words(column)
         bases, of_chunk, tail = self._bases(chunks)
-        bases = bases.to_pylist()
+        bases = bases.to_numpy(zero_copy_only=False).tolist()  # much cheaper than to_pylist
         base_row = np.fromiter(map(self.known.rows.get, bases, repeat(-1)), np.int64, len(bases))
         new = np.flatnonzero(base_row < 0)
-        self._learn([bases[i] for i in new.tolist()])
+        self._count(base_row[base_row >= 0])
+        unknown = [bases[i] for i in new.tolist()]
+        self._learn(unknown)
         self._learn(self.known.missing([".", ","]))
-        base_row[new] = self.known.rows_of([bases[i] for i in new.tolist()])
+        base_row[new] = self.known.rows_of(unknown)
         end = f" {end_id}"  # no chunk has a space
-        if end not in self.known.rows:
+        if self.known.missing([end, " "]):
             self.known.add([end, " "], np.array([end_id], np.uint32), np.array([1, 0]))
         # The chunks of these texts, from base and tail; the end is one more.
         rows = np.empty(2 * len(of_chunk) + 2, np.int64)
@@ -210,10 +248,15 @@ class ChunkEncoder:
         last = ends[1::2]
         first = np.concatenate([[0], last[:-1]])
         words = np.cumsum(counts)
-        number = np.insert(number.astype(np.int64), words, len(of_chunk))
-        n = (last - first)[number]
-        upto = np.cumsum(n)
-        return ids[np.arange(upto[-1]) + np.repeat(first[number] - upto + n, n)], upto[words + np.arange(len(counts))]
+        number = np.insert(number, words, len(of_chunk))
+        upto = np.cumsum((last - first)[number])
+        out = np.empty(upto[-1], np.uint32)
+        for at in range(0, len(number), GATHERED):
+            some = number[at : at + GATHERED]
+            n = (last - first)[some]
+            own = np.cumsum(n)
+            out[upto[at] - n[0] :][: own[-1]] = ids[np.arange(own[-1]) + np.repeat(first[some] - own + n, n)]
+        return out, upto[words + np.arange(len(counts))]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -254,10 +297,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
             offsets = np.concatenate([[0], np.cumsum(lengths)])
             return frame_batch(arrow, [[shard], [segment], [start], [int(offsets[-1])], [names], [offsets.tolist()], [pack(np.concatenate(held))]])
 
-        for piece in pieces(batches, 2048):
+        for piece in sized_pieces(batches, 1, PIECE_BYTES):
             ids, ends = encoder(tokenizer).encode(piece.column(1), end_id)
-            for name, own in zip(piece.column(0).to_pylist(), np.split(ids, ends[:-1])):
-                held.append(own)
+            before = 0
+            for name, upto in zip(piece.column(0).to_pylist(), ends.tolist()):
+                held.append(ids[before:upto])
+                before = upto
                 names.append(name)
                 size += len(held[-1])
                 if size >= segment_tokens:
