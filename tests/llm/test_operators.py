@@ -44,7 +44,8 @@ def test_codes_give_any_position(ids, random):
         codes.at([len(ids)])
 
 
-@pytest.mark.parametrize("extra", [[], ["<|startoftext|>", "a<|endoftext|>b", "<|STARTOFTEXT|> İstanbul. İ, ǅ", "don't we'll. 3.5,6", "\u0338a >\u0338b", "J\u030c, \u0958. \u0130, H\u0331. A\u030a."]])
+@pytest.mark.parametrize("extra", [[], ["<|startoftext|>", "a<|endoftext|>b", "<|STARTOFTEXT|> İstanbul. İ, ǅ", "don't we'll. 3.5,6", "\u0338a >\u0338b", "J\u030c, \u0958. \u0130, H\u0331. A\u030a."],
+    ["end.!! end*** END,### über&&& don't'. 'tis' dogs' dogs'' a_b_ c__ d_e <b> ab> a>\u0338 b=\u0338 İ*** ǅ)] x<|endoftext|>.) y<|endoftext|>> 5%% .. ,*** é\u0301.)! ñ\u0303\"", "end.!! end***"]])
 def test_chunks_encode_as_whole_texts(extra):
     texts = SOME + extra
     ids, ends = token_codes.ChunkEncoder(WORD_BPE).encode(pa.array(texts), 2)

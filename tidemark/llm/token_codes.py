@@ -13,6 +13,7 @@ container described above. Rows are in ascending order of document id.
 from __future__ import annotations
 
 import re
+import string
 import struct
 import sys
 import unicodedata
@@ -38,6 +39,8 @@ PIECE_BYTES = 1 << 23
 GATHERED = 1 << 16
 #: Whether a chunk has small ASCII letters alone.
 SMALL = re.compile("[a-z]+").fullmatch
+#: What is cut off behind letters; not what may begin a special token or a short form.
+MARKS = "".join(c for c in string.punctuation if c not in "<'")
 
 SEGMENTS = "shard int, segment int, start long, n_tokens long, doc_id array<bigint>, offset array<bigint>, codes binary"
 
@@ -124,6 +127,11 @@ class Codes:
         return out
 
 
+def strings(column: pa.Array) -> list[str]:
+    """Much cheaper than ``to_pylist``."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class ChunkEncoder:
     """Encodes texts by their chunks between ASCII white space, each distinct one once.
 
@@ -157,6 +165,7 @@ class ChunkEncoder:
         self.plain = not any(SMALL(t.content.lower()) for t in added.values()) and all(
             self._ids(w).tolist() == [t.id for t in self.tokenizer.model.tokenize(w)] for w in map("".join, zip(own, own[::-1]))
         )
+        self.cuts = all(self._ids(w + m).tolist() == self._ids(w).tolist() + self._ids(m).tolist() for w, m in zip(own, [*MARKS, MARKS, ".!!", "***"]))
         self.known = IdStore()
         self.uses = np.zeros(0, np.int32)  # in how many later pieces each was found, less at each cut
 
@@ -208,41 +217,46 @@ class ChunkEncoder:
             ids = self._ids(c)
             self.known.add([c], ids, np.array([len(ids)]))
 
-    def _bases(self, chunks: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        """Each chunk as a base and a stop or comma behind it, 0 if none; see the class.
+    def _bases(self, chunks: pa.Array) -> tuple[pa.Array, np.ndarray, list[str], np.ndarray]:
+        """Each chunk as a base and the marks behind it, of which the first is none; see the class.
 
-        A stop behind letters alone is a pre-token of its own, unless a letter leaves a mark
+        Marks behind letters alone are a pre-token of their own, unless a letter leaves a mark
         when it is normalized. Where the tokenizer lowers letters, chunks of ASCII alone are
         lowered here, but not what may be a special token.
         """
         if self.lowers:
             plain = pc.and_not(pc.string_is_ascii(chunks), pc.match_substring(chunks, "<"))
             chunks = pc.if_else(plain, pc.ascii_lower(chunks), chunks)
-        stop, comma = (pc.ends_with(chunks, t).to_numpy(zero_copy_only=False) for t in ".,")
-        head = pc.utf8_slice_codeunits(chunks, 0, -1)
-        cut = pc.and_not(pc.utf8_is_alpha(head), pc.match_substring_regex(head, self.unstable)).to_numpy(zero_copy_only=False) & (stop | comma)
-        coded = pc.if_else(pa.array(cut), head, chunks).dictionary_encode()
-        return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), np.where(cut, np.where(stop, 1, 2), 0)
+        head = pc.ascii_rtrim(chunks, MARKS)
+        marked = pc.and_(pc.less(pc.binary_length(head), pc.binary_length(chunks)), self.cuts)
+        some = head.filter(marked)
+        stable = pc.and_not(pc.utf8_is_alpha(some), pc.match_substring_regex(some, self.unstable))
+        tails, tail = {" ": 0}, np.zeros(len(chunks), np.int64)
+        pairs = zip(strings(chunks.filter(marked).filter(stable)), strings(some.filter(stable)))
+        at = np.flatnonzero(marked.to_numpy(zero_copy_only=False))[stable.to_numpy(zero_copy_only=False)]
+        tail[at] = [tails.setdefault(c[len(h) :], len(tails)) for c, h in pairs]
+        coded = pc.if_else(pa.array(tail > 0), head, chunks).dictionary_encode()
+        return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), list(tails), tail
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one row, ``end_id`` behind each text, and where texts end."""
         self._make_room()
         number, chunks, counts = split_words(column)
-        bases, of_chunk, tail = self._bases(chunks)
-        bases = bases.to_numpy(zero_copy_only=False).tolist()  # much cheaper than to_pylist
+        bases, of_chunk, tails, tail = self._bases(chunks)
+        bases = strings(bases)
         base_row = np.fromiter(map(self.known.rows.get, bases, repeat(-1)), np.int64, len(bases))
         new = np.flatnonzero(base_row < 0)
         self._count(base_row[base_row >= 0])
         unknown = [bases[i] for i in new.tolist()]
         self._learn(unknown)
-        self._learn(self.known.missing([".", ","]))
+        self._learn(self.known.missing(tails[1:]))
         base_row[new] = self.known.rows_of(unknown)
         end = f" {end_id}"  # no chunk has a space
         if self.known.missing([end, " "]):
             self.known.add([end, " "], np.array([end_id], np.uint32), np.array([1, 0]))
-        # The chunks of these texts, from base and tail; the end is one more.
+        # The chunks of these texts, from base and marks; the end is one more.
         rows = np.empty(2 * len(of_chunk) + 2, np.int64)
-        rows[:-2:2], rows[1:-2:2] = base_row[of_chunk], self.known.rows_of([" ", ".", ","])[tail]
+        rows[:-2:2], rows[1:-2:2] = base_row[of_chunk], self.known.rows_of(tails)[tail]
         rows[-2:] = self.known.rows[end], self.known.rows[" "]
         ids, ends = self.known.gather(rows)
         last = ends[1::2]
