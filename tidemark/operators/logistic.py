@@ -36,7 +36,10 @@ from tidemark.plans.ordering import declared_layout, task_rows
 PART = 64
 
 #: Leaves that are in memory with their features at once; a power of two.
-LEAVES = 1024
+LEAVES = 64
+
+#: Leaves whose sums for fits are taken at once, few enough for a processor's cache.
+NEAR = 16
 
 #: Rows of a block that is kept packed for all rounds; a power of two.
 BLOCK = 8192
@@ -66,23 +69,30 @@ class Rows:
 
         return cls(pdf["rank"].to_numpy(), matrix("x"), matrix("hits"), matrix("prior"))
 
-    def leaves(self, at: int) -> Rows:
+    def leaves(self, at: int, priors: bool = True) -> Rows:
         """``LEAVES`` parts from the row ``at``, filled up with rows of rank -1."""
         rows = slice(at, at + LEAVES * PART)
         n = len(self.rank[rows])
         shape = (-(-n // PART), PART)
 
         def filled(a: np.ndarray, value: float = 0.0) -> np.ndarray:
+            if n == shape[0] * PART:
+                return a[rows].reshape(*shape, *a.shape[1:])
             out = np.full((shape[0] * PART, *a.shape[1:]), value, a.dtype)
             out[:n] = a[rows]
             return out.reshape(*shape, *a.shape[1:])
 
-        return Rows(filled(self.rank, -1), filled(self.x), filled(self.hits), filled(self.prior))
+        return Rows(filled(self.rank, -1), filled(self.x), filled(self.hits), filled(self.prior) if priors else None)
 
     def within(self, lo: int, hi: int) -> np.ndarray:
         return ((self.rank >= lo) & (self.rank < hi)).astype(float)
 
 
+def by_column(a: np.ndarray) -> np.ndarray:
+    """(leaf, row, column) as (leaf, column, row), in this order also in memory, on which sums depend."""
+    return np.ascontiguousarray(a.transpose(0, 2, 1))
+
+
 def tree_sum(nodes: np.ndarray) -> np.ndarray:
     """Sum over the first axis by neighbours, so that aligned cuts change no bit of it."""
     while len(nodes) > 1:
@@ -144,14 +154,11 @@ class Moments:
     places: int | None = None
 
     def sums(self, part: Rows) -> np.ndarray:
-        x = part.x - self.shift
-        prior = part.prior if self.places is None else np.round(part.prior, self.places)
-        off = (prior - part.hits) ** 2
-        out = []
-        for lo, hi in self.ranges:
-            m = part.within(lo, hi)[..., None]
-            out += [m.sum(axis=1), (m * x).sum(axis=1), (m * x * x).sum(axis=1), (m * part.hits).sum(axis=1), (m * off).sum(axis=1)]
-        return np.concatenate(out, axis=1)
+        x, hits = by_column(part.x) - self.shift[:, None], by_column(part.hits)
+        prior = by_column(part.prior if self.places is None else np.round(part.prior, self.places))
+        each = np.concatenate([np.ones_like(x[:, :1]), x, x * x, hits, (prior - hits) ** 2], axis=1)
+        within = np.stack([part.within(lo, hi) for lo, hi in self.ranges], axis=1)
+        return np.matmul(within, each.transpose(0, 2, 1)).reshape(len(x), -1)
 
     def read(self, sums: np.ndarray, width: int, targets: int) -> list[dict]:
         out = []
@@ -164,6 +171,23 @@ class Moments:
         return out
 
 
+def of_same_ranks(fits: list[Fit]) -> dict[tuple[int, int], list[int]]:
+    """The places of fits that learn from the same ranks, and so have one scale."""
+    found: dict[tuple[int, int], list[int]] = {}
+    for i, f in enumerate(fits):
+        found.setdefault((f.lo, f.hi), []).append(i)
+    return found
+
+
+def scaled(part: Rows, fit: Fit) -> np.ndarray:
+    """Ones and the standardised features as columns."""
+    leaves, rows, width = part.x.shape
+    z = np.ones((leaves, width + 1, rows))
+    np.subtract(part.x.transpose(0, 2, 1), fit.mean[:, None], out=z[:, 1:])
+    z[:, 1:] /= fit.scale[:, None]
+    return z
+
+
 @dataclass
 class Newton:
     """For each fit: the log-loss, its gradient and its Hessian at the trial weights."""
@@ -171,24 +195,40 @@ class Newton:
     fits: list[Fit]
 
     def sums(self, part: Rows) -> np.ndarray:
-        out, scaled = [], {}
-        for f in self.fits:
-            if (f.lo, f.hi) not in scaled:
-                z = (part.x - f.mean) / f.scale
-                scaled[f.lo, f.hi] = np.concatenate([np.ones((*z.shape[:2], 1)), z], axis=2)
-            z, m, y = scaled[f.lo, f.hi], part.within(f.lo, f.hi), part.hits[..., f.target]
-            margin = z @ f.trial
-            p = _sigmoid(margin)
-            loss = (m * np.logaddexp(0.0, np.where(y > 0, -margin, margin))).sum(axis=1)
-            gradient = np.matmul((m * (p - y))[:, None, :], z)[:, 0]
-            hessian = np.matmul(z.transpose(0, 2, 1), (m * p * (1 - p))[..., None] * z)
-            out += [loss[:, None], gradient, hessian.reshape(len(z), -1)]
-        return np.concatenate(out, axis=1)
+        d = len(self.fits[0].trial)
+        out = np.zeros((len(part.rank), len(self.fits), 1 + d + d * (d + 1) // 2))
+        for (lo, hi), mine in of_same_ranks(self.fits).items():
+            fits, m, z = [self.fits[i] for i in mine], part.within(lo, hi)[:, None], scaled(part, self.fits[mine[0]])
+            trials, targets = np.stack([f.trial for f in fits]), [f.target for f in fits]
+            hits = by_column(part.hits)
+            for at in range(0, len(z), NEAR):
+                near = slice(at, at + NEAR)
+                if m[near].any():
+                    out[near, mine] = self._together(z[near], hits[near][:, targets], trials, m[near])
+        return out.reshape(len(out), -1)
+
+    @staticmethod
+    def _together(z: np.ndarray, y: np.ndarray, trials: np.ndarray, m: np.ndarray) -> np.ndarray:
+        d = z.shape[1]
+        margin = np.maximum(np.matmul(trials, z), -700.0)
+        small = np.exp(-margin)
+        p = 1.0 / (1.0 + small)
+        loss, miss, weight = np.log1p(small) + (margin - y * margin), p - y, p - p * p
+        if not m.all():
+            loss, miss, weight = m * loss, m * miss, m * weight
+        # Hessians are symmetric: each product of two columns is taken once.
+        pairs, k = np.empty((len(z), d * (d + 1) // 2, z.shape[2])), 0
+        for i in range(d):
+            np.multiply(z[:, i : i + 1], z[:, i:], out=pairs[:, k : k + d - i])
+            k += d - i
+        return np.concatenate([loss.sum(axis=2)[..., None], np.matmul(miss, z.transpose(0, 2, 1)), np.matmul(weight, pairs.transpose(0, 2, 1))], axis=2)
 
     def read(self, sums: np.ndarray) -> None:
         for f, one in zip(self.fits, np.split(sums, len(self.fits))):
             d = len(f.trial)
-            f.take(float(one[0]), one[1 : d + 1], one[d + 1 :].reshape(d, d))
+            hessian = np.zeros((d, d))
+            hessian[np.triu_indices(d)] = hessian.T[np.triu_indices(d)] = one[d + 1 :]
+            f.take(float(one[0]), one[1 : d + 1], hessian)
 
 
 @dataclass
@@ -201,13 +241,17 @@ class Losses:
 
     def sums(self, part: Rows) -> np.ndarray:
         m = part.within(self.lo, self.hi)
-        return np.stack([(m * (f.probability(part.x) - part.hits[..., f.target]) ** 2).sum(axis=1) for f in self.fits], axis=1)
+        out = np.zeros((len(m), len(self.fits)))
+        if m.any():
+            for i, f in enumerate(self.fits):
+                out[:, i] = (m * (f.probability(part.x) - part.hits[..., f.target]) ** 2).sum(axis=1)
+        return out
 
 
 def answer(rows: Rows, ask: Moments | Newton | Losses) -> np.ndarray:
     """The sums over all rows."""
     chunks = range(0, len(rows.rank), LEAVES * PART)
-    return tree_sum(np.stack([tree_sum(ask.sums(rows.leaves(at))) for at in chunks]))
+    return tree_sum(np.stack([tree_sum(ask.sums(rows.leaves(at, isinstance(ask, Moments)))) for at in chunks]))
 
 
 #: Asks for sums and ends with rows of the result.

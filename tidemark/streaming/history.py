@@ -13,7 +13,7 @@ import numpy as np
 
 from tidemark.operators import ridge
 from tidemark.operators.features import RATE_THRESHOLDS
-from tidemark.operators.logistic import DECISION, ChallengerConfig, Rows, gated_program, in_task
+from tidemark.operators.logistic import DECISION, LEAVES, PART, ChallengerConfig, Rows, gated_program, in_task
 
 # Windows and penalties of the point forecast.
 LAGS, SHORT, LONG, VALIDATION = 5, 8, 20, 8
@@ -22,23 +22,32 @@ LIMITS = [float(t) for t in RATE_THRESHOLDS]
 CAP = 1000.0
 WIDTH = LAGS + 5 + 2 * len(LIMITS)
 
+#: Values that are learned from together; bounds the products in memory.
+STEP = 256
+
 
 def log_values(values: Sequence[float]) -> np.ndarray:
     return np.log(np.minimum(np.asarray(values, float), CAP))
 
 
+def regime_rows(recent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Regime features, medians and averages of the logs of rows of ``LONG`` values."""
+    logs = log_values(recent)
+    near, far = logs[:, -SHORT:], logs
+    means = near.mean(axis=1), far.mean(axis=1)
+    x = [logs[:, -k] for k in range(1, LAGS + 1)]
+    x += [*means, means[0] - means[1], near.std(axis=1), far.std(axis=1)]
+    x += [(w >= t).mean(axis=1) for t in LIMITS for w in (recent[:, -SHORT:], recent)]
+    alpha, level = 2.0 / (SHORT + 1.0), logs[:, 0]
+    for k in range(1, logs.shape[1]):
+        level = logs[:, k] * alpha + level * (1.0 - alpha)
+    return np.stack(x, axis=1), np.median(near, axis=1), level
+
+
 def regime_row(recent: Sequence[float]) -> tuple[list[float], float, float]:
     """Regime features, median and average of the logs of the last ``LONG`` values."""
-    values = np.asarray(recent[-LONG:], float)
-    logs = log_values(values)
-    near, far = logs[-SHORT:], logs
-    x = [logs[-k] for k in range(1, LAGS + 1)]
-    x += [near.mean(), far.mean(), near.mean() - far.mean(), near.std(), far.std()]
-    x += [float((w >= t).mean()) for t in LIMITS for w in (values[-SHORT:], values)]
-    alpha, level = 2.0 / (SHORT + 1.0), logs[0]
-    for v in logs[1:]:
-        level = v * alpha + level * (1.0 - alpha)
-    return [float(v) for v in x], float(np.median(near)), float(level)
+    x, median, level = regime_rows(np.asarray(recent[-LONG:], float)[None])
+    return x[0].tolist(), float(median[0]), float(level[0])
 
 
 class Points:
@@ -51,16 +60,28 @@ class Points:
     def __init__(self, state: dict | None):
         self.state = state or {"n": 0, "recent": [], "tail": [], "moments": [0.0] * (WIDTH + 2) ** 2}
 
-    def learn(self, value: float) -> None:
+    def learn(self, values: Sequence[float]) -> None:
+        """Values in their order; moments are added row by row, so cuts change no bit of them."""
         s = self.state
-        if s["n"] >= LONG:
-            x, median, ewma = regime_row(s["recent"])
-            s["tail"].append([x, float(log_values([value])[0]), median, ewma])
-            if len(s["tail"]) > VALIDATION:
-                x, y, *_ = s["tail"].pop(0)
-                s["moments"] = (np.array(s["moments"]) + self._products([[x, y]]).ravel()).tolist()
-        s["n"] += 1
-        s["recent"] = [*s["recent"], value][-LONG:]
+        values = np.asarray(values, float)
+        known = np.concatenate([np.asarray(s["recent"], float), values])
+        s["n"] += len(values)
+        s["recent"] = known[-LONG:].tolist()
+        if len(known) <= LONG:
+            return
+        rows = np.lib.stride_tricks.sliding_window_view(known, LONG)[:-1]
+        targets = log_values(known[LONG:])
+        tail = [np.array([r[k] for r in s["tail"]], float) for k in range(4)] if s["tail"] else [np.zeros((0, WIDTH)), *[np.zeros(0)] * 3]
+        moments = np.array(s["moments"]).reshape(1, WIDTH + 2, WIDTH + 2)
+        for at in range(0, len(rows), STEP):
+            x, median, level = regime_rows(np.ascontiguousarray(rows[at : at + STEP]))
+            tail = [np.concatenate(pair) for pair in zip(tail, (x, targets[at : at + STEP], median, level))]
+            out = max(len(tail[0]) - VALIDATION, 0)
+            if out:
+                moments = np.concatenate([moments, ridge.products(tail[0][:out], tail[1][:out])]).sum(axis=0, keepdims=True)
+                tail = [column[out:] for column in tail]
+        s["tail"] = [list(row) for row in zip(*[column.tolist() for column in tail])]
+        s["moments"] = moments.ravel().tolist()
 
     @staticmethod
     def _products(rows: list) -> np.ndarray:
@@ -88,23 +109,55 @@ class Points:
         return dict(zip(names, ridge.compete(train[None], full[None], at, ALPHAS, LAGS)[0]))
 
 
+class Samples(Rows):
+    """The challenger's samples of a series of values; their features are made where sums are taken.
+
+    The sample of rank r is the value behind the first ``LONG`` + r, and its features are those of
+    the last ``LONG`` of these.
+    """
+
+    def __init__(self, values: np.ndarray, thresholds: Sequence[float]):
+        self.values, self.thresholds = values, np.asarray(thresholds, float)
+        self.rank = np.arange(max(len(values) - LONG, 0))
+        self.won = [np.zeros(len(self.thresholds))]  # before each LEAVES parts
+        for at in range(0, len(values), LEAVES * PART):
+            self.won.append(self.won[-1] + self._hits(values[at : at + LEAVES * PART]).sum(axis=0))
+
+    def _hits(self, values: np.ndarray) -> np.ndarray:
+        return (values[:, None] >= self.thresholds).astype(float)
+
+    def features(self, lo: int, hi: int) -> np.ndarray:
+        """Of the samples from ``lo`` to before ``hi``, in memory by column; the coming one has the last rank."""
+        values, n = self.values[lo : hi + LONG - 1], hi - lo
+        logs = log_values(values)
+        total = logs[:n].copy()
+        for k in range(1, LONG):
+            total += logs[k : k + n]
+        x = [logs[LONG - k : LONG - k + n] for k in range(1, LAGS + 1)]
+        x.append(total / LONG)
+        for t in LIMITS:
+            won = np.concatenate([[0], np.cumsum(values >= t)])
+            x.append((won[LONG:] - won[:-LONG]) / LONG)
+        return np.stack(x).T
+
+    def leaves(self, at: int, priors: bool = True) -> Rows:
+        rank = self.rank[at : at + LEAVES * PART]
+        hits = self._hits(self.values[at : at + LONG + len(rank)])
+        prior = None
+        if priors:
+            won = self.won[at // (LEAVES * PART)] + np.cumsum(hits, axis=0)[LONG - 1 : -1]
+            prior = won / (rank + LONG)[:, None]
+        return Rows(rank, self.features(at, at + len(rank)), hits[LONG:], prior).leaves(0, priors)
+
+
 def challenged(series: str, values: Sequence[float], priors: Sequence[float | None], thresholds: Sequence[float], config: ChallengerConfig) -> list[dict]:
     """The rows of ``gated_logistic_forecast`` for the outcome to come after ``values``."""
     values = np.asarray(values, float)
-    n = max(0, len(values) - LONG)
+    rows = Samples(values, thresholds)
+    n = len(rows.rank)
     head = {"series": series, "history_count": len(values), "base": list(priors), "samples": n, "shift": None, "ahead": None}
-    x = hits = prior = np.zeros((0, 0))
     if not config.too_early(len(values), n):
-        logs = log_values(values)
-        windows = np.lib.stride_tricks.sliding_window_view
-        x = np.stack([logs[LONG - k : len(values) - k + 1] for k in range(1, LAGS + 1)], axis=1)
-        means = windows(logs, LONG).mean(axis=1)
-        rates = [windows((values >= t).astype(float), LONG).mean(axis=1) for t in LIMITS]
-        x = np.column_stack([x, means, *rates])
-        every = (values[:, None] >= np.asarray(thresholds, float)).astype(float)
-        prior = (np.cumsum(every, axis=0)[:-1] / np.arange(1, len(values))[:, None])[LONG - 1 :]
-        head |= {"shift": x[0], "ahead": x[-1]}
-        x, hits = x[:-1], every[LONG:]
-    found = in_task(gated_program(head, list(thresholds), config), Rows(np.arange(len(x)), x, hits, prior))
+        head |= {"shift": rows.features(0, 1)[0], "ahead": rows.features(n, n + 1)[0]}
+    found = in_task(gated_program(head, list(thresholds), config), rows)
     names = [c.split()[0] for c in DECISION.split(", ")]
     return [dict(zip(names, row)) for row in found]

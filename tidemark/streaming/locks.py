@@ -4,16 +4,23 @@ One stateful operator per ledger. Its input is the union of outcomes, heartbeats
 observations and control rows, keyed by series (``messages``); a micro-batch plays the
 role of one poll. State per series is small: running counts, the open lock, the last
 few signatures. Time comes from the rows, so a replay gives the same ledger.
+
+Rows reach the operator packed, those of a series and an Arrow batch as one, and stay columns
+there; outcomes are learned from a batch at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from collections import Counter, namedtuple
 from collections.abc import Iterator, Sequence
 from decimal import ROUND_HALF_EVEN, Decimal
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -35,9 +42,59 @@ MESSAGE = (
     "ready boolean, signature string, direction string, payload_format string, "
     "payload_bytes bigint, scores string"
 )
+COLUMNS = [part.split()[0] for part in MESSAGE.split(", ")]
 FIELDS = [part.split()[0] for part in STREAM_LEDGER.split(", ")]
 STATE = "body string"
 
+#: Control rows first; an observation at an outcome's instant belongs before it.
+KINDS = pa.array(["signatures", "heartbeat", "observation", "outcome"])
+
+#: Outcomes whose texts are objects at once.
+STEP = 65_536
+
+ARROW = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}
+TABLE = pa.schema([(n, ARROW[t]) for n, t in (part.split() for part in MESSAGE.split(", "))])
+Message = namedtuple("Message", COLUMNS)
+
+#: Rows of one series: the names of their columns that are not null throughout, and these as Arrow's bytes, compressed.
+PACKED = "series string, names string, size bigint, rows binary"
+
+
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each series of a batch as one."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch]).cast(TABLE).combine_chunks()
+        if not len(table):
+            continue
+        codes = table["series"].combine_chunks().dictionary_encode()
+        order = np.argsort(pc.fill_null(codes.indices, -1).to_numpy(zero_copy_only=False), kind="stable")
+        table = table.take(pa.array(order)).combine_chunks()
+        codes = pc.fill_null(codes.indices, -1).to_numpy(zero_copy_only=False)[order]
+        edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+        made: dict[str, list] = {n: [] for n in ("series", "names", "size", "rows")}
+        for lo, hi in zip(edges, edges[1:]):
+            own = table.slice(lo, hi - lo)
+            names = [n for n in COLUMNS[1:] if n == "kind" or own[n].null_count < len(own)]
+            body = own.select(names).to_batches()[0].serialize()
+            made["series"].append(own["series"][0].as_py())
+            made["names"].append(",".join(names))
+            made["size"].append(body.size)
+            made["rows"].append(pa.compress(body, codec="lz4", asbytes=True))
+        yield pa.RecordBatch.from_pydict(made, pa.schema([("series", pa.string()), ("names", pa.string()), ("size", pa.int64()), ("rows", pa.binary())]))
+
+
+def unpacked(rows: Iterator[pd.DataFrame]) -> pa.Table:
+    """The messages of a series, packed or not."""
+    parts = [TABLE.empty_table()]
+    for some in rows:
+        if "rows" not in some.columns:
+            parts.append(pa.Table.from_pandas(some[COLUMNS], TABLE, preserve_index=False))
+            continue
+        for names, size, body in zip(some["names"], some["size"], some["rows"]):
+            schema = pa.schema([TABLE.field(n) for n in names.split(",")])
+            parts.append(pa.Table.from_batches([pa.ipc.read_record_batch(pa.decompress(body, int(size), "lz4"), schema)]))
+    return pa.concat_tables(parts, promote_options="default").combine_chunks()
+
 
 def messages(
     outcomes: DataFrame | None = None,
@@ -98,6 +155,20 @@ def _places(value: float | None) -> str | None:
     return None if value is None else str(Decimal(str(value)).quantize(PLACES, rounding=ROUND_HALF_EVEN))
 
 
+def messages_of(rows: pa.Table) -> list[Message]:
+    return [m for b in rows.to_batches() for m in map(Message._make, zip(*(b[n].to_pylist() for n in COLUMNS)))]
+
+
+def message(rows: pa.Table, at: int) -> Message:
+    return Message(*(rows[n][at].as_py() for n in COLUMNS))
+
+
+def _equal(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """Nulls are equal to one another."""
+    same = pc.fill_null(pc.equal(left, right), False).to_numpy(zero_copy_only=False)
+    return same | (pc.is_null(left).to_numpy(zero_copy_only=False) & pc.is_null(right).to_numpy(zero_copy_only=False))
+
+
 def _id(prefix: str, *parts: object) -> str:
     material = "|".join(str(p) for p in parts)
     return prefix + hashlib.sha256(material.encode()).hexdigest()[:24]
@@ -136,12 +207,6 @@ class _Ledger(StatefulProcessor):
         state["seq"] += 1
         return row
 
-    def learn(self, state: dict, row) -> None:
-        value = Decimal(row.value)
-        state["n"] += 1
-        state["hits"] = [h + (value >= t) for h, t in zip(state["hits"], self.limits)]
-        state["last"] = [row.id, int(row.us)]
-
     def prior(self, state: dict, minimum: int | None = None) -> dict[str, str | None]:
         if state["n"] < (self.min_history if minimum is None else minimum):
             return dict.fromkeys(self.thresholds)
@@ -215,58 +280,70 @@ class _Ledger(StatefulProcessor):
         yield self.frame(key, events)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
-        # Control rows first, then by time; an observation at an outcome's instant
-        # belongs before it. By event time, heartbeats have their place in time too.
-        rank = batch["kind"].map({"signatures": 0, "heartbeat": 1, "observation": 2, "outcome": 3})
-        late = rank.ge(1) if self.event_time else rank.ge(2)
-        batch = batch.assign(_rank=rank, _late=late).sort_values(["_late", "us", "_rank", "id"])
+        batch = unpacked(rows)
+        # Control rows first, then by time. By event time, heartbeats have their place in time too.
+        rank = pc.index_in(batch["kind"], KINDS)
+        late = pc.fill_null(pc.greater_equal(rank, 1 if self.event_time else 2), False)
+        keys = pa.table({"late": late.cast(pa.int8()), "us": batch["us"], "rank": rank, "id": batch["id"]}).combine_chunks()
+        batch = batch.take(pc.sort_indices(keys, sort_keys=[(n, "ascending") for n in keys.column_names]))
         state = self.load()
-        rows, events = self.fresh(state, list(batch.itertuples(index=False)))
-        events += self.in_time(state, rows, timerValues) if self.event_time else self.advance(state, rows, timerValues)
+        batch, events = self.fresh(state, batch)
+        events += self.in_time(state, batch, timerValues) if self.event_time else self.advance(state, self.taken(batch), timerValues)
         self.save(state)
         yield self.frame(key, events)
 
-    def in_time(self, state: dict, rows: list, timers) -> list[dict]:
+    def taken(self, rows: pa.Table):
+        """The rows as ``advance`` takes them."""
+        return messages_of(rows)
+
+    def in_time(self, state: dict, rows: pa.Table, timers) -> list[dict]:
         """Rows in their order in time, a stale session ended where it became so, however rows come in batches."""
-        events, together = [], []
-        for row in rows:
+        events, start = [], 0
+        beats = pc.equal(rows["kind"], "heartbeat").to_pylist()
+        for i, us in enumerate(rows["us"].to_pylist()):
             due = self.due(state)
-            stale = due is not None and row.us > due
-            if stale or row.kind == "heartbeat":
-                events += self.advance(state, together, timers)
-                together = []
+            stale = due is not None and us is not None and us > due
+            if stale or beats[i]:
+                events += self.advance(state, self.taken(rows.slice(start, i - start)), timers)
+                start = i
             if stale:
                 events += self.expire(state, due)
-            if row.kind == "heartbeat":
-                events += self.advance(state, [row], timers)
-            else:
-                together.append(row)
-        return events + self.advance(state, together, timers)
+            if beats[i]:
+                events += self.advance(state, self.taken(rows.slice(i, 1)), timers)
+                start = i + 1
+        return events + self.advance(state, self.taken(rows.slice(start)), timers)
 
-    def fresh(self, state: dict, rows: list) -> tuple[list, list[dict]]:
+    def fresh(self, state: dict, rows: pa.Table) -> tuple[pa.Table, list[dict]]:
         """The rows without outcomes that are replayed or late, and an event that counts these.
 
         An outcome counts only behind the last one, by time and then id: an earlier one is
         in no forecast's future, and its own reference outcome must not score a lock.
         """
-        last = (state["last"][1], state["last"][0]) if state["last"] else None
-        kept, ignored = [], []
-        for row in rows:
-            if row.kind == "outcome":
-                at = (int(row.us), row.id)
-                if last is not None and at <= last:
-                    ignored.append(row)
-                    continue
-                last = at
-            kept.append(row)
-        if not ignored:
-            return kept, []
-        return kept, [
+        at = np.flatnonzero(pc.fill_null(pc.equal(rows["kind"], "outcome"), False).to_numpy())
+        if not len(at):
+            return rows, []
+        found = rows.take(pa.array(at))
+        if found["us"].null_count:
+            raise ValueError("an outcome has no time.")
+        us, ids = found["us"].to_numpy(), found["id"].combine_chunks()
+        # Outcomes are in order, so replays of one another are neighbours.
+        ignored = np.zeros(len(us), bool)
+        ignored[1:] = (us[1:] == us[:-1]) & _equal(ids[1:], ids[:-1])
+        if state["last"]:
+            last_id, last_us = state["last"]
+            ignored |= us < last_us
+            for i in np.flatnonzero((us == last_us) & ~ignored):
+                ignored[i] = (last_us, ids[i].as_py()) <= (last_us, last_id)
+        if not ignored.any():
+            return rows, []
+        of = int(np.flatnonzero(ignored)[-1])
+        kept = np.ones(len(rows), bool)
+        kept[at[ignored]] = False
+        return rows.filter(pa.array(kept)), [
             self.event(
-                state, "outcomes_ignored", state["last"][1] if state["last"] else ignored[-1].us,
-                unpredicted=len(ignored), history_count=state["n"],
-                reference_id=state["last"][0] if state["last"] else None, actual_id=ignored[-1].id,
+                state, "outcomes_ignored", state["last"][1] if state["last"] else us[of],
+                unpredicted=int(ignored.sum()), history_count=state["n"],
+                reference_id=state["last"][0] if state["last"] else None, actual_id=ids[of].as_py(),
                 reason="replayed_or_late_outcome",
             )
         ]
@@ -299,17 +376,47 @@ class ForecastLocks(_Ledger):
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         if self.challenger:
+            # Values that came before they were kept in blocks.
             self.values = handle.getListState("values", "value double")
-
-    def learn(self, state: dict, row) -> None:
-        super().learn(state, row)
-        if self.window is not None:
-            state["last_values"] = [*state.get("last_values", []), row.value][-self.window :]
+            self.blocks = handle.getListState("blocks", "block binary")
+
+    def taken(self, rows: pa.Table) -> pa.Table:
+        return rows
+
+    def learn(self, state: dict, rows: pa.Table) -> None:
+        """From outcomes in their order, some at a time."""
+        points = Points(state.get("points")) if self.point else None
+        for at in range(0, len(rows), STEP):
+            texts = rows["value"].slice(at, STEP).to_numpy()
+            values = np.array([float(v) for v in texts])
+            if np.isnan(values).any():
+                raise ValueError("an outcome's value is no number.")
+            state["n"] += len(values)
+            state["hits"] = [h + self.wins(texts, values, t) for h, t in zip(state["hits"], self.limits)]
+            if self.window is not None:
+                state["last_values"] = [*state.get("last_values", []), *texts[-self.window :]][-self.window :]
+            if self.point:
+                points.learn(values)
+            if self.challenger:
+                self.blocks.appendValue((values.astype("<f8").tobytes(),))
+        last = message(rows, -1)
+        state["last"] = [last.id, last.us]
         if self.point:
-            points = Points(state.get("points"))
-            points.learn(float(row.value))
             state["points"] = points.state
 
+    @staticmethod
+    def wins(texts: np.ndarray, values: np.ndarray, limit: Decimal) -> int:
+        """How many decimals reach the limit; those that are equal to it as doubles are compared as decimals."""
+        near = texts[values == float(limit)]
+        return int((values > float(limit)).sum()) + sum(n for v, n in Counter(near).items() if Decimal(v) >= limit)
+
+    def history(self, state: dict) -> np.ndarray:
+        """All values so far; as zeros, while they are too few to be read."""
+        if state["n"] < self.challenger.min_history:
+            return np.zeros(state["n"])
+        before = np.array([r[0] for r in self.values.get()], float)
+        return np.concatenate([before, np.frombuffer(b"".join(r[0] for r in self.blocks.get()), "<f8")])
+
     def prior(self, state: dict, minimum: int | None = None) -> dict[str, str | None]:
         if self.window is None:
             return super().prior(state, minimum)
@@ -323,10 +430,9 @@ class ForecastLocks(_Ledger):
         prior = self.prior(state)
         made = {"probabilities": prior, "status": "READY" if None not in prior.values() else "INSUFFICIENT_DATA"}
         if self.challenger:
-            values = [r[0] for r in self.values.get()] if state["n"] >= self.challenger.min_history else [0.0] * state["n"]
             order = sorted(range(len(self.limits)), key=lambda k: self.limits[k])
             base = [None if prior[t] is None else float(prior[t]) for t in self.thresholds]
-            rows = challenged("", values, [base[k] for k in order], [float(self.limits[k]) for k in order], self.challenger)
+            rows = challenged("", self.history(state), [base[k] for k in order], [float(self.limits[k]) for k in order], self.challenger)
             names = [self.thresholds[k] for k in order]
             made["probabilities"] = {t: _places(r["probability"]) for t, r in zip(names, rows)}
             made["details"] = {
@@ -356,21 +462,18 @@ class ForecastLocks(_Ledger):
             "within_interval": low <= actual <= high,
         }
 
-    def advance(self, state: dict, rows: list, timers) -> list[dict]:
+    def advance(self, state: dict, rows: pa.Table, timers) -> list[dict]:
         events: list[dict] = []
-        fresh = [r for r in rows if r.kind == "outcome"]
-        for row in rows:
-            if row.kind == "heartbeat":
+        fresh = rows.filter(pc.equal(rows["kind"], "outcome"))
+        if self.sessions:
+            for row in messages_of(rows.filter(pc.equal(rows["kind"], "heartbeat"))):
                 events += self.beat(state, row, timers)
-        lock = state["lock"]
-        for row in fresh:
-            self.learn(state, row)
-        if not fresh:
+        if not len(fresh):
             return events
-        if self.challenger:
-            self.values.appendList([(float(r.value),) for r in fresh])
+        lock = state["lock"]
+        self.learn(state, fresh)
         if lock is not None:
-            first = fresh[0]
+            first, last = message(fresh, 0), message(fresh, -1)
             events.append(
                 self.event(
                     state, "prediction_scored", first.us, lock_id=lock["id"], actual_id=first.id,
@@ -382,8 +485,8 @@ class ForecastLocks(_Ledger):
             if len(fresh) > 1:
                 events.append(
                     self.event(
-                        state, "prediction_gap", fresh[-1].us, lock_id=lock["id"],
-                        unpredicted=len(fresh) - 1, reference_id=fresh[1].id, actual_id=fresh[-1].id,
+                        state, "prediction_gap", last.us, lock_id=lock["id"],
+                        unpredicted=len(fresh) - 1, reference_id=message(fresh, 1).id, actual_id=last.id,
                         reason="multiple_outcomes_before_next_lock",
                     )
                 )
@@ -436,6 +539,12 @@ class TriggerLocks(_Ledger):
     def forget(self, state: dict) -> None:
         state["armed"], state["previous"], state["interval"] = None, None, None
 
+    def learn(self, state: dict, row) -> None:
+        value = Decimal(row.value)
+        state["n"] += 1
+        state["hits"] = [h + (value >= t) for h, t in zip(state["hits"], self.limits)]
+        state["last"] = [row.id, int(row.us)]
+
     def open(self, state: dict, row) -> list[dict]:
         """A boundary: the interval begins, and its prior forecast is published."""
         state["previous"] = [row.id, int(row.us)]
@@ -612,6 +721,8 @@ def _run(stream: DataFrame, processor: _Ledger, delay: str | None) -> DataFrame:
         mode = "EventTime" if processor.event_time else "ProcessingTime"
     if mode == "EventTime":
         stream = stream.withColumn("at", F.timestamp_micros("us")).withWatermark("at", delay)
+    else:  # the watermark looks at single rows
+        stream = stream.select(*COLUMNS).mapInArrow(pack, PACKED)
     return stream.groupBy("series").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=STREAM_LEDGER, outputMode="append", timeMode=mode
     )
