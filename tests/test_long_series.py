@@ -182,7 +182,7 @@ def test_packed_rows_come_back_by_series():
     for series in (None, "a", "b", ""):
         own = got[got["series"].isna() if series is None else got["series"] == series]
         back = locks.unpacked(iter([own.iloc[:2], own.iloc[2:]])).to_pylist()
-        assert [r | {"series": series} for r in back] == [r for r in rows if r["series"] == series]
+        assert [dict.fromkeys(COLUMNS) | r | {"series": series} for r in back] == [r for r in rows if r["series"] == series]
 
 
 def test_values_of_an_older_state_come_first():

@@ -16,6 +16,7 @@ import json
 from collections import Counter, namedtuple
 from collections.abc import Iterator, Sequence
 from decimal import ROUND_HALF_EVEN, Decimal
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -56,7 +57,10 @@ ARROW = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}
 TABLE = pa.schema([(n, ARROW[t]) for n, t in (part.split() for part in MESSAGE.split(", "))])
 Message = namedtuple("Message", COLUMNS)
 
-#: Rows of one series: the names of their columns that are not null throughout, and these as Arrow's bytes, compressed.
+#: Columns that a table of messages has; of the others, those that are not null throughout.
+ALWAYS = ["kind", "us", "id", "value"]
+
+#: Rows of one series: the names of their columns, and these as Arrow's bytes, compressed.
 PACKED = "series string, names string, size bigint, rows binary"
 
 
@@ -74,7 +78,7 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[str, list] = {n: [] for n in ("series", "names", "size", "rows")}
         for lo, hi in zip(edges, edges[1:]):
             own = table.slice(lo, hi - lo)
-            names = [n for n in COLUMNS[1:] if n == "kind" or own[n].null_count < len(own)]
+            names = [n for n in COLUMNS[1:] if n in ALWAYS or own[n].null_count < len(own)]
             body = own.select(names).to_batches()[0].serialize()
             made["series"].append(own["series"][0].as_py())
             made["names"].append(",".join(names))
@@ -85,7 +89,7 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def unpacked(rows: Iterator[pd.DataFrame]) -> pa.Table:
     """The messages of a series, packed or not."""
-    parts = [TABLE.empty_table()]
+    parts = [TABLE.empty_table().select(ALWAYS)]
     for some in rows:
         if "rows" not in some.columns:
             parts.append(pa.Table.from_pandas(some[COLUMNS], TABLE, preserve_index=False))
@@ -156,11 +160,21 @@ def _places(value: float | None) -> str | None:
 
 
 def messages_of(rows: pa.Table) -> list[Message]:
-    return [m for b in rows.to_batches() for m in map(Message._make, zip(*(b[n].to_pylist() for n in COLUMNS)))]
+    made: list[Message] = []
+    for batch in rows.to_batches():
+        held = batch.to_pydict()
+        made += map(Message._make, zip(*(held.get(n, repeat(None)) for n in COLUMNS)))
+    return made
 
 
 def message(rows: pa.Table, at: int) -> Message:
-    return Message(*(rows[n][at].as_py() for n in COLUMNS))
+    return messages_of(rows.slice(at % len(rows), 1))[0]
+
+
+def of_kind(rows: pa.Table, kind: str) -> pa.Table:
+    """Without a copy where all rows are of it."""
+    found = pc.equal(rows["kind"], kind)
+    return rows if pc.all(found, min_count=0, skip_nulls=False).as_py() else rows.filter(found)
 
 
 def _equal(left: pa.Array, right: pa.Array) -> np.ndarray:
@@ -322,7 +336,7 @@ class _Ledger(StatefulProcessor):
         at = np.flatnonzero(pc.fill_null(pc.equal(rows["kind"], "outcome"), False).to_numpy())
         if not len(at):
             return rows, []
-        found = rows.take(pa.array(at))
+        found = of_kind(rows, "outcome")
         if found["us"].null_count:
             raise ValueError("an outcome has no time.")
         us, ids = found["us"].to_numpy(), found["id"].combine_chunks()
@@ -464,9 +478,9 @@ class ForecastLocks(_Ledger):
 
     def advance(self, state: dict, rows: pa.Table, timers) -> list[dict]:
         events: list[dict] = []
-        fresh = rows.filter(pc.equal(rows["kind"], "outcome"))
+        fresh = of_kind(rows, "outcome")
         if self.sessions:
-            for row in messages_of(rows.filter(pc.equal(rows["kind"], "heartbeat"))):
+            for row in messages_of(of_kind(rows, "heartbeat")):
                 events += self.beat(state, row, timers)
         if not len(fresh):
             return events
